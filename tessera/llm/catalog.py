@@ -7,22 +7,39 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, packing
-from tessera.llm.shared import documents
+from tessera.llm import bpe, language, packing, rules, toxicity
+from tessera.llm.shared import crc_mod, documents
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language.train(docs, crc_mod("doc_id", 4) != 2)
+    return language.identify(docs, model, "doc_id").withColumn("held_out", crc_mod("doc_id", 4) == 2)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), TOKENIZER)
 
 
+def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(documents(spark, sf_dir))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), TOKENIZER)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, labels, crc_mod("doc_id", 5) != 0)
+    return toxicity.score_documents(docs, model, "doc_id").withColumn("held_out", crc_mod("doc_id", 5) == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe, op8_packing)}
+    return {f.__name__: f for f in (op1_language, op3_bpe, op7_rules, op8_packing, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
