@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe, language, packing, rules, toxicity
+from tessera.llm import bpe, jaccard, language, packing, rules, topk, toxicity
 from tessera.llm.shared import crc_mod, documents
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +24,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), TOKENIZER)
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_documents(documents(spark, sf_dir), words=4, percent=85)
+
+
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(documents(spark, sf_dir))
 
@@ -38,8 +43,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, model, "doc_id").withColumn("held_out", crc_mod("doc_id", 5) == 0)
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op3_bpe, op7_rules, op8_packing, op9_toxicity)}
+    found = (op1_language, op3_bpe, op5_jaccard, op7_rules, op8_packing, op9_toxicity, op10_topk)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
