@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, jaccard, language, packing, rules, topk, toxicity
-from tessera.llm.shared import crc_mod, documents
+from tessera.llm import bpe, jaccard, language, licenses, packing, quality, rules, shards, topk, toxicity
+from tessera.llm.shared import crc_mod, documents, shared_dir
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -20,14 +21,33 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model, "doc_id").withColumn("held_out", crc_mod("doc_id", 4) == 2)
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return licenses.digest(licenses.scan(docs, licenses.train(docs), "doc_id"), "doc_id")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), TOKENIZER)
 
 
+def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    index = shards.materialise(documents(spark, sf_dir), TOKENIZER, out)
+    return shards.verified(spark, index, out)
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_documents(documents(spark, sf_dir), words=4, percent=85)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.train(docs, labels, crc_mod("doc_id", 5) != 0)
+    found = quality.classify(docs, model, F.col("source"), F.col("lang"), "doc_id")
+    return found.withColumn("held_out", crc_mod("doc_id", 5) == 0)
+
+
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(documents(spark, sf_dir))
 
@@ -49,7 +69,9 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language, op3_bpe, op5_jaccard, op7_rules, op8_packing, op9_toxicity, op10_topk)
+    found = (
+        op1_language, op2_licenses, op3_bpe, op4_shards, op5_jaccard, op6_quality, op7_rules, op8_packing, op9_toxicity, op10_topk,
+    )
     return {f.__name__: f for f in found}
 
 
