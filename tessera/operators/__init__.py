@@ -1 +1 @@
-"""Part of the tessera engine."""
+"""Relational operators: picks per key, joins, upserts, searches, classification, life cycles, monitors."""

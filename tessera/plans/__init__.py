@@ -1 +1 @@
-"""Part of the tessera engine."""
+"""Reports, rollups and backfills, and the catalog of queries."""

@@ -1 +1 @@
-"""Part of the tessera engine."""
+"""Structured Streaming jobs: message ingest, life cycles as keyed state, counts per business day."""
