@@ -134,7 +134,7 @@ def train(
                 )
 
     rows = chosen.select(F.col(id_column).cast("long"), "lang", "text").mapInArrow(vectors, "id long, lang string, slots binary, n binary").collect()
-    rows = sorted(rows, key=lambda r: (r["lang"], r["id"], r["slots"]))
+    rows = sorted(rows, key=lambda r: (r["lang"], r["id"] is None, r["id"] or 0, r["slots"]))
     dense = np.zeros((len(rows), DIMS), np.float32)
     for i, r in enumerate(rows):
         dense[i, np.frombuffer(r["slots"], "<u2")] = np.frombuffer(r["n"], "<u4")

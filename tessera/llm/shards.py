@@ -130,10 +130,14 @@ def read_records(spark: SparkSession, out: str, length: int = 2048, width: int =
     """(shard, position, ids) of every record from `start_shard` on; shards before it aren't opened."""
     stride = length * width + 1
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{out}/tokens")
-    files = files.where(F.col("shard") >= start_shard).select("shard", "content")
-    at = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.length("content") / stride) - 1)))
-    rows = files.where(F.length("content") > 0).select("shard", "content", at.alias("k"))
-    return rows.select("shard", (F.col("k") * stride).alias("position"), F.substring("content", F.col("k") * stride + 1, F.lit(length * width)).alias("ids"))
+    if "shard" not in files.columns:  # no sequence, so no shard
+        files = files.withColumn("shard", F.lit(0))
+    n = F.floor(F.length("content") / stride).cast("int")
+    place = lambda k: k.cast("long") * stride
+    cut = lambda k: F.struct(place(k).alias("position"), F.substring("content", (place(k) + 1).cast("int"), F.lit(length * width)).alias("ids"))
+    records = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), cut))
+    rows = files.where(F.col("shard") >= start_shard).select("shard", F.explode(records).alias("r"))
+    return rows.select("shard", "r.position", "r.ids")
 
 
 def verified(spark: SparkSession, index: DataFrame, out: str, length: int = 2048, width: int = 2) -> DataFrame:
