@@ -8,6 +8,7 @@ all pieces.  Rows with null texts have no letters and leave with the first stage
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,17 +18,24 @@ from tessera.llm.catalog import TOKENIZER
 from tessera.llm.shared import documents, shared_dir
 
 
+def _filtered(docs: DataFrame, judged: Callable[..., DataFrame], condition: str) -> DataFrame:
+    """The rows of docs for which the condition holds on what `judged` adds; docs may have columns of the same names."""
+    own = [f"_c{i}" for i in range(len(docs.columns))]
+    found = judged(docs.toDF(*own), *own, text_column=own[docs.columns.index("text")]).where(condition)
+    return found.select(*own).toDF(*docs.columns)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is one of those learned from the rows that name theirs."""
     model = language.train(docs, F.lit(True))
-    return language.identify(docs, model, *docs.columns).where("not rejected").select(*docs.columns)
+    return _filtered(docs, lambda df, *keep, text_column: language.identify(df, model, *keep, text_column=text_column), "not rejected")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that score below one half; learned from the labelled rows among them."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels, F.lit(True))
-    return toxicity.score_documents(docs, model, *docs.columns).where("predicted = 0").select(*docs.columns)
+    return _filtered(docs, lambda df, *keep, text_column: toxicity.score_documents(df, model, *keep, text_column=text_column), "predicted = 0")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
