@@ -77,12 +77,22 @@ def test_paged_rest(spark):
     server.shutdown()
 
 
+def test_repeats_are_dropped(spark, tmp_path):
+    source = str(tmp_path / "in")
+    for _ in range(2):
+        spark.createDataFrame([("a", T0), ("b", T0)], "id string, ts timestamp").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("id string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(source)
+    q = ingest.distinct_events(stream, "id", "ts").writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r["id"] for r in spark.table("once").collect()) == ["a", "b"]
+
+
 def test_daily_counts(spark, tmp_path):
     rows = [("a", datetime(2026, 7, 15, 9, 30)), ("a", datetime(2026, 7, 15, 10, 30)), ("b", datetime(2026, 7, 15, 11))]
     source = str(tmp_path / "in")
     spark.createDataFrame(rows, "k string, ts timestamp").write.parquet(source)
     stream = spark.readStream.schema("k string, ts timestamp").parquet(source)
-    q = ingest.daily_counts(ingest.distinct_events(stream, "ts", "ts"), "ts", "k").writeStream.format("memory").queryName("daily").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q = ingest.daily_counts(stream, "ts", "k").writeStream.format("memory").queryName("daily").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     got = {(str(r["business_day"]), r["k"]): r["n"] for r in spark.table("daily").groupBy("business_day", "k").agg(F.sum("n").alias("n")).collect()}
     assert got == {("2026-07-14", "a"): 1, ("2026-07-15", "a"): 1, ("2026-07-15", "b"): 1}
