@@ -5,11 +5,13 @@
    |A| - ceil(t |A|) + 1 n-grams of each, so those are dealt out; classes under one n-gram are a block.  Common
    passages come last in that order and make no large blocks.  Blocks with equal members, or within another, are
    dropped.  N-grams that stay frequent join into clusters, which are cut into chunks; pairs of chunks are blocks.
-3. Each block gets a signature tree: its leaves hold bitmaps of the sets, its nodes the OR of the bitmaps below, the
-   range of sizes and whether all below is linked already.  Walking pairs of nodes from the root down, a pair is left
-   if its sizes don't fit, if the common bits leave too small an overlap, or if both are in one component.  Pairs of
-   leaves are verified on the whole sets.
-4. Links found in blocks meet in connected components.
+3. Each block gets a signature tree: its leaves hold bitmaps of the sets (a fraction of a byte an n-gram), its nodes
+   the OR of the bitmaps below and the range of sizes.  Walking pairs of nodes from the root down, a pair is left if
+   its sizes don't fit or if the common bits leave too small an overlap.  Only the bitmaps are dealt to the blocks;
+   members that reach no possible partner go, and so do blocks that then lie in another.
+4. What is left gets its whole sets and is walked again: pairs of leaves are verified on the sets, and a pair of
+   nodes is also left if all below both is one component already.
+5. Links found in blocks meet in connected components.
 
 No pair of a group is expanded: a block of n like texts costs about n verifications.  N-grams are 64-bit hashes.
 Texts without words (or null) have empty sets and link with nothing; texts of fewer than `words` words are one n-gram.
@@ -106,20 +108,28 @@ def links(overlap: int, n: int, m: int, percent: int) -> bool:
     return 100 * overlap >= percent * (n + m - overlap)
 
 
+def signature(s: np.ndarray) -> bytes:
+    """Bitmap of a set: two to four bits for every n-gram, a power of two of them."""
+    width = max(256, 1 << int(2 * len(s) - 1).bit_length())
+    bits = np.zeros(width, np.uint8)
+    bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def aligned(signatures: list[bytes]) -> np.ndarray:
+    """Bitmaps of one width as rows of 64-bit words: wider ones are folded, which their slots (hash mod width) allow."""
+    width = min(map(len, signatures))
+    rows = [np.bitwise_or.reduce(np.frombuffer(x, np.uint64).reshape(-1, width // 8), axis=0) for x in signatures]
+    return np.array(rows)
+
+
 class Tree:
-    """Signature tree over the sets of one block; `join` links what is similar."""
+    """Signature tree over one block; subclasses say what is done at pairs of leaves, and which pairs need no visit."""
 
     FAN = 8
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
-        self.sets, self.percent = sets, percent
-        self.root = np.arange(len(sets))
-        size = np.array([len(s) for s in sets])
-        width = min(1 << 16, max(256, 1 << int(4 * size.max() - 1).bit_length()))
-        bits = np.zeros((len(sets), width), np.uint8)
-        for row, s in zip(bits, sets, strict=True):
-            row[(s & np.uint64(width - 1)).astype(np.int64)] = 1
-        packed = np.packbits(bits, axis=1).view(np.uint64)
+    def __init__(self, packed: np.ndarray, size: np.ndarray, percent: int):
+        self.percent = percent
         excess = size - np.bitwise_count(packed).sum(1).astype(np.int64)
         self.levels = [(packed, size, size, excess)]
         while len(self.levels[-1][0]) > self.FAN:
@@ -127,16 +137,17 @@ class Tree:
             at = np.arange(0, len(b), self.FAN)
             self.levels.append((np.bitwise_or.reduceat(b, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(over, at)))
 
+    def visit(self, a: int, b: int) -> None:
+        raise NotImplementedError
+
+    def settled(self, level: int, a: int, b: int) -> bool:
+        raise NotImplementedError
+
     def children(self, level: int, node: int) -> range:
         return range(node * self.FAN, min((node + 1) * self.FAN, len(self.levels[level - 1][0])))
 
     def below(self, level: int, node: int) -> slice:
-        return slice(node * self.FAN**level, min((node + 1) * self.FAN**level, len(self.sets)))
-
-    def linked(self, level: int, a: int, b: int) -> bool:
-        """Whether everything below both nodes is one component."""
-        x, y = self.root[self.below(level, a)], self.root[self.below(level, b)]
-        return bool(x[0] == y[0] and (x == x[0]).all() and (y == x[0]).all())
+        return slice(node * self.FAN**level, min((node + 1) * self.FAN**level, len(self.levels[0][0])))
 
     def possible(self, level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Which node pairs may hold a linking pair, by their size ranges and the largest overlap their bits allow."""
@@ -154,18 +165,6 @@ class Tree:
         fits[fits] = (100 + p) * common >= p * (low[a_] + low[b_])
         return fits
 
-    def verify(self, a: int, b: int) -> None:
-        if self.root[a] == self.root[b]:
-            return
-        x, y = self.sets[a], self.sets[b]
-        if len(x) > len(y):
-            x, y = y, x
-        at = np.searchsorted(y, x)
-        at[at == len(y)] = 0
-        if links(int((y[at] == x).sum()), len(x), len(y), self.percent):
-            old, new = max(self.root[a], self.root[b]), min(self.root[a], self.root[b])
-            self.root[self.root == old] = new
-
     def pairs(self, level: int, first: range, second: range | None) -> None:
         """Walk the pairs of nodes of two families, or of one with itself."""
         a = np.repeat(np.array(first), len(second or first))
@@ -175,45 +174,107 @@ class Tree:
         ok = self.possible(level, a, b)
         for x, y in zip(a[ok].tolist(), b[ok].tolist(), strict=True):
             if level == 0:
-                self.verify(x, y)
-            elif not self.linked(level, x, y):
+                self.visit(x, y)
+            elif not self.settled(level, x, y):
                 self.pairs(level - 1, self.children(level, x), self.children(level, y))
 
-    def join(self) -> np.ndarray:
-        """Root of each set's component within the block."""
+    def walk(self) -> None:
+        """Visit every pair of leaves that isn't pruned or settled."""
         for level in range(1, len(self.levels)):
             for node in range(len(self.levels[level][0])):
                 self.pairs(level - 1, self.children(level, node), None)
         top = len(self.levels) - 1
         self.pairs(top, range(len(self.levels[top][0])), None)
+
+
+class Partners(Tree):
+    """Which sets have a possible partner, by signatures alone."""
+
+    def __init__(self, signatures: list[bytes], size: np.ndarray, percent: int):
+        super().__init__(aligned(signatures), size, percent)
+        self.paired = np.zeros(len(signatures), bool)
+
+    def visit(self, a: int, b: int) -> None:
+        self.paired[a] = self.paired[b] = True
+
+    def settled(self, level: int, a: int, b: int) -> bool:
+        return bool(self.paired[self.below(level, a)].all() and self.paired[self.below(level, b)].all())
+
+
+class Links(Tree):
+    """Components of the sets that link, verified on the whole sets."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        super().__init__(aligned(list(map(signature, sets))), np.array([len(s) for s in sets]), percent)
+        self.sets, self.root = sets, np.arange(len(sets))
+
+    def visit(self, a: int, b: int) -> None:
+        if self.root[a] == self.root[b]:
+            return
+        x, y = self.sets[a], self.sets[b]
+        if len(x) > len(y):
+            x, y = y, x
+        at = np.searchsorted(y, x)
+        at[at == len(y)] = 0
+        if links(int((y[at] == x).sum()), len(x), len(y), self.percent):
+            old, new = max(self.root[a], self.root[b]), min(self.root[a], self.root[b])
+            self.root[self.root == old] = new
+
+    def settled(self, level: int, a: int, b: int) -> bool:
+        """Whether everything below both nodes is one component."""
+        x, y = self.root[self.below(level, a)], self.root[self.below(level, b)]
+        return bool(x[0] == y[0] and (x == x[0]).all() and (y == x[0]).all())
+
+    def join(self) -> np.ndarray:
+        """Root of each set's component within the block."""
+        self.walk()
         return self.root
 
 
+def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, tuple]]]:
+    """(block, columns after it by set id) from batches sorted by block; a class may come from several tasks."""
+    key, rows = None, {}
+    for b in batches:
+        for block, i, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if block != key:
+                if rows:
+                    yield key, rows
+                key, rows = block, {}
+            rows[i] = tuple(rest)
+    if rows:
+        yield key, rows
+
+
 def describe(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, set_id, n_shingles) of all documents, stored, and the sketch of n-gram counts over distinct sets."""
+    """(doc_id, set_id, n_shingles, signature) of all documents, stored, and the sketch of n-gram counts over distinct sets.
+
+    A task gives the signature of each class of equal sets once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(1 << SLOTS, np.int64), set()
-        names = ["doc_id", "set_id", "n_shingles", "part", "counts"]
+        names = ["doc_id", "set_id", "n_shingles", "signature", "part", "counts"]
 
-        def batch(ids: list, sets: list, n: list, part: list, data: list) -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids, sets, n, part, data), kinds, strict=True)], names)
+        def batch(*columns: list) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
         for b in batches:
-            own, n = [], []
+            own, n, bits = [], [], []
             for s in _sets(b.column(1), words):
                 own.append(set_id(s) if len(s) else None)
                 n.append(len(s))
+                bits.append(None)
                 if len(s) and own[-1] not in seen:
                     seen.add(own[-1])
+                    bits[-1] = signature(s)
                     np.add.at(counts, (s >> np.uint64(64 - SLOTS)).astype(np.int64), 1)
-            yield batch(b.column(0).to_pylist(), own, n, [None] * len(n), [None] * len(n))
+            yield batch(b.column(0).to_pylist(), own, n, bits, [None] * len(n), [None] * len(n))
         if counts.any():
             parts = np.split(counts.astype("<u4"), 64)
-            yield batch([None] * 64, [None] * 64, [None] * 64, list(range(64)), [p.tobytes() for p in parts])
+            yield batch(*[[None] * 64] * 4, list(range(64)), [p.tobytes() for p in parts])
 
-    schema = "doc_id long, set_id long, n_shingles long, part int, counts binary"
+    schema = "doc_id long, set_id long, n_shingles long, signature binary, part int, counts binary"
     found = durable(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema), "sets")
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +290,7 @@ def describe(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
     sketch = np.zeros((64, (1 << SLOTS) // 64), np.int64)
     for r in rows:
         sketch[r["part"]] += np.frombuffer(r["counts"], np.int64)
-    return found.where("part is null").select("doc_id", "set_id", "n_shingles"), sketch.reshape(-1)
+    return found.where("part is null").select("doc_id", "set_id", "n_shingles", "signature"), sketch.reshape(-1)
 
 
 def deal(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> DataFrame:
@@ -286,9 +347,9 @@ def deal(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> DataF
     return durable(dealt.mapInArrow(blocks, "heavy boolean, block long, set_id long"), "blocks")
 
 
-def light_blocks(members: DataFrame) -> DataFrame:
-    """(block, set_id) of the blocks that aren't heavy, each member set once, without blocks that lie in another."""
-    rows = members.where("not heavy").select("block", "set_id").distinct()
+def largest_blocks(members: DataFrame) -> DataFrame:
+    """(block, set_id) without blocks that lie in another; blocks are named by their members, so equal ones are one."""
+    rows = members.select("block", "set_id").distinct()
     sizes = rows.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
     sized = durable(rows.join(sizes, "block"), "light")
     top = sized.groupBy("set_id").agg(F.max(F.struct("size", "block")).alias("top"))
@@ -350,43 +411,52 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "set_id long, grams binary")
 
 
+def with_partners(blocks: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """(block, set_id) of the members that may link within their block, by its signature tree; blocks get new names."""
+    rows = blocks.join(signatures, "set_id").select("block", "set_id", "n_shingles", "signature")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, one in by_block(batches):
+            if len(one) < 2:
+                continue
+            own = sorted(one, key=lambda i: (one[i][0], i))
+            tree = Partners([one[i][1] for i in own], np.array([one[i][0] for i in own]), percent)
+            tree.walk()
+            left = np.array(own, np.int64)[tree.paired]
+            if len(left):
+                name = set_id(np.sort(left.view(np.uint64)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(left), name)), pa.array(left)], ["block", "set_id"])
+
+    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block long, set_id long")
+
+
 def tree_links(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): each class and the root of its component within a block, from the block's signature tree."""
-    rows = blocks.join(sets, "set_id").select("block", "set_id", "grams").repartition("block").sortWithinPartitions("block", "set_id")
+    rows = blocks.join(sets, "set_id").select("block", "set_id", "grams")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def joined(ids: list[int], data: list[bytes]) -> list[tuple[int, int]]:
-            one = dict(zip(ids, data, strict=True))  # a class may come from several tasks
+        for _, one in by_block(batches):
             if len(one) < 2:
-                return []
-            own = sorted(((np.frombuffer(x, np.uint64), i) for i, x in one.items()), key=lambda x: (len(x[0]), int(x[0][0]), x[1]))
-            root = Tree([s for s, _ in own], percent).join()
-            return [(own[r][1], own[k][1]) for k, r in enumerate(root.tolist()) if r != k]
-
-        key, ids, data = None, [], []
-        for b in batches:
-            out = []
-            for block, i, grams in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if block != key:
-                    out += joined(ids, data)
-                    key, ids, data = block, [], []
-                ids.append(i)
-                data.append(grams)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
-        if out := joined(ids, data):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+                continue
+            own = sorted(((np.frombuffer(x, np.uint64), i) for i, (x,) in one.items()), key=lambda x: (len(x[0]), int(x[0][0]), x[1]))
+            root = Links([s for s, _ in own], percent).join().tolist()
+            found = [(own[r][1], own[k][1]) for k, r in enumerate(root) if r != k]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long")
 
 
 def join_documents(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every document."""
     described, sketch = describe(docs, words)
     members = deal(docs, sketch, words, percent)
-    blocks = light_blocks(members)
+    blocks = largest_blocks(members.where("not heavy"))
     heavy = heavy_blocks(members)
-    blocks = durable(blocks if heavy is None else blocks.union(heavy), "trees")
+    blocks = blocks if heavy is None else blocks.union(heavy)
+    signatures = described.where("signature is not null").select("set_id", "n_shingles", "signature").dropDuplicates(["set_id"])
+    paired = durable(with_partners(blocks, signatures, percent), "paired")
+    blocks = durable(largest_blocks(paired), "trees")
     sets = whole_sets(docs, blocks.select("set_id").distinct(), words)
     linked = components(tree_links(blocks, sets, percent))
     # classes of equal sets take part with their smallest document
