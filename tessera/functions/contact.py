@@ -24,7 +24,6 @@ ADDRESSES = [
     r"\d+\s+[A-Za-z\s]+(?:St|Street|Ave|Avenue|Blvd|Boulevard|Dr|Drive|Ln|Lane|Rd|Road|Way|Ct|Court|Pl|Place)",
     r"\d{2,}\s+[A-Za-z\s]+,\s*[A-Z]{2}\s*\d{5}",
 ]
-ADDRESS = f"struct<street_number:string,street_name:string,city:string,state:string,zip:string>"  # noqa: F541
 
 
 def digits(x: Column) -> Column:
