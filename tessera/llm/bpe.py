@@ -19,8 +19,9 @@ import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -62,13 +63,22 @@ class Bpe:
         self.inner = {k: v for k, v in vocab.items() if not k.endswith(SUFFIX)}
         self.last = {k.removesuffix(SUFFIX): v for k, v in vocab.items() if k.endswith(SUFFIX)}
         self.trie: dict = {}
+        self.finder = ahocorasick.Automaton()  # finds leftmost longest tokens, as the trie does but for ends of words
+        self.span = np.zeros(size, np.int64)  # of tokens in a text where \n ends words
+        self.ends = np.zeros(size, bool)
         for k, v in [*self.inner.items(), *((k + "\n", v) for k, v in self.last.items())]:
             node = self.trie
             for c in k:
                 node = node.setdefault(c, {})
             node[""] = v
+            self.finder.add_word(k, v)
+            self.span[v], self.ends[v] = len(k), k.endswith("\n")
+        self.finder.make_automaton()
         self.letters = dict(enumerate(byte_letters()))
         self.known: dict[str, bytes] = {}
+        codes = range(max(map(ord, self.letters.values())) + 1)
+        self.inner_of = np.array([self.inner.get(chr(c), -1) for c in codes], np.int64)
+        self.last_of = np.array([self.last.get(chr(c), -1) for c in codes], np.int64)
 
         pairs = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
         left = np.array([vocab[a] for a, _ in pairs], np.int64)
@@ -140,13 +150,38 @@ class Bpe:
                 return out
             i = end
 
+    def propose(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest-match tokens of all words, one word after the other, and their number in each word.
+
+        One scan proposes for all.  Where the longest match before a word's end leaves only the end, which the scan
+        can't take back, and wherever matches don't cover a word, the word is split on its own.
+        """
+        found = np.fromiter(chain.from_iterable(self.finder.iter_long("\n".join(words) + "\n")), np.int64).reshape(-1, 2)
+        end, ids = found[:, 0], found[:, 1]
+        border = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        word = np.searchsorted(border, end)
+        gap = np.diff(end, prepend=-1) != self.span[ids]
+        whole = np.zeros(len(words), bool)
+        whole[word[self.ends[ids]]] = True
+        whole[word[gap]] = False
+        lengths = np.bincount(word, minlength=len(words))
+        if whole.all():
+            return ids, lengths
+        at = np.flatnonzero(~whole)
+        own = [self._greedy(words[i]) for i in at.tolist()]
+        first = np.cumsum(lengths) - lengths
+        parts, done = [], 0
+        for i, tokens in zip(at.tolist(), own, strict=True):
+            parts += [ids[done : first[i]], np.array(tokens, np.int64)]
+            done = first[i] + lengths[i]
+        lengths[at] = np.fromiter(map(len, own), np.int64, len(own))
+        return np.concatenate([*parts, ids[done:]]), lengths
+
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids, as little-endian unsigned 32-bit integers, of words written in byte letters."""
         if not words:
             return []
-        split = list(map(self._greedy, words))
-        lengths = np.fromiter(map(len, split), np.int64, len(split))
-        ids = np.fromiter(chain.from_iterable(split), np.int64, int(lengths.sum()))
+        ids, lengths = self.propose(words)
         ends = np.cumsum(lengths)
         bad = ~self.good[ids]
         inside = np.ones(len(ids), bool)
@@ -171,14 +206,69 @@ class Bpe:
             n = next((k for k, i in enumerate(order) if len(words[i]) > most), len(order))
             n = min(n, max(1, (1 << 18) // most))
             part, order = order[:n], order[n:]
-            for i, ids in zip(part, self._merge([words[i] for i in part]), strict=True):
+            step = self._merge if most <= 64 else self._merge_long
+            for i, ids in zip(part, step([words[i] for i in part]), strict=True):
                 out[i] = ids
         return out
 
+    def _symbols(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all letters, with the word and the place in it of each."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        ends = np.cumsum(lengths)
+        ids = self.inner_of[letters]
+        ids[ends - 1] = self.last_of[letters[ends - 1]]
+        return ids, np.repeat(np.arange(len(words)), lengths), np.arange(len(ids)) - np.repeat(ends - lengths, lengths)
+
     def _merge(self, words: list[str]) -> list[bytes]:
+        """Merges of many short words: a row a place, a column a word, so each step runs along many words."""
+        long = max(map(len, words))
+        ids, word, place = self._symbols(words)
+        sym = np.full((long, len(words)), -1, np.int64)
+        sym[place, word] = ids
+        rank = np.full(sym.shape, NEVER)
+        for c in range(long - 1):
+            rank[c] = np.where(sym[c + 1] >= 0, self._rank(sym[c], np.maximum(sym[c + 1], 0)), NEVER)
+        done: list = [b""] * len(words)
+        names = np.arange(len(words))
+
+        def finish(which: np.ndarray) -> None:
+            n = (sym[:, which] >= 0).sum(0)
+            flat = sym[:, which].T[np.arange(long) < n[:, None]].astype("<u4").tobytes()
+            ends = np.cumsum(4 * n).tolist()
+            for i, x, y in zip(names[which].tolist(), [0, *ends], ends, strict=False):
+                done[i] = flat[x:y]
+
+        while len(names):
+            low, at = rank[0].copy(), np.zeros(len(names), np.int64)
+            for c in range(1, long):  # the leftmost of the lowest
+                at[rank[c] < low] = c
+                np.minimum(low, rank[c], out=low)
+            going = low < NEVER
+            if not going.all():
+                finish(np.flatnonzero(~going))
+                keep = np.flatnonzero(going)
+                if not len(keep):
+                    break
+                sym, rank, names, low, at = sym[:, keep], rank[:, keep], names[keep], low[keep], at[keep]
+            made = self.made[low]
+            for c in range(long - 1):  # what stands right of the merge moves left
+                after = at < c
+                sym[c] = np.where(after, sym[c + 1], np.where(at == c, made, sym[c]))
+                rank[c] = np.where(after, rank[c + 1], rank[c])
+            sym[long - 1] = np.where(at < long - 1, -1, sym[long - 1])
+            k = np.arange(len(names))
+            right = np.where(at + 1 < long, sym[np.minimum(at + 1, long - 1), k], -1)
+            rank[at, k] = np.where(right >= 0, self._rank(made, np.maximum(right, 0)), NEVER)
+            i = np.flatnonzero(at > 0)
+            rank[at[i] - 1, i] = self._rank(sym[at[i] - 1, i], made[i])
+        return done
+
+    def _merge_long(self, words: list[str]) -> list[bytes]:
+        """Merges of a few long words: a row a word."""
+        ids, word, place = self._symbols(words)
         sym = np.full((len(words), max(map(len, words))), -1, np.int64)
-        for row, w in zip(sym, words, strict=True):
-            row[: len(w)] = [*map(self.inner.__getitem__, w[:-1]), self.last[w[-1]]]
+        sym[word, place] = ids
         rank = np.full(sym.shape, NEVER)
         i, j = np.nonzero(sym[:, 1:] >= 0)
         rank[i, j] = self._rank(sym[i, j], sym[i, j + 1])
@@ -221,17 +311,20 @@ class Bpe:
             raw = text.split("\n") if special and self.special_pattern and "<|" in text else None
             if not text.isascii():
                 text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-            words = WORDS_AND_ENDS.findall(text.lower())
+            lower = text.lower().split("\n")
+            plain = list(map(str.isalpha, lower))
+            words = WORDS_AND_ENDS.findall("".join(f"{c}\n" for c, p in zip(lower, plain, strict=True) if not p))
             if len(self.known) > 400_000:
                 self.known = {}
-            new = list(set(words).difference(self.known, "\n"))
+            new = list({*compress(lower, plain), *words}.difference(self.known, "\n"))
             if new:
                 letters = [w if w.isascii() and w.isalnum() else w.encode().decode("latin-1").translate(self.letters) for w in new]
                 self.known.update(zip(new, self.encode_words(letters), strict=True))
             self.known["\n"] = b""
             got = list(map(self.known.__getitem__, words))
             ends = [i for i, w in enumerate(words) if w == "\n"]
-            made = list(map(b"".join, map(got.__getitem__, map(slice, [0, *ends], [*ends, len(got)]))))
+            others = map(b"".join, map(got.__getitem__, map(slice, [0, *ends], [*ends, len(got)])))
+            made = [self.known[c] if p else next(others) for c, p in zip(lower, plain, strict=True)]
             for i in (i for i, c in enumerate(raw or ()) if "<|" in c):
                 made[i] = self._special_chunk(raw[i])
             out += made

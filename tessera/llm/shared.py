@@ -66,9 +66,11 @@ class ChunkTable:
                 self.known = {b"\xff": END}
             got = list(map(self.known.get, words))
             if None in got:
-                new = list({w for w, x in zip(words, got, strict=True) if x is None})
+                missing = [i for i, x in enumerate(got) if x is None]
+                new = list({words[i] for i in missing})
                 self.known.update(zip(new, self.make(new), strict=True))
-                got = list(map(self.known.__getitem__, words))
+                for i in missing:
+                    got[i] = self.known[words[i]]
             yield from b"".join(got).split(END)
 
 
