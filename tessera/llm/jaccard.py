@@ -13,7 +13,8 @@
    nodes is also left if all below both is one component already.
 5. Links found in blocks meet in connected components.
 
-No pair of a group is expanded: a block of n like texts costs about n verifications.  N-grams are 64-bit hashes.
+No pair of a group is expanded: a block of n like texts costs about n verifications.  N-grams are hashes of 64 bits
+(48 when whole sets are compared).
 Texts without words (or null) have empty sets and link with nothing; texts of fewer than `words` words are one n-gram.
 """
 
@@ -32,6 +33,7 @@ from tessera.llm.shared import durable, in_batches, text_bytes
 SLOTS = 18  # the sketch has 2**SLOTS counters
 BLOOM = 26  # at most 2**BLOOM bits
 CHUNK = 2000
+SMALL = 2_000_000  # rows of (block, set_id) that may be broadcast: 32 MB
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -231,6 +233,22 @@ class Links(Tree):
         return self.root
 
 
+KEEP = np.uint64(16)  # bits of hashes that whole sets go without between tasks
+
+
+def packed(s: np.ndarray) -> bytes:
+    """A sorted set as steps between its 48-bit values, a plane for each byte: the high planes of steps compress away."""
+    steps = np.diff(s >> KEEP, prepend=np.uint64(0))
+    return steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(6, -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, :6] = planes.T
+    return np.cumsum(steps.view("<u8")[:, 0], dtype=np.uint64)
+
+
 def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, tuple]]]:
     """(block, columns after it by set id) from batches sorted by block; a class may come from several tasks."""
     key, rows = None, {}
@@ -294,7 +312,7 @@ def describe(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
 
 
 def deal(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> DataFrame:
-    """Members of blocks: (heavy, block, set_id), stored; heavy rows name an n-gram, others a hash of their members."""
+    """Members of blocks: (heavy, block, set_id, size), stored; heavy rows name an n-gram, others a hash of their members."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch.astype(np.uint32))  # fixed size
     heavy_from = max(CHUNK, int(8 * sketch.mean()))
 
@@ -330,7 +348,8 @@ def deal(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> DataF
             name = mixed(np.add.reduceat(mixed(own.view(np.uint64)), first) + size.astype(np.uint64)).view(np.int64)
             keep = heavy | np.repeat(size > 1, size)
             block = np.where(heavy, gram, np.repeat(name, size))
-            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (heavy, block, own)], ["heavy", "block", "set_id"])
+            columns = (heavy, block, own, np.repeat(size, size))
+            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], ["heavy", "block", "set_id", "size"])
 
         rest = None  # the last n-gram of a batch may go on in the next
         for b in batches:
@@ -344,31 +363,27 @@ def deal(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> DataF
         if rest is not None and len(rest[0]):
             yield found(*rest)
 
-    return durable(dealt.mapInArrow(blocks, "heavy boolean, block long, set_id long"), "blocks")
+    return durable(dealt.mapInArrow(blocks, "heavy boolean, block long, set_id long, size long"), "blocks")
 
 
 def largest_blocks(members: DataFrame) -> DataFrame:
     """(block, set_id) without blocks that lie in another; blocks are named by their members, so equal ones are one."""
-    rows = members.select("block", "set_id").distinct()
-    sizes = rows.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
-    sized = durable(rows.join(sizes, "block"), "light")
-    top = sized.groupBy("set_id").agg(F.max(F.struct("size", "block")).alias("top"))
-    tops = sized.join(top, "set_id").groupBy("block").agg(F.min("top.block").alias("low"), F.max("top.block").alias("high"))
+    rows = durable(members.select("block", "set_id", "size").distinct(), "light")
+    top = rows.groupBy("set_id").agg(F.max(F.struct("size", "block")).alias("top"))
+    tops = rows.join(top, "set_id").groupBy("block").agg(F.min("top.block").alias("low"), F.max("top.block").alias("high"))
     # all members have the same largest block: it holds this one
-    return sized.join(tops.where((F.col("low") != F.col("high")) | (F.col("low") == F.col("block"))).select("block"), "block").select("block", "set_id")
-
-
-def heavy_blocks(members: DataFrame) -> DataFrame | None:
-    """(block, set_id) for classes that share frequent n-grams: pairs of chunks of each cluster of such n-grams."""
-    heavy = members.where("heavy").select(F.col("block").alias("gram"), "set_id").distinct()
-    if heavy.isEmpty():
-        return None
-    heavy = durable(heavy, "heavy")
-    least = heavy.groupBy("set_id").agg(F.min("gram").alias("a"))
-    edges = heavy.join(least, "set_id").groupBy("a", F.col("gram").alias("b")).agg(F.count(F.lit(1)).alias("n")).select("a", "b")
-    cluster = components(edges)
-    of = least.join(cluster, F.col("a") == F.col("node"), "left").select("set_id", F.coalesce("component", "a").alias("cluster"))
-    of = durable(of, "clusters")
+    return rows.join(tops.where((F.col("low") != F.col("high")) | (F.col("low") == F.col("block"))).select("block"), "block").select("block", "set_id")
+
+
+def clusters(members: DataFrame, group: str) -> DataFrame:
+    """(set_id, cluster): the sets that groups of members connect; `group` holds 64-bit names."""
+    least = members.groupBy(group).agg(F.min("set_id").alias("a"))
+    edges = members.join(least, group).select("a", F.col("set_id").alias("b")).distinct()
+    return components(edges).select(F.col("node").alias("set_id"), F.col("component").alias("cluster"))
+
+
+def chunk_blocks(of: DataFrame) -> DataFrame:
+    """(block, set_id) that bring every two sets of a cluster together: pairs of chunks of about CHUNK sets."""
     size = of.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"), F.count(F.lit(1)).alias("n")).where("n > 1")
     cut = of.join(size, "cluster").withColumn("chunk", F.pmod(F.xxhash64("set_id"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
@@ -405,7 +420,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                     if int(have[slot >> 6]) >> (slot & 63) & 1:
                         seen.add(own)
                         ids.append(own)
-                        data.append(s.tobytes())
+                        data.append(packed(s))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(data, pa.binary())], ["set_id", "grams"])
 
     return docs.select("text").mapInArrow(run, "set_id long, grams binary")
@@ -425,20 +440,23 @@ def with_partners(blocks: DataFrame, signatures: DataFrame, percent: int) -> Dat
             left = np.array(own, np.int64)[tree.paired]
             if len(left):
                 name = set_id(np.sort(left.view(np.uint64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(left), name)), pa.array(left)], ["block", "set_id"])
+                columns = (np.full(len(left), name), left, np.full(len(left), len(left)))
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["block", "set_id", "size"])
 
-    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block long, set_id long")
+    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block long, set_id long, size long")
 
 
 def tree_links(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): each class and the root of its component within a block, from the block's signature tree."""
-    rows = blocks.join(sets, "set_id").select("block", "set_id", "grams")
+    n = blocks.count()
+    small = F.broadcast(blocks) if n <= SMALL else blocks  # 16 bytes a row; beyond that the sets meet their blocks in a shuffle
+    rows = sets.join(small, "set_id").select("block", "set_id", "grams")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, one in by_block(batches):
             if len(one) < 2:
                 continue
-            own = sorted(((np.frombuffer(x, np.uint64), i) for i, (x,) in one.items()), key=lambda x: (len(x[0]), int(x[0][0]), x[1]))
+            own = sorted(((unpacked(x), i) for i, (x,) in one.items()), key=lambda x: (len(x[0]), int(x[0][0]), x[1]))
             root = Links([s for s, _ in own], percent).join().tolist()
             found = [(own[r][1], own[k][1]) for k, r in enumerate(root) if r != k]
             if found:
@@ -452,8 +470,9 @@ def join_documents(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
     described, sketch = describe(docs, words)
     members = deal(docs, sketch, words, percent)
     blocks = largest_blocks(members.where("not heavy"))
-    heavy = heavy_blocks(members)
-    blocks = blocks if heavy is None else blocks.union(heavy)
+    heavy = members.where("heavy").select("block", "set_id")
+    if not heavy.isEmpty():
+        blocks = blocks.union(chunk_blocks(durable(clusters(heavy, "block"), "heavy")))
     signatures = described.where("signature is not null").select("set_id", "n_shingles", "signature").dropDuplicates(["set_id"])
     paired = durable(with_partners(blocks, signatures, percent), "paired")
     blocks = durable(largest_blocks(paired), "trees")
