@@ -132,12 +132,20 @@ def read_records(spark: SparkSession, out: str, length: int = 2048, width: int =
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{out}/tokens")
     if "shard" not in files.columns:  # no sequence, so no shard
         files = files.withColumn("shard", F.lit(0))
-    n = F.floor(F.length("content") / stride).cast("int")
-    place = lambda k: k.cast("long") * stride
-    cut = lambda k: F.struct(place(k).alias("position"), F.substring("content", (place(k) + 1).cast("int"), F.lit(length * width)).alias("ids"))
-    records = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), cut))
-    rows = files.where(F.col("shard") >= start_shard).select("shard", F.explode(records).alias("r"))
-    return rows.select("shard", "r.position", "r.ids")
+    size = length * width
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for shard, content in zip(b.column(0), b.column(1), strict=True):
+                data, own = content.as_buffer().to_pybytes(), shard.as_py()
+                starts = range(0, len(data) - stride + 1, stride)
+                for k in range(0, len(starts), 256):
+                    part = starts[k : k + 256]
+                    arrays = [pa.array([own] * len(part), pa.int32()), pa.array(list(part), pa.int64()), pa.array([data[i : i + size] for i in part], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(arrays, ["shard", "position", "ids"])
+
+    rows = files.where(F.col("shard") >= start_shard).select(F.col("shard").cast("int").alias("shard"), "content")
+    return rows.mapInArrow(run, "shard int, position long, ids binary")
 
 
 def verified(spark: SparkSession, index: DataFrame, out: str, length: int = 2048, width: int = 2) -> DataFrame:
