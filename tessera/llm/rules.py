@@ -2,9 +2,11 @@
 
 Counts of every document are computed once and stored.  Mergeable quantile sketches (percentile_approx, combined
 from partial sketches of every task) of each measure per language and source give the thresholds: the upper quartile
-plus `reach` interquartile ranges plus a fixed slack, and the same downward for word length.  Groups with fewer
-than `least` documents use the thresholds of their language, then those of the whole corpus.  The thresholds, a row
-a group, are joined to the counts and decide.
+plus `reach` interquartile ranges plus a slack, and the same downward for word length.  The slack of the rates of
+repetition, whose quartiles are zero in most groups, is the way from the upper quartile to the 95th percentile within
+the bounds in MEASURES, so junk beyond that percentile can't lift its own fence far.  Groups with fewer than `least`
+documents use the thresholds of their language, then those of the whole corpus.  The thresholds, a row a group, are
+joined to the counts and decide.
 
 Null texts have no words, so they fail the base rules.  Null languages and sources form groups of their own.
 """
@@ -18,8 +20,8 @@ from tessera.llm.shared import durable
 
 SPACE = "\\x20\\x09-\\x0D"
 SYMBOLS = "[#*$%&|<>]"
-#: Measures that the sketches are made of, with the slack that is added to their fences.
-MEASURES = {"symbol_rate": 0.1, "dup_line_rate": 0.3, "repeat_rate": 0.3, "word_length": 1.5}
+#: Measures that the sketches are made of, with the least and most slack that is added to their fences.
+MEASURES = {"symbol_rate": (0.1, 0.1), "dup_line_rate": (0.1, 0.3), "repeat_rate": (0.1, 0.3), "word_length": (1.5, 1.5)}
 FLOOR = {"word_length": 1.5}
 
 
@@ -53,7 +55,7 @@ def covered(indexed: str) -> Column:
 
 
 def counts(docs: DataFrame, *keep: str) -> DataFrame:
-    """doc_id, the columns of `keep` and the five counts of every whole text.
+    """doc_id, the columns of `keep` and the six counts of every whole text.
 
     Arrays that a later expression reads at several places are columns of their own, so each is made once a row.
     Windows are compared by 64-bit hashes; only texts in which some window repeats are sorted.
@@ -67,10 +69,11 @@ def counts(docs: DataFrame, *keep: str) -> DataFrame:
         "doc_id", *keep, "n_symbols",
         F.size("w").cast("long").alias("n_words"),
         F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.transform("w", lambda x: F.xxhash64(x)).alias("hashes"),
     )
-    names = ["doc_id", *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines"]
+    names = ["doc_id", *keep, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines"]
     got = got.select(*names, windows("hashes").alias("windows"))
     again = F.size("windows") > F.size(F.array_distinct("windows"))
     indexed = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -81,21 +84,21 @@ def counts(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def measures(counted: DataFrame) -> DataFrame:
-    per_word = lambda c: F.col(c) / F.greatest("n_words", F.lit(1))
+    per = lambda c, n: F.col(c) / F.greatest(n, F.lit(1))
     return counted.withColumns(
         {
             "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
-            "symbol_rate": per_word("n_symbols"),
-            "dup_line_rate": per_word("n_dup_lines"),
-            "repeat_rate": per_word("n_repeat_words"),
-            "word_length": per_word("word_chars"),
+            "symbol_rate": per("n_symbols", "n_words"),
+            "dup_line_rate": per("n_dup_lines", "n_lines"),
+            "repeat_rate": per("n_repeat_words", "n_words"),
+            "word_length": per("word_chars", "n_words"),
         }
     )
 
 
 def fences(measured: DataFrame, reach: float = 3.0, least: int = 50, accuracy: int = 10_000) -> DataFrame:
     """One row a language and source: the upper (and lower) limit of each measure."""
-    sketch = [F.percentile_approx(m, [0.25, 0.75], accuracy).alias(m) for m in MEASURES]
+    sketch = [F.percentile_approx(m, [0.25, 0.75, 0.95], accuracy).alias(m) for m in MEASURES]
     levels = (
         measured.where(~F.col("base_failed")).withColumn("one", F.lit(1))
         .rollup("one", "lang_key", "source_key").agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), *sketch)
@@ -113,8 +116,9 @@ def fences(measured: DataFrame, reach: float = 3.0, least: int = 50, accuracy: i
         .withColumn("q", F.coalesce("q0", "q1", "q3"))
     )
     limits = []
-    for m, slack in MEASURES.items():
-        low, high = F.col("q")[m][0], F.col("q")[m][1]
+    for m, (small, large) in MEASURES.items():
+        low, high, tail = (F.col("q")[m][i] for i in range(3))
+        slack = F.least(F.greatest(tail - high, F.lit(small)), F.lit(large))
         limits.append((high + reach * (high - low) + slack).alias(f"{m}_most"))
         if m in FLOOR:
             limits.append((low - reach * (high - low) - slack).alias(f"{m}_least"))

@@ -168,6 +168,24 @@ def test_rules(spark, sf, texts):
     assert rules.judge(empty(spark)).collect() == []
 
 
+def test_rules_reject_repeated_lines(spark):
+    def lines(doc, n):
+        return [" ".join(f"w{doc}x{k}y{j}" for j in range(16)) for k in range(n)]
+
+    clean = [(i, "\n".join(lines(i, 20)), "en", "a", 0) for i in range(200)]
+    some, many, phrase = lines(1000, 20), lines(1001, 14), lines(1002, 20)
+    odd = {
+        1000: some + some[:1],  # one line of 21 again
+        1001: [x for k, line in enumerate(many) for x in (line, f"chorus {k % 7}")],  # 7 of 28 lines again, no window of words
+        1002: [f"{x} the same three words" if k < 10 else x for k, x in enumerate(phrase)],  # 40 of 360 words
+        1003: lines(1003, 12) + ["yes yes"] * 8,
+    }
+    docs = spark.createDataFrame(clean + [(i, "\n".join(own), "en", "a", 0) for i, own in odd.items()], SCHEMA)
+    got = {r["doc_id"]: r for r in rules.judge(docs).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert {i for i, r in got.items() if not r["kept"]} == {1001, 1002, 1003}
+
+
 def check_packing(rows, texts, capacity=2048):
     by_doc, by_bin = {}, {}
     for r in rows:
