@@ -126,9 +126,18 @@ class BitSlices:
             power += 1
         return out
 
-    def boundary(self, slices: list[np.ndarray], k: int) -> int:
-        """The k-th largest sum (the smallest, if there are fewer rows), from the top slice down."""
-        equal, above, value = self.valid, np.zeros_like(self.valid), 0
+    def others(self, own: int) -> np.ndarray:
+        """The block's rows without those of the id `own`, as a bitmap."""
+        same = np.flatnonzero(self.ids == own)
+        if not len(same):
+            return self.valid
+        mask = np.unpackbits(self.valid.view(np.uint8), bitorder="little")
+        mask[same] = 0
+        return np.packbits(mask, bitorder="little").view(np.uint64)
+
+    def boundary(self, slices: list[np.ndarray], k: int, valid: np.ndarray) -> int:
+        """The k-th largest sum of the rows in `valid` (0, if there are fewer rows), from the top slice down."""
+        equal, above, value = valid, np.zeros_like(valid), 0
         for i in range(len(slices) - 1, -1, -1):
             more = above | (equal & slices[i])
             if int(np.bitwise_count(more).sum()) >= k:
@@ -138,11 +147,11 @@ class BitSlices:
                 above, equal = more, equal & ~slices[i]
         return value
 
-    def at_least(self, slices: list[np.ndarray], value: int) -> np.ndarray:
-        """Numbers of the rows whose sum is at least `value`."""
+    def at_least(self, slices: list[np.ndarray], value: int, valid: np.ndarray) -> np.ndarray:
+        """Numbers of the rows in `valid` whose sum is at least `value`."""
         if value >> len(slices):
             return np.zeros(0, np.int64)
-        above, equal = np.zeros_like(self.valid), self.valid
+        above, equal = np.zeros_like(valid), valid
         for i in range(len(slices) - 1, -1, -1):
             if value >> i & 1:
                 equal = equal & slices[i]
@@ -152,17 +161,17 @@ class BitSlices:
 
     def best(self, own: int, query: np.ndarray, weights: list[tuple[int, int, int]], k: int, least: int | None) -> list[tuple[int, int]]:
         """(-score, id) of the block's k best rows other than `own`; rows that score below `least` may be left out."""
-        slices = self.add(weights)
+        slices, valid = self.add(weights), self.others(own)
         error = int(np.abs(query).sum()) * ((1 << self.shift) - 1)  # of rough scores, from end to end
-        bound = self.boundary(slices, k + 1) - -(-error // (1 << self.shift))
+        bound = self.boundary(slices, k, valid) - -(-error // (1 << self.shift))
         if least is not None:
             offset = sum(((1 << self.bits) - 1) << power for _, power, sign in weights if sign < 0)
             fixed = int(query @ self.low)
             up = int(query[query > 0].sum()) * ((1 << self.shift) - 1)
             bound = max(bound, -(-(least - fixed - up) // (1 << self.shift)) + offset)
-        rows = self.at_least(slices, max(0, bound))
+        rows = self.at_least(slices, max(0, bound), valid)
         found = zip((-(self.data[rows] @ query)).tolist(), self.ids[rows].tolist(), strict=True)
-        return sorted(x for x in found if x[1] != own)[:k]
+        return sorted(found)[:k]
 
 
 def top_k(

@@ -265,6 +265,22 @@ def test_topk(spark, sf):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_topk_repeated_ids(spark):
+    rng = np.random.default_rng(5)
+    vectors = [(i, rng.normal(0, 0.2, 16).tolist()) for i in range(1, 400)]
+    asked = [(i, rng.normal(0, 0.2, 16).tolist()) for i in (1000, 1001, 1002)]
+    vectors += [asked[0]] * 9 + [asked[1]] * 2 + [asked[2]] + vectors[:3] * 4
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").coalesce(1)
+    want = []
+    for q, own in asked:
+        at = np.floor(np.array(own) * 256).astype(np.int64)
+        scored = sorted((-int(np.floor(np.array(v) * 256).astype(np.int64) @ at), i) for i, v in vectors if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+    for rows in (8192, 64):
+        got = topk.top_k(df, F.col("vec_id") >= 1000, rows=rows).orderBy("query_id", "rank").collect()
+        assert [tuple(r) for r in got] == want
+
+
 def test_language(spark, sf, texts):
     rows = catalog.op1_language(spark, sf).collect()
     assert len(rows) == len(texts) and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 for r in rows)
