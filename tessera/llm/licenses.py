@@ -9,8 +9,8 @@ the examples are held out of the fit; they calibrate the probability that a line
 
 A prediction counts if a notice of its family confirms it: the share of the notice's pairs of words that the line
 holds, or of the line's that the notice holds, must reach `agree`.  Rows are scored by one projection without a
-shuffle; the weights are a literal of fixed size.  Lines without any of a few words that meet all examples of licences
-are skipped.
+shuffle; the weights are a literal of fixed size.  Lines without a word or pair of words that has a weight are skipped
+by one regular expression before they are cut into words.
 
 Null and empty texts have no paragraphs.  Repeated rows are scored as rows of their own.  Families that tie go to the
 alphabetically first.
@@ -129,7 +129,11 @@ class Model:
     slope: float
     offset: float
     notices: dict[str, list[list[str]]]  # distinct pairs of words of each notice
-    hints: list[str]  # words, one of which every example of a licence holds
+
+    @property
+    def hints(self) -> list[str]:
+        """The words and pairs of words with a weight; a line without any of them can't be a licence."""
+        return sorted(self.weights)
 
 
 def _grams(words: list[str]) -> list[str]:
@@ -235,18 +239,24 @@ def train(docs: DataFrame, text_column: str = "text", lines: int = 2000, notices
     slope, offset = _platt(margin, (y[~fold] < len(families) - 1).astype(float))
     weights = {g: w[i] for g, i in number.items() if w[i].any()}
     distinct = {k: [sorted({f"{a} {b}" for a, b in zip(t[:-1], t[1:], strict=True)}) for t in ts] for k, ts in templates.items()}
-    return Model(families, b, weights, slope, offset, distinct, _cover([set(w) & rare for _, w in examples], seen))
+    return Model(families, b, weights, slope, offset, distinct)
+
+
+def _pattern(grams: list[str]) -> str:
+    """A regular expression that every line with one of the words or pairs of words matches (so may a few others)."""
+    trie: dict = {}
+    for gram in grams:
+        node = trie
+        for c in gram:
+            node = node.setdefault(c, {})
+        node[""] = {}
 
+    def below(node: dict) -> str:
+        symbols = {"": r"(?![\p{L}\p{N}])", " ": r"[^\p{L}\p{N}]+", ".": r"\."}
+        ways = [symbols.get(c, c) + (below(n) if n else "") for c, n in sorted(node.items())]
+        return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
 
-def _cover(examples: list[set[str]], seen: Counter) -> list[str]:
-    """A few words that meet every example: again and again the one that most of those left hold (rarer ones first)."""
-    left, out = [e for e in examples if e], []
-    while left:
-        counted = Counter(w for e in left for w in e if len(w) > 2) or Counter(w for e in left for w in e)
-        best = max(counted, key=lambda w: (counted[w] / (1 + seen[w]), len(w), w))
-        out.append(best)
-        left = [e for e in left if best not in e]
-    return sorted(out)
+    return r"(?<![\p{L}\p{N}])" + below(trie)
 
 
 def _literal(values: list) -> str:
@@ -266,9 +276,8 @@ def scan(docs: DataFrame, model: Model, *keep: str, text_column: str = "text", l
     if not model.weights:
         none = F.array().cast("array<struct<line:int,family:string,probability:double,agreement:double>>")
         return lines.select(*keep, F.size("_lines").cast("long").alias("n_paragraphs"), none.alias("matches"), F.lit(0).cast("long").alias("n_unconfirmed"))
-    # longer words need no borders: a hint only says which lines are read
-    hint = "|".join(rf"\b{w}\b" if len(w) < 4 else w.replace(".", r"\.") for w in model.hints)
-    vocabulary = F.expr(_literal(sorted(model.weights)))
+    hint = _pattern(model.hints)
+    vocabulary = F.expr(_literal(model.hints))
     numbers = lambda x: [round(float(v), 6) for v in x]
     table = F.expr("map(" + ", ".join(f"'{g}', {_literal(numbers(model.weights[g]))}" for g in sorted(model.weights)) + ")")
     n = len(model.families) - 1

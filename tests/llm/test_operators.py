@@ -351,6 +351,21 @@ def test_licence_probabilities_equal_plain_python(spark, sf):
         assert abs(got[i][0]["probability"] - p) < 1e-3 and got[i][0]["family"] == m.families[int(z[:-1].argmax())]
 
 
+def test_licence_lines_are_scored_by_any_weight(spark, sf):
+    m = licenses.train(spark.read.parquet(f"{sf}/documents.parquet").select("text"))
+    wrapped = [
+        "This program is free software: you can redistribute it and/or modify", "Unless required by applicable law or agreed to in writing, software",
+        "copies or substantial portions of the Software.",
+    ]
+    df = spark.createDataFrame([(0, "\n".join(wrapped))], "doc_id long, text string")
+    got = licenses.scan(df, m, "doc_id", least=0.0, agree=0.0).first()["matches"]
+    assert [x["line"] for x in got] == [0, 1, 2] and [x["family"] for x in got[1:]] == ["apache", "mit"] and [x["agreement"] for x in got[1:]] == [1.0, 1.0]
+    # each word or pair that has a weight, alone and with other separators, is enough for a score
+    alone = [g.replace(" ", s) for g in m.weights for s in (" ", ", (")]
+    df = spark.createDataFrame(list(enumerate(alone)), "doc_id long, text string")
+    assert all(r["matches"] for r in licenses.scan(df, m, "doc_id", least=0.0, agree=0.0).collect())
+
+
 def test_shards(spark, sf, texts):
     out = f"{shared_dir(spark)}/shards-test"
     docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(3)
