@@ -276,8 +276,11 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, most_toxic: int =
     return model
 
 
-def specific(strong: dict[str, int], most: int = 200) -> list[str]:
-    """Of terms that extend one another the longest that still has almost all texts of the shorter one."""
+def specific(strong: dict[str, int]) -> list[str]:
+    """Of terms that extend one another the longest that still has almost all texts of the shorter one.
+
+    Whole words stay beside a shorter stem, since edits are looked for below whole words only.
+    """
     ordered = sorted(strong, key=lambda t: (len(t), t))
     kept: list[str] = []
     dropped: set[str] = set()
@@ -293,12 +296,12 @@ def specific(strong: dict[str, int], most: int = 200) -> list[str]:
             continue  # a longer one says the same
         kept.append(t)
         dropped.update(longer.get(t, []))
-    return sorted(sorted(kept, key=lambda t: (-strong[t], t))[:most])
+    return sorted({*kept, *(t for t in dropped if t.endswith("$"))})
 
 
 def score_documents(docs: DataFrame, model: Model, *keep: str, text_column: str = "text", threshold: float = 0.5) -> DataFrame:
     """The columns of `keep`, with score and predicted.  Only the text takes part in a score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred terms at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # as large as the lexicon
     kept = docs.select(*keep, F.col(text_column).alias("_text"))
     schema = ", ".join([*(f"`{n}` {t}" for n, t in kept.dtypes[:-1]), "score double, predicted int"])
 

@@ -316,6 +316,15 @@ def test_misspellings_and_quotes():
     assert plain[0] > 0 and quoted[0] == 0 and quoted[2] > 0 and model.score(plain) > model.score(quoted)
 
 
+def test_lexicon_is_whole():
+    forms = {"idiot": 30, "idiot$": 12, "idiots$": 10, "idiotic$": 9, "scumbag$": 20}
+    terms = toxicity.specific(forms)
+    assert set(terms) == set(forms)
+    found = toxicity.Lexicon(terms).look_up(["idiot", "idiots", "idiotically", "idoit", "idoits", "idiotc", "scunbag", "garbage"])
+    assert [int(x) & 3 for x in found] == [1, 1, 1, 2, 2, 1, 2, 0]
+    assert len(toxicity.specific({f"word{i:04}$": 5 for i in range(700)})) == 700
+
+
 def test_licenses(spark, sf, texts):
     lines = {
         "apache": "Licensed under the Apache License, Version 2.0.", "mit": "Released under the MIT License.", "cc-by-nc": "Licensed under CC BY-NC 4.0.",
