@@ -35,6 +35,10 @@ WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L
 SUFFIX = "</w>"
 WORDS_AND_ENDS = regex.compile(WORDS.pattern + "|\n")
 NEVER = np.int64(1) << 40
+APART = "0123456789!\"#$%&()*+,-./:;=?@[\\]^_`{}~"  # never in one word with a letter, nor in a special token
+LAST = 1 << 10  # above all byte letters
+KNOWN = 150_000  # words that an encoder remembers; no word is longer than MEMORABLE letters
+MEMORABLE = 100
 
 
 def byte_letters() -> list[str]:
@@ -54,31 +58,30 @@ class Bpe:
         vocab: dict[str, int] = model["vocab"]
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.special = special
+        if any(set(APART) & set(x) for x in special):
+            raise ValueError(f"{path}: special tokens with one of {APART}")
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         size = max([*vocab.values(), *special.values()]) + 1
         names = [""] * size
         for k, v in [*vocab.items(), *special.items()]:
             names[v] = k
         self.names = [x.encode() for x in names]
-        self.inner = {k: v for k, v in vocab.items() if not k.endswith(SUFFIX)}
-        self.last = {k.removesuffix(SUFFIX): v for k, v in vocab.items() if k.endswith(SUFFIX)}
-        self.trie: dict = {}
-        self.finder = ahocorasick.Automaton()  # finds leftmost longest tokens, as the trie does but for ends of words
-        self.span = np.zeros(size, np.int64)  # of tokens in a text where \n ends words
-        self.ends = np.zeros(size, bool)
-        for k, v in [*self.inner.items(), *((k + "\n", v) for k, v in self.last.items())]:
-            node = self.trie
-            for c in k:
-                node = node.setdefault(c, {})
-            node[""] = v
-            self.finder.add_word(k, v)
-            self.span[v], self.ends[v] = len(k), k.endswith("\n")
+        self.finder = ahocorasick.Automaton()  # leftmost longest tokens of words whose last letter is moved by LAST
+        self.span = np.zeros(size, np.int64)
+        for k, v in vocab.items():
+            word = k.removesuffix(SUFFIX)
+            if k.endswith(SUFFIX):
+                word = word[:-1] + chr(ord(word[-1]) + LAST)
+            self.finder.add_word(word, v)
+            self.span[v] = len(word)
         self.finder.make_automaton()
         self.letters = dict(enumerate(byte_letters()))
         self.known: dict[str, bytes] = {}
-        codes = range(max(map(ord, self.letters.values())) + 1)
-        self.inner_of = np.array([self.inner.get(chr(c), -1) for c in codes], np.int64)
-        self.last_of = np.array([self.last.get(chr(c), -1) for c in codes], np.int64)
+        self.inner_of, self.last_of = np.full((2, LAST), -1, np.int64)
+        for c in self.letters.values():
+            if c not in vocab or c + SUFFIX not in vocab:
+                raise ValueError(f"{path}: no token for {c}")
+            self.inner_of[ord(c)], self.last_of[ord(c)] = vocab[c], vocab[c + SUFFIX]
 
         pairs = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
         left = np.array([vocab[a] for a, _ in pairs], np.int64)
@@ -131,65 +134,35 @@ class Bpe:
             x, y = np.where(undo_x, self.right_of[x], x), np.where(undo_x, y, self.left_of[y])
         return ok
 
-    def _greedy(self, word: str) -> list[int]:
-        """Longest match from the left; the trie ends tokens of a word's end with a mark that follows the word."""
-        out: list[int] = []
-        i, n, word = 0, len(word), word + "\n"
-        while True:
-            node, j, best, end = self.trie, i, -1, i
-            for c in word[i:]:
-                node = node.get(c)
-                if node is None:
-                    break
-                j += 1
-                t = node.get("")
-                if t is not None and j != n:
-                    best, end = t, j
-            out.append(best)
-            if end > n:
-                return out
-            i = end
-
-    def propose(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Greedy longest-match tokens of all words, one word after the other, and their number in each word.
-
-        One scan proposes for all.  Where the longest match before a word's end leaves only the end, which the scan
-        can't take back, and wherever matches don't cover a word, the word is split on its own.
+    def propose(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Greedy longest-match tokens of all words, one word after the other, their number in each, and words not covered.
+
+        One scan proposes for all.  A word's last letter is moved by LAST, as in the tokens that end words, so no token
+        reaches over the end of a word.
         """
-        found = np.fromiter(chain.from_iterable(self.finder.iter_long("\n".join(words) + "\n")), np.int64).reshape(-1, 2)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).copy()
+        letters[ends - 1] += LAST
+        found = np.fromiter(chain.from_iterable(self.finder.iter_long(letters.tobytes().decode("utf-32-le"))), np.int64).reshape(-1, 2)
         end, ids = found[:, 0], found[:, 1]
-        border = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        word = np.searchsorted(border, end)
-        gap = np.diff(end, prepend=-1) != self.span[ids]
-        whole = np.zeros(len(words), bool)
-        whole[word[self.ends[ids]]] = True
-        whole[word[gap]] = False
-        lengths = np.bincount(word, minlength=len(words))
-        if whole.all():
-            return ids, lengths
-        at = np.flatnonzero(~whole)
-        own = [self._greedy(words[i]) for i in at.tolist()]
-        first = np.cumsum(lengths) - lengths
-        parts, done = [], 0
-        for i, tokens in zip(at.tolist(), own, strict=True):
-            parts += [ids[done : first[i]], np.array(tokens, np.int64)]
-            done = first[i] + lengths[i]
-        lengths[at] = np.fromiter(map(len, own), np.int64, len(own))
-        return np.concatenate([*parts, ids[done:]]), lengths
+        word = np.searchsorted(ends - 1, end)
+        covered = np.bincount(word, self.span[ids], len(words)) == np.diff(ends, prepend=0)
+        return ids, np.bincount(word, minlength=len(words)), ~covered
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids, as little-endian unsigned 32-bit integers, of words written in byte letters."""
         if not words:
             return []
-        ids, lengths = self.propose(words)
+        ids, lengths, failed = self.propose(words)
         ends = np.cumsum(lengths)
         bad = ~self.good[ids]
         inside = np.ones(len(ids), bool)
-        inside[ends - 1] = False
+        inside[ends[lengths > 0] - 1] = False
         at = np.flatnonzero(inside)
         key, back = np.unique(ids[at] << 20 | ids[at + 1], return_inverse=True)
         bad[at] |= ~self.compatible(key >> 20, key & 0xFFFFF)[back]
-        failed = np.flatnonzero(np.logical_or.reduceat(bad, ends - lengths)).tolist()
+        failed |= np.bincount(np.repeat(np.arange(len(words)), lengths)[bad], minlength=len(words)) > 0
+        failed = np.flatnonzero(failed).tolist()
         data = ids.astype("<u4").tobytes()
         bounds = [0, *(4 * ends).tolist()]
         out = list(map(data.__getitem__, map(slice, bounds[:-1], bounds[1:])))
@@ -314,7 +287,7 @@ class Bpe:
             lower = text.lower().split("\n")
             plain = list(map(str.isalpha, lower))
             words = WORDS_AND_ENDS.findall("".join(f"{c}\n" for c, p in zip(lower, plain, strict=True) if not p))
-            if len(self.known) > 400_000:
+            if len(self.known) > KNOWN:
                 self.known = {}
             new = list({*compress(lower, plain), *words}.difference(self.known, "\n"))
             if new:
@@ -328,6 +301,8 @@ class Bpe:
             for i in (i for i, c in enumerate(raw or ()) if "<|" in c):
                 made[i] = self._special_chunk(raw[i])
             out += made
+            for w in (w for w in new if len(w) > MEMORABLE):
+                self.known.pop(w, None)
         return out
 
     def decode(self, ids: bytes) -> bytes:
@@ -339,10 +314,11 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-@lru_cache(maxsize=2)
 def chunk_table(path: str) -> ChunkTable:
-    """One table a Python worker; it outlives tasks, as workers do."""
-    return ChunkTable(load(path).encode_chunks)
+    """A table for one task.  The vocabulary stays with the worker; what was learned of texts goes with the task."""
+    bpe = load(path)
+    bpe.known = {}
+    return ChunkTable(bpe.encode_chunks, APART)
 
 
 def encoded(
@@ -356,6 +332,7 @@ def encoded(
         for b in batches:
             columns = rows(bpe, b.column(0).to_pylist(), table.joined(text_bytes(b.column(1))))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+        bpe.known = {}
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string

@@ -28,25 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.shared import durable, in_batches, text_bytes
+from tessera.llm.shared import ODD, SPACE, durable, in_batches, mixed, text_bytes
 
 SLOTS = 18  # the sketch has 2**SLOTS counters
 BLOOM = 26  # at most 2**BLOOM bits
 CHUNK = 2000
 SMALL = 2_000_000  # rows of (block, set_id) that may be broadcast: 32 MB
 
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
 CODES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 CODES[ord("A") : ord("Z") + 1] = CODES[ord("a") : ord("z") + 1]  # lower case
-ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(29))) * ODD
-    return x ^ (x >> np.uint64(32))
-
 
 def powers(n: int) -> np.ndarray:
     return np.cumprod(np.full(n, ODD, np.uint64), dtype=np.uint64)

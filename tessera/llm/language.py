@@ -12,7 +12,7 @@ first in alphabetical order.  Rows without a language never train.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import in_batches, text_bytes
+from tessera.llm.shared import in_batches, scored, text_bytes
 
 DIMS = 4096
 UNKNOWN = "und"
 #: N-grams from which a text's distance is taken at face value.
 ENOUGH = 600
+BLOCK = 1 << 20
 
 
 def _table() -> np.ndarray:
@@ -53,14 +54,22 @@ def counts(texts: list[bytes]) -> np.ndarray:
     after_c3 = np.flatnonzero((data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[:-1] == 0xC3)) + 1
     data[after_c3] += 0x20  # capital letters of Latin-1
     keep = (data != 32) | np.concatenate([[True], data[:-1] != 32])
-    data, row = data[keep].astype(np.uint32), row[keep]
+    data, row = data[keep], row[keep]
     out = np.zeros(len(texts) * DIMS, np.int64)
-    code = np.zeros(len(data), np.uint32)
-    for n in (1, 2, 3):
-        code = data if n == 1 else code[:-1] * np.uint32(257) + data[n - 1 :]
-        slot = (((code + np.uint32(n)) * np.uint32(2654435761)) >> np.uint32(20)).astype(np.int64)
-        ok = row[: len(code)] == row[n - 1 :] if n > 1 else slice(None)
-        out += np.bincount((row[: len(code)].astype(np.int64) * DIMS + slot)[ok], minlength=len(out))
+    for a in range(0, len(data), BLOCK):  # n-grams that start in a block; the numbers made of them stay small
+        for n in (1, 2, 3):
+            last = min(len(data) - n + 1, a + BLOCK)
+            code = np.zeros(max(0, last - a), np.uint32)
+            for k in range(n):
+                code = code * np.uint32(257) + data[a + k : last + k]
+            slot = (((code + np.uint32(n)) * np.uint32(2654435761)) >> np.uint32(20)).astype(np.int64)
+            first = row[a:last]
+            ok = first == row[a + n - 1 : last + n - 1]
+            at = (first.astype(np.int64) * DIMS + slot)[ok]
+            if len(at) > len(out) // 8:
+                out += np.bincount(at, minlength=len(out))
+            else:
+                np.add.at(out, at, 1)
     return out.reshape(len(texts), DIMS)
 
 
@@ -157,18 +166,16 @@ def train(
 
 def identify(docs: DataFrame, model: Model, *keep: str, text_column: str = "text") -> DataFrame:
     """The columns of `keep`, with lang_pred, score and rejected.  Only the text takes part in a prediction."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # a few centroids a language
-    kept = docs.select(*keep, F.col(text_column).alias("_text"))
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in kept.dtypes[:-1]), "lang_pred string, score double, rejected boolean"])
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few centroids a language
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+    def judge() -> Callable[[pa.Array], list]:
+        def of(texts: pa.Array) -> list:
             out: tuple[list, list, list] = ([], [], [])
-            for group in in_batches(text_bytes(b.column(b.num_columns - 1)), len, 1 << 20, 256):
+            for group in in_batches(text_bytes(texts), len, 1 << 20, 256):
                 for column, values in zip(out, shared.value.predict(group), strict=True):
                     column.extend(values)
-            arrays = [*b.columns[:-1], pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(arrays, [*b.schema.names[:-1], "lang_pred", "score", "rejected"])
+            return [pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.bool_())]
+
+        return of
 
-    return kept.mapInArrow(run, schema)
+    return scored(docs, keep, text_column, "lang_pred string, score double, rejected boolean", judge)

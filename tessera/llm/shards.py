@@ -17,7 +17,8 @@ can write.  Null and empty texts have only the end id.  An empty table gives no
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ from tessera.llm.bpe import chunk_table
 from tessera.llm.shared import durable, text_bytes
 
 ROUNDS = 4
+MOST_STEPS = 10_000  # a step fails with a chance of 3/4 at most
 
 
 def slot_of(index: Column, n: int, key: int) -> Column:
@@ -42,9 +44,12 @@ def slot_of(index: Column, n: int, key: int) -> Column:
         return F.shiftleft(left, half).bitwiseOR(right)
 
     # the walk: an expression of fixed depth can't loop, so it unrolls in a fold that stops changing once below n
-    steps = 64
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), once(index), lambda x, _: F.when(x < n, x).otherwise(once(x)))
-    return F.when(walked < n, walked)
+    def walked(x: Column, steps: int) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), x, lambda x, _: F.when(x < n, x).otherwise(once(x)))
+
+    # a walk of 64 steps hardly ever falls short; the few that do go on from where they stopped
+    long = F.transform(F.array(walked(once(index), 64)), lambda x: F.when(x < n, x).otherwise(walked(x, MOST_STEPS)))[0]
+    return F.when(long < n, long).otherwise(F.raise_error(F.lit("a walk of the permutation did not end")).cast("long"))
 
 
 def sequences(docs: DataFrame, path: str, length: int = 2048, end_id: int = 0, pad_id: int = 0, width: int = 2) -> DataFrame:
@@ -126,29 +131,37 @@ def materialise(
     return spark.read.parquet(f"{out}/index")
 
 
-def read_records(spark: SparkSession, out: str, length: int = 2048, width: int = 2, start_shard: int = 0) -> DataFrame:
-    """(shard, position, ids) of every record from `start_shard` on; shards before it aren't opened."""
+def _records(
+    spark: SparkSession, out: str, length: int, width: int, start_shard: int, result: str, kind: pa.DataType, make: Callable[[memoryview], object],
+) -> DataFrame:
+    """(shard, position, `result`) of every record from `start_shard` on, `make` of its ids; a shard is never copied."""
     stride = length * width + 1
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{out}/tokens")
     if "shard" not in files.columns:  # no sequence, so no shard
         files = files.withColumn("shard", F.lit(0))
     size = length * width
+    name = result.split()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for shard, content in zip(b.column(0), b.column(1), strict=True):
-                data, own = content.as_buffer().to_pybytes(), shard.as_py()
+                data, own = memoryview(content.as_buffer()), shard.as_py()
                 starts = range(0, len(data) - stride + 1, stride)
                 for k in range(0, len(starts), 256):
                     part = starts[k : k + 256]
-                    arrays = [pa.array([own] * len(part), pa.int32()), pa.array(list(part), pa.int64()), pa.array([data[i : i + size] for i in part], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(arrays, ["shard", "position", "ids"])
+                    arrays = [pa.array([own] * len(part), pa.int32()), pa.array(list(part), pa.int64()), pa.array([make(data[i : i + size]) for i in part], kind)]
+                    yield pa.RecordBatch.from_arrays(arrays, ["shard", "position", name])
 
     rows = files.where(F.col("shard") >= start_shard).select(F.col("shard").cast("int").alias("shard"), "content")
-    return rows.mapInArrow(run, "shard int, position long, ids binary")
+    return rows.mapInArrow(run, f"shard int, position long, {result}")
+
+
+def read_records(spark: SparkSession, out: str, length: int = 2048, width: int = 2, start_shard: int = 0) -> DataFrame:
+    """(shard, position, ids) of every record from `start_shard` on; shards before it aren't opened."""
+    return _records(spark, out, length, width, start_shard, "ids binary", pa.binary(), bytes)
 
 
 def verified(spark: SparkSession, index: DataFrame, out: str, length: int = 2048, width: int = 2) -> DataFrame:
     """The index with read_crc32, of the record that lies at each slot's place in the shard files (null if none does)."""
-    read = read_records(spark, out, length, width).select("shard", "position", F.crc32("ids").alias("read_crc32"))
+    read = _records(spark, out, length, width, 0, "read_crc32 long", pa.int64(), zlib.crc32)
     return index.join(read, ["shard", "position"], "left")

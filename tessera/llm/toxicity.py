@@ -15,15 +15,16 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import ChunkTable, text_bytes
+from tessera.llm.shared import ChunkTable, durable, scored, text_bytes
 
 WORD = re.compile(r"[^\W_]+")
 WORD_OR_END = re.compile(r"[^\W_]+|\n")
@@ -33,6 +34,7 @@ OPEN, CLOSE = "\"“«„‘‹", "\"”»“’›"
 REPORTING = frozenset("said says say called calls wrote writes quote quoted quotes word term insult slur reported dit dijo sagte".split())
 WINDOW = 8
 EXACT, FUZZY = 1, 2
+APART = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII that no word holds
 PREFIXES = range(4, 8)
 #: Prior weights of exact, misspelled, quoted exact and quoted misspelled hits, each as log(1 + n).
 PRIOR = np.array([6.0, 2.0, 2.0, 0.7])
@@ -163,18 +165,24 @@ class Model:
     def features(self, text: str) -> np.ndarray:
         """log(1 + n) of plain and quoted, exact and misspelled hits."""
         text = text.lower()
-        spans = [(m.group(), m.start(), m.end()) for m in WORD.finditer(text)]
-        kinds = self.lexicon.look_up([w for w, _, _ in spans])
         n = np.zeros(4)
-        for i in np.flatnonzero(kinds).tolist():
-            word, start, end = spans[i]
-            if word in self.ignored:
-                continue
-            around = spans[max(0, i - WINDOW) : i + WINDOW + 1]
-            before, behind = text[around[0][1] : start], text[end : around[-1][2] + 1]
-            marks = sum(before.count(c) for c in OPEN) % 2 == 1 and any(c in behind for c in CLOSE)
-            quoted = marks or any(w in REPORTING for w, _, _ in around)
-            n[2 * quoted + (int(kinds[i]) & 3) - 1] += 1
+        spans: list[tuple[str, int, int]] = []
+        seen = 0  # of spans, whose hits are counted
+        for more in chain(batched(((m.group(), m.start(), m.end()) for m in WORD.finditer(text)), 10_000), [()]):
+            spans += more
+            ready = len(spans) - WINDOW if more else len(spans)  # hits whose window is there
+            kinds = self.lexicon.look_up([w for w, _, _ in spans[seen : max(seen, ready)]])
+            for k in np.flatnonzero(kinds).tolist():
+                word, start, end = spans[i := seen + k]
+                if word in self.ignored:
+                    continue
+                around = spans[max(0, i - WINDOW) : i + WINDOW + 1]
+                before, behind = text[around[0][1] : start], text[end : around[-1][2] + 1]
+                marks = sum(before.count(c) for c in OPEN) % 2 == 1 and any(c in behind for c in CLOSE)
+                quoted = marks or any(w in REPORTING for w, _, _ in around)
+                n[2 * quoted + (int(kinds[k]) & 3) - 1] += 1
+            seen = max(seen, ready)
+            spans, seen = spans[max(0, seen - WINDOW) :], min(seen, WINDOW)
         return np.log1p(n)
 
     def score(self, features: np.ndarray) -> np.ndarray:
@@ -205,13 +213,13 @@ def _terms(text: str) -> set[str]:
 
 
 def _choose(docs: DataFrame, labels: DataFrame, usable: Column, most: dict[int, int]) -> tuple[DataFrame, dict[int, float], dict[int, int]]:
-    """Ids of about most[y] usable labelled rows with toxic = y, the share taken and the number taken."""
+    """Texts (stored) of about most[y] usable labelled rows with toxic = y, the share taken and the number taken."""
     rows = labels.where(usable & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counted = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = {y: min(1.0, most[y] / counted.get(y, 1)) for y in most}
     rate = F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])
     ids = rows.where(F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1 << 20)) < rate * (1 << 20))
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # bounded by `most`
+    texts = durable(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", F.col("toxic").cast("long").alias("toxic")), "labelled")  # bounded by `most`
     return texts, share, {y: round(counted.get(y, 0) * share[y]) for y in most}
 
 
@@ -221,7 +229,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, most_toxic: int =
 
     def toxic_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for text in b.column(0).to_pylist():
+            for text in map(pa.StringScalar.as_py, b.column(0)):
                 words = LETTERS.findall((text or "").lower())
                 look = min((zlib.crc32(w.encode()) for w in words), default=0)  # near copies mostly agree on it
                 found = sorted(_terms(text or ""))
@@ -234,7 +242,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, most_toxic: int =
     def clean_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n: Counter[str] = Counter()
-            for text in b.column(0).to_pylist():
+            for text in map(pa.StringScalar.as_py, b.column(0)):
                 n.update(_terms(text or "") & support.keys())
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["term", "n"])
 
@@ -249,25 +257,25 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, most_toxic: int =
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             toxic, likeness = [], []
-            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for text, y in zip(map(pa.StringScalar.as_py, b.column(0)), b.column(1).to_pylist(), strict=True):
                 words = list(set(WORD.findall((text or "").lower())))
                 fuzzy = [w for w, h in zip(words, lexicon.look_up(words).tolist(), strict=True) if h & 3 == FUZZY]
                 likeness += fuzzy
                 toxic += [y] * len(fuzzy)
             yield pa.RecordBatch.from_arrays([pa.array(likeness, pa.string()), pa.array(toxic, pa.int64())], ["word", "toxic"])
 
-    seen = texts.select("text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(hits, "word string, toxic long")
+    seen = texts.mapInArrow(hits, "word string, toxic long")
     ignored = seen.groupBy("word").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n")).where("n - bad >= 1 and bad <= n - bad").collect()
     model = Model(lexicon, frozenset(r["word"] for r in ignored), PRIOR, 0.0)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([model.features(t or "") for t in b.column(0).to_pylist()]).reshape(-1, len(PRIOR))
+            x = np.array([model.features(t.as_py() or "") for t in b.column(0)]).reshape(-1, len(PRIOR))
             arrays = [b.column(1), *(pa.array(c, pa.float64()) for c in x.T)]
             yield pa.RecordBatch.from_arrays(arrays, ["toxic", *(f"x{i}" for i in range(len(PRIOR)))])
 
     schema = "toxic long, " + ", ".join(f"x{i} double" for i in range(len(PRIOR)))
-    like = texts.select("text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(features, schema)
+    like = texts.mapInArrow(features, schema)
     rows = like.groupBy(*like.columns).count().collect()  # texts with the same counts are one row
     x = np.array([[r[f"x{i}"] for i in range(len(PRIOR))] for r in rows]).reshape(-1, len(PRIOR))
     y = np.array([r["toxic"] for r in rows], float)
@@ -302,21 +310,19 @@ def specific(strong: dict[str, int]) -> list[str]:
 def score_documents(docs: DataFrame, model: Model, *keep: str, text_column: str = "text", threshold: float = 0.5) -> DataFrame:
     """The columns of `keep`, with score and predicted.  Only the text takes part in a score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # as large as the lexicon
-    kept = docs.select(*keep, F.col(text_column).alias("_text"))
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in kept.dtypes[:-1]), "score double, predicted int"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge() -> Callable[[pa.Array], list]:
         m = shared.value
-        table = ChunkTable(m.hits)
+        table = ChunkTable(m.hits, APART, 16 << 20)
         empty = float(m.score(np.zeros(len(PRIOR))))
-        for b in batches:
-            texts = b.column(b.num_columns - 1)
-            scores = [empty] * b.num_rows
+
+        def of(texts: pa.Array) -> list:
+            scores = [empty] * len(texts)
             for i, found in enumerate(table.joined(text_bytes(texts))):
                 if found:
                     scores[i] = float(m.score(m.features(texts[i].as_py())))
-            flags = [int(s >= threshold) for s in scores]
-            arrays = [*b.columns[:-1], pa.array(scores, pa.float64()), pa.array(flags, pa.int32())]
-            yield pa.RecordBatch.from_arrays(arrays, [*b.schema.names[:-1], "score", "predicted"])
+            return [pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())]
+
+        return of
 
-    return kept.mapInArrow(run, schema)
+    return scored(docs, keep, text_column, "score double, predicted int", judge)
