@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions.contact import is_job_message, normalize_phone, without_chat_marks
 from tessera.functions.text import blank
-from tessera.operators.joins import first_company_by_pattern, first_match_any_key
+from tessera.operators.joins import first_company_by_pattern, oldest_since
 from tessera.operators.messages import companies_by_phone
 
+DAY = 24 * 3600 * 1_000_000
+
 
 def preview(messages: DataFrame, companies: DataFrame, bindings: DataFrame) -> DataFrame:
     """id, gate_passed, is_job_likely, matched_company_id, matched_company, match_method and binding_conflict."""
@@ -44,12 +46,11 @@ def preview(messages: DataFrame, companies: DataFrame, bindings: DataFrame) -> D
 
 def dedup_candidates(messages: DataFrame, jobs: DataFrame, days: int = 14, same_company: bool = False) -> DataFrame:
     """(id, job_id, cross_company): the oldest job within `days` before each message with its address or its phone."""
-    window = (F.col("r_first_message_at") <= F.col("l_at")) & (F.col("r_first_message_at") >= F.col("l_at") - F.make_dt_interval(days=F.lit(days)))
-    if same_company:
-        window = window & (F.col("l_company_id") == F.col("r_company_id"))
     keys = [[("street_number", "address_street_number"), ("street_name", "address_street_name")], [("phone", "customer_phone_e164")]]
-    slim = jobs.select("id", "company_id", "first_message_at", "address_street_number", "address_street_name", "customer_phone_e164")
-    found = first_match_any_key(messages, slim, "id", keys, ["first_message_at", "id"], window)
+    if same_company:
+        keys = [[*k, ("company_id", "company_id")] for k in keys]
+    at = F.unix_micros("at")
+    found = oldest_since(messages, jobs, "id", keys, at - days * DAY, at, F.unix_micros("first_message_at"), ["id", "company_id"], ["id"])
     crossed = F.col("company_id").isNotNull() & F.col("match.company_id").isNotNull() & (F.col("company_id") != F.col("match.company_id"))
     return found.join(messages.select("id", "company_id"), "id").select("id", F.col("match.id").alias("job_id"), crossed.alias("cross_company"))
 

@@ -36,74 +36,158 @@ def first_match_any_key(
     return found.groupBy(F.col(f"l_{left_id}").alias(left_id)).agg(pick("match", F.col("_order")).alias("match"))
 
 
-def next_within(events: DataFrame, keys: Sequence[str], ts: str, wanted: Column, seconds: float | None, out: str) -> DataFrame:
+#: Width of the time buckets that cut the sequence of a hot key into parts, in seconds.
+BUCKET = 24 * 3600
+
+
+def _micros(ts: Column) -> Column:
+    return F.unix_micros(ts.cast("timestamp"))
+
+
+def _carried(marks: DataFrame, keys: Sequence[str], value: Column, back: bool = False) -> DataFrame:
+    """(keys, _b, _c): for each bucket of a key the nearest value of the buckets before it (behind it, if `back`).
+
+    marks has a row a bucket: few numbers a key, however many rows a bucket has.
+    """
+    order = F.desc("_b") if back else F.asc("_b")
+    before = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    return marks.select(*keys, "_b", F.last(value, ignorenulls=True).over(before).alias("_c"))
+
+
+def next_within(events: DataFrame, keys: Sequence[str], ts: str, wanted: Column, seconds: float | None, out: str, bucket: int = BUCKET) -> DataFrame:
     """Adds the time of each row's first later row of its keys for which `wanted` holds, before `seconds` have passed.
 
-    One window over the events themselves: a single shuffle, both ends exclusive.
+    Both ends are exclusive; rows with a null key have no next row.  A key's rows are cut into buckets of time: a
+    window finds what follows within the bucket, and a row a bucket tells what follows behind it.
+    """
+    names = [f"_k{i}" for i in range(len(keys))]
+    held = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    at = _micros(F.col(ts))
+    rows = events.withColumns({n: F.col(k) for n, k in zip(names, keys, strict=True)} | {"_b": F.floor(at / (bucket * 1_000_000)), "_w": F.when(held & wanted, F.col(ts))})
+    firsts = rows.where(held).groupBy(*names, "_b").agg(F.min("_w").alias("_v"))
+    behind = _carried(firsts, names, F.col("_v"), back=True).where("_c is not null")
+    # null keys would meet in one task: they are spread by the bucket alone and get no answer
+    w = W.partitionBy(*names, "_b").orderBy(at).rangeBetween(1, W.unboundedFollowing)
+    got = rows.withColumn("_own", F.min("_w").over(w)).join(behind, [*names, "_b"], "left")
+    found = F.coalesce("_own", "_c")
+    if seconds is not None:
+        found = F.when(_micros(found) - at < int(seconds * 1_000_000), found)
+    return got.select(*events.columns, found.alias(out))
+
+
+def nearest(
+    left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], left_t: Column, right_t: Column, columns: Sequence[str], order: Sequence[str] = (),
+    after: bool = False, equal: bool = False, width: int = BUCKET * 1_000_000, prefix: str = "matched_",
+) -> DataFrame:
+    """Adds `columns` of the right row of the same keys whose number is nearest below that of each left row.
+
+    With `after` the nearest above it is taken, with `equal` an equal one counts too.  left_t and right_t are whole
+    numbers; of right rows of one number the one with the greatest (with `after` the smallest) `order` counts.  Null keys and null numbers match nothing.  Both sides are laid in one sequence per keys and bucket
+    of `width`, and the last right row is carried forward, over buckets by a row a bucket: no pair of rows is built and
+    a hot key is cut.
     """
-    w = W.partitionBy(*keys).orderBy(F.unix_micros(F.col(ts).cast("timestamp")))
-    w = w.rangeBetween(1, W.unboundedFollowing if seconds is None else int(seconds * 1_000_000) - 1)
-    return events.withColumn(out, F.min(F.when(wanted, F.col(ts))).over(w))
+    sign = -1 if after else 1
+    names = [f"_k{i}" for i in range(len(keys))]
+    row = F.struct(*[F.col(c).alias(c) for c in columns])
+    tie = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order or columns)])
+    held = lambda side: reduce(lambda a, b: a & b, [F.col(k[side]).isNotNull() for k in keys])
+    number = lambda t: F.floor(t / width)
+    b = right.select(*[F.col(r).alias(n) for n, (_, r) in zip(names, keys, strict=True)], (sign * right_t).alias("_t"), tie.alias("_o"), row.alias("_r")).where(reduce(lambda x, y: x & y, [F.col(n).isNotNull() for n in names]) & F.col("_t").isNotNull())
+    b = b.groupBy(*names, "_t").agg((F.min_by if after else F.max_by)("_r", "_o").alias("_r")).withColumn("_b", number(F.col("_t")))
+    a = left.select(*[F.col(k).alias(n) for n, (k, _) in zip(names, keys, strict=True)], (sign * left_t).alias("_t"), F.struct(*left.columns).alias("_l"), (held(0) & left_t.isNotNull()).alias("_h"))
+    # rows that can't match are spread by a hash of themselves
+    a = a.withColumn("_b", F.when(F.col("_h"), number(F.col("_t"))).otherwise(F.pmod(F.xxhash64("_l"), F.lit(1 << 20))))
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType)
+    marks = b.groupBy(*names, "_b").agg(F.max_by("_r", "_t").alias("_v"))
+    asked = a.where("_h").select(*names, "_b").distinct().withColumn("_v", none(b, "_r"))
+    marks = marks.unionByName(asked).groupBy(*names, "_b").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.lit(1))).alias("_v"))
+    carried = _carried(marks, names, F.col("_v")).where("_c is not null")
+    sequence = [
+        a.select(*names, "_b", "_t", F.lit(1 if equal else -1).alias("_side"), "_l", none(b, "_r").alias("_r"), "_h"),
+        b.select(*names, "_b", "_t", F.lit(0).alias("_side"), none(a, "_l").alias("_l"), "_r", F.lit(True).alias("_h")),
+        carried.select(*names, "_b", F.lit(None).cast("bigint").alias("_t"), F.lit(0).alias("_side"), none(a, "_l").alias("_l"), F.col("_c").alias("_r"), F.lit(True).alias("_h")),
+    ]
+    # what was carried has no number and so comes first
+    w = W.partitionBy(*names, "_b").orderBy(F.asc_nulls_first("_t"), "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
+    got = reduce(DataFrame.unionByName, sequence).withColumn("_m", F.last("_r", ignorenulls=True).over(w)).where("_l is not null")
+    return got.select("_l.*", *[F.when(F.col("_h"), F.col(f"_m.`{c}`")).alias(f"{prefix}{c}") for c in columns])
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, columns: Sequence[str], right_order: Sequence[str] = ()) -> DataFrame:
     """Adds `columns` of the latest right row of the same key before each left row's time (strictly); null without one.
 
-    Both sides are laid in one sequence per key and the last right row is carried forward: no pair of rows is built.
+    Of right rows of one time the one with the greatest `right_order` counts.  Null keys match nothing.
     """
-    extra = list(dict.fromkeys([*right_order]))
-    a = left.select(F.col(key).alias("_k"), F.col(left_ts).alias("_t"), F.lit(0).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.select(F.struct(*columns)).schema[0].dataType).alias("_r"), *[F.lit(None).cast(dict(right.dtypes)[c]).alias(f"_o{i}") for i, c in enumerate(extra)])
-    b = right.select(F.col(key).alias("_k"), F.col(right_ts).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_l"), F.struct(*columns).alias("_r"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(extra)])
-    w = W.partitionBy("_k").orderBy("_t", "_side", *[f"_o{i}" for i in range(len(extra))]).rowsBetween(W.unboundedPreceding, W.currentRow)
-    got = a.unionByName(b).withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_side = 0")
-    return got.select("_l.*", *[F.col(f"_r.`{c}`").alias(f"matched_{c}") for c in columns])
+    return nearest(left, right, [(key, key)], _micros(F.col(left_ts)), _micros(F.col(right_ts)), columns, right_order)
 
 
-def count_between(probes: DataFrame, events: DataFrame, key: str, after: str, until: str, ts: str, out: str) -> DataFrame:
-    """Adds how many events of its key lie in (after, until] of each probe: a running count, read at both ends.
+def oldest_since(
+    left: DataFrame, right: DataFrame, left_id: str, keys: Sequence[Sequence[tuple[str, str]]], low: Column, high: Column, right_t: Column, columns: Sequence[str], order: Sequence[str],
+) -> DataFrame:
+    """left_id and, as `match`, the right row of smallest number (then `order`) in [low, high] that equals the left one in all columns of some key.
 
-    Probes' ends and events are laid in one sequence per key; no pair of rows is built.
+    low, high and right_t are whole numbers.  Each key is a walk to the nearest row above `low` (no pairs of rows),
+    whose answer counts if it isn't above `high`; the best of the keys' answers is taken.
     """
-    cols = F.struct(*probes.columns)
-    ends = probes.select(F.col(key).alias("_k"), F.monotonically_increasing_id().alias("_id"), cols.alias("_p"), after, until)
-    ends = ends.select("_k", "_id", "_p", F.explode(F.array(F.struct(F.col(after).alias("t"), F.lit(-1).alias("sign")), F.struct(F.col(until).alias("t"), F.lit(1).alias("sign")))).alias("_e"))
-    marks = ends.select("_k", F.col("_e.t").alias("_t"), F.lit(1).alias("_side"), "_id", "_p", F.col("_e.sign").alias("_sign"))
-    own = events.select(F.col(key).alias("_k"), F.col(ts).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast("long").alias("_id"), F.lit(None).cast(probes.select(cols).schema[0].dataType).alias("_p"), F.lit(0).alias("_sign"))
-    w = W.partitionBy("_k").orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
-    counted = marks.unionByName(own).withColumn("_n", F.sum(F.when(F.col("_side") == 0, 1).otherwise(0)).over(w)).where("_side = 1")
-    got = counted.groupBy("_k", "_id").agg(F.first("_p").alias("_p"), F.greatest(F.sum(F.col("_sign") * F.col("_n")), F.lit(0)).cast("long").alias(out))
-    return got.select("_p.*", out)
+    numbered = right.withColumn("_n", right_t)
+    kept = list(dict.fromkeys([*columns, *order, "_n"]))
+
+    def group(key: Sequence[tuple[str, str]]) -> DataFrame:
+        slim = left.select(left_id, *dict.fromkeys(a for a, _ in key), low.alias("_low"), high.alias("_high"))
+        got = nearest(slim, numbered, key, F.col("_low"), F.col("_n"), kept, order, after=True, equal=True, prefix="m_")
+        got = got.where(F.col("m__n") <= F.col("_high"))
+        return got.select(left_id, F.struct(*[F.col(f"m_{c}").alias(c) for c in columns]).alias("match"), F.struct("m__n", *[F.col(f"m_{c}") for c in order]).alias("_order"))
 
+    found = reduce(DataFrame.unionByName, [group(k) for k in keys])
+    return found.groupBy(left_id).agg(F.min_by("match", "_order").alias("match"))
 
-def first_member(left: DataFrame, members: str, right: DataFrame, right_key: Column, normal, keep: Sequence[str], left_id: str) -> DataFrame:
-    """For each left row the right row that equals, by `normal`, the first possible element of an array column."""
-    each = left.select(left_id, F.posexplode(members).alias("_pos", "_m")).withColumn("_k", normal(F.col("_m")))
-    found = each.join(right.withColumn("_rk", right_key), F.col("_k") == F.col("_rk"))
-    row = F.struct(*keep)
-    return found.groupBy(left_id).agg(F.min_by(row, F.struct("_pos", *keep)).alias("match"))
 
+def count_between(probes: DataFrame, events: DataFrame, key: str, after: str, until: str, ts: str, out: str, bucket: int = BUCKET) -> DataFrame:
+    """Adds how many events of its key lie in (after, until] of each probe: a running count, read at both ends.
 
-def matches_patterns(text: Column, groups: Column, prefix: str = "(?imUd)") -> Column:
-    """Whether some group's patterns are all found in the text; groups without patterns never match."""
-    every = lambda g: (F.size(g["patterns"]) > 0) & F.forall(g["patterns"], lambda p: F.regexp_like(text, F.concat(F.lit(prefix), p)))
-    return F.coalesce(F.exists(groups, every), F.lit(False))
+    Probes' ends and events are laid in one sequence per key and bucket of time, on which the counts of earlier buckets
+    (a row a bucket) are carried; no pair of rows is built.  Null keys have no events.
+    """
+    width = bucket * 1_000_000
+    cols = F.struct(*probes.columns)
+    ends = probes.select(F.col(key).alias("_k"), F.monotonically_increasing_id().alias("_id"), cols.alias("_p"))
+    both = F.array(F.struct(_micros(F.col(f"_p.`{after}`")).alias("t"), F.lit(-1).alias("sign")), F.struct(_micros(F.col(f"_p.`{until}`")).alias("t"), F.lit(1).alias("sign")))
+    ends = ends.select("_k", "_id", "_p", F.explode(both).alias("_e"))
+    marks = ends.select("_k", F.col("_e.t").alias("_t"), F.lit(1).alias("_side"), "_id", "_p", F.col("_e.sign").alias("_sign"), F.lit(0).cast("long").alias("_n"))
+    marks = marks.withColumn("_b", F.when(F.col("_k").isNotNull(), F.floor(F.col("_t") / width)).otherwise(F.pmod("_id", F.lit(1 << 20))))
+    none = lambda c: F.lit(None).cast(marks.schema[c].dataType).alias(c)
+    own = events.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), _micros(F.col(ts)).alias("_t"), F.lit(0).alias("_side"), none("_id"), none("_p"), F.lit(0).alias("_sign"), F.lit(1).cast("long").alias("_n"))
+    own = own.withColumn("_b", F.floor(F.col("_t") / width))
+    counted = own.groupBy("_k", "_b").agg(F.sum("_n").alias("_v")).unionByName(marks.where("_k is not null").select("_k", "_b").distinct().withColumn("_v", F.lit(0).cast("long")))
+    earlier = W.partitionBy("_k").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    carried = counted.groupBy("_k", "_b").agg(F.sum("_v").alias("_v")).select("_k", "_b", F.sum("_v").over(earlier).alias("_n")).where("_n > 0")
+    carried = carried.select("_k", "_b", F.lit(None).cast("bigint").alias("_t"), F.lit(0).alias("_side"), none("_id"), none("_p"), F.lit(0).alias("_sign"), "_n")
+    w = W.partitionBy("_k", "_b").orderBy(F.asc_nulls_first("_t"), "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
+    running = reduce(DataFrame.unionByName, [marks, own, carried]).withColumn("_sum", F.sum("_n").over(w)).where("_side = 1")
+    value = F.when(F.col("_k").isNotNull(), F.col("_sign") * F.col("_sum")).otherwise(0)
+    got = running.groupBy("_id").agg(F.first("_p").alias("_p"), F.greatest(F.sum(value), F.lit(0)).cast("long").alias(out))
+    return got.select("_p.*", out)
 
 
-def first_company_by_pattern(messages: DataFrame, companies: DataFrame, message_id: str, text: str, most: int = 5_000) -> DataFrame:
+def first_company_by_pattern(messages: DataFrame, companies: DataFrame, message_id: str, text: str, at_once: int = 1_000) -> DataFrame:
     """(message_id, company_id, company_name): the company of lowest priority whose patterns match each message.
 
-    The companies, whose number is checked against `most`, become one literal that every row is tested against in
-    order, so the first hit ends the search and nothing is shuffled.
+    A company matches if all patterns of one of its groups are found.  Companies become literals that every row is
+    tested against in order, so the first hit ends the search and nothing is shuffled; they come to the driver
+    `at_once` at a time, and each lot is tested only on rows that no earlier one has hit.
     """
-    rows = companies.where("is_active").select("priority", "id", "name", "identification_patterns").orderBy("priority", "name", "id").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} companies: raise the limit on purpose")
-    hit = F.lit(None).cast("struct<company_id:string,company_name:string>")
-    t = F.coalesce(F.col(text), F.lit(""))
-    for r in reversed(rows):
-        groups = [[p for p in (g["patterns"] or [])] for g in (r["identification_patterns"] or [])]
-        tests = [reduce(lambda a, b: a & b, [t.rlike(f"(?imUd){p}") for p in g]) for g in groups if g]
-        if tests:
-            found = F.struct(F.lit(r["id"]).alias("company_id"), F.lit(r["name"]).alias("company_name"))
-            hit = F.when(reduce(lambda a, b: a | b, tests), found).otherwise(hit)
-    return messages.select(message_id, hit.alias("_hit")).where("_hit is not null").select(message_id, "_hit.*")
+    ranked = companies.where("is_active").select("priority", "id", "name", "identification_patterns")
+    ranked = ranked.where(F.size("identification_patterns") > 0).orderBy("priority", "name", "id")
+    out = messages.select(message_id, F.coalesce(F.col(text), F.lit("")).alias("_t"), F.lit(None).cast("struct<company_id:string,company_name:string>").alias("_hit"))
+    skip = 0
+    while rows := ranked.offset(skip).limit(at_once).collect():
+        hit = F.lit(None).cast("struct<company_id:string,company_name:string>")
+        for r in reversed(rows):
+            groups = [list(g["patterns"] or []) for g in r["identification_patterns"]]
+            tests = [reduce(lambda a, b: a & b, [F.col("_t").rlike(f"(?imUd){p}") for p in g]) for g in groups if g]
+            if tests:
+                found = F.struct(F.lit(r["id"]).alias("company_id"), F.lit(r["name"]).alias("company_name"))
+                hit = F.when(reduce(lambda a, b: a | b, tests), found).otherwise(hit)
+        out = out.withColumn("_hit", F.when(F.col("_hit").isNotNull(), F.col("_hit")).otherwise(hit))
+        skip += at_once
+    return out.where("_hit is not null").select(message_id, "_hit.*")

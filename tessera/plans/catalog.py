@@ -150,7 +150,8 @@ def interval_message_count(spark, d):
 def dedup_first_match(spark, d):
     c = A.table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey", F.floor(F.col("c_acctbal") / 10).alias("balance"))
     keys = [[("c_mktsegment", "c_mktsegment"), ("c_nationkey", "c_nationkey")], [("balance", "balance")]]
-    got = joins.first_match_any_key(c, c, "c_custkey", keys, ["c_custkey"], F.col("r_c_custkey") < F.col("l_c_custkey"))
+    key = F.col("c_custkey")
+    got = joins.oldest_since(c, c, "c_custkey", keys, F.lit(0).cast("long"), key - 1, key, ["c_custkey"], [])
     return got.select("c_custkey", F.col("match.c_custkey").alias("first_key"))
 
 

@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -12,7 +13,7 @@ from tessera.plans import catalog
 
 def rows(df):
     def plain(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return "~"
         return f"{float(v):.6g}" if isinstance(v, float) else str(v).removesuffix(" 00:00:00")
 

@@ -71,22 +71,28 @@ def test_insert_missing_and_corrections(spark):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_joins_equal_brute_force(spark, seed):
     rng = random.Random(seed)
-    left = [(i, rng.choice("abc"), rng.randrange(4), ago(rng.randrange(500))) for i in range(60)]
-    right = [(i, rng.choice("abc"), rng.randrange(4), ago(rng.randrange(500))) for i in range(60)]
+    left = [(i, rng.choice(["a", "b", "c", None]), rng.choice([0, 1, 2, 3, None]), ago(rng.randrange(500))) for i in range(60)]
+    right = [(i, rng.choice(["a", "b", "c", None]), rng.choice([0, 1, 2, 3, None]), ago(rng.randrange(500))) for i in range(60)]
+    same = lambda x, y: x is not None and x == y
     schema = "id int, k string, x int, at timestamp"
     a, b = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
-    got = {r["id"]: r["match"]["id"] for r in joins.first_match_any_key(a, b, "id", [[("k", "k"), ("x", "x")], [("x", "x")]], ["at", "id"], F.col("r_at") < F.col("l_at")).collect()}
-    want = {i: min(((t2, j) for j, k2, x2, t2 in right if t2 < t and (x2 == x)), default=None) for i, k, x, t in left}
-    assert got == {i: v[1] for i, v in want.items() if v}
-    got = {r["id"]: r["matched_id"] for r in joins.as_of(a, b, "k", "at", "at", ["id"], ["id"]).collect()}
-    want = {i: max(((t2, j) for j, k2, _, t2 in right if k2 == k and t2 < t), default=(None, None))[1] for i, k, _, t in left}
+    keys, at = [[("k", "k"), ("x", "x")], [("x", "x")]], F.unix_micros("at")
+    for found in (
+        joins.first_match_any_key(a, b, "id", keys, ["at", "id"], (F.col("r_at") <= F.col("l_at")) & (F.col("r_at") >= F.col("l_at") - F.expr("interval 200 minutes"))),
+        joins.oldest_since(a, b, "id", keys, at - 200 * 60_000_000, at, at, ["id"], ["id"]),
+    ):
+        want = {i: min(((t2, j) for j, k2, x2, t2 in right if t - timedelta(minutes=200) <= t2 <= t and x2 is not None and x2 == x), default=None) for i, k, x, t in left}
+        assert {r["id"]: r["match"]["id"] for r in found.collect()} == {i: v[1] for i, v in want.items() if v}
+    got = {r["id"]: r["matched_id"] for r in joins.nearest(a, b, [("k", "k")], at, at, ["id"], ["id"], width=3_600_000_000).collect()}
+    want = {i: max(((t2, j) for j, k2, _, t2 in right if same(k2, k) and t2 < t), default=(None, None))[1] for i, k, _, t in left}
     assert got == want
+    assert {r["id"]: r["matched_id"] for r in joins.as_of(a, b, "k", "at", "at", ["id"], ["id"]).collect()} == want
     probes = a.withColumn("until", F.col("at") + F.expr("interval 90 minutes"))
-    got = {r["id"]: r["n"] for r in joins.count_between(probes, b, "k", "at", "until", "at", "n").collect()}
-    assert got == {i: sum(k2 == k and t < t2 <= t + timedelta(minutes=90) for _, k2, _, t2 in right) for i, k, _, t in left}
-    e = joins.next_within(b, ["k"], "at", F.col("x") == 1, 3600, "reply")
+    got = {r["id"]: r["n"] for r in joins.count_between(probes, b, "k", "at", "until", "at", "n", bucket=3600).collect()}
+    assert got == {i: sum(same(k2, k) and t < t2 <= t + timedelta(minutes=90) for _, k2, _, t2 in right) for i, k, _, t in left}
+    e = joins.next_within(b, ["k"], "at", F.col("x") == 1, 3600, "reply", bucket=1800)
     got = {r["id"]: r["reply"] for r in e.collect()}
-    assert got == {i: min((t2 for _, k2, x2, t2 in right if k2 == k and x2 == 1 and t < t2 < t + timedelta(hours=1)), default=None) for i, k, _, t in right}
+    assert got == {i: min((t2 for _, k2, x2, t2 in right if same(k2, k) and x2 == 1 and t < t2 < t + timedelta(hours=1)), default=None) for i, k, _, t in right}
 
 
 def test_picks(spark):
