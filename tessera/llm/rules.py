@@ -23,6 +23,8 @@ SYMBOLS = "[#*$%&|<>]"
 #: Measures that the sketches are made of, with the least and most slack that is added to their fences.
 MEASURES = {"symbol_rate": (0.1, 0.1), "dup_line_rate": (0.1, 0.3), "repeat_rate": (0.1, 0.3), "word_length": (1.5, 1.5)}
 FLOOR = {"word_length": 1.5}
+FEW_GROUPS = 100_000  # of language and source, whose limits are broadcast: some MB
+SALTS = 64
 
 
 def words(text: Column) -> Column:
@@ -131,6 +133,16 @@ def keyed(df: DataFrame) -> DataFrame:
     return df.withColumns({"lang_key": key("lang"), "source_key": key("source")})
 
 
+def with_limits(measured: DataFrame, limits: DataFrame) -> DataFrame:
+    """Joins the limits, a row a group: broadcast where they are few, else dealt SALTS times so that a hot group is split."""
+    keys = ["lang_key", "source_key"]
+    if limits.count() <= FEW_GROUPS:
+        return measured.join(F.broadcast(limits), keys, "left")
+    salted = limits.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int")
+    return measured.withColumn("_salt", salt).join(salted, [*keys, "_salt"], "left")
+
+
 def judge(docs: DataFrame, reach: float = 3.0) -> DataFrame:
     """doc_id, the counts, base_failed and kept of every document."""
     counted = durable(counts(docs, "lang", "source"), "rule_counts")
@@ -141,7 +153,7 @@ def judge(docs: DataFrame, reach: float = 3.0) -> DataFrame:
         inside &= F.coalesce(F.col(m) <= F.col(f"{m}_most"), F.lit(True))
     for m in FLOOR:
         inside &= F.coalesce(F.col(m) >= F.col(f"{m}_least"), F.lit(True))
-    return measured.join(limits, ["lang_key", "source_key"], "left").select(
+    return with_limits(measured, durable(limits, "rule_limits")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & inside).alias("kept"),
     )
