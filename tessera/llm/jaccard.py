@@ -4,13 +4,16 @@
 2. A sketch of fixed size counts n-grams.  In the order (count, hash) two sets that link share one of the first
    |A| - ceil(t |A|) + 1 n-grams of each, so those are dealt out; classes under one n-gram are a block.  Common
    passages come last in that order and make no large blocks.  Blocks with equal members, or within another, are
-   dropped.  N-grams that stay frequent join into clusters, which are cut into chunks; pairs of chunks are blocks.
+   dropped.  N-grams that stay frequent join into clusters, which are cut by size and hash into chunks.
 3. Each block gets a signature tree: its leaves hold bitmaps of the sets (a fraction of a byte an n-gram), its nodes
    the OR of the bitmaps below and the range of sizes.  Walking pairs of nodes from the root down, a pair is left if
    its sizes don't fit or if the common bits leave too small an overlap.  Only the bitmaps are dealt to the blocks;
    members that reach no possible partner go, and so do blocks that then lie in another.
-4. What is left gets its whole sets and is walked again: pairs of leaves are verified on the sets, and a pair of
-   nodes is also left if all below both is one component already.
+4. What is left gets its whole sets and is walked again, with pairs of leaves verified on the sets.  First every set
+   goes to one block, its home, which finds most of each component; of a cluster's chunks then one set a component
+   meets.  Blocks that still hold several components are walked by bitmaps once more, without pairs of one component
+   or one home, and only the sets that are possible partners there meet again.  Of a cluster, members outside its
+   largest component go to all chunks of fitting size, the others stay in their own.
 5. Links found in blocks meet in connected components.
 
 No pair of a group is expanded: a block of n like texts costs about n verifications.  N-grams are hashes of 64 bits
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
@@ -179,29 +182,41 @@ class Tree:
         self.pairs(top, range(len(self.levels[top][0])), None)
 
 
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether all values of both arrays are one value other than 0."""
+    return bool(x[0] != 0 and x[0] == y[0] and (x == x[0]).all() and (y == x[0]).all())
+
+
 class Partners(Tree):
-    """Which sets have a possible partner, by signatures alone."""
+    """Which sets have a possible partner, by signatures alone; not one of their own component or home (0: none)."""
 
-    def __init__(self, signatures: list[bytes], size: np.ndarray, percent: int):
+    def __init__(self, signatures: list[bytes], size: np.ndarray, percent: int, component: np.ndarray | None = None, home: np.ndarray | None = None):
         super().__init__(aligned(signatures), size, percent)
         self.paired = np.zeros(len(signatures), bool)
+        self.same = [x for x in (component, home) if x is not None]
 
     def visit(self, a: int, b: int) -> None:
-        self.paired[a] = self.paired[b] = True
+        if not any(x[a] == x[b] != 0 for x in self.same):
+            self.paired[a] = self.paired[b] = True
 
     def settled(self, level: int, a: int, b: int) -> bool:
-        return bool(self.paired[self.below(level, a)].all() and self.paired[self.below(level, b)].all())
+        x, y = self.below(level, a), self.below(level, b)
+        return bool(self.paired[x].all() and self.paired[y].all()) or any(alike(s[x], s[y]) for s in self.same)
 
 
 class Links(Tree):
-    """Components of the sets that link, verified on the whole sets."""
+    """Components of the sets that link, verified on the whole sets; sets of one home (0: none) are verified already."""
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
+    def __init__(self, sets: list[np.ndarray], percent: int, component: np.ndarray | None = None, home: np.ndarray | None = None):
         super().__init__(aligned(list(map(signature, sets))), np.array([len(s) for s in sets]), percent)
         self.sets, self.root = sets, np.arange(len(sets))
+        self.home = np.zeros(len(sets), np.int64) if home is None else home
+        if component is not None:
+            _, first, own = np.unique(component, return_index=True, return_inverse=True)
+            self.root = first[own]
 
     def visit(self, a: int, b: int) -> None:
-        if self.root[a] == self.root[b]:
+        if self.root[a] == self.root[b] or self.home[a] == self.home[b] != 0:
             return
         x, y = self.sets[a], self.sets[b]
         if len(x) > len(y):
@@ -213,9 +228,9 @@ class Links(Tree):
             self.root[self.root == old] = new
 
     def settled(self, level: int, a: int, b: int) -> bool:
-        """Whether everything below both nodes is one component."""
-        x, y = self.root[self.below(level, a)], self.root[self.below(level, b)]
-        return bool(x[0] == y[0] and (x == x[0]).all() and (y == x[0]).all())
+        """Whether everything below both nodes is one component or of one home."""
+        x, y = self.below(level, a), self.below(level, b)
+        return alike(self.root[x] + 1, self.root[y] + 1) or alike(self.home[x], self.home[y])
 
     def join(self) -> np.ndarray:
         """Root of each set's component within the block."""
@@ -372,14 +387,47 @@ def clusters(members: DataFrame, group: str) -> DataFrame:
     return components(edges).select(F.col("node").alias("set_id"), F.col("component").alias("cluster"))
 
 
-def chunk_blocks(of: DataFrame) -> DataFrame:
-    """(block, set_id) that bring every two sets of a cluster together: pairs of chunks of about CHUNK sets."""
-    size = of.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    cut = of.join(size, "cluster").withColumn("chunk", F.pmod(F.xxhash64("set_id"), F.col("chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    pairs = cut.withColumn("other", other).where("chunks = 1 or chunk <> other")
-    low, high = F.least("chunk", "other"), F.greatest("chunk", "other")
-    return pairs.select(F.xxhash64(F.lit("chunks"), "cluster", low, high).alias("block"), "set_id")
+def chunked(of: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(set_id, cluster, kind, chunks, block): clusters cut into chunks of about CHUNK sets.
+
+    kind is the size class: sets that link lie in one class or in two neighbouring ones.  chunks is how many the class
+    has in the cluster.
+    """
+    kind = F.floor(F.log("n_shingles") / float(np.log(100 / percent))).cast("int")
+    sized = of.join(sizes, "set_id").select("set_id", "cluster", kind.alias("kind"))
+    cut = sized.groupBy("cluster", "kind").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    chunk = F.pmod(F.xxhash64("set_id"), F.col("chunks")).cast("int")
+    return sized.join(cut, ["cluster", "kind"]).withColumn("block", chunk_name("kind", chunk))
+
+
+def chunk_name(kind: str | Column, chunk: Column) -> Column:
+    return F.xxhash64(F.lit("chunk"), "cluster", kind, chunk)
+
+
+def labelled(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows with `component` and `home` of their sets; sets that aren't known are components of their own without a home."""
+    return rows.join(known, "set_id", "left").withColumns({"component": F.coalesce("component", "set_id"), "home": F.coalesce("home", F.lit(0).cast("long"))})
+
+
+def representatives(cut: DataFrame, known: DataFrame) -> DataFrame:
+    """(block, set_id): one set of each component of a cluster, in blocks of about CHUNK sets."""
+    each = labelled(cut.select("set_id", "cluster"), known).groupBy("cluster", "component").agg(F.min("set_id").alias("set_id"))
+    n = each.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    named = each.join(n, "cluster")
+    return named.select(F.xxhash64(F.lit("one"), "cluster", F.pmod(F.xxhash64("set_id"), F.col("chunks"))).alias("block"), "set_id")
+
+
+def odd_blocks(cut: DataFrame, known: DataFrame) -> DataFrame:
+    """(block, set_id): chunks with the members outside the cluster's largest component from all chunks of fitting size."""
+    rows = labelled(cut, known)
+    n = rows.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = n.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("components")).where("components > 1")
+    rows = rows.join(main, "cluster")
+    own = rows.select("block", "set_id")
+    kinds = cut.select("cluster", F.col("kind").alias("near"), "chunks").distinct().withColumnRenamed("chunks", "near_chunks")
+    odd = rows.where("component <> main").select("set_id", "cluster", F.explode(F.array(F.col("kind") - 1, F.col("kind"), F.col("kind") + 1)).alias("near"))
+    odd = odd.join(kinds, ["cluster", "near"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("near_chunks") - 1)))
+    return own.union(odd.select(chunk_name("near", F.col("chunk").cast("int")).alias("block"), "set_id")).distinct()
 
 
 def bloom(ids: DataFrame, bits: int) -> np.ndarray:
@@ -416,16 +464,22 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "set_id long, grams binary")
 
 
-def with_partners(blocks: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
-    """(block, set_id) of the members that may link within their block, by its signature tree; blocks get new names."""
-    rows = blocks.join(signatures, "set_id").select("block", "set_id", "n_shingles", "signature")
+def with_partners(blocks: DataFrame, signatures: DataFrame, percent: int, known: DataFrame | None = None) -> DataFrame:
+    """(block, set_id, size) of the members that may link within their block, by its signature tree; blocks get new names.
+
+    Pairs of one component or one home of `known` (set_id, component, home) don't count.
+    """
+    extra = ["component", "home"] if known is not None else []
+    rows = blocks if known is None else labelled(blocks, known)
+    rows = rows.join(signatures, "set_id").select("block", "set_id", "n_shingles", "signature", *extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, one in by_block(batches):
             if len(one) < 2:
                 continue
             own = sorted(one, key=lambda i: (one[i][0], i))
-            tree = Partners([one[i][1] for i in own], np.array([one[i][0] for i in own]), percent)
+            same = [np.array([one[i][2 + k] for i in own], np.int64) for k in range(len(extra))]
+            tree = Partners([one[i][1] for i in own], np.array([one[i][0] for i in own]), percent, *same)
             tree.walk()
             left = np.array(own, np.int64)[tree.paired]
             if len(left):
@@ -436,18 +490,21 @@ def with_partners(blocks: DataFrame, signatures: DataFrame, percent: int) -> Dat
     return rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block long, set_id long, size long")
 
 
-def tree_links(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def tree_links(blocks: DataFrame, sets: DataFrame, percent: int, known: DataFrame | None = None) -> DataFrame:
     """(a, b): each class and the root of its component within a block, from the block's signature tree."""
     n = blocks.count()
-    small = F.broadcast(blocks) if n <= SMALL else blocks  # 16 bytes a row; beyond that the sets meet their blocks in a shuffle
-    rows = sets.join(small, "set_id").select("block", "set_id", "grams")
+    extra = ["component", "home"] if known is not None else []
+    blocks = blocks if known is None else labelled(blocks, known)
+    small = F.broadcast(blocks) if n <= SMALL else blocks  # 32 bytes a row; beyond that the sets meet their blocks in a shuffle
+    rows = sets.join(small, "set_id").select("block", "set_id", "grams", *extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, one in by_block(batches):
             if len(one) < 2:
                 continue
-            own = sorted(((unpacked(x), i) for i, (x,) in one.items()), key=lambda x: (len(x[0]), int(x[0][0]), x[1]))
-            root = Links([s for s, _ in own], percent).join().tolist()
+            own = sorted(((unpacked(x), i) for i, (x, *_) in one.items()), key=lambda x: (len(x[0]), int(x[0][0]), x[1]))
+            same = [np.array([one[i][1 + k] for _, i in own], np.int64) for k in range(len(extra))]
+            root = Links([s for s, _ in own], percent, *same).join().tolist()
             found = [(own[r][1], own[k][1]) for k, r in enumerate(root) if r != k]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
@@ -459,18 +516,46 @@ def join_documents(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every document."""
     described, sketch = describe(docs, words)
     members = deal(docs, sketch, words, percent)
-    blocks = largest_blocks(members.where("not heavy"))
-    heavy = members.where("heavy").select("block", "set_id")
-    if not heavy.isEmpty():
-        blocks = blocks.union(chunk_blocks(durable(clusters(heavy, "block"), "heavy")))
     signatures = described.where("signature is not null").select("set_id", "n_shingles", "signature").dropDuplicates(["set_id"])
-    paired = durable(with_partners(blocks, signatures, percent), "paired")
-    blocks = durable(largest_blocks(paired), "trees")
-    sets = whole_sets(docs, blocks.select("set_id").distinct(), words)
-    linked = components(tree_links(blocks, sets, percent))
+
+    def linked(blocks: DataFrame, edges: DataFrame | None, known: DataFrame | None = None) -> DataFrame:
+        """Components (node, component) of the links within blocks and the edges known before."""
+        sets = whole_sets(docs, blocks.select("set_id").distinct(), words)
+        new = tree_links(blocks, sets, percent, known)
+        return durable(components(new if edges is None else new.union(edges)), "linked")
+
+    paired = with_partners(largest_blocks(members.where("not heavy")), signatures, percent)
+    trees = durable(largest_blocks(durable(paired, "paired")), "trees")
+    heavy = members.where("heavy").select("block", "set_id")
+    crowded = not heavy.isEmpty()
+    size = trees.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    home = trees.join(size, "block").groupBy("set_id").agg(F.max_by("block", F.struct("n", "block")).alias("home"))
+    if crowded:
+        cut = durable(chunked(clusters(heavy, "block"), signatures.select("set_id", "n_shingles"), percent), "chunks")
+        own = durable(with_partners(cut.select("block", "set_id"), signatures, percent), "own").select("set_id", F.col("block").alias("home"))
+        home = own.union(home.join(own, "set_id", "left_anti"))
+    home = durable(home, "homes")
+    links = linked(home.select(F.col("home").alias("block"), "set_id"), None)
+
+    def known() -> DataFrame:
+        return home.join(links.select(F.col("node").alias("set_id"), "component"), "set_id", "full_outer")
+
+    if crowded:
+        ones = durable(representatives(cut, known()), "ones")
+        links = linked(ones, links.toDF("b", "a").select("a", "b"))
+    named = durable(known(), "known")
+    open_ = labelled(trees, named).groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    again = trees.join(open_.select("block"), "block")
+    if crowded:
+        again = again.union(odd_blocks(cut, named))
+    again = durable(largest_blocks(durable(with_partners(again, signatures, percent, named), "paired")), "trees")
+    if not again.isEmpty():
+        links = linked(again, links.toDF("b", "a").select("a", "b"), named)
     # classes of equal sets take part with their smallest document
     of = described.groupBy("set_id").agg(F.min("doc_id").alias("first")).where("set_id is not null")
-    of = of.join(linked, F.col("set_id") == F.col("node"), "left").select("set_id", "first", F.coalesce("component", "set_id").alias("component"))
+    of = of.join(links, F.col("set_id") == F.col("node"), "left").select("set_id", "first", F.coalesce("component", "set_id").alias("component"))
     least = of.groupBy("component").agg(F.min("first").alias("component_id"))
     named = of.join(least, "component").select("set_id", "component_id")
-    return described.join(named, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # empty texts have no class: a join would bring them all to one task
+    alone = described.where("set_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return described.where("set_id is not null").join(named, "set_id").select("doc_id", "n_shingles", "component_id").union(alone)
