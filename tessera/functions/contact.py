@@ -9,12 +9,15 @@ from tessera.functions.text import strip
 
 #: Street suffixes and directions with their long forms.
 SUFFIXES = {
-    "st": "street", "ave": "avenue", "blvd": "boulevard", "dr": "drive", "ln": "lane", "rd": "road", "ct": "court",
-    "pl": "place", "pkwy": "parkway", "ter": "terrace", "cir": "circle", "hwy": "highway",
+    "st": "street", "street": "street", "ave": "avenue", "avenue": "avenue", "blvd": "boulevard", "boulevard": "boulevard", "dr": "drive",
+    "drive": "drive", "ln": "lane", "lane": "lane", "rd": "road", "road": "road", "ct": "court", "court": "court", "pl": "place",
+    "place": "place", "way": "way", "pkwy": "parkway", "parkway": "parkway", "ter": "terrace", "terrace": "terrace", "cir": "circle",
+    "circle": "circle", "hwy": "highway", "highway": "highway",
 }
-SAME_SUFFIX = ["way"]
 DIRECTIONS = {
-    "n": "north", "s": "south", "e": "east", "w": "west", "ne": "northeast", "nw": "northwest", "se": "southeast", "sw": "southwest",
+    "n": "north", "north": "north", "s": "south", "south": "south", "e": "east", "east": "east", "w": "west", "west": "west",
+    "ne": "northeast", "northeast": "northeast", "nw": "northwest", "northwest": "northwest", "se": "southeast", "southeast": "southeast",
+    "sw": "southwest", "southwest": "southwest",
 }
 #: Patterns of phones and of addresses in messages.
 PHONE = r"(?:\+?1[-.\s]?)?(?:\(?\d{3}\)?[-.\s]?)?\d{3}[-.\s]?\d{4}"
@@ -24,6 +27,10 @@ ADDRESSES = [
     r"\d+\s+[A-Za-z\s]+(?:St|Street|Ave|Avenue|Blvd|Boulevard|Dr|Drive|Ln|Lane|Rd|Road|Way|Ct|Court|Pl|Place)",
     r"\d{2,}\s+[A-Za-z\s]+,\s*[A-Z]{2}\s*\d{5}",
 ]
+#: Patterns of a street line, a state and a zip code.
+STREET_LINE = r"(?s)^(\d+[A-Za-z]?)\s+(.+)$"
+STATE = r"\b([A-Z]{2})\b"
+ZIP = r"\b(\d{5})(?:-\d{4})?\b"
 
 
 def digits(x: Column) -> Column:
@@ -47,19 +54,17 @@ def phone_match_key(x: Column) -> Column:
     return F.when(F.length(d) >= 10, F.right(d, F.lit(10))).when(F.length(d) >= 7, d)
 
 
-def _long_form(token: Column, known: dict[str, str], same: list[str]) -> Column:
-    names = {**known, **{v: v for v in [*known.values(), *same]}}
-    table = F.create_map(*[F.lit(x) for kv in sorted(names.items()) for x in kv])
-    return F.try_element_at(table, token)
+def _long_form(token: Column, known: dict[str, str]) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), token)
 
 
 def normalize_street_name(x: Column) -> Column:
     """Letters only, lower case, with a leading direction and a trailing suffix written out."""
     words = F.transform(F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit("([A-Za-z]+)"), 1), F.lower)
     n = F.size(words)
-    front = F.when(n > 0, _long_form(F.get(words, F.lit(0)), DIRECTIONS, []))
+    front = F.when(n > 0, _long_form(F.get(words, F.lit(0)), DIRECTIONS))
     rest = F.when(front.isNotNull(), F.slice(words, 2, F.greatest(n, F.lit(1)))).otherwise(words)
-    back = F.when(F.size(rest) > 0, _long_form(F.get(rest, F.size(rest) - 1), SUFFIXES, SAME_SUFFIX))
+    back = F.when(F.size(rest) > 0, _long_form(F.get(rest, F.size(rest) - 1), SUFFIXES))
     stem = F.when(back.isNotNull(), F.slice(rest, 1, F.greatest(F.size(rest) - 1, F.lit(0)))).otherwise(rest)
     return F.concat_ws(" ", front, F.nullif(F.array_join(stem, " "), F.lit("")), back)
 
@@ -69,13 +74,13 @@ def normalize_address(x: Column) -> Column:
     text = strip(F.coalesce(x, F.lit("")))
     chunks = F.filter(F.transform(F.split(text, ","), strip), lambda c: c != "")
     street = F.coalesce(F.get(chunks, F.lit(0)), F.lit(""))
-    line = r"(?s)^(\d+[A-Za-z]?)\s+(.+)$"
+    line = STREET_LINE
     numbered = street.rlike(line)
-    state_in = lambda c: F.nullif(F.regexp_extract(c, r"\b([A-Z]{2})\b", 1), F.lit(""))
+    state_in = lambda c: F.nullif(F.regexp_extract(c, STATE, 1), F.lit(""))
     states = F.transform(F.when(F.size(chunks) > 1, F.slice(chunks, 2, F.greatest(F.size(chunks), F.lit(1)))), state_in)
     # place of the first chunk behind the street that holds a state
     at = F.coalesce(F.array_position(F.transform(states, lambda s: s.isNotNull()), True), F.lit(0)).cast("int")
-    zip_ = F.nullif(F.regexp_extract(text, r"\b(\d{5})(?:-\d{4})?\b", 1), F.lit(""))
+    zip_ = F.nullif(F.regexp_extract(text, ZIP, 1), F.lit(""))
     return F.struct(
         F.when(numbered, F.regexp_extract(street, line, 1)).alias("street_number"),
         F.when(numbered, normalize_street_name(F.regexp_extract(street, line, 2))).alias("street_name"),
@@ -107,8 +112,15 @@ def has_matching_key(x: Column) -> Column:
     return has_phone(x) | has_address(x)
 
 
+#: Patterns of what a chat page leaves in a message: the time, a prompt, the sender with their number.
+CHAT_TIME = r"(?iU)\s*\d{1,2}:\d{2}\s*[ap]\.?\s*m\.?\s*$"
+CHAT_PROMPT = r"(?id)Update\?\s*@[^\n]*$"
+CHAT_SENDER = r"(?Ud)^\s*\S.*?\+\d[\d\s().\-]{6,}\d"
+
+
 def without_chat_marks(x: Column) -> Column:
     """A message without the time and the prompt that a chat page leaves behind it and the sender before it."""
-    out = F.regexp_replace(F.coalesce(x, F.lit("")), r"(?iU)\s*\d{1,2}:\d{2}\s*[ap]\.?\s*m\.?\s*$", "")
-    out = F.regexp_replace(out, r"(?id)Update\?\s*@[^\n]*$", "")
-    return strip(F.regexp_replace(out, r"(?Ud)^\s*\S.*?\+\d[\d\s().\-]{6,}\d", ""))
+    out = F.coalesce(x, F.lit(""))
+    for mark in (CHAT_TIME, CHAT_PROMPT, CHAT_SENDER):
+        out = F.regexp_replace(out, mark, "")
+    return strip(out)

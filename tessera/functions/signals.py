@@ -41,7 +41,12 @@ REASONS = {
     "no_service": "no service needed", "priceshopping": "customer is price-shopping", "will_cb": "customer will call back",
     "callback": "customer wants a callback",
 }
+#: The line that holds a job's address, the zip code beside a "pass", and the limits of re-pastes and rejections.
+ADDRESS_LINE = r"(?imd)^\s*addr(?:ess)?\s*:\s*(.+)$"
+ZIP_ALONE = r"\b\d{5}\b"
+LEAST_JOB, MOST_NOTE, LEAST_RATIO, MOST_ZIP_WORDS, MOST_WORDS = 25, 200, 0.75, 4, 12
 RELAYED = ["in_progress", "appt_set", "needs_follow_up", "canceled"]
+#: What a technician's message says and the state that it leads to.
 INTENTS = {"on_way": "in_progress", "appt_set": "appt_set", "needs_follow_up": "needs_follow_up", "canceled": "canceled"}
 
 
@@ -58,7 +63,7 @@ def payment_tokens(x: Column) -> Column:
 
 def address_line(x: Column) -> Column:
     """What stands behind 'Addr:' at the start of a line."""
-    return F.nullif(F.regexp_extract(F.coalesce(x, F.lit("")), r"(?imd)^\s*addr(?:ess)?\s*:\s*(.+)$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(F.coalesce(x, F.lit("")), ADDRESS_LINE, 1), F.lit(""))
 
 
 def is_reject_phrase(x: Column) -> Column:
@@ -70,8 +75,8 @@ def is_reject_phrase(x: Column) -> Column:
     words = F.lit(False)
     for p in REJECT_WORDS:
         words = words | t.rlike(f"(?U){p}")
-    zip_pass = (n <= 4) & t.rlike(r"\b(?:pass|passing)\b") & t.rlike(r"\b\d{5}\b")
-    return (t != "") & (t.isin(_plain(REJECT)) | zip_pass | ((n <= 12) & (starts | words)))
+    zip_pass = (n <= MOST_ZIP_WORDS) & t.rlike(r"\b(?:pass|passing)\b") & t.rlike(ZIP_ALONE)
+    return (t != "") & (t.isin(_plain(REJECT)) | zip_pass | ((n <= MOST_WORDS) & (starts | words)))
 
 
 def is_tech_accept(x: Column) -> Column:
@@ -95,15 +100,15 @@ def vetoes_rejection(x: Column) -> Column:
 
 
 def is_repaste_with_note(reply: Column, job: Column) -> Column:
-    """A reply that repeats the job (or comes close to it, at 0.75) with a short note, which isn't a veto."""
+    """A reply that repeats the job (or comes close to it, at LEAST_RATIO) with a short note, which isn't a veto."""
     r, j = normalized(reply), normalized(job)
     extra = F.length(r) - F.length(j)
-    eligible = (F.length(j) >= 25) & (r != "") & (r != j) & ~vetoes_rejection(reply)
+    eligible = (F.length(j) >= LEAST_JOB) & (r != "") & (r != j) & ~vetoes_rejection(reply)
     held = F.contains(r, j)
     # texts whose lengths differ too much can't reach the ratio, so they never meet the Python function
-    near = eligible & ~held & (extra >= 0) & (2 * F.length(j) >= 0.75 * (F.length(j) + F.length(r)))
-    close = similarity(F.when(near, j), F.when(near, r)) >= 0.75
-    return F.coalesce(eligible & ((held & (extra > 0) & (extra <= 200)) | (near & close)), F.lit(False))
+    near = eligible & ~held & (extra >= 0) & (2 * F.length(j) >= LEAST_RATIO * (F.length(j) + F.length(r)))
+    close = similarity(F.when(near, j), F.when(near, r)) >= LEAST_RATIO
+    return F.coalesce(eligible & ((held & (extra > 0) & (extra <= MOST_NOTE)) | (near & close)), F.lit(False))
 
 
 def is_reject_signal(reply: Column, job: Column | None = None) -> Column:
@@ -141,3 +146,8 @@ def update_line(kind: Column, appt: Column, follow_up: Column, reason: Column, n
 def relay_text(body: Column, line: Column) -> Column:
     own = strip(F.coalesce(body, F.lit("")))
     return F.when(own == "", line).otherwise(F.concat(own, F.lit("\n\n"), line))
+
+
+def status_of_intent(intent: Column) -> Column:
+    """The state that a technician's intent leads to; null for any other."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in INTENTS.items() for x in kv]), intent)

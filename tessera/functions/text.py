@@ -101,3 +101,8 @@ def without_fence(x: Column) -> Column:
 
 def slug(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(x), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+
+
+def clock(ts: Column) -> Column:
+    """A time as it is shown: date and time to the second."""
+    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")

@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.values import parse_iso
-from tessera.operators.perkey import latest
+from tessera.functions.values import ago_words, duration_words, parse_iso
+from tessera.operators.perkey import page
 from tessera.operators.upsert import insert_missing
 
 WATCHDOG = "__ingestion_watchdog__"
@@ -142,15 +142,83 @@ def counts(new: DataFrame, alerts: DataFrame) -> DataFrame:
     return made.join(open_, "kind", "full_outer").select("kind", F.coalesce("created", F.lit(0)).alias("created"), F.coalesce("already_open", F.lit(0)).alias("already_open"))
 
 
-def alert_list(alerts: DataFrame, kinds: list[str] | None = None, resolved: bool = False, jobs: DataFrame | None = None) -> DataFrame:
+def watchdog(alerts: DataFrame, chat_messages: DataFrame, chats: DataFrame, as_of: Column, limits: Limits = Limits()) -> DataFrame:
+    """The alerts after a look at ingestion: a stall opens an alert (once), a fresh message resolves it; without an active chat nothing changes."""
+    stalled = ingestion_stalled(chat_messages, chats, as_of, limits)
+    state = chat_messages.agg(F.max("timestamp").alias("_last")).crossJoin(chats.agg(F.coalesce(F.bool_or("is_active"), F.lit(False)).alias("_any")))
+    fresh = F.col("_any") & F.coalesce(F.col("_last") >= before(as_of, limits.ingestion_stalled), F.lit(False))
+    mine = (F.col("kind") == "whatsapp_ingestion_stalled") & (F.col("chat_jid") == WATCHDOG) & F.col("resolved_at").isNull()
+    kept = alerts.crossJoin(F.broadcast(state.select(fresh.alias("_fresh")))).withColumn("resolved_at", F.when(mine & F.col("_fresh"), as_of).otherwise(F.col("resolved_at"))).select(*alerts.columns)
+    new = insert_missing(stalled, kept.where("resolved_at is null"), ["kind", "job_id", "chat_jid"], [F.col("detected_at")])
+    named = new.withColumn("id", F.sha2(F.concat_ws("|", "kind", "chat_jid", F.col("detected_at").cast("string")), 256))
+    return kept.unionByName(named.select(*[F.col(c) if c in named.columns else F.lit(None).cast(k).alias(c) for c, k in alerts.dtypes]))
+
+
+def open_alerts(alerts: DataFrame, kinds: list[str] | None = None, job_ids: DataFrame | None = None, resolved: bool = False, unseen: bool = False) -> DataFrame:
+    """Alerts of some kinds and jobs: the open queue (or what of it nobody has seen), or with `resolved` all of them."""
     out = alerts if resolved else alerts.where("resolved_at is null")
-    out = out if not kinds else out.where(F.col("kind").isin(kinds))
-    return out if jobs is None else out.join(jobs.select("job_id"), "job_id", "left_semi")
+    out = out.where("seen_at is null") if unseen else out
+    out = out.where(F.col("kind").isin(list(kinds))) if kinds is not None else out
+    return out if job_ids is None else out.join(job_ids.select("job_id").distinct(), "job_id", "left_semi")
+
+
+def alert_counts(alerts: DataFrame, kinds: list[str] | None = None, job_ids: DataFrame | None = None) -> DataFrame:
+    """One row: total of the open queue and unseen alerts of the kinds (whatever their jobs)."""
+    total = open_alerts(alerts, kinds, job_ids).agg(F.count(F.lit(1)).alias("total"))
+    unseen = open_alerts(alerts, kinds, unseen=True).agg(F.count(F.lit(1)).alias("unseen"))
+    return total.crossJoin(unseen)  # a row each
+
+
+def alert_page(
+    alerts: DataFrame, jobs: DataFrame, companies: DataFrame, kinds: list[str] | None = None, job_ids: DataFrame | None = None, resolved: bool = False, skip: int = 0, limit: int = 200,
+) -> DataFrame:
+    """A page of alerts, the newest first, with the company of their job; only the page meets jobs and companies."""
+    top = page(open_alerts(alerts, kinds, job_ids, resolved), [F.desc("detected_at"), F.col("id")], skip, limit)
+    j = jobs.select(F.col("id").alias("job_id"), "company_id", "lifecycle_status")
+    c = companies.select(F.col("id").alias("company_id"), F.coalesce("display_name", "name").alias("company_name"))
+    return top.join(j, "job_id", "left").join(c, "company_id", "left").orderBy(F.desc("detected_at"), "id")
+
+
+def description(kind: Column, payload: Column, minutes: Column, as_of: Column) -> Column:
+    """One sentence on why an alert was raised.  Times are written as they stand in the payload."""
+    given = lambda k: F.nullif(F.get_json_object(payload, f"$.{k}"), F.lit(""))
+    sla = F.when(minutes > 0, F.concat(F.lit(" (SLA "), duration_words(minutes), F.lit(")"))).otherwise("")
+    since = F.coalesce(ago_words(parse_iso(given("since")), as_of), F.lit("never"))
+    say = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    either = lambda value, yes, no: F.when(value.isNotNull(), yes).otherwise(no)
+    #: Wording of the sentences.
+    texts = {
+        "undispatched": say("Job has been pending since ", since, " with no dispatch or rejection", sla, "."),
+        "stuck_dispatched": say("Dispatched ", since, " but the technician hasn't replied", sla, "."),
+        "stuck_in_progress": say("In progress since ", since, " with no further update", sla, "."),
+        "appt_time_passed": say("The scheduled appointment", either(given("appt_iso"), say(" (", given("appt_iso"), ")"), F.lit("")), " has passed and the job hasn't moved."),
+        "follow_up_due": either(given("follow_up_at"), say("A customer callback was due at ", given("follow_up_at"), " and hasn't happened yet."), F.lit("A customer callback is due and hasn't happened yet.")),
+        "company_update_unsent": say("A tech update", either(given("update_kind"), say(" (", given("update_kind"), ")"), F.lit("")), " still hasn't been relayed to the source company", sla, "."),
+        "closing_missing": say("No closing totals have arrived since ", since, either(given("lifecycle_status"), say("; the job is still ", given("lifecycle_status")), F.lit("")), sla, "."),
+        "closing_unfiled": say("The tech reported payment ", since, ", but it hasn't been filed in the Dispatch Closing group yet", sla, "."),
+        "dispatch_no_match": F.lit("An operator dispatch message couldn't be matched to any pending job."),
+        "unattributed_reply": F.lit("A technician reply matched more than one job, so it couldn't be attributed automatically."),
+        "tech_reply_no_target": say("A technician reply ", either(given("body_preview"), say('("', given("body_preview"), '") '), F.lit("")), "couldn't be matched to any dispatched job — it may need to be relayed to the company manually."),
+        "whatsapp_ingestion_stalled": either(
+            given("last_message_at"), say("No WhatsApp messages have come in since ", given("last_message_at"), " — the scraper extension is likely disconnected."),
+            F.lit("No WhatsApp messages have ever been recorded — the scraper extension may not be connected."),
+        ),
+    }
+    out = F.lit("Pipeline-health issue detected.")
+    for k, text in texts.items():
+        out = F.when(kind == k, text).otherwise(out)
+    return out
 
 
 def mark_seen(alerts: DataFrame, as_of: Column) -> DataFrame:
     return alerts.withColumn("seen_at", F.when(F.col("resolved_at").isNull(), F.coalesce("seen_at", as_of)).otherwise(F.col("seen_at")))
 
 
-def newest_per_job(alerts: DataFrame) -> DataFrame:
-    return latest(alerts, ["job_id"], ["detected_at", "id"])
+def log_fields(created: Column, already_open: Column) -> Column:
+    """Two maps of counts by kind as one map, with their names before the kinds."""
+    named = lambda m, prefix: F.transform_keys(m, lambda k, _: F.concat(F.lit(prefix), k))
+    return F.map_concat(named(created, "created_"), named(already_open, "open_"))
+
+
+def total_created(created: Column) -> Column:
+    return F.aggregate(F.map_values(created), F.lit(0).cast("long"), lambda a, x: a + x)

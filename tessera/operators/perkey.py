@@ -64,3 +64,23 @@ def ranked_versions(df: DataFrame, key: str, order: Sequence[str], id_column: st
         F.when(canonical, "").otherwise(F.col("_canonical").cast("string")).alias("superseded_by"),
         F.when(canonical, F.col("_n") - 1).otherwise(0).cast("long").alias("supersedes_count"),
     )
+
+
+def placed(df: DataFrame, order: Sequence[Column], name: str = "place") -> DataFrame:
+    """Numbers the rows of a page (a bounded number of rows) in order, from 1."""
+    return df.withColumn(name, F.row_number().over(W.orderBy(*order)))
+
+
+def united(a: DataFrame, b: DataFrame, distinct: bool = True) -> DataFrame:
+    both = a.unionByName(b)
+    return both.distinct() if distinct else both
+
+
+def common(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct rows that are in both."""
+    return a.intersect(b.select(*a.columns))
+
+
+def without(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct rows of a that aren't in b."""
+    return a.subtract(b.select(*a.columns))

@@ -123,3 +123,78 @@ def first_message_corrections(jobs: DataFrame, dispatch: DataFrame, messages: Da
     sent = first.join(m, "incoming_message_id").join(chat_messages.select("chat_jid", "wa_message_id", F.col("timestamp").alias("new")), ["chat_jid", "wa_message_id"])
     got = jobs.select("id", F.col("first_message_at").alias("old")).join(sent.select(F.col("job_id").alias("id"), "new"), "id")
     return got.where(drift_seconds(F.col("old"), F.col("new")) > tolerance)
+
+
+def _sent_at(ids: DataFrame, messages: DataFrame, chat_messages: DataFrame) -> DataFrame:
+    """ids with `new`, the time of the chat message that their incoming_message_id mirrors."""
+    m = messages.select(F.col("id").alias("incoming_message_id"), F.get_json_object("raw_payload", "$.chat_jid").alias("chat_jid"), F.get_json_object("raw_payload", "$.wa_message_id").alias("wa_message_id"))
+    sent = chat_messages.select("chat_jid", "wa_message_id", F.col("timestamp").alias("new"))
+    return ids.join(m, "incoming_message_id").join(sent, ["chat_jid", "wa_message_id"])
+
+
+def closed_at_corrections(jobs: DataFrame, dispatch: DataFrame, messages: DataFrame, chat_messages: DataFrame, tolerance: int = 60) -> DataFrame:
+    """(id, old, new): closed jobs whose closing time differs from that of the chat message behind their closing."""
+    own = jobs.where("closed_at is not null").select("id", F.col("closed_at").alias("old"), F.col("closed_from_dispatch_job_id").alias("dispatch_id"))
+    via = own.join(dispatch.select(F.col("id").alias("dispatch_id"), "incoming_message_id"), "dispatch_id")
+    got = _sent_at(via, messages, chat_messages).select("id", "old", "new")
+    return got.where(drift_seconds(F.col("old"), F.col("new")) > tolerance)
+
+
+def closing_event_corrections(events: DataFrame, dispatch: DataFrame, messages: DataFrame, chat_messages: DataFrame, tolerance: int = 60) -> DataFrame:
+    """(id, job_id, old, new): closing events whose payload names a dispatch job, by the chat message behind that."""
+    own = events.where("source = 'closing_chat'").select("id", "job_id", F.col("created_at").alias("old"), F.get_json_object("payload", "$.dispatch_job_id").alias("dispatch_id"))
+    via = own.join(dispatch.select(F.col("id").cast("string").alias("dispatch_id"), "incoming_message_id"), "dispatch_id")
+    got = _sent_at(via, messages, chat_messages).select("id", "job_id", "old", "new")
+    return got.where(drift_seconds(F.col("old"), F.col("new")) > tolerance)
+
+
+def signal_event_corrections(events: DataFrame, chat_messages: DataFrame, tolerance: int = 60) -> DataFrame:
+    """(id, job_id, old, new): payment events of the chat channel, by the chat message that their payload names."""
+    text = lambda k: F.get_json_object("payload", f"$.{k}").alias(k)
+    own = events.where("source = 'closing_signal'").select("id", "job_id", F.col("created_at").alias("old"), text("chat_jid"), text("wa_message_id"), text("channel")).where("channel = 'whatsapp'")
+    got = own.join(chat_messages.select("chat_jid", "wa_message_id", F.col("timestamp").alias("new")), ["chat_jid", "wa_message_id"]).select("id", "job_id", "old", "new")
+    return got.where(drift_seconds(F.col("old"), F.col("new")) > tolerance)
+
+
+def closing_corrections(jobs: DataFrame, events: DataFrame, dispatch: DataFrame, messages: DataFrame, chat_messages: DataFrame, tolerance: int = 60) -> DataFrame:
+    """All corrections as rows (table_column, id, job_id, old, new, drift_hours).
+
+    A job's time of its last change of state is corrected only where its latest event is.
+    """
+    first = first_message_corrections(jobs, dispatch, messages, chat_messages, tolerance)
+    closed = closed_at_corrections(jobs, dispatch, messages, chat_messages, tolerance)
+    moved = closing_event_corrections(events, dispatch, messages, chat_messages, tolerance).unionByName(signal_event_corrections(events, chat_messages, tolerance))
+    newest = events.groupBy("job_id").agg(F.max_by("id", F.struct("created_at", "id")).alias("id"))
+    last = moved.join(newest, ["job_id", "id"], "left_semi").select("job_id", "new")
+    states = last.join(jobs.select(F.col("id").alias("job_id"), F.col("lifecycle_status_changed_at").alias("old")), "job_id")
+    states = states.where(F.col("old").isNull() | (drift_seconds(F.col("old"), F.col("new")) > tolerance)).withColumn("id", F.col("job_id"))
+
+    def named(df: DataFrame, name: str) -> DataFrame:
+        job = F.col("job_id") if "job_id" in df.columns else F.col("id")
+        drift = F.round((F.unix_micros("old") - F.unix_micros("new")) / 3.6e9, 2)
+        return df.select(F.lit(name).alias("table_column"), F.col("id").cast("string").alias("id"), job.cast("string").alias("job_id"), "old", "new", drift.alias("drift_hours"))
+
+    return (
+        named(first, "jobs.first_message_at").unionByName(named(closed, "jobs.closed_at")).unionByName(named(moved, "job_lifecycle_events.created_at"))
+        .unionByName(named(states, "jobs.lifecycle_status_changed_at"))
+    )
+
+
+def correction_counts(corrections: DataFrame) -> DataFrame:
+    return corrections.groupBy("table_column").agg(F.count(F.lit(1)).alias("n"))
+
+
+def manifest_summary(rows: DataFrame) -> DataFrame:
+    """One row: totals of a manifest."""
+    job = F.lower(F.col("is_job_likely").cast("string")) == "true"
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(job).alias("likely"), F.count_if(~F.coalesce(job, F.lit(False))).alias("unlikely"),
+        F.count_if(F.coalesce(F.col("matched_company"), F.lit("")) != "").alias("matched"), F.count_if(F.coalesce(F.col("binding_conflict"), F.lit("")) != "").alias("conflicts"),
+        F.countDistinct("conversation_id").alias("conversations"),
+    )
+
+
+def numbers_by_phone(numbers: DataFrame) -> DataFrame:
+    """(phone, id): workspace numbers by their normal form; of equal ones the last id counts."""
+    got = numbers.where("coalesce(id, '') <> ''").select(normalize_phone(F.col("number")).alias("phone"), "id").where("phone is not null")
+    return got.groupBy("phone").agg(F.max("id").alias("id"))

@@ -14,20 +14,7 @@ from tessera.functions import contact, extraction, signals, text, values
 from tessera.operators import joins, lifecycle, messages, monitors, perkey, upsert
 from tessera.plans import adapters as A
 from tessera.plans import backfill, reports, rollups
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
+from tessera.plans.registry import QUERIES, SQL, query
 
 DAY = "cast(timezone('America/Chicago', timezone('UTC', {})) - interval 5 hour as date)"
 START = "timezone('UTC', timezone('America/Chicago', timestamp '{} 05:00:00'))"
@@ -376,6 +363,9 @@ def sanitised_text(spark, d):
     return A.table(spark, d, "documents").select("doc_id", text.html_escaped(F.col("text")).alias("h"), text.plain_email(F.col("source")).alias("s"))
 
 
+from tessera.plans import catalog_fields, catalog_jobs, catalog_rows  # noqa: E402, F401  they register queries of their own
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -6,7 +6,7 @@ the same table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -117,6 +117,13 @@ def store(snapshots: DataFrame, path: str) -> None:
     snapshots.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date", "scope").parquet(path)
 
 
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """Stored snapshots; a folder without any gives no rows."""
+    from tessera.schemas import TABLES
+
+    return spark.read.schema(TABLES["daily_stats_snapshots"]).parquet(path)
+
+
 def listed(snapshots: DataFrame, first, last, scope: str | None = None) -> DataFrame:
     out = snapshots.where(F.col("snapshot_date").between(F.lit(str(first)).cast("date"), F.lit(str(last)).cast("date")))
     out = out if scope is None else out.where(F.col("scope") == scope)

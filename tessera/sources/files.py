@@ -29,7 +29,10 @@ def append_csv(df: DataFrame, path: str, key: str) -> None:
     there = spark.read.options(**CSV).csv(path)
     if there.columns != df.columns:
         raise ValueError(f"columns differ from those of {path}")
-    write_csv(df.dropDuplicates([key]).join(there.select(key), key, "left_anti").select(*df.columns), path, "append")
+    rest = [c for c in df.columns if c != key]
+    placed = df.withColumn("_n", F.monotonically_increasing_id()).groupBy(key).agg(F.min_by(F.struct(*rest), "_n").alias("_row"))
+    first = placed.select(key, "_row.*") if rest else placed.select(key)
+    write_csv(first.join(there.select(key), key, "left_anti").select(*df.columns), path, "append")
 
 
 def read_companies(spark: SparkSession, path: str) -> DataFrame:
