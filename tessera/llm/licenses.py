@@ -2,13 +2,13 @@
 
 A paragraph is a line of the text.  Its words (lower-cased letters, digits and inner dots) and pairs of words are the
 features of a sparse multinomial logistic regression over the licence families and `unknown`.  It is fitted on the
-driver on NOTICES (whole, in windows, and with words left out) against a bounded, hash-chosen sample of the corpus's
+driver on NOTICES (whole, in windows, and with words left out) and on sentences with NAMES against a bounded, hash-chosen sample of the corpus's
 own lines, which stand for `unknown`.  Only features that the sample's lines hardly ever hold take part (pairs need a
 word that few lines hold), so almost all weights are zero, and a line without any of them can't be a licence.  Half of
 the examples are held out of the fit; they calibrate the probability that a line isn't `unknown` (Platt scaling of the margin).
 
-A prediction counts if a notice of its family confirms it: the share of the notice's pairs of words that the line
-holds, or of the line's that the notice holds, must reach `agree`.  Rows are scored by one projection without a
+A prediction counts if a notice or a name of its family confirms it: the share of the notice's pairs of words that the
+line holds, or of the line's that the notice holds, must reach `agree` (a name of one word must be there).  Rows are scored by one projection without a
 shuffle; the weights are a literal of fixed size.  Lines without a word or pair of words that has a weight are skipped
 by one regular expression before they are cut into words.
 
@@ -105,6 +105,32 @@ NOTICES = {
         "No part of this publication may be reproduced without the prior written permission of the publisher.",
     ],
 }
+#: Names of the licences, short forms included.
+NAMES = {
+    "agpl": ["GNU Affero General Public License", "Affero GPL", "GNU AGPL", "AGPL", "AGPLv3", "AGPL-3.0"],
+    "apache": ["Apache License", "Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 license", "Apache 2 license", "Apache-2.0", "Apache Software License"],
+    "bsd": ["BSD License", "BSD 2-Clause License", "BSD 3-Clause License", "2-clause BSD license", "3-clause BSD license", "simplified BSD license", "new BSD license", "BSD-2-Clause", "BSD-3-Clause", "BSD-style license"],
+    "cc-by": ["CC BY 4.0", "CC BY 3.0", "CC-BY license", "Creative Commons Attribution 4.0", "Creative Commons Attribution License", "Creative Commons Attribution 4.0 International License"],
+    "cc-by-nc": ["CC BY-NC 4.0", "CC BY-NC 3.0", "CC-BY-NC license", "Creative Commons Attribution-NonCommercial 4.0", "Creative Commons Attribution-NonCommercial License"],
+    "cc-by-sa": ["CC BY-SA 4.0", "CC BY-SA 3.0", "CC-BY-SA license", "Creative Commons Attribution-ShareAlike 4.0", "Creative Commons Attribution-ShareAlike License"],
+    "cc0": ["CC0", "CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero", "public domain dedication", "Unlicense"],
+    "gpl": ["GNU General Public License", "GNU General Public License v3", "GNU GPL", "GPLv2", "GPLv3", "GPL-2.0", "GPL-3.0", "GPL version 2", "GPL version 3", "GPL license"],
+    "isc": ["ISC License", "ISC licence"],
+    "lgpl": ["GNU Lesser General Public License", "GNU Library General Public License", "GNU LGPL", "LGPL", "LGPLv2.1", "LGPLv3", "LGPL-2.1", "LGPL-3.0"],
+    "mit": ["MIT License", "MIT licence", "MIT-licensed", "under MIT", "Expat license"],
+    "mpl": ["Mozilla Public License", "Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL 2.0", "MPL-2.0", "MPLv2"],
+    "proprietary": ["proprietary license", "commercial license only", "confidential and proprietary"],
+}
+#: Sentences that name a licence, for training, and ones that only sound alike.
+FRAMES = [
+    "Licensed under the {}.", "Released under the {}.", "This project is licensed under the terms of the {}.", "Distributed under the {}.", "The code is available under the {}.", "License: {}",
+    "This software is provided under {}", "See the {} for details.", "{}", "made available under the {} by its authors",
+]
+ALIKE = [
+    "Licensed under the laws of the state.", "Released under the title of the first song.", "The driver's license was revoked.", "A license plate was found.", "This project is under construction.",
+    "The copyright office is closed.", "public policy and general interest", "the attribution of the painting is disputed", "the author has died", "permission to enter is granted by the guard",
+    "The commercial was released in spring.", "Version 2.0 of the plan is available.", "see the file for details", "the terms of the treaty", "an international agreement", "rights of all citizens",
+]
 SEPARATORS = r"[^\p{L}\p{N}.]+|\.+(?![\p{L}\p{N}])"
 
 
@@ -128,7 +154,7 @@ class Model:
     weights: dict[str, np.ndarray]  # of each feature, a number a family
     slope: float
     offset: float
-    notices: dict[str, list[list[str]]]  # distinct pairs of words of each notice
+    notices: dict[str, list[list[str]]]  # distinct pairs of words of each notice and name; the word of a name of one
 
     @property
     def hints(self) -> list[str]:
@@ -140,9 +166,9 @@ def _grams(words: list[str]) -> list[str]:
     return [*words, *(f"{a} {b}" for a, b in zip(words[:-1], words[1:], strict=True))]
 
 
-def _examples(notices: dict[str, list[list[str]]]) -> list[tuple[str, list[str]]]:
-    """Every notice whole, without each of its words, and in windows that hold most of it."""
-    out = []
+def _examples(notices: dict[str, list[list[str]]], named: list[tuple[str, list[str]]]) -> list[tuple[str, list[str]]]:
+    """Sentences with names; every notice whole, without each of its words, and in windows that hold most of it."""
+    out = list(named)
     for family, own in sorted(notices.items()):
         for words in own:
             out += [(family, words)] * 3
@@ -183,20 +209,36 @@ def _platt(margin: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float,
     return float(max(w[0], 1e-3)), float(w[1])
 
 
-def train(docs: DataFrame, text_column: str = "text", lines: int = 2000, notices: dict[str, list[str]] | None = None, common: float = 0.002) -> Model:
-    """A model from NOTICES and about `lines` lines of the corpus, chosen by a hash of the line; only these meet the driver.
+def train(
+    docs: DataFrame, text_column: str = "text", lines: int = 2000, notices: dict[str, list[str]] | None = None, common: float = 0.002,
+    names: dict[str, list[str]] | None = None,
+) -> Model:
+    """A model from NOTICES, NAMES in FRAMES, and about `lines` lines of the corpus, chosen by a hash of the line; only these meet the driver.
 
     Lines that equal or nearly hold a notice are left out of the sample.  Features that more than `common` of the
     sample's lines hold have no weight.
     """
     spark = docs.sparkSession
     known = notices or NOTICES
+    called = names if names is not None else (NAMES if notices is None else {})
     flat = [(k, t) for k, own in sorted(known.items()) for t in own]
+    flat += [("+" + k, f.format(t)) for k, own in sorted(called.items()) for t in own for f in FRAMES]
+    flat += [("=" + k, t) for k, own in sorted(called.items()) for t in own] + [("-", t) for t in ALIKE]
     own = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(k).alias("family"), F.lit(t).alias("text")) for k, t in flat])).alias("n"))
     cut = own.select("n.family", words_of(F.lower("n.text")).alias("words")).collect()
     templates: dict[str, list[list[str]]] = {}
+    named, bare, alike = [], [], []
     for r in cut:
-        templates.setdefault(r["family"], []).append(list(r["words"]))
+        words = list(r["words"])
+        kind, family = (r["family"][0], r["family"][1:]) if r["family"][0] in "+=-" else ("", r["family"])
+        if kind == "+":
+            named.append((family, words))
+        elif kind == "=":
+            bare.append((family, words))
+        elif kind == "-":
+            alike.append(words)
+        else:
+            templates.setdefault(family, []).append(words)
 
     chunks = docs.select(lines_of(F.col(text_column)).alias("l")).select(F.sum(F.size("l")).alias("n")).first()["n"] or 0
     share = min(1.0, lines / max(1, chunks))
@@ -206,7 +248,7 @@ def train(docs: DataFrame, text_column: str = "text", lines: int = 2000, notices
     )
     # a sample line's first 300 words are enough to learn what isn't a licence
     sample = sorted(list(r["words"]) for r in picked.select(F.slice(words_of(F.col("line")), 1, 300).alias("words")).limit(4 * lines).collect())
-    names = {g for ws in templates.values() for w in ws for g in _grams(w)}
+    grams = {g for ws in templates.values() for w in ws for g in _grams(w)} | {g for _, w in named for g in _grams(w)}
     held = [{f"{a} {b}" for a, b in zip(w[:-1], w[1:], strict=True)} for ws in templates.values() for w in ws]
     pairs = [h for h in held if len(h) >= 2]
     background = []
@@ -214,14 +256,14 @@ def train(docs: DataFrame, text_column: str = "text", lines: int = 2000, notices
         own_pairs = {f"{a} {b}" for a, b in zip(words[:-1], words[1:], strict=True)}
         if not any(2 * len(h & own_pairs) >= len(h) for h in pairs):
             background.append(words)
-    seen = Counter(g for words in background for g in set(_grams(words)) & names)
-    rare = {w for w in names if " " not in w and seen[w] <= 10 * common * len(background)}
-    features = sorted(g for g in names if seen[g] <= common * len(background) and rare & set(g.split(" ")))
+    seen = Counter(g for words in background for g in set(_grams(words)) & grams)
+    rare = {w for w in grams if " " not in w and seen[w] <= 10 * common * len(background)}
+    features = sorted(g for g in grams if seen[g] <= common * len(background) and rare & set(g.split(" ")))
     number = {g: i for i, g in enumerate(features)}
     families = [*sorted(templates), UNKNOWN]
-    examples = _examples(templates)
+    examples = _examples(templates, named)
     # the corpus's lines that hold some feature, and single words and pairs of the notices, are hard cases of unknown
-    hard = [(UNKNOWN, w) for w in background]
+    hard = [(UNKNOWN, w) for w in background] + [(UNKNOWN, w) for w in alike] * 3
     hard += [(UNKNOWN, [w]) for w in sorted({w for ws in templates.values() for t in ws if len(t) > 4 for w in t})]
     everything = examples + hard
     x = np.zeros((len(everything), len(features)))
@@ -239,6 +281,8 @@ def train(docs: DataFrame, text_column: str = "text", lines: int = 2000, notices
     slope, offset = _platt(margin, (y[~fold] < len(families) - 1).astype(float))
     weights = {g: w[i] for g, i in number.items() if w[i].any()}
     distinct = {k: [sorted({f"{a} {b}" for a, b in zip(t[:-1], t[1:], strict=True)}) for t in ts] for k, ts in templates.items()}
+    for family, words in bare:
+        distinct.setdefault(family, []).append(sorted({f"{a} {b}" for a, b in zip(words[:-1], words[1:], strict=True)} or set(words)))
     return Model(families, b, weights, slope, offset, distinct)
 
 
@@ -284,12 +328,12 @@ def scan(docs: DataFrame, model: Model, *keep: str, text_column: str = "text", l
 
     hinted = F.filter(F.transform("_lines", lambda x, i: F.when(x.rlike(hint), F.struct(i.alias("line"), words_of(x).alias("words")))), lambda x: x.isNotNull())
     got = lines.select(*keep, F.size("_lines").cast("long").alias("n_paragraphs"), hinted.alias("_hinted"))
-    features = F.transform("_hinted", lambda x: F.struct(x["line"].alias("line"), F.array_distinct(pairs_of(x["words"])).alias("pairs"), F.array_intersect(F.concat(x["words"], pairs_of(x["words"])), vocabulary).alias("grams")))
+    features = F.transform("_hinted", lambda x: F.struct(x["line"].alias("line"), F.array_distinct(F.concat(x["words"], pairs_of(x["words"]))).alias("pairs"), F.greatest(F.lit(1), F.size(F.array_distinct(pairs_of(x["words"])))).alias("n"), F.array_intersect(F.concat(x["words"], pairs_of(x["words"])), vocabulary).alias("grams")))
     got = got.select(*keep, "n_paragraphs", F.filter(features, lambda x: F.size(x["grams"]) > 0).alias("_features"))
     logits = F.transform(
         "_features",
         lambda x: F.struct(
-            x["line"].alias("line"), x["pairs"].alias("pairs"),
+            x["line"].alias("line"), x["pairs"].alias("pairs"), x["n"].alias("n"),
             F.aggregate(x["grams"], F.expr(_literal(numbers(model.bias))), lambda acc, g: F.zip_with(acc, F.try_element_at(table, g), lambda a, b: a + b)).alias("z"),
         ),
     )
@@ -297,7 +341,7 @@ def scan(docs: DataFrame, model: Model, *keep: str, text_column: str = "text", l
     top = F.transform(
         "_logits",
         lambda x: F.struct(
-            x["line"].alias("line"), x["pairs"].alias("pairs"),
+            x["line"].alias("line"), x["pairs"].alias("pairs"), x["n"].alias("n"),
             F.array_max(F.slice(x["z"], 1, n)).alias("best"), x["z"].alias("z"),
         ),
     )
@@ -305,7 +349,7 @@ def scan(docs: DataFrame, model: Model, *keep: str, text_column: str = "text", l
     chosen = F.transform(
         "_top",
         lambda x: F.struct(
-            x["line"].alias("line"), x["pairs"].alias("pairs"),
+            x["line"].alias("line"), x["pairs"].alias("pairs"), x["n"].alias("n"),
             F.array_position(F.slice(x["z"], 1, n), x["best"]).cast("int").alias("k"),
             (1 / (1 + F.exp(-(model.slope * (x["best"] - F.get(x["z"], F.lit(n))) + model.offset)))).alias("p"),
         ),
@@ -314,11 +358,11 @@ def scan(docs: DataFrame, model: Model, *keep: str, text_column: str = "text", l
     notices = F.expr("array(" + ", ".join("array(" + ", ".join(map(_literal, model.notices[k])) + ")" for k in model.families[:-1]) + ")")
     names = F.expr(_literal(model.families[:-1]))
 
-    def agreement(pairs: Column, k: Column) -> Column:
-        share = lambda t: F.size(F.array_intersect(t, pairs)) / F.greatest(F.lit(1), F.least(F.size(t), F.size(pairs)))
+    def agreement(pairs: Column, size: Column, k: Column) -> Column:
+        share = lambda t: F.size(F.array_intersect(t, pairs)) / F.greatest(F.lit(1), F.least(F.size(t), size))
         return F.array_max(F.transform(F.get(notices, k - 1), share))
 
-    confirmed = F.transform("_chosen", lambda x: F.struct(x["line"].alias("line"), F.get(names, x["k"] - 1).alias("family"), x["p"].alias("probability"), agreement(x["pairs"], x["k"]).alias("agreement")))
+    confirmed = F.transform("_chosen", lambda x: F.struct(x["line"].alias("line"), F.get(names, x["k"] - 1).alias("family"), x["p"].alias("probability"), agreement(x["pairs"], x["n"], x["k"]).alias("agreement")))
     got = got.select(*keep, "n_paragraphs", confirmed.alias("_predicted"))
     return got.select(
         *keep, "n_paragraphs", F.filter("_predicted", lambda x: x["agreement"] >= agree).alias("matches"),

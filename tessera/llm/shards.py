@@ -108,7 +108,7 @@ def materialise(
 
     The index has slot, shard, position (byte offset in the shard), n_tokens, doc_ids and crc32 of the record's ids.
     """
-    found = durable(sequences(docs, tokenizer, length, width=width), "sequences")
+    found = durable(sequences(docs, tokenizer, length, width=width), "sequences", "zstd")
     counts = {r["part"]: r["n"] for r in found.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a task
     n, first = 0, []
     for part in sorted(counts):

@@ -471,3 +471,36 @@ def test_pipeline_hostile(spark, tmp_path):
         ids = [r["doc_id"] for r in left.collect()]
         assert len(ids) == len(set(ids)) and 1 not in ids
         corpus_pipeline.STAGES[-1][1](spark, left, str(tmp_path)).collect()
+
+
+#: Sentences that no training frame holds.
+UNSEEN = {
+    "agpl": ["Our server is published under AGPLv3 or later", "You can use this under the GNU Affero General Public License, any version", "Code covered by the AGPL-3.0"],
+    "apache": ["Everything in this folder is covered by the Apache License 2.0", "Contributions are accepted under Apache-2.0 only", "You may use this library under the Apache 2.0 license", "published by the team, Apache Software License applies"],
+    "bsd": ["This is BSD 2-Clause License code", "Copying is governed by the 3-clause BSD license", "The parser is under a simplified BSD license", "BSD-style license, see COPYING"],
+    "cc-by": ["Photos by Ana, CC BY 4.0", "This article may be reused under a Creative Commons Attribution 4.0 licence", "text reused from the wiki (CC BY 3.0)"],
+    "cc-by-nc": ["Drawings can be shared under CC BY-NC 4.0 terms", "Creative Commons Attribution-NonCommercial License applies to the data"],
+    "cc-by-sa": ["Article text is offered under CC BY-SA 3.0", "Share it under the Creative Commons Attribution-ShareAlike License please"],
+    "cc0": ["We put the dataset out with CC0 1.0 Universal", "a public domain dedication covers these files"],
+    "gpl": ["licensed GPLv3 or later", "This plugin inherits the GNU General Public License from its host", "usage is governed by GNU GPL version 2", "kernel code, GPL-2.0 only"],
+    "isc": ["Small tools here follow the ISC License", "ISC licence text is in the header"],
+    "lgpl": ["link against it under the LGPLv3", "The library keeps its GNU Lesser General Public License", "LGPL-2.1 or any later version"],
+    "mit": ["distributed under the terms of the MIT licence", "Dual licensed under MIT or something else", "All examples are MIT-licensed", "Copyright Ana, MIT License"],
+    "mpl": ["Code is under the Mozilla Public License", "Files here use MPL 2.0 as their license", "Mozilla Public License 2.0 applies to this file"],
+}
+NOT_LICENCES = [
+    "The license of the driver had expired in May", "He was released under police supervision", "All under one roof in the public garden", "the mozilla of modern music, version 2.0", "Apache helicopters flew over the valley",
+    "mit freundlichen Gruessen aus Berlin", "Creative people in the commons room", "She has a masters degree from MIT", "general public interest in the museum", "Berkeley offers many courses",
+]
+
+
+def test_unseen_wordings_of_licences(spark, sf):
+    m = licenses.train(spark.read.parquet(f"{sf}/documents.parquet").select("text"))
+    known = {f.format(n).lower() for own in licenses.NAMES.values() for n in own for f in licenses.FRAMES} | {n.lower() for own in licenses.NOTICES.values() for n in own}
+    rows = [(k, t) for k, own in UNSEEN.items() for t in own] + [("", t) for t in NOT_LICENCES]
+    assert len(rows) - len(NOT_LICENCES) >= 30 and not any(t.lower() in known for _, t in rows)
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["families"] for r in licenses.digest(licenses.scan(df, m, "doc_id"), "doc_id").collect()}
+    hits = [got[i] == k for i, (k, _) in enumerate(rows) if k]
+    assert np.mean(hits) >= 0.9, [(rows[i], got[i]) for i in got if rows[i][0] != got[i]]
+    assert all(got[i] == "" for i, (k, _) in enumerate(rows) if not k), [(t, got[i]) for i, (k, t) in enumerate(rows) if not k]
