@@ -505,3 +505,159 @@ def test_unseen_wordings_of_licences(spark, sf):
     hits = [got[i] == k for i, (k, _) in enumerate(rows) if k]
     assert np.mean(hits) >= 0.9, [(rows[i], got[i]) for i in got if rows[i][0] != got[i]]
     assert all(got[i] == "" for i, (k, _) in enumerate(rows) if not k), [(t, got[i]) for i, (k, t) in enumerate(rows) if not k]
+
+
+def test_near_duplicates_are_judged_by_their_text(spark):
+    rng = np.random.default_rng(8)
+    a, b, c = (" ".join(f"w{x}" for x in rng.integers(0, 500, 60)) for _ in range(3))
+    rows = [(None, a, "x"), (7, b, "x"), (7, c, "x"), (9, b + " more", "x"), (3, c, "x"), (None, a + " end", "y"), (11, "", "x"), (12, "", "x"), (13, None, "x")]
+    docs = spark.createDataFrame(rows + rows[:1], "doc_id long, text string, component_id string")
+    got = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert len(got) == len(set(got)) == 6 and {r[0] for r in got} == {None, 7, 3, 11, 12, 13}
+    assert (7, b, "x") in got and (3, c, "x") in got
+
+
+def test_language_is_the_nearest_centroid(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language.train(docs, F.lit(True))
+
+    def vector(text):
+        kept = "".join(ch if ch in "abcdefghijklmnopqrstuvwxyz" or ord(ch) > 127 else " " for ch in "".join(chr(ord(ch) + 32) if "A" <= ch <= "Z" or "\u00c0" <= ch <= "\u00de" else ch for ch in text))
+        data = re.sub(" +", " ", kept + " ").encode()
+        n = np.zeros(language.DIMS)
+        for size in (1, 2, 3):
+            for i in range(len(data) - size + 1):
+                code = 0
+                for byte in data[i : i + size]:
+                    code = (code * 257 + byte) % 2**32
+                n[(code + size) * 2654435761 % 2**32 >> 20] += 1
+        v = np.log1p(n) * model.idf
+        return v / max(np.sqrt((v * v).sum()), 1e-12), n.sum()
+
+    rows = docs.where("text is not null and n_chars < 3000").limit(40).collect()
+    got = {r["doc_id"]: r for r in language.identify(docs, model, "doc_id").collect()}
+    for r in rows:
+        v, n = vector(r["text"])
+        cosine = model.centroids @ v
+        best = int(cosine.argmax())
+        found = got[r["doc_id"]]
+        if found["lang_pred"] != "und":
+            assert found["lang_pred"] == model.languages[best] and abs(found["score"] - cosine[best]) < 1e-3
+            assert found["rejected"] == (cosine[best] < model.least[best] * min(1, np.sqrt(n / language.ENOUGH)))
+    junk = spark.createDataFrame([(1, "zzqx kkwv " * 300), (2, "@@@ ### 123 " * 50)], "doc_id long, text string")
+    assert [r["rejected"] for r in language.identify(junk, model, "doc_id").orderBy("doc_id").collect()] == [True, True]
+
+
+def _edits(word, term):
+    """Whether a word is a term with one letter changed, missing, too many, or two neighbours swapped, the first one apart."""
+    out = set()
+    letters = set(word) | set(term)
+    for i in range(1, len(term) + 1):
+        out |= {term[:i] + c + term[i:] for c in letters}
+        if i < len(term):
+            out |= {term[:i] + term[i + 1 :]} | {term[:i] + c + term[i + 1 :] for c in letters if c != term[i]}
+            if i + 1 < len(term):
+                out.add(term[:i] + term[i + 1] + term[i] + term[i + 2 :])
+    return word in out
+
+
+def test_automaton_equals_edit_distance():
+    rng = np.random.default_rng(6)
+    terms = ["scumbag", "idiots", "morons", "vermin"]
+    lexicon = toxicity.Lexicon([f"{t}$" for t in terms])
+    words = set(terms)
+    for t in terms:
+        for _ in range(400):
+            w = list(t)
+            for _ in range(int(rng.integers(1, 3))):
+                i, kind, c = int(rng.integers(1, len(w))), int(rng.integers(4)), chr(97 + int(rng.integers(26)))
+                w = {0: w[:i] + [c] + w[i:], 1: w[:i] + w[i + 1 :] or w, 2: w[:i] + [c] + w[i + 1 :], 3: w[: i - 1] + w[i : i + 1] + w[i - 1 : i] + w[i + 1 :]}[kind]
+                w = w if len(w) > 2 else list(t)
+            words.add("".join(w))
+    words = sorted(words)
+    for w, h in zip(words, lexicon.look_up(words).tolist(), strict=True):
+        want = toxicity.EXACT if w in terms else toxicity.FUZZY if any(_edits(w, t) for t in terms) else 0
+        assert h & 3 == want, w
+
+
+def test_long_texts_score_as_their_words_do():
+    lexicon = toxicity.Lexicon(["scumbag$"])
+    model = toxicity.Model(lexicon, frozenset(), toxicity.PRIOR, -4.0)
+    text = " ".join("scumbag" if i % 9_999 == 0 else "he said" if i % 7_000 == 6_990 else f"w{i}" for i in range(50_000))
+    spans = [m.group() for m in re.finditer(r"[^\W_]+", text)]
+    n = np.zeros(4)
+    for i, w in enumerate(spans):
+        if w == "scumbag":
+            n[2 * any(x in toxicity.REPORTING for x in spans[max(0, i - 8) : i + 9])] += 1
+    assert np.allclose(model.features(text), np.log1p(n)) and n.sum() == 6
+
+
+def test_rules_verdict_equals_plain_python(spark, sf):
+    got = rules.measures(rules.keyed(rules.counts(spark.read.parquet(f"{sf}/documents.parquet"), "lang", "source"))).collect()
+    verdict = {r["doc_id"]: r["kept"] for r in catalog.op7_rules(spark, sf).collect()}
+
+    def quantile(values, p):
+        values = sorted(values)
+        return values[max(0, int(np.ceil(p * len(values))) - 1)]
+
+    def limits(rows):
+        out = {}
+        for m, (small, large) in rules.MEASURES.items():
+            low, high, tail = (quantile([r[m] for r in rows], p) for p in (0.25, 0.75, 0.95))
+            slack = min(max(tail - high, small), large)
+            out[m] = (low - 3 * (high - low) - slack if m in rules.FLOOR else -np.inf, high + 3 * (high - low) + slack)
+        return out
+
+    good = [r for r in got if not r["base_failed"]]
+    for r in got:
+        sets = [[x for x in good if (x["lang_key"], x["source_key"]) == (r["lang_key"], r["source_key"])], [x for x in good if x["lang_key"] == r["lang_key"]], good]
+        own = limits(next(s for k, s in enumerate(sets) if len(s) >= 50 or k == 2))
+        want = not r["base_failed"] and all(a - 1e-12 <= r[m] <= b + 1e-12 for m, (a, b) in own.items())
+        assert verdict[r["doc_id"]] == want, r
+
+
+def test_rules_limits_beyond_a_broadcast(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = sorted(tuple(r) for r in rules.judge(docs).collect())
+    monkeypatch.setattr(rules, "FEW_GROUPS", 0)
+    assert sorted(tuple(r) for r in rules.judge(docs).collect()) == want
+
+
+def test_topk_in_turns_and_wide_components(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    vectors = [(i, (rng.normal(0, 0.2, 8) * (10.0**6 if i % 7 == 0 else 1)).tolist()) for i in range(160)] + [(500, rng.normal(0, 1, 3).tolist())]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    whole = {i: [int(np.floor(x * 256)) for x in v] for i, v in vectors}
+    want = []
+    for q in (0, 50, 100, 150, 500):
+        scored = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+    for limit in (topk.NUMBERS, 8):
+        monkeypatch.setattr(topk, "NUMBERS", limit)
+        got = topk.top_k(df, F.col("vec_id") % 50 == 0, rows=40).orderBy("query_id", "rank").collect()
+        assert [tuple(r) for r in got] == want
+
+
+def test_kept_columns_give_way_to_outputs(spark):
+    docs = hostile(spark)
+    model = language.train(docs, F.lit(True))
+    got = language.identify(docs, model, "doc_id", "score", "text", "rejected")
+    assert got.columns == ["doc_id", "text", "lang_pred", "score", "rejected"] and dict(got.dtypes)["score"] == "double" and got.count() == 14
+    texts = {r["doc_id"]: r["text"] for r in docs.where("doc_id is not null").collect()}
+    assert all(r["text"] == texts[r["doc_id"]] for r in got.where("doc_id is not null").collect())
+
+
+def test_chunk_table_tells_clashing_hashes_apart(monkeypatch):
+    from tessera.llm import shared
+
+    def number(chunks):
+        return [np.frombuffer(c.ljust(8, b"\0")[:8], "<u4").astype("<u4").tobytes() for c in chunks]
+
+    texts = [b"a bb ccc a\0 abcdefgh-long bb", b"", b" x" * 40, b"ccc bb a", b"no,comma,here 1a", "é à".encode()]
+    want = [b"".join(number(t.split())) for t in texts]
+    for few in (False, True):
+        if few:  # all hashes fall on four values
+            monkeypatch.setattr(shared, "mixed", lambda x: x & np.uint64(3))
+        for most in (1 << 20, 4):
+            table = shared.ChunkTable(number, most=64 if few else 1 << 20)
+            assert list(table.joined(iter(texts), most)) == want
