@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and is written as Parquet before the next one reads it.  A row that a filter
 rejects is gone for all later stages; the first three return the columns of their input, the last one the places of
-all pieces.  Rows with null texts have no letters and leave with the first stage.  Of rows with one doc_id one stays.
+all pieces.  Rows with null texts have no letters and leave with the first stage; rows without an id stay as any other.
+Texts of any length are read whole; an empty table goes through all stages; columns may have any names.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm import jaccard, language, packing, toxicity
 from tessera.llm.catalog import TOKENIZER
-from tessera.llm.shared import documents, shared_dir
+from tessera.llm.shared import documents, durable, shared_dir
+
+FEW = 2_000_000  # keys that are broadcast: 16 MB
 
 
 def _filtered(docs: DataFrame, judged: Callable[..., DataFrame], condition: str) -> DataFrame:
@@ -39,9 +42,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that with the smallest id, of each group linked by five-word shingles at 0.8."""
-    first = jaccard.join_documents(docs, words=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Keeps one document, that with the smallest id, of each group linked by five-word shingles at 0.8.
+
+    Rows are told apart by a 64-bit hash of their id and text, so rows without an id, and different texts of one id,
+    are judged by their own text.  Of equal rows one stays.
+    """
+    own = [f"_c{i}" for i in range(len(docs.columns))]
+    named = docs.toDF(*own)
+    doc, text = own[docs.columns.index("doc_id")], own[docs.columns.index("text")]
+    keyed = named.withColumn("_key", F.xxhash64(doc, text))
+    found = jaccard.join_documents(keyed.select(F.col("_key").alias("doc_id"), F.col(text).alias("text")), words=5, percent=80)
+    found = durable(found.select(F.col("doc_id").alias("_key"), "component_id"), "components")
+    ids = keyed.select("_key", F.col(doc).alias("_doc"))
+    first = F.min(F.struct(F.col("_doc").isNull().alias("none"), F.col("_doc").alias("doc"), F.col("_key").alias("key")))
+    kept = durable(found.join(ids, "_key").groupBy("component_id").agg(first.alias("first")).select(F.col("first.key").alias("_key")), "kept")
+    few = kept.count() <= FEW
+    left = keyed.join(F.broadcast(kept) if few else kept, "_key", "left_semi")
+    n = found.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("_key").alias("keys")).first()
+    left = left if n["rows"] == n["keys"] else left.dropDuplicates(["_key"])
+    return left.select(*own).toDF(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
