@@ -7,14 +7,17 @@ or phone, be it an earlier job or one that an earlier message of the same batch
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.contact import is_job_message, normalize_phone, without_chat_marks
 from tessera.functions.text import blank
+from tessera.operators.components import components
 from tessera.operators.joins import first_company_by_pattern, oldest_since
 from tessera.operators.messages import companies_by_phone
 
@@ -59,50 +62,56 @@ def resolve_batch(messages: DataFrame, blocks: DataFrame, days: int = 14) -> Dat
     """(id, job_id, outcome): new, linked or duplicate, as if the messages had come one by one.
 
     messages: id, at, company_id, street (number and name in one, or null), phone.  blocks: (id, block) must put
-    messages that can reach one another through addresses and phones in one block; blocks are days wide, not sites
-    wide, so they stay small.  Only a block's messages are folded in order of time.
+    messages that can reach one another through addresses and phones in one block.  A block's messages stream through
+    one task in order of time, which holds only the jobs of the last `days`.
     """
     span = pd.Timedelta(days=days)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        by_street: dict[str, list] = {}
-        by_phone: dict[str, list] = {}
-        out = []
-        for r in pdf.sort_values(["at", "id"]).itertuples():
-            near = [j for known, k in ((by_street, r.street), (by_phone, r.phone)) if k for j in known.get(k, []) if j[0] >= r.at - span]
-            oldest = min(near, key=lambda j: (j[0], j[1]), default=None)
-            crossed = oldest is not None and oldest[2] and r.company_id and oldest[2] != r.company_id
-            if oldest is not None and not crossed:
-                out.append((r.id, oldest[1], "linked"))
-                continue
-            job = (r.at, r.id, r.company_id)
-            for known, k in ((by_street, r.street), (by_phone, r.phone)):
-                if k:
-                    known.setdefault(k, []).append(job)
-            out.append((r.id, r.id, "duplicate" if crossed else "new"))
-        return pd.DataFrame(out, columns=["id", "job_id", "outcome"])
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, known = None, {}
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                if r.block != block:
+                    block, known = r.block, {}
+                near, keys = [], [(side, k) for side, k in (("s", r.street), ("p", r.phone)) if k]
+                for k in keys:
+                    jobs = known.get(k)
+                    while jobs and jobs[0][0] < r.at - span:
+                        jobs.popleft()
+                    near += jobs or ()
+                oldest = min(near, key=lambda j: (j[0], j[1]), default=None)
+                crossed = oldest is not None and oldest[2] and r.company_id and oldest[2] != r.company_id
+                if oldest is not None and not crossed:
+                    out.append((r.id, oldest[1], "linked"))
+                    continue
+                for k in keys:
+                    known.setdefault(k, deque()).append((r.at, r.id, r.company_id))
+                if len(known) > 100_000:
+                    known = {k: j for k, j in known.items() if j and j[-1][0] >= r.at - span}
+                out.append((r.id, r.id, "duplicate" if crossed else "new"))
+            yield pd.DataFrame(out, columns=["id", "job_id", "outcome"])
 
     rows = messages.join(blocks, "id").select("block", "id", "at", "company_id", "street", "phone")
-    return rows.groupBy("block").applyInPandas(lambda pdf: fold(pdf), "id string, job_id string, outcome string")
+    return rows.repartition("block").sortWithinPartitions("block", "at", "id").mapInPandas(fold, "id string, job_id string, outcome string")
 
 
-def linked_blocks(messages: DataFrame, rounds: int = 25) -> DataFrame:
-    """(id, block) of messages connected through equal streets or phones: labels spread until they settle.
+def linked_blocks(messages: DataFrame, days: int = 14) -> DataFrame:
+    """(id, block) of messages connected through equal streets or phones that come within `days` of one another.
 
-    Each round is two aggregations over keys; labels are written to the session's checkpoint folder.
+    A key's messages are cut where nothing came for more than `days`: found over one row a key and day, so a key with
+    very many messages is no window of its own.
     """
-    keys = messages.select("id", F.explode(F.array_compact(F.array(F.concat(F.lit("s"), F.col("street")), F.concat(F.lit("p"), F.col("phone"))))).alias("key"))
-    labels = messages.select("id", F.col("id").alias("block")).checkpoint()
-    for _ in range(rounds):
-        low = keys.join(labels, "id").groupBy("key").agg(F.min("block").alias("low"))
-        best = keys.join(low, "key").groupBy("id").agg(F.min("low").alias("low"))
-        new = labels.join(best, "id", "left").select("id", F.least("block", F.coalesce("low", "block")).alias("block"), F.col("block").alias("_old")).checkpoint()
-        if new.where("block <> _old").isEmpty():
-            break
-        labels = new.drop("_old")
-    else:
-        raise RuntimeError("blocks did not settle: raise rounds")
-    return new.drop("_old")
+    each = messages.select("id", "at", F.to_date("at").alias("day"), F.explode(F.array_compact(F.array(F.concat(F.lit("s"), F.col("street")), F.concat(F.lit("p"), F.col("phone"))))).alias("key"))
+    days_of = each.groupBy("key", "day").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    w = W.partitionBy("key").orderBy("day")
+    late = F.unix_micros("first") - F.unix_micros(F.lag("last").over(w)) > days * DAY
+    runs = days_of.withColumn("_new", F.coalesce(late, F.lit(False)).cast("int"))
+    runs = runs.select("key", "day", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("run"))
+    grouped = each.join(runs, ["key", "day"])
+    first = grouped.groupBy("key", "run").agg(F.min("id").alias("first"))
+    found = components(grouped.join(first, ["key", "run"]).select("first", "id"), "first", "id")
+    return messages.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("block"))
 
 
 def rematch_closings(closings: DataFrame, jobs: DataFrame, days: int = 14) -> DataFrame:

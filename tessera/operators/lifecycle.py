@@ -71,7 +71,10 @@ def attribute_replies(replies: DataFrame, own_messages: DataFrame, dispatches: D
     quoted = replies.where("quoted_wa_message_id is not null").join(
         dispatches.withColumnRenamed("wa_message_id", "quoted_wa_message_id"), ["chat_jid", "quoted_wa_message_id"]
     ).select("id", "event_id", "job_id")
-    near = replies.where("quoted_wa_message_id is null").join(sent.where("sent_at is not null"), "chat_jid")
+    # both sides meet by chat and bucket of time, of which a reply looks into two
+    slot = lambda c: F.floor(F.unix_micros(c) / (minutes * 60_000_000))
+    asked = replies.where("quoted_wa_message_id is null").select("id", "chat_jid", "timestamp", F.explode(F.array(slot("timestamp") - 1, slot("timestamp"))).alias("_slot"))
+    near = asked.join(sent.where("sent_at is not null").withColumn("_slot", slot("sent_at")), ["chat_jid", "_slot"])
     near = near.where((F.col("sent_at") <= F.col("timestamp")) & (F.col("sent_at") >= F.col("timestamp") - F.make_dt_interval(mins=F.lit(minutes)))).select("id", "event_id", "job_id")
     per = quoted.unionByName(near).groupBy("id").agg(F.countDistinct("event_id").alias("n"), F.min("event_id").alias("event_id"), F.min("job_id").alias("job_id"))
     got = replies.join(per, "id", "left")

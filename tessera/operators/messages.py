@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.contact import normalize_phone, phone_match_key
 from tessera.functions.text import contains_any_case, like_escaped
-from tessera.operators.perkey import latest, page, where_all, within
+from tessera.operators.perkey import page, where_all, within
 
 
 def counterparty() -> Column:
@@ -19,8 +19,9 @@ def thread_heads(messages: DataFrame, phone_number_id: str | None = None) -> Dat
     """One row a counterparty: its latest message and message_count, phone messages only."""
     own = where_all(messages, F.col("source") == "openphone", None if phone_number_id is None else F.col("phone_number_id") == phone_number_id)
     named = own.withColumn("counterparty", counterparty()).where("counterparty is not null")
-    heads = latest(named, ["counterparty"], ["created_at", "id"])
-    return heads.join(named.groupBy("counterparty").agg(F.count(F.lit(1)).alias("message_count")), "counterparty")
+    rest = [c for c in named.columns if c != "counterparty"]
+    got = named.groupBy("counterparty").agg(F.max_by(F.struct(*rest), F.struct("created_at", "id")).alias("_head"), F.count(F.lit(1)).alias("message_count"))
+    return got.select("counterparty", "_head.*", "message_count")
 
 
 def list_threads(messages: DataFrame, labels: DataFrame | None = None, companies: DataFrame | None = None, phone_number_id: str | None = None, skip: int = 0, limit: int = 50) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tessera.functions.values import business_day
 
 BUCKETS = ["closed_completed", "still_open", "scheduled_another_day", "canceled", "rejected"]
-MOST_DAYS = 92
 
 
 def other_day() -> Column:
@@ -64,7 +63,9 @@ def status_jobs(
 
 def summaries(jobs: DataFrame, origins: DataFrame, companies: DataFrame) -> DataFrame:
     """Jobs with company name, address line and a preview of their earliest message."""
-    first = origins.groupBy(F.col("job_id").alias("id")).agg(F.min_by(F.struct("content", "from_number"), "created_at").alias("_m"))
+    # few jobs are asked for, so only their messages are aggregated
+    asked = origins.join(jobs.select(F.col("id").alias("job_id")).distinct(), "job_id", "left_semi")
+    first = asked.groupBy(F.col("job_id").alias("id")).agg(F.min_by(F.struct("content", "from_number"), "created_at").alias("_m"))
     names = companies.select(F.col("id").alias("company_id"), F.coalesce("display_name", "name").alias("company_name"))
     out = jobs.join(names, "company_id", "left").join(first, "id", "left")
     address = F.nullif(F.concat_ws(" ", "address_street_number", "address_street_name", "address_city", "address_state", "address_zip"), F.lit(""))
