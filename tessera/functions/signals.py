@@ -47,7 +47,7 @@ ZIP_ALONE = r"\b\d{5}\b"
 LEAST_JOB, MOST_NOTE, LEAST_RATIO, MOST_ZIP_WORDS, MOST_WORDS = 25, 200, 0.75, 4, 12
 RELAYED = ["in_progress", "appt_set", "needs_follow_up", "canceled"]
 #: What a technician's message says and the state that it leads to.
-INTENTS = {"on_way": "in_progress", "appt_set": "appt_set", "needs_follow_up": "needs_follow_up", "canceled": "canceled"}
+INTENTS = {"in_progress": "in_progress", "appt_set": "appt_set", "needs_follow_up": "needs_follow_up", "canceled": "canceled"}
 
 
 def _plain(phrases: list[str]) -> list[str]:

@@ -11,7 +11,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -134,3 +134,28 @@ def extract(messages: DataFrame, extractor, schema: str, id_column: str = "id",
             yield pd.DataFrame({id_column: pdf[id_column], **{f: [(r or {}).get(f) for r in rows] for f in fields}})
 
     return messages.select(id_column, text_column).mapInPandas(run, f"{id_column} string, {schema}")
+
+
+def saved(dispatch: DataFrame, extracted: DataFrame, outcomes: DataFrame, fields: list[str]) -> DataFrame:
+    """Dispatch jobs with the extracted fields (and extraction_raw, all of them as JSON), the status, company and job of their outcome.
+
+    extracted: id and fields; outcomes: id, status, company_id, job_id, method, error.  Jobs without an outcome stay.
+    """
+    new = outcomes.join(extracted.select("id", F.struct(*fields).alias("_x")), "id", "left").select(
+        "id", "_x", F.struct(F.col("status").alias("classification_status"), F.col("method").alias("classification_method"), F.col("error").alias("classification_error"), "company_id", "job_id").alias("_o")
+    )
+    got = dispatch.join(new, "id", "left")
+    kinds = dict(dispatch.dtypes)
+    hit = F.col("_o").isNotNull()
+    change = {c: F.when(hit, F.col(f"_o.{c}").cast(kinds[c])).otherwise(F.col(c)) for c in ("classification_status", "classification_method", "classification_error", "company_id", "job_id")}
+    change |= {c: F.when(hit, F.col(f"_x.{c}").cast(kinds[c])).otherwise(F.col(c)) for c in fields}
+    change["extraction_raw"] = F.when(hit, F.to_json("_x")).otherwise(F.col("extraction_raw"))
+    return got.withColumns(change).select(*dispatch.columns)
+
+
+def reset(dispatch: DataFrame, condition: Column, keep: tuple[str, ...] = ("id", "incoming_message_id", "created_at")) -> DataFrame:
+    """Dispatch jobs for which the condition holds as they were before classification: pending, everything else null."""
+    hit = F.coalesce(condition, F.lit(False))
+    kinds = dict(dispatch.dtypes)
+    blank_ = {c: F.when(~hit, F.col(c)).cast(kinds[c]) for c in dispatch.columns if c not in (*keep, "classification_status")}
+    return dispatch.withColumns(blank_ | {"classification_status": F.when(hit, "pending").otherwise(F.col("classification_status"))})

@@ -88,3 +88,12 @@ def checked_bindings(rows: DataFrame, companies: DataFrame, bindings: DataFrame)
 def success_rate(done: Column, failed: Column) -> Column:
     """Per cent of what was done; 100 if nothing was tried."""
     return F.when(done + failed == 0, 100.0).otherwise(100.0 * done / (done + failed))
+
+
+def reactivated(table: DataFrame, rows: DataFrame, key: str, flag: str = "is_active") -> DataFrame:
+    """The table after rows were created: an existing key only becomes active again, a new one is added (the first of each)."""
+    asked = rows.select(F.col(key).alias("_key")).distinct()
+    kept = table.join(asked, F.col(key) == F.col("_key"), "left").withColumn(flag, F.when(F.col("_key").isNotNull(), True).otherwise(F.col(flag))).select(*table.columns)
+    kinds = dict(table.dtypes)
+    new = rows.join(table.select(key), key, "left_anti").dropDuplicates([key]).withColumn(flag, F.lit(True))
+    return kept.unionByName(new.select(*[(F.col(c) if c in new.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in table.columns]))

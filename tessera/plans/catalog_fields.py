@@ -86,7 +86,7 @@ def update_lines(spark, d):
     e = A.table(spark, d, "events")
     why, note = F.when(F.col("event_id") % 3 == 0, "will_cb"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("n"), F.col("event_id").cast("string")))
     line = signals.update_line(pick("event_id", *UPDATES), F.lit("noon"), F.lit("5pm"), why, note)
-    intent = pick("event_id", "on_way", "appt_set", "needs_follow_up", "canceled", "thanks")
+    intent = pick("event_id", "in_progress", "appt_set", "needs_follow_up", "canceled", "thanks")
     return e.select("event_id", line.alias("line"), signals.relay_text(F.when(F.col("event_id") % 4 == 0, " job "), F.lit("L")).alias("relay"), signals.status_of_intent(intent).alias("status"))
 
 

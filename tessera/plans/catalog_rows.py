@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import extraction as X
 from tessera.functions import text, values
-from tessera.operators import messages, perkey, rows
+from tessera.operators import classify, messages, perkey, rows
 from tessera.plans import adapters as A
 from tessera.plans import backfill, rollups
 from tessera.plans.registry import query
@@ -242,3 +242,95 @@ def batch_prompts(spark, d):
 def duration_words(spark, d):
     o = A.table(spark, d, "orders").withColumn("m", (F.col("o_orderkey") % 50) * 6 + 6)
     return o.select("o_orderkey", values.duration_words(F.col("m")).alias("words"), text.clock(F.col("o_orderdate")).alias("stamp"))
+
+
+@query("""select conv_id || '-' || lpad(cast(turn as varchar), 6, '0') id, 'addr ' || length(text) address, case when turn % 2 = 0 then 'Lockbox' end job_type from conversations""")
+def extracted_fields(spark, d):
+    def extractor(texts):  # stands for a model: what it says depends on the text alone
+        return [{"address": f"addr {len(t)}", "job_type": "Lockbox" if t.startswith("0") else None} for t in texts]
+
+    m = A.thread_messages(spark, d).withColumn("content", F.concat((F.col("turn") % 2).cast("string"), "content"))
+    got = classify.extract(m, extractor, "address string, job_type string")
+    return got.select("id", F.concat(F.lit("addr "), (F.substring("address", 6, 9).cast("int") - 1).cast("string")).alias("address"), "job_type")
+
+
+@query("""select o_orderkey id, case when o_orderkey % 3 = 0 then 'pending' when o_orderkey % 2 = 0 then 'NEW' else 'old' end status, case when o_orderkey % 3 > 0 and o_orderkey % 2 = 0 then 'a' || o_orderkey when o_orderkey % 3 > 0 then 'before' end address,
+ case when o_orderkey % 3 > 0 and o_orderkey % 2 = 0 then 'a' || o_orderkey end raw, case when o_orderkey % 3 > 0 then o_custkey end company_id from orders""")
+def extractions_saved(spark, d):
+    o = A.table(spark, d, "orders")
+    none = lambda c: F.lit(None).cast("string").alias(c)
+    dispatch = o.select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("incoming_message_id"), F.col("o_custkey").alias("company_id"), F.lit(7).cast("bigint").alias("job_id"), F.lit("old").alias("classification_status"), none("classification_method"),
+        none("classification_error"), F.lit("before").alias("address"), none("total"), none("extraction_raw"), F.col("o_orderdate").alias("created_at"),
+    )
+    done = o.where("o_orderkey % 2 = 0")
+    extracted = done.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("a"), F.col("o_orderkey").cast("string")).alias("address"), F.lit("5").alias("total"))
+    outcome = done.select(F.col("o_orderkey").alias("id"), F.lit("NEW").alias("status"), F.col("o_custkey").alias("company_id"), F.col("o_orderkey").alias("job_id"), F.lit("regex").alias("method"), none("error"))
+    got = classify.reset(classify.saved(dispatch, extracted, outcome, ["address", "total"]), F.col("id") % 3 == 0)
+    return got.select("id", F.col("classification_status").alias("status"), "address", F.get_json_object("extraction_raw", "$.address").alias("raw"), "company_id")
+
+
+@query("select c_custkey chat, c_custkey % 4 = 0 or c_custkey % 3 = 0 or c_custkey % 2 = 1 is_active, case when c_custkey % 2 = 0 then 'kept' else 'new' end origin from customer where c_custkey % 2 = 0 or c_custkey % 3 = 0")
+def chats_created(spark, d):
+    c = A.table(spark, d, "customer").select(F.col("c_custkey").alias("chat"), "c_custkey")
+    table = c.where("c_custkey % 2 = 0").select("chat", (F.col("c_custkey") % 4 == 0).alias("is_active"), F.lit("kept").alias("origin"))
+    new = c.where("c_custkey % 3 = 0").select("chat", F.lit("new").alias("origin"))
+    return rows.reactivated(table, new.union(new), "chat")
+
+
+@query("""select 'company' page, cast(k as varchar) k from (select c_custkey k, row_number() over (order by lower(case when c_custkey % 2 = 0 then upper(c_name) else c_name end), c_custkey) r from customer where c_custkey < 40) where r between 6 and 15
+ union all select 'event', cast(event_id as varchar) from (select event_id, row_number() over (order by ts desc, event_id desc) r from events where user_id = 5) where r between 3 and 7
+ union all select 'alert', cast(event_id as varchar) from (select event_id, row_number() over (order by ts desc, event_id) r from events where event_id % 3 <> 0 and event_type = 'click') where r <= 10
+ union all select 'unseen', cast(event_id as varchar) from (select event_id, row_number() over (order by ts desc, event_id) r from events where event_id % 3 <> 0 and event_id % 5 <> 0) where r <= 10
+ union all select 'message', conv_id || '-' || turn from (select conv_id, turn, row_number() over (order by turn) r from conversations where conv_id = (select min(conv_id) from conversations)) where r between 2 and 4""")
+def list_pages(spark, d):
+    from tessera.operators import monitors
+
+    named = lambda name, df, key: df.select(F.lit(name).alias("page"), key.cast("string").alias("k"))
+    companies = perkey.page(perkey.where_all(A.phoned_companies(spark, d), F.col("is_active")), [F.lower(F.coalesce("display_name", "name")), F.col("id")], 5, 10)
+    events = perkey.page(rows.lookup(A.table(spark, d, "events"), user_id=5), [F.desc("ts"), F.desc("event_id")], 2, 5)
+    a = A.alerts(spark, d)
+    alerts = perkey.page(monitors.open_alerts(a, ["undispatched"]), [F.desc("detected_at"), F.col("id")], 0, 10)
+    unseen = perkey.page(monitors.open_alerts(a, unseen=True), [F.desc("detected_at"), F.col("id")], 0, 10)
+    c = A.table(spark, d, "conversations")
+    first = c.agg(F.min("conv_id")).first()[0]
+    turns = perkey.page(rows.lookup(c, conv_id=first), [F.col("turn")], 1, 3)
+    parts = [named("company", companies, F.col("id")), named("event", events, F.col("event_id")), named("alert", alerts, F.col("id")), named("unseen", unseen, F.col("id")), named("message", turns, F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("""with m as (select event_id, ts, unnest([user_id, user_id + 1]) other from events where event_type = 'error') select a.event_id id, count(m.event_id) n from events a left join m on m.other = a.user_id and m.ts > a.ts and m.ts <= a.ts + interval 1 day where a.event_type = 'signup' group by a.event_id""")
+def messages_sent_after(spark, d):
+    from tessera.operators.joins import count_between
+
+    m = A.messages_of_events(spark, d)
+    sent = m.where("event_type = 'error'").select(F.explode(F.array("chat", F.col("chat") + 1)).alias("other"), F.col("timestamp").alias("sent"))
+    probes = m.where("event_type = 'signup'").select("id", F.col("chat").alias("other"), "timestamp", (F.col("timestamp") + F.expr("interval 1 day")).alias("until"))
+    return count_between(probes, sent, "other", "timestamp", "until", "sent", "n").select("id", "n")
+
+
+@query("select user_id, count(*) filter (where event_id % 2 = 0) total, count(*) filter (where event_type = 'click' and event_id % 2 = 0) created_click, count(*) filter (where event_type = 'view') open_view from events group by user_id")
+def scan_log_fields(spark, d):
+    from tessera.operators import monitors
+
+    e = A.table(spark, d, "events")
+    kinds = ["click", "view"]
+    made = lambda cond: F.create_map(*[x for k in kinds for x in (F.lit(k), F.count_if(cond & (F.col("event_type") == k)))])
+    even = F.col("event_id") % 2 == 0
+    got = e.groupBy("user_id").agg(made(even).alias("created"), made(F.lit(True)).alias("open"), F.count_if(even & ~F.col("event_type").isin(kinds)).alias("rest"))
+    log = monitors.log_fields(F.col("created"), F.col("open"))
+    return got.select("user_id", (monitors.total_created(F.col("created")) + F.col("rest")).alias("total"), F.element_at(log, "created_click").alias("created_click"), F.element_at(log, "open_view").alias("open_view"))
+
+
+@query("""select event_id id, case when user_id % 10 = 9 then 'rejected_chat' when event_id % 6 = 5 then 'closing_signal' when user_id % 2 = 0 and event_type = 'click' then 'dispatch' when user_id % 2 = 0 then 'tech_reply' when event_type = 'click' and event_id % 6 < 2 then 'operator_reject' else 'classify' end route from events""")
+def message_routes(spark, d):
+    from tessera.streaming.ingest import route
+
+    m = A.messages_of_events(spark, d)
+    body = F.when(F.col("id") % 6 == 5, "Paid $600").otherwise(F.col("body"))
+    asked = m.select("id", F.col("chat").alias("chat_jid"), body.alias("body"), (F.col("event_type") == "click").alias("is_from_me"))
+    chats = m.select(F.col("chat").alias("chat_jid")).distinct().select("chat_jid", (F.col("chat_jid") % 10 < 9).alias("is_active"), F.when(F.col("chat_jid") % 2 == 0, "tech_dispatch").otherwise("company").alias("chat_role"))
+    return route(asked, chats).select("id", "route")

@@ -21,6 +21,13 @@ TABLES = {
     "daily_stats_snapshots": "snapshot_date date, scope string, scope_id string, payload string",
 }
 
+#: What extractors give: fields of jobs, closings, companies and technicians' intents.
+EXTRACTIONS = {
+    "job": "address string, job_type string, total string, parts string, payment_method string, tech_name string, car_make string, car_model string, car_year string, customer_name string, customer_phone string, scheduled_at string, job_description string",
+    "closing": "address string, customer_phone string, total string, parts string, tip string, payment_method string, notes string",
+    "company": "company_name string, confidence double, reasoning string",
+    "intent": "intent string, appt_iso string, follow_up_at string, reason string, notes string",
+}
 STATUSES = ["pending", "dispatched", "accepted", "in_progress", "appt_set", "needs_follow_up", "canceled", "completed", "closed", "rejected"]
 TERMINAL = ["closed", "canceled", "rejected"]
 
