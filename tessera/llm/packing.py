@@ -5,7 +5,12 @@ numbers each, never their tokens) are dealt at random to partitions of about `ro
 best-fit decreasing.  Dual feasible functions give a lower bound of each partition's bin count; where the count
 meets the bound nothing better exists.  Partitions with a gap exchange documents: `fan` of them at a time release
 their emptiest bins and pack what was in them again, together; that repeats `rounds` times or until no gap is left.
-The result is the same for every order of rows.  Null texts count as empty and give one piece with the end id.
+A bound over the lengths of all pieces then certifies the whole; if there are more sequences, every partition, with or
+without a gap of its own, puts its emptiest one into a last exchange.  `gap` is how many sequences are left above that
+bound.  The result is the same for every order of rows, unless so many rows are equal that they fill partitions of
+their own (then equal rows are dealt out by their place).  Null and empty texts give one piece with the end id; very
+long ones are cut only into pieces of `capacity`; repeated rows are packed as often as they come; an empty table gives
+no rows; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,9 +35,13 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     The first drops items below a and counts items above capacity - a as full, for every a up to half the capacity;
     the second rounds (k + 1) * length / capacity down where it isn't whole, for k up to 100.
     """
-    if not len(lengths):
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def bound_of_counts(count: np.ndarray, capacity: int) -> int:
+    """The same from the number of items of each length."""
+    if not count.any():
         return 0
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
     size = np.arange(capacity + 1)
     items, mass = np.cumsum(count), np.cumsum(count * size)
     a = np.arange(0, capacity // 2 + 1)
@@ -137,7 +146,11 @@ def pack(found: DataFrame, capacity: int = 2048, rows: int = 20_000, fan: int =
     rows * fan ** rounds pieces.
     """
     n = found.count()
-    deal = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(max(1, -(-n // rows))))
+    parts = max(1, -(-n // rows))
+    deal = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts))
+    most = found.groupBy(deal.alias("part")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > 4 * rows:  # equal rows would fill a partition
+        deal = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(parts))
     placed = durable(
         found.withColumn("part", deal).withColumn("gap", F.lit(0).cast("long")).groupBy("part")
         .applyInPandas(lambda pdf: pack_partition(pdf, capacity)[names], PLACED),
@@ -152,7 +165,25 @@ def pack(found: DataFrame, capacity: int = 2048, rows: int = 20_000, fan: int =
         placed = durable(placed.where("gap = 0").unionByName(again), "packed")
         if -(-n // rows) <= fan**k:
             break
-    return placed
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in placed.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # at most `capacity` rows
+        counts[r["length"]] = r["n"]
+    bound = bound_of_counts(counts, capacity)
+    used = placed.select("sequence_id").distinct().count()
+    if used > bound and parts > 1:
+        placed = durable(last_exchange(placed, capacity), "packed")
+        used = placed.select("sequence_id").distinct().count()
+    return placed.withColumn("gap", F.lit(used - bound).cast("long"))
+
+
+def last_exchange(placed: DataFrame, capacity: int, fan: int = 2000) -> DataFrame:
+    """The emptiest sequence of every partition is packed again with those of up to `fan` others."""
+    fill = placed.groupBy("part", "sequence_id").agg(F.sum("length").alias("fill"))
+    free = fill.groupBy("part").agg(F.min(F.struct("fill", "sequence_id")).alias("e")).select("e.sequence_id")
+    free = durable(free, "emptiest")  # a row a partition
+    again = placed.join(free, "sequence_id", "left_semi").withColumn("team", F.floor(F.col("part") / fan))
+    again = again.groupBy("team").applyInPandas(lambda pdf: repack(pdf.drop(columns="team"), capacity)[names], PLACED)
+    return placed.join(free, "sequence_id", "left_anti").unionByName(again)
 
 
 names = [x.split()[0] for x in PLACED.split(", ")]
