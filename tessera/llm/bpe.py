@@ -6,7 +6,8 @@ checked for all words of a batch at once with numpy; only words that fail go thr
 runs for all of them together.  Encodings depend on white-space separated chunks alone, so each task encodes every
 distinct chunk once and looks the others up in a table of bounded size.
 
-Null and empty texts have no tokens.  Special tokens are matched in the raw text, as the tokenizers library does.
+Null and empty texts have no tokens.  Very long texts are encoded whole, in parts that end at white space; repeated
+rows and rows without an id are encoded as any other; an empty table gives no rows; other columns don't matter.  Special tokens are matched in the raw text, as the tokenizers library does.
 The files must be BPE of whole lower-cased words with an end-of-word suffix and no decoder (then decoding joins the
 tokens with spaces); other files are refused.
 """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import durable
+from tessera.llm.shared import durable, forget
 
 
 def _directed(edges: DataFrame) -> DataFrame:
@@ -32,7 +32,8 @@ def components(edges: DataFrame, most: int = 50) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = _star(down)
         small = down.join(least, "a").select(F.col("m").alias("a"), "b").union(least.select(F.col("m").alias("a"), F.col("a").alias("b")))
-        now = durable(small.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        before, now = now, durable(small.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        forget(before)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if state == mark:
             nodes = now.groupBy("b").agg(F.min("a").alias("component")).select(F.col("b").alias("node"), "component")

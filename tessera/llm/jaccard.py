@@ -19,6 +19,8 @@
 No pair of a group is expanded: a block of n like texts costs about n verifications.  N-grams are hashes of 64 bits
 (48 when whole sets are compared).
 Texts without words (or null) have empty sets and link with nothing; texts of fewer than `words` words are one n-gram.
+Very long texts are sets like any other; repeated rows link with one another; a row without an id takes part, and only
+the ids of others name its component; an empty table gives no rows; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.shared import ODD, SPACE, durable, in_batches, mixed, text_bytes
+from tessera.llm.shared import ODD, SPACE, Scratch, durable, forget, in_batches, mixed, text_bytes
 
 SLOTS = 18  # the sketch has 2**SLOTS counters
 BLOOM = 26  # at most 2**BLOOM bits
@@ -371,9 +373,9 @@ def deal(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> DataF
     return durable(dealt.mapInArrow(blocks, "heavy boolean, block long, set_id long, size long"), "blocks")
 
 
-def largest_blocks(members: DataFrame) -> DataFrame:
+def largest_blocks(members: DataFrame, scratch: Scratch) -> DataFrame:
     """(block, set_id) without blocks that lie in another; blocks are named by their members, so equal ones are one."""
-    rows = durable(members.select("block", "set_id", "size").distinct(), "light")
+    rows = scratch.store(members.select("block", "set_id", "size").distinct(), "light")
     top = rows.groupBy("set_id").agg(F.max(F.struct("size", "block")).alias("top"))
     tops = rows.join(top, "set_id").groupBy("block").agg(F.min("top.block").alias("low"), F.max("top.block").alias("high"))
     # all members have the same largest block: it holds this one
@@ -522,10 +524,13 @@ def join_documents(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
         """Components (node, component) of the links within blocks and the edges known before."""
         sets = whole_sets(docs, blocks.select("set_id").distinct(), words)
         new = tree_links(blocks, sets, percent, known)
-        return durable(components(new if edges is None else new.union(edges)), "linked")
+        found = components(new if edges is None else new.union(edges))
+        return durable(found, "linked")
 
-    paired = with_partners(largest_blocks(members.where("not heavy")), signatures, percent)
-    trees = durable(largest_blocks(durable(paired, "paired")), "trees")
+    scratch = Scratch()
+    paired = scratch.store(with_partners(largest_blocks(members.where("not heavy"), scratch), signatures, percent), "paired")
+    trees = durable(largest_blocks(paired, scratch), "trees")
+    scratch.clear()
     heavy = members.where("heavy").select("block", "set_id")
     crowded = not heavy.isEmpty()
     size = trees.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
@@ -535,6 +540,7 @@ def join_documents(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
         own = durable(with_partners(cut.select("block", "set_id"), signatures, percent), "own").select("set_id", F.col("block").alias("home"))
         home = own.union(home.join(own, "set_id", "left_anti"))
     home = durable(home, "homes")
+    forget(members)
     links = linked(home.select(F.col("home").alias("block"), "set_id"), None)
 
     def known() -> DataFrame:
@@ -548,7 +554,8 @@ def join_documents(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
     again = trees.join(open_.select("block"), "block")
     if crowded:
         again = again.union(odd_blocks(cut, named))
-    again = durable(largest_blocks(durable(with_partners(again, signatures, percent, named), "paired")), "trees")
+    again = durable(largest_blocks(scratch.store(with_partners(again, signatures, percent, named), "paired"), scratch), "trees")
+    scratch.clear()
     if not again.isEmpty():
         links = linked(again, links.toDF("b", "a").select("a", "b"), named)
     # classes of equal sets take part with their smallest document

@@ -7,7 +7,9 @@ The nearest centroid by cosine gives the language; a text that is much farther f
 is rejected.  Short texts have few n-grams and so lie farther from any centroid; the limit shrinks with their number.
 
 Null and empty texts and texts without letters get "und", score 0, and are rejected.  Ties go to the language
-first in alphabetical order.  Rows without a language never train.
+first in alphabetical order.  Rows without a language never train.  Very long texts are counted whole, in blocks;
+repeated rows are judged as rows of their own; an empty table gives no rows (a model without languages gives "und").
+Kept columns may have any names; one with the name of an output column gives way to it.
 """
 
 from __future__ import annotations

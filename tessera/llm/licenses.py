@@ -13,7 +13,8 @@ shuffle; the weights are a literal of fixed size.  Lines without a word or pair
 by one regular expression before they are cut into words.
 
 Null and empty texts have no paragraphs.  Repeated rows are scored as rows of their own.  Families that tie go to the
-alphabetically first.
+alphabetically first.  Very long texts are scanned whole, line by line; an empty table gives no rows; other columns
+don't matter, and kept ones may have any names but those of the outputs.
 """
 
 from __future__ import annotations

@@ -12,6 +12,8 @@
 
 Null sites and paths are groups of their own.  Null and empty texts have the features of an empty text.  Repeated
 rows count as rows of their own.  Without usable labels of both kinds every document has the score 0.5 of its prior.
+Very long texts are counted whole; an empty table gives no rows; kept columns may have any names, and one with the name
+of an output column gives way to it.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ the bounds in MEASURES, so junk beyond that percentile can't lift its own fence
 documents use the thresholds of their language, then those of the whole corpus.  The thresholds, a row a group, are
 joined to the counts and decide.
 
-Null texts have no words, so they fail the base rules.  Null languages and sources form groups of their own.
+Null texts have no words, so they fail the base rules.  Null languages and sources form groups of their own.  Very long
+texts are counted whole; repeated rows count as rows of their own; values at a fence are inside it; an empty table gives
+no rows; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations

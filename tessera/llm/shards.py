@@ -12,7 +12,9 @@
    An index beside them, also by shard, names the documents of every sequence.
 
 Files go through Spark's committer, so a lost executor leaves no half of a shard, and to any file system that Spark
-can write.  Null and empty texts have only the end id.  An empty table gives no shards.
+can write.  Null and empty texts have only the end id.  An empty table gives no shards.  Very long texts go over as
+many sequences as they need; repeated rows and rows without an id are written as often as they come; other columns
+don't matter, whatever their names.
 """
 
 from __future__ import annotations

@@ -34,6 +34,30 @@ def durable(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Remove tables that `durable` stored and nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        for f in t.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """Stores tables for one part of a job and removes them after it."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(durable(df, name))
+        return self.tables[-1]
+
+    def clear(self) -> None:
+        forget(*self.tables)
+        self.tables = []
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

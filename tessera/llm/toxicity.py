@@ -7,7 +7,10 @@ exact and misspelled terms of any number of words at once.  Texts with hits are
 hit: hits inside quotation marks, or near words of reporting, count apart from plain abuse.  A logistic model over
 these counts, fitted on the same sample with prior weights, gives the score.
 
-Null and empty texts get the score of a text without hits.  Repeated labels of a document count once (toxic wins).
+Null and empty texts get the score of a text without hits.  Repeated labels of a document count once (toxic wins);
+repeated rows are scored as rows of their own.  Very long texts are read whole, a window of words at a time.  A word
+that is like several terms is exact if any is; an empty table gives no rows.  Kept columns may have any names; one with
+the name of an output column gives way to it.
 """
 
 from __future__ import annotations
