@@ -6,7 +6,8 @@
 Options: url (with {key}), keys (comma-separated values of {key}), items (field with the rows, default data),
 next (field with the next page's token, default nextPageToken), page_param (default pageToken), created_after and
 created_before (sent as createdAfter and createdBefore), token (Authorization header), delay (seconds between
-requests).  Rows are objects; fields of the schema are taken from them, nested values as JSON.
+requests), time_field (default createdAt).  Conditions time_field > text and time_field < text narrow what is asked of
+the server (spark.sql.python.filterPushdown.enabled); Spark tests them again.  Rows are objects; fields of the schema are taken from them, nested values as JSON.
 """
 
 from __future__ import annotations
@@ -15,9 +16,9 @@ import json
 import time
 import urllib.parse
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, GreaterThan, InputPartition, LessThan
 
 
 class Listing(InputPartition):
@@ -30,6 +31,15 @@ class Reader(DataSourceReader):
         self.names = [f.name for f in schema.fields]
         self.options = dict(options)
 
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        field = (self.options.get("time_field", "createdAt"),)
+        for f in filters:
+            if isinstance(f, GreaterThan) and f.attribute == field:
+                self.options["created_after"] = max(self.options.get("created_after") or "", str(f.value))
+            elif isinstance(f, LessThan) and f.attribute == field:
+                self.options["created_before"] = min(self.options.get("created_before") or str(f.value), str(f.value))
+            yield f
+
     def partitions(self) -> list[Listing]:
         return [Listing(k) for k in self.options.get("keys", "").split(",")]
 

@@ -56,11 +56,14 @@ def test_routes(spark):
 
 
 def test_paged_rest(spark):
+    asked = []
+
     class Pages(BaseHTTPRequestHandler):
         def do_GET(self):
             second = "pageToken=p2" in self.path
             key = self.path.split("/")[2].split("?")[0]
-            body = {"data": [{"id": f"{key}-{2 if second else 1}", "to": ["x"]}], "nextPageToken": None if second else "p2"}
+            asked.append(self.path)
+            body = {"data": [{"id": f"{key}-{2 if second else 1}", "to": ["x"], "createdAt": "2026-01-02"}], "nextPageToken": None if second else "p2"}
             self.send_response(200)
             self.end_headers()
             self.wfile.write(json.dumps(body).encode())
@@ -74,6 +77,9 @@ def test_paged_rest(spark):
     url = f"http://127.0.0.1:{server.server_port}/list/{{key}}"
     got = spark.read.format("paged_rest").schema("id string, to string").options(url=url, keys="a,b").load().orderBy("id").collect()
     assert [tuple(r) for r in got] == [("a-1", '["x"]'), ("a-2", '["x"]'), ("b-1", '["x"]'), ("b-2", '["x"]')]
+    asked.clear()
+    late = spark.read.format("paged_rest").schema("id string, createdAt string").options(url=url, keys="a").load().where("createdAt > '2026-01-01' and createdAt < '2026-02-01'")
+    assert late.count() == 2 and asked and all("createdAfter=2026-01-01" in p and "createdBefore=2026-02-01" in p for p in asked)
     server.shutdown()
 
 
