@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, jaccard, language, licenses, packing, quality, rules, shards, topk, toxicity
+from tessera.llm import bpe, jaccard, language, licenses, packing, quality, rules, shards, sql, topk, toxicity
 from tessera.llm.shared import crc_mod, documents, shared_dir
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -75,19 +75,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
-TOPK_SQL = """
-WITH v AS (
-  SELECT vec_id, len(embedding) AS n, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-), c AS (SELECT vec_id, n, generate_subscripts(e, 1) AS j, unnest(e) AS x FROM v),
-s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
-  FROM c AS q JOIN c ON q.j = c.j AND q.n = c.n AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1, 2
-)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op10_topk": TOPK_SQL}
+    return {"op7_rules": sql.rules_sql(), "op10_topk": sql.TOPK_SQL}

@@ -6,6 +6,7 @@ import struct
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -661,3 +662,13 @@ def test_chunk_table_tells_clashing_hashes_apart(monkeypatch):
         for most in (1 << 20, 4):
             table = shared.ChunkTable(number, most=64 if few else 1 << 20)
             assert list(table.joined(iter(texts), most)) == want
+
+
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+def test_query_equals_sql(spark, sf, name):
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.sql(f"create view {table} as select * from '{sf}/{table}.parquet'")
+    want = con.sql(catalog.oracle_sql()[name])
+    got = catalog.queries()[name](spark, sf).select(*want.columns)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want.fetchall())
