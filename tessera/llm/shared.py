@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -21,12 +22,18 @@ def durable(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Names of the folders that `durable` makes.
+STORED = re.compile(r"\w+-[0-9a-f]{32}")
+
+
 def forget(*tables: DataFrame) -> None:
     """Remove tables that `durable` stored and nothing reads any more."""
     for t in tables:
         spark = t.sparkSession
         for f in t.inputFiles()[:1]:
             path = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
+            if not STORED.fullmatch(path.getName()):
+                raise ValueError(f"{path} is no table of durable()")
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
