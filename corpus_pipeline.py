@@ -18,7 +18,7 @@ from tessera.llm import jaccard, language, packing, toxicity
 from tessera.llm.catalog import TOKENIZER
 from tessera.llm.shared import documents, durable, shared_dir
 
-FEW = 2_000_000  # keys that are broadcast: 16 MB
+FEW = 300_000  # keys that are broadcast: about 25 MB
 
 
 def _filtered(docs: DataFrame, judged: Callable[..., DataFrame], condition: str) -> DataFrame:
