@@ -31,6 +31,8 @@ from tessera.llm.bpe import chunk_table
 from tessera.llm.shared import durable, text_bytes
 
 ROUNDS = 4
+TURNS = 4  # in which shards are written, so that only a part of all records lies in shuffle files at once
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 MOST_STEPS = 10_000  # a step fails with a chance of 3/4 at most
 
 
@@ -124,10 +126,16 @@ def materialise(
     placed = placed.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
     shards = max(1, -(-n // per_shard))
     record = F.col("ids").cast("string").alias("value")  # the bytes as they are
-    (
-        placed.select("shard", "slot", record).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "slot")
-        .select("value", "shard").write.partitionBy("shard").text(f"{out}/tokens", lineSep="\n")
-    )
+    turns = min(TURNS, shards)
+    cleanup = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # the files of a turn's shuffle go when it is written
+    try:
+        for turn in range(turns):
+            now = placed.where(F.col("shard") % turns == turn).select("shard", "slot", record)
+            dealt = now.repartitionById(-(-shards // turns), F.floor(F.col("shard") / turns).cast("int")).sortWithinPartitions("shard", "slot")
+            dealt.select("value", "shard").write.mode("append").partitionBy("shard").text(f"{out}/tokens", lineSep="\n")
+    finally:
+        spark.conf.set(CLEANUP, cleanup)
     index = placed.select("slot", "shard", ((F.col("slot") % per_shard) * stride).alias("position"), "n_tokens", "doc_ids", F.crc32("ids").alias("crc32"))
     index.write.parquet(f"{out}/index")
     return spark.read.parquet(f"{out}/index")
