@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, jaccard, language, licenses, packing, quality, rules, shards, sql, topk, toxicity
+from tessera.llm import bpe, collocations, jaccard, language, licenses, packing, pii, quality, rules, shards, sql, topk, toxicity, variants
 from tessera.llm.shared import crc_mod, documents, shared_dir
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -68,12 +68,25 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5, scale=256.0)
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.detect(documents(spark, sf_dir), "doc_id"), "doc_id")
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(documents(spark, sf_dir))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_language, op2_licenses, op3_bpe, op4_shards, op5_jaccard, op6_quality, op7_rules, op8_packing, op9_toxicity, op10_topk,
+        op11_pii, op12_variants, op13_collocations,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_rules": sql.rules_sql(), "op10_topk": sql.TOPK_SQL}
+    return {"op7_rules": sql.rules_sql(), "op10_topk": sql.TOPK_SQL, "op12_variants": sql.VARIANTS_SQL, "op13_collocations": sql.COLLOCATIONS_SQL}
