@@ -50,13 +50,13 @@ WITH RECURSIVE r AS (
   SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
 ), d AS (SELECT row_number() OVER () AS i, * FROM (SELECT doc_id, run, count(*) AS n FROM r GROUP BY doc_id, run)),
 b AS (SELECT i, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS h FROM d),
-bits AS (SELECT range AS b, CAST(range AS BIGINT) AS c, 0 AS k FROM range(256) UNION ALL SELECT b, (c >> 1) ^ CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END, k + 1 FROM bits WHERE k < 8),
+bits AS (SELECT range AS b, CAST(range AS BIGINT) AS c, 0 AS k FROM range(256) UNION ALL SELECT b, xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), k + 1 FROM bits WHERE k < 8),
 t AS (SELECT b, c FROM bits WHERE k = 8),
-z AS (SELECT b, c, 0 AS k FROM t UNION ALL SELECT z.b, t.c ^ (z.c >> 8), k + 1 FROM z JOIN t ON t.b = z.c & 255 WHERE k < (SELECT max(length(h)) / 2 FROM b)),
-start AS (SELECT CAST(4294967295 AS BIGINT) AS c, 0 AS k UNION ALL SELECT t.c ^ (start.c >> 8), k + 1 FROM start JOIN t ON t.b = start.c & 255 WHERE k < (SELECT max(length(h)) / 2 FROM b)),
+z AS (SELECT b, c, 0 AS k FROM t UNION ALL SELECT z.b, xor(t.c, z.c >> 8), k + 1 FROM z JOIN t ON t.b = z.c & 255 WHERE k < (SELECT max(length(h)) / 2 FROM b)),
+start AS (SELECT CAST(4294967295 AS BIGINT) AS c, 0 AS k UNION ALL SELECT xor(t.c, start.c >> 8), k + 1 FROM start JOIN t ON t.b = start.c & 255 WHERE k < (SELECT max(length(h)) / 2 FROM b)),
 bytes AS (SELECT i, length(h) // 2 AS size, unnest(range(length(h) // 2)) AS place, h FROM b),
 sums AS (SELECT i, size, bit_xor(z.c) AS x FROM bytes JOIN z ON z.b = CAST('0x' || substr(h, 2 * place + 1, 2) AS INTEGER) AND z.k = size - 1 - place GROUP BY i, size),
-crc AS (SELECT i, x ^ start.c ^ 4294967295 AS h FROM sums JOIN start ON start.k = size),
+crc AS (SELECT i, xor(xor(x, start.c), 4294967295) AS h FROM sums JOIN start ON start.k = size),
 w AS (
   SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n
   FROM d JOIN crc USING (i) GROUP BY 1
