@@ -120,6 +120,8 @@ def sketch(stored: DataFrame, part_bits: int, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, lang, texts in by_shard(batches):
             slots, n = np.unique(np.concatenate(Tokens(texts, lang).slots(SLOT_BITS + part_bits)), return_counts=True)
+            if not len(slots):  # nothing but separators
+                continue
             parts, at = np.unique(slots >> np.uint64(SLOT_BITS), return_index=True)
             ends = [*at[1:].tolist(), len(slots)]
             low = (slots & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)

@@ -235,7 +235,7 @@ def disguises(text: str) -> Iterator[tuple[int, int, str, int]]:
             edit = a, b, m.group().translate(SWAPPED), SURE
         else:
             words = list(PART["digits"].finditer(text, a, b))
-            if len(words) < 3 and not (LEFT_DOT.search(text, max(0, a - 12), a) or RIGHT_DOT.match(text, b)):
+            if sum(TIMES.get(w.group(1), 1) for w in words) < 3 and not (LEFT_DOT.search(text, max(0, a - 12), a) or RIGHT_DOT.match(text, b)):
                 continue
             for k, w in enumerate(words):  # what stands between two spelled digits goes with the second
                 yield words[k - 1].end() if k else a, w.end(), VALUE[w.group(2)] * TIMES.get(w.group(1), 1), SURE
