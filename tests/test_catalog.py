@@ -2,6 +2,7 @@
 
 import glob
 import os
+import sys
 
 import duckdb
 import pandas as pd
@@ -38,5 +39,15 @@ def test_every_query_is_registered():
     assert set(catalog.queries()) == set(catalog.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+@pytest.mark.parametrize("absent", ["public_tokenizers", "tessera.llm.catalog", "corpus_pipeline"])
+def test_entry_without_a_module(monkeypatch, absent):
+    for name in [n for n in sys.modules if n.startswith(("tessera.llm", "corpus_pipeline"))]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, absent, None)  # importing it fails
+    found, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
+    assert set(catalog.queries()) <= set(found) and set(catalog.oracle_sql()) <= set(sql)
+    assert "pipeline" not in found and any(n.startswith("op1_") for n in found) <= (absent == "corpus_pipeline")
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
