@@ -7,7 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, StringType
+from pyspark.sql.types import ArrayType, MapType, StringType
 
 from tessera.functions.contact import normalize_address, normalize_phone
 from tessera.functions.text import ANY_CASE, blank, strip
@@ -109,6 +109,36 @@ def first_json_object(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
+@F.pandas_udf(ArrayType(MapType(StringType(), StringType())))
+def json_objects(text: pd.Series) -> pd.Series:
+    """Fields, as text, of all objects of a JSON answer: of an array, in order, if that is the whole text (null for other
+    values in it), else of the first object that parses, else of the first array that does; null without any.
+    """
+    decoder = json.JSONDecoder()
+
+    def found(t: str):
+        try:
+            return json.loads(t)
+        except (ValueError, RecursionError):
+            pass
+        for sign in "{[":
+            at = -1
+            while (at := t.find(sign, at + 1)) >= 0:
+                try:
+                    return decoder.raw_decode(t, at)[0]
+                except (ValueError, RecursionError):
+                    continue
+        return None
+
+    def one(t):
+        value = found(t.strip()) if t else None
+        if isinstance(value, dict):
+            value = [value]
+        return [{k: _as_text(v) for k, v in x.items()} if isinstance(x, dict) else None for x in value] if isinstance(value, list) else None
+
+    return text.map(one)
+
+
 def prompt(company: Column, direction: Column, body: Column, most: int = 2500) -> Column:
     """What an extractor is asked about one message."""
     quote = '"""'

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Prefix of patterns written for a Unicode-aware engine: ignore case, ^ and $ at lines, only \n ends a line, Unicode classes.
 ANY_CASE = "(?iUd)"
@@ -47,14 +49,15 @@ def html_escaped(x: Column) -> Column:
     return out
 
 
-def safe_filename(x: Column) -> Column:
-    """Last part of a path without accents and signs that file systems refuse; 'unnamed' if nothing is left.
+@F.pandas_udf(StringType())
+def ascii_form(text: pd.Series) -> pd.Series:
+    """Compatibility forms taken apart (NFKD), and all that isn't ASCII then dropped: no built-in function knows the forms."""
+    return text.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
+
 
-    Accented Latin letters lose their accents; other characters beyond ASCII are dropped.
-    """
-    accents = "ÀÁÂÃÄÅàáâãäåÈÉÊËèéêëÌÍÎÏìíîïÒÓÔÕÖòóôõöÙÚÛÜùúûüÇçÑñÝýÿ"
-    plain = "AAAAAAaaaaaaEEEEeeeeIIIIiiiiOOOOOoooooUUUUuuuuCcNnYyy"
-    ascii_ = F.regexp_replace(F.translate(F.coalesce(x, F.lit("")), accents, plain), r"[^\x01-\x7F]", "")
+def safe_filename(x: Column) -> Column:
+    """Last part of a path without accents and signs that file systems refuse; 'unnamed' if nothing is left."""
+    ascii_ = F.regexp_replace(ascii_form(F.coalesce(x, F.lit(""))), r"\x00", "")
     base = F.regexp_extract(ascii_, r"([^/]*)$", 1)
     joined = F.regexp_replace(F.regexp_replace(base, r'[/\\:*?"<>|]', "_"), r"[\s_]+", "_")
     bare = F.regexp_replace(joined, r"^[._]+|[._]+$", "")

@@ -131,3 +131,14 @@ def test_clean_up(spark):
     assert text.like_escaped("50%_\\") == "50\\%\\_\\\\"
     assert over(spark, ["abcdefgh", "abc"], lambda x: text.shortened(x, 6)) == ["abc...", "abc"]
     assert over(spark, [45.0, 240.0, 150.0], values.duration_words, "x double") == ["45m", "4h", "2.5h"]
+
+
+def test_json_answers(spark):
+    rows = ['[{"a": 1}, 5, {"b": [1, null, " "]}]', 'ok: {"a": {"x": 2}} {"b": 1}', "see [1] and {not json} [2]", "none", None, "[" * 5000, '{"a"' * 50]
+    got = over(spark, rows, extraction.json_objects)
+    assert got == [[{"a": "1"}, None, {"b": "1"}], [{"a": "x=2"}], [None], None, None, None, None]
+
+
+def test_file_names_lose_all_compatibility_forms(spark):
+    rows = ["Résumé.pdf", "ﬁle Ⅻ ｆｕｌｌ①.txt", "Ångström/Łódź ½.doc", "日本", "a\x00b", None]
+    assert over(spark, rows, text.safe_filename) == ["Resume.pdf", "file_XII_full1.txt", "odz_12.doc", "unnamed", "ab", ""]
