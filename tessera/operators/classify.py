@@ -7,19 +7,18 @@ or phone, be it an earlier job or one that an earlier message of the same batch
 
 from __future__ import annotations
 
-from collections import deque
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.contact import is_job_message, normalize_phone, without_chat_marks
 from tessera.functions.text import blank
-from tessera.operators.components import components
 from tessera.operators.joins import first_company_by_pattern, oldest_since
 from tessera.operators.messages import companies_by_phone
+from tessera.plans.store import shared_folder
 
 DAY = 24 * 3600 * 1_000_000
 
@@ -58,60 +57,47 @@ def dedup_candidates(messages: DataFrame, jobs: DataFrame, days: int = 14, same_
     return found.join(messages.select("id", "company_id"), "id").select("id", F.col("match.id").alias("job_id"), crossed.alias("cross_company"))
 
 
-def resolve_batch(messages: DataFrame, blocks: DataFrame, days: int = 14) -> DataFrame:
-    """(id, job_id, outcome): new, linked or duplicate, as if the messages had come one by one.
+RESOLVED = "id string, at timestamp, company_id string, street string, phone string, job_id string, outcome string"
 
-    messages: id, at, company_id, street (number and name in one, or null), phone.  blocks: (id, block) must put
-    messages that can reach one another through addresses and phones in one block.  A block's messages stream through
-    one task in order of time, which holds only the jobs of the last `days`.
-    """
-    span = pd.Timedelta(days=days)
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, known = None, {}
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                if r.block != block:
-                    block, known = r.block, {}
-                near, keys = [], [(side, k) for side, k in (("s", r.street), ("p", r.phone)) if k]
-                for k in keys:
-                    jobs = known.get(k)
-                    while jobs and jobs[0][0] < r.at - span:
-                        jobs.popleft()
-                    near += jobs or ()
-                oldest = min(near, key=lambda j: (j[0], j[1]), default=None)
-                crossed = oldest is not None and oldest[2] and r.company_id and oldest[2] != r.company_id
-                if oldest is not None and not crossed:
-                    out.append((r.id, oldest[1], "linked"))
-                    continue
-                for k in keys:
-                    known.setdefault(k, deque()).append((r.at, r.id, r.company_id))
-                if len(known) > 100_000:
-                    known = {k: j for k, j in known.items() if j and j[-1][0] >= r.at - span}
-                out.append((r.id, r.id, "duplicate" if crossed else "new"))
-            yield pd.DataFrame(out, columns=["id", "job_id", "outcome"])
-
-    rows = messages.join(blocks, "id").select("block", "id", "at", "company_id", "street", "phone")
-    return rows.repartition("block").sortWithinPartitions("block", "at", "id").mapInPandas(fold, "id string, job_id string, outcome string")
-
-
-def linked_blocks(messages: DataFrame, days: int = 14) -> DataFrame:
-    """(id, block) of messages connected through equal streets or phones that come within `days` of one another.
-
-    A key's messages are cut where nothing came for more than `days`: found over one row a key and day, so a key with
-    very many messages is no window of its own.
+def resolve(messages: DataFrame, jobs: DataFrame | None = None, days: int = 14) -> DataFrame:
+    """RESOLVED and round: each message is new, linked or duplicate, as if the messages had come one by one.
+
+    messages and jobs (those known before) have id, at, company_id, street (number and name in one, or null) and phone.
+    A message joins the oldest job of the last `days` that equals it in street or phone; if that is another company's,
+    it opens a job of its own as a duplicate.  Only messages that open a job matter to later ones, so a message is
+    settled once the oldest message that may have opened one is a job, or there is none; messages that were linked leave.
+    A round settles all such messages at once, whatever their keys: a busy phone takes two rounds for `days` of
+    messages, and phones and streets that have nothing to do with one another take theirs together.  Rounds find the
+    oldest candidate by a walk over buckets of time (`oldest_since`), without pairs and without a task for a key; each is
+    a folder of the result, so a round is computed once.
     """
-    each = messages.select("id", "at", F.to_date("at").alias("day"), F.explode(F.array_compact(F.array(F.concat(F.lit("s"), F.col("street")), F.concat(F.lit("p"), F.col("phone"))))).alias("key"))
-    days_of = each.groupBy("key", "day").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    w = W.partitionBy("key").orderBy("day")
-    late = F.unix_micros("first") - F.unix_micros(F.lag("last").over(w)) > days * DAY
-    runs = days_of.withColumn("_new", F.coalesce(late, F.lit(False)).cast("int"))
-    runs = runs.select("key", "day", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("run"))
-    grouped = each.join(runs, ["key", "day"])
-    first = grouped.groupBy("key", "run").agg(F.min("id").alias("first"))
-    found = components(grouped.join(first, ["key", "run"]).select("first", "id"), "first", "id")
-    return messages.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("block"))
+    spark = messages.sparkSession
+    base = f"{shared_folder(spark)}/resolved-{uuid.uuid4().hex}"
+    names = ["id", "at", "company_id", "street", "phone"]
+    kind = lambda c: F.col(c).cast("timestamp" if c == "at" else "string")
+    cast = lambda df: df.select(*[F.nullif(kind(c), F.lit("")).alias(c) if c in ("street", "phone") else kind(c).alias(c) for c in names])
+    known = None if jobs is None else cast(jobs).withColumn("opened", F.lit(True))
+    pending, at, number = cast(messages), F.unix_micros("at"), 0
+    while True:
+        candidates = pending.withColumn("opened", F.lit(False))
+        if known is not None:
+            candidates = candidates.unionByName(known)
+        if number:
+            candidates = candidates.unionByName(done.where("outcome in ('new', 'duplicate')").select(*names, F.lit(True).alias("opened")))
+        keys = [[("street", "street")], [("phone", "phone")]]
+        found = oldest_since(pending, candidates, "id", keys, at - days * DAY, at, at, ["id", "company_id", "opened"], ["id"])
+        got = pending.join(found, "id", "left")
+        first = F.col("match").isNull() | ((F.col("match.id") == F.col("id")) & ~F.col("match.opened"))
+        crossed = F.coalesce(F.col("match.company_id") != F.col("company_id"), F.lit(False))
+        outcome = F.when(first, "new").when(F.col("match.opened"), F.when(crossed, "duplicate").otherwise("linked"))
+        job = F.when(outcome == "linked", F.col("match.id")).when(outcome.isNotNull(), F.col("id"))
+        got.select(*names, job.alias("job_id"), outcome.alias("outcome")).write.parquet(f"{base}/round={number}")
+        done = spark.read.schema(f"{RESOLVED}, round int").parquet(base)
+        pending = done.where(f"round = {number} and outcome is null").select(*names)
+        if pending.isEmpty():
+            return done.where("outcome is not null")
+        number += 1
 
 
 def rematch_closings(closings: DataFrame, jobs: DataFrame, days: int = 14) -> DataFrame:

@@ -1,17 +1,14 @@
 """Streams of messages and events.
 
-Messages come at least once and out of order.  Ingest keeps the newest version per key in a Parquet table that each
-micro-batch rewrites in part, beside what was there: a batch that is replayed finds its number done.
+Messages come at least once and out of order; `streaming.store.RunStore` keeps the newest version per key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from tessera.functions.values import ZONE
-from tessera.operators.upsert import in_batch, merge_latest
 
 KEYS = ["chat_jid", "wa_message_id"]
 
@@ -32,69 +29,6 @@ def daily_counts(events: DataFrame, ts: str, *keys: str, late: str = "2 days") -
     return counted.select(F.to_date("window.start").alias("business_day"), *keys, "n")
 
 
-class LatestTable:
-    """A table of one row a key, kept in buckets of keys that micro-batches rewrite.
-
-    A batch writes the buckets that it touches to a folder of its own number; of each bucket the highest number of a
-    whole batch counts, and all but the last two are removed.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str] = KEYS, ts: str = "timestamp", buckets: int = 64):
-        self.spark, self.path, self.schema, self.keys, self.ts, self.buckets = spark, path.rstrip("/"), schema, keys, ts, buckets
-
-    def _fs(self):
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        return root.getFileSystem(self.spark._jsc.hadoopConfiguration()), root
-
-    def _versions(self) -> dict[int, dict[int, str]]:
-        """Folders of each bucket by number, and under -1 the whole batches."""
-        fs, root = self._fs()
-        out: dict[int, dict[int, str]] = {-1: {}}
-        for batch in fs.listStatus(root) if fs.exists(root) else []:
-            at = batch.getPath()
-            if fs.exists(at.suffix("/_SUCCESS")):
-                number = int(at.getName()[2:])
-                out[-1][number] = at.toString()
-                for b in fs.listStatus(at):
-                    if b.getPath().getName().startswith("bucket_of_key="):
-                        out.setdefault(int(b.getPath().getName()[len("bucket_of_key=") :]), {})[number] = b.getPath().toString()
-        return out
-
-    def version(self) -> int:
-        """The highest batch that was written whole; -1 if there is none."""
-        return max(self._versions()[-1], default=-1)
-
-    def read(self, only: list[int] | None = None) -> DataFrame:
-        """The table, or some buckets of it."""
-        found = [v[max(v)] for b, v in self._versions().items() if b >= 0 and (only is None or b in only)]
-        return self.spark.read.schema(self.schema).parquet(*found) if found else self.spark.createDataFrame([], self.schema)
-
-    def apply(self, batch: DataFrame, number: int, position: str | None = None) -> None:
-        if number <= self.version():
-            return
-        placed = batch if position else batch.withColumn("_position", F.monotonically_increasing_id())
-        one = in_batch(placed, self.keys, self.ts, position or "_position")
-        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
-        touched = [r["b"] for r in one.select(bucket.alias("b")).distinct().collect()]  # at most `buckets` numbers
-        merged = merge_latest(self.read(touched), one, self.keys, self.ts).drop("_outcome").withColumn("bucket_of_key", bucket)
-        merged.repartition("bucket_of_key").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket_of_key").parquet(f"{self.path}/v={number}")
-        self._tidy()
-
-    def _tidy(self) -> None:
-        fs, _ = self._fs()
-        of = self.spark._jvm.org.apache.hadoop.fs.Path
-        for b, versions in self._versions().items():
-            for v in sorted(versions)[:-2] if b >= 0 else []:
-                fs.delete(of(versions[v]), True)
-
-    def follow(self, stream: DataFrame, checkpoint: str, position: str | None = None) -> StreamingQuery:
-        return (
-            stream.writeStream.foreachBatch(lambda df, n: self.apply(df, n, position)).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start()
-        )
-
-
 def route(messages: DataFrame, chats: DataFrame) -> DataFrame:
     """What each message is for, in order: unknown chat, payment signal, technician's chat, operator's decline, mirror."""
     from tessera.functions.signals import is_reject_phrase, payment_tokens

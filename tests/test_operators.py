@@ -193,10 +193,9 @@ def test_resolution(spark):
     schema = "id string, at timestamp, company_id string, street string, phone string"
     rows = [("a", ago(100), "c1", "s1", "p1"), ("b", ago(90), "c1", "s1", None), ("c", ago(80), "c2", None, "p1"), ("d", ago(70), "c1", "s2", "p2"), ("e", ago(60), "c1", "s2", "p1"), ("f", T0 + timedelta(days=20), "c1", "s1", None)]
     df = spark.createDataFrame(rows, schema)
-    blocks = classify.linked_blocks(df)
-    of = {r["id"]: r["block"] for r in blocks.collect()}
-    assert len({of[i] for i in "abcde"}) == 1 and of["f"] not in {of[i] for i in "abcde"}  # nothing came for 20 days
-    got = {r["id"]: (r["job_id"], r["outcome"]) for r in classify.resolve_batch(df, blocks).collect()}
+    found = classify.resolve(df).collect()
+    got = {r["id"]: (r["job_id"], r["outcome"]) for r in found}
+    assert {r["id"]: r["round"] for r in found} == {"a": 0, "b": 1, "c": 1, "d": 0, "e": 1, "f": 0}
     assert got == {"a": ("a", "new"), "b": ("a", "linked"), "c": ("c", "duplicate"), "d": ("d", "new"), "e": ("a", "linked"), "f": ("f", "new")}
     jobs = frame(spark, "jobs", {"id": "j1", "company_id": "c1", "first_message_at": ago(500), "address_street_number": "1", "address_street_name": "oak"}, {"id": "j2", "company_id": "c2", "first_message_at": ago(600), "customer_phone_e164": "p1"})
     asked = spark.createDataFrame([("m", "c1", "1", "oak", "p1", ago(0)), ("n", "c1", "2", "oak", None, ago(0))], "id string, company_id string, street_number string, street_name string, phone string, l string").withColumn("at", F.col("l").cast("timestamp")).drop("l")
@@ -205,14 +204,16 @@ def test_resolution(spark):
 
 
 def test_long_chains_and_batches(spark):
-    """A chain of 60 messages through changing phones and streets is one block; folds agree with one message at a time."""
+    """Chains through changing phones and streets, and random messages, give what one message at a time gives."""
     rng = random.Random(3)
     schema = "id string, at timestamp, company_id string, street string, phone string"
-    chain = [(f"c{i:02}", ago(1000 - i), "c1", f"s{i // 2}", f"p{(i + 1) // 2}") for i in range(60)]
-    assert len({r["block"] for r in classify.linked_blocks(spark.createDataFrame(chain, schema)).collect()}) == 1
-    rows = sorted(((f"m{i:03}", ago(rng.randrange(60 * 24 * 90)), rng.choice(["c1", "c2", None]), rng.choice(["s1", "s2", "s3", None]), rng.choice(["p1", "p2", "p3", "p4", None])) for i in range(120)), key=lambda r: (r[1], r[0]))
+    chain = [(f"c{i:02}", ago(1000 - i), "c1", f"s{i // 2}", f"p{(i + 1) // 2}") for i in range(9)]
+    assert {r["id"]: (r["job_id"], r["outcome"], r["round"]) for r in classify.resolve(spark.createDataFrame(chain, schema)).collect()} == {
+        f"c{i:02}": ((f"c{i:02}", "new") if i % 2 == 0 else (f"c{i - 1:02}", "linked")) + (i,) for i in range(9)
+    }
+    rows = sorted(((f"m{i:03}", ago(rng.randrange(60 * 24 * 50)), rng.choice(["c1", "c2", None]), rng.choice(["s1", "s2", "s3", None, ""]), rng.choice(["p1", "p2", "p3", "p4", None])) for i in range(80)), key=lambda r: (r[1], r[0]))
     df = spark.createDataFrame(rows, schema)
-    got = {r["id"]: (r["job_id"], r["outcome"]) for r in classify.resolve_batch(df, classify.linked_blocks(df)).collect()}
+    got = {r["id"]: (r["job_id"], r["outcome"]) for r in classify.resolve(df).collect()}
     jobs, want = [], {}
     for i, at, company, street, phone in rows:
         near = [j for j in jobs if at - timedelta(days=14) <= j[0] and ((street and j[3] == street) or (phone and j[4] == phone))]

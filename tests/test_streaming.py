@@ -1,35 +1,108 @@
 """Streams give what batches give; the REST source follows its pages."""
 
+import itertools
 import json
+import random
 import threading
 from datetime import datetime, timedelta
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
+import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import perkey
+from tessera.operators import classify, perkey
 from tessera.sources.rest import PagedRest
-from tessera.streaming import ingest, lifecycle
+from tessera.streaming import ingest, lifecycle, resolution, store
 
 SCHEMA = "chat_jid string, wa_message_id string, timestamp timestamp, body string"
 T0 = datetime(2026, 7, 15, 12)
 
 
-def test_ingest_keeps_the_newest(spark, tmp_path):
+def test_store_keeps_the_newest(spark, tmp_path):
     rows = [("c", f"m{i % 7}", T0 + timedelta(minutes=(i * 37) % 50), f"b{i}") for i in range(60)]
     source = str(tmp_path / "in")
     for k in range(3):
         spark.createDataFrame(rows[k::3], SCHEMA).coalesce(1).write.mode("append").parquet(source)
-    table = ingest.LatestTable(spark, str(tmp_path / "table"), SCHEMA)
+    table = store.RunStore(spark, str(tmp_path / "table"), SCHEMA, ["chat_jid", "wa_message_id"])
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
     table.follow(stream, str(tmp_path / "check")).awaitTermination()
-    want = {r["wa_message_id"]: r["timestamp"] for r in perkey.latest(spark.createDataFrame(rows, SCHEMA), ingest.KEYS, ["timestamp", "body"]).collect()}
+    want = {r["wa_message_id"]: r["timestamp"] for r in perkey.latest(spark.createDataFrame(rows, SCHEMA), ["chat_jid", "wa_message_id"], ["timestamp", "body"]).collect()}
     assert {r["wa_message_id"]: r["timestamp"] for r in table.read().collect()} == want
     done = table.version()
     table.apply(spark.createDataFrame([("c", "m0", T0 + timedelta(days=9), "replayed")], SCHEMA), done)
     assert table.version() == done and table.read().where("body = 'replayed'").isEmpty()
 
 
+def test_store_equals_merges_in_any_order(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [("c" if i % 9 else None, f"m{rng.randrange(12)}", T0 + timedelta(minutes=rng.randrange(30)), f"b{i}") for i in range(90)]
+    batches = [rows[k * 15 : k * 15 + 15] for k in range(6)]
+    for turn in range(2):
+        rng.shuffle(batches)
+        table = store.RunStore(spark, str(tmp_path / f"t{turn}"), SCHEMA, ["chat_jid", "wa_message_id"])
+        want: dict = {}
+        for n, batch in enumerate(batches):
+            df = spark.createDataFrame(batch, SCHEMA).coalesce(1)
+            table.apply(df, n)
+            table.apply(df, n)  # a replay
+            newest: dict = {}
+            for r in batch:
+                newest[r[:2]] = r if r[:2] not in newest or r[2] > newest[r[:2]][2] else newest[r[:2]]
+            want |= {k: r for k, r in newest.items() if k not in want or r[2] >= want[k][2]}
+            assert {tuple(r)[:2]: tuple(r) for r in table.read().collect()} == want
+        assert len(table.manifest().runs) < store.FAN
+    found = table.look_up(spark.createDataFrame([("c", "m1"), ("c", "zz")], "chat_jid string, wa_message_id string"))
+    assert [tuple(r) for r in found.collect()] == [want["c", "m1"]]
+    table.tidy()
+    assert {tuple(r) for r in table.read().collect()} == set(want.values())
+    assert len([p for p in (tmp_path / "t1").iterdir() if p.name.startswith("run-")]) <= store.FAN + 1
+
+
+def test_a_batch_writes_in_proportion_to_itself(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "SMALLEST", 1 << 10)
+    table = store.RunStore(spark, str(tmp_path / "t"), "id long, timestamp timestamp, body string", ["id"])
+    big = spark.range(60_000).select("id", F.lit(T0).alias("timestamp"), F.sha2(F.col("id").cast("string"), 256).alias("body"))
+    table.apply(big, 0)
+    size = table.manifest().runs[0].bytes
+    for n in range(1, 7):
+        table.apply(big.where(f"id % 2000 = {n}"), n)
+        assert table.manifest().runs[0].bytes == size  # the large run stays
+        assert sum(r.bytes for r in table.manifest().runs[1:]) < size / 10
+    assert table.read().count() == 60_000 and table.manifest().batch == 6
+
+
+def test_a_batch_that_dies_before_its_commit_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    table = store.RunStore(spark, str(tmp_path / "t"), SCHEMA, ["chat_jid", "wa_message_id"])
+    row = lambda body, n: spark.createDataFrame([("c", "m", T0 + timedelta(minutes=n), body)], SCHEMA)
+    table.apply(row("old", 0), 0)
+    with monkeypatch.context() as m, pytest.raises(OSError):
+        m.setattr(store.RunStore, "_commit", lambda *_: (_ for _ in ()).throw(OSError("killed")))
+        table.apply(row("new", 1), 1)
+    assert [r["body"] for r in table.read().collect()] == ["old"] and table.version() == 0
+    table.apply(row("new", 1), 1)
+    assert [r["body"] for r in table.read().collect()] == ["new"]
+    assert [r["body"] for r in table.read(1).collect()] == ["old"]
+    with pytest.raises(RuntimeError, match="somebody else"):
+        table._commit(store.Manifest(2, 5, ()))
+    with pytest.raises(Exception, match="a row without timestamp"):
+        table.apply(spark.createDataFrame([("c", "x", None, "b")], SCHEMA), 9)
+
+
+def test_resolution_as_a_stream_equals_one_batch(spark, tmp_path):
+    rng = random.Random(8)
+    schema = "id string, at timestamp, company_id string, street string, phone string"
+    rows = sorted(((f"m{i:02}", T0 + timedelta(hours=rng.randrange(24 * 60)), rng.choice(["c1", "c2", None]), rng.choice(["s1", "s2", None]), rng.choice(["p1", "p2", None])) for i in range(30)), key=lambda r: (r[1], r[0]))
+    want = {tuple(r)[0]: tuple(r)[1:] for r in classify.resolve(spark.createDataFrame(rows, schema)).select("id", "job_id", "outcome").collect()}
+    cuts = [0, 4, 17, 30]
+    table = resolution.Resolution(spark, str(tmp_path / "t"))
+    for n, (a, b) in enumerate(itertools.pairwise(cuts)):
+        for _ in range(2):
+            table.apply(spark.createDataFrame(rows[max(0, a - 2) : b], schema), n)  # the last two come again
+    assert {r["id"]: (r["job_id"], r["outcome"]) for r in table.read().collect()} == want
+    jobs = {r["id"] for r in table.open_jobs(rows[20][1]).collect()}
+    assert jobs == {r[0] for r in rows if r[1] >= rows[20][1] and want[r[0]][1] != "linked"}
+
+
 def test_states_equal_batch(spark, tmp_path):
     status = ["pending", "dispatched", "accepted", "completed", "closed"]
     rows = [(f"{i:03}", f"j{i % 5}", status[(i * 3) % 5], "closing_chat" if i % 2 else "manual", None, T0 + timedelta(minutes=(i * 13) % 90)) for i in range(80)]
