@@ -169,6 +169,27 @@ def count_between(probes: DataFrame, events: DataFrame, key: str, after: str, un
     return got.select("_p.*", out)
 
 
+def recent(replies: DataFrame, sent: DataFrame, key: str, at: str, sent_at: str, minutes: int, columns: Sequence[str], of: str | None = None) -> DataFrame:
+    """Adds `candidates`, how many rows of `sent` of its key lie within `minutes` before (or at) each reply, and recent_* of the last.
+
+    With `of` only the last row of each value of that column counts: a row then counts until the next one of its key and
+    value, or until `minutes` are over, so candidates are the rows that have begun less those that have ended.  Counts
+    are running counts, and the last row is an as-of join: no pairs of a key are built.  If there is one candidate, it
+    is the last row.
+    """
+    width = minutes * 60 * 1_000_000
+    ended = F.timestamp_micros(_micros(F.col(sent_at)) + width + 1)
+    rows = sent.where(F.col(key).isNotNull()).select(F.col(key).alias("_rk"), F.col(sent_at).alias("_from"), ended.alias("_until"), *([F.col(of).alias("_of")] if of else []))
+    if of:
+        rows = next_within(rows.distinct(), ["_rk", "_of"], "_from", F.lit(True), None, "_next").withColumn("_until", F.least("_until", "_next"))
+    probes = replies.withColumns({"_rk": F.col(key), "_begin": F.lit("0001-01-02").cast("timestamp"), "_end": F.col(at)})
+    probes = count_between(probes, rows, "_rk", "_begin", "_end", "_from", "_begun")
+    probes = count_between(probes, rows, "_rk", "_begin", "_end", "_until", "_over")
+    last = nearest(probes, sent, [(key, key)], _micros(F.col(at)), _micros(F.col(sent_at)), [*columns, sent_at], columns, equal=True, prefix="recent_")
+    inside = _micros(F.col(f"recent_{sent_at}")) >= _micros(F.col(at)) - width
+    return last.select(*replies.columns, (F.col("_begun") - F.col("_over")).alias("candidates"), *[F.when(inside, F.col(f"recent_{c}")).alias(f"recent_{c}") for c in columns])
+
+
 def first_company_by_pattern(messages: DataFrame, companies: DataFrame, message_id: str, text: str, at_once: int = 1_000) -> DataFrame:
     """(message_id, company_id, company_name): the company of lowest priority whose patterns match each message.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import blank
 from tessera.functions.values import parse_iso
+from tessera.operators.joins import nearest, recent
 from tessera.operators.perkey import latest
 from tessera.schemas import STATUSES, TERMINAL
 
@@ -55,9 +56,10 @@ def resolve_alerts(alerts: DataFrame, events: DataFrame) -> DataFrame:
         F.when(F.col("to_status").isin(TERMINAL), F.array(*map(F.lit, RESOLVED_AT_END))).otherwise(F.array().cast("array<string>")),
     ))
     ends = moves.select("job_id", F.explode(kinds).alias("kind"), F.col("created_at").alias("_at"))
-    due = alerts.where("resolved_at is null").select("id", "job_id", "kind", "detected_at").join(ends, ["job_id", "kind"]).where("_at >= detected_at")
-    first = due.groupBy("id").agg(F.min("_at").alias("_resolved"))
-    return alerts.join(first, "id", "left").withColumn("resolved_at", F.coalesce("resolved_at", "_resolved")).select(*alerts.columns)
+    # each alert walks to the first change after it: no pairs of a job's alerts and changes
+    micros = F.unix_micros
+    first = nearest(alerts, ends, [("job_id", "job_id"), ("kind", "kind")], micros("detected_at"), micros("_at"), ["_at"], after=True, equal=True, prefix="_first")
+    return first.withColumn("resolved_at", F.coalesce("resolved_at", "_first_at")).select(*alerts.columns)
 
 
 def attribute_replies(replies: DataFrame, own_messages: DataFrame, dispatches: DataFrame, minutes: int = 240) -> DataFrame:
@@ -71,12 +73,9 @@ def attribute_replies(replies: DataFrame, own_messages: DataFrame, dispatches: D
     quoted = replies.where("quoted_wa_message_id is not null").join(
         dispatches.withColumnRenamed("wa_message_id", "quoted_wa_message_id"), ["chat_jid", "quoted_wa_message_id"]
     ).select("id", "event_id", "job_id")
-    # both sides meet by chat and bucket of time, of which a reply looks into two
-    slot = lambda c: F.floor(F.unix_micros(c) / (minutes * 60_000_000))
-    asked = replies.where("quoted_wa_message_id is null").select("id", "chat_jid", "timestamp", F.explode(F.array(slot("timestamp") - 1, slot("timestamp"))).alias("_slot"))
-    near = asked.join(sent.where("sent_at is not null").withColumn("_slot", slot("sent_at")), ["chat_jid", "_slot"])
-    near = near.where((F.col("sent_at") <= F.col("timestamp")) & (F.col("sent_at") >= F.col("timestamp") - F.make_dt_interval(mins=F.lit(minutes)))).select("id", "event_id", "job_id")
-    per = quoted.unionByName(near).groupBy("id").agg(F.countDistinct("event_id").alias("n"), F.min("event_id").alias("event_id"), F.min("job_id").alias("job_id"))
+    near = recent(replies.where("quoted_wa_message_id is null"), sent.where("sent_at is not null"), "chat_jid", "timestamp", "sent_at", minutes, ["event_id", "job_id"])
+    per = quoted.groupBy("id").agg(F.countDistinct("event_id").alias("n"), F.min("event_id").alias("event_id"), F.min("job_id").alias("job_id"))
+    per = per.unionByName(near.select("id", F.col("candidates").alias("n"), F.col("recent_event_id").alias("event_id"), F.col("recent_job_id").alias("job_id")))
     got = replies.join(per, "id", "left")
     one = F.col("n") == 1
     return got.select(

@@ -1,7 +1,7 @@
 """What messages do to jobs: dispatches, closings, payment signals, rejections and answers, each as one set-based plan.
 
 Every function gives a row a message (or a reply) with its outcome, and where that is an event of a job's life the
-columns of the event.  Jobs are those known before the batch; `classify.resolve_batch` covers messages that open jobs
+columns of the event.  Jobs are those known before the batch; `classify.resolve` covers messages that open jobs
 for one another.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions.contact import PHONE, normalize_address, normalize_phone, phone_match_key
 from tessera.functions.signals import address_line, is_reject_signal, is_tech_accept, is_tech_reject, payment_tokens
 from tessera.functions.text import blank
-from tessera.operators.joins import count_between, nearest, oldest_since
+from tessera.operators.joins import count_between, nearest, oldest_since, recent
 
 DAY = 24 * 3600 * 1_000_000
 #: States that a payment no longer completes.
@@ -174,15 +174,9 @@ def phone_reply_targets(replies: DataFrame, dispatches: DataFrame, minutes: int
 
     All jobs dispatched to the number within `minutes` before the reply count, each with its newest event: one job is
     the target, several are ambiguous.  replies: id, phone, created_at; dispatches: event_id, job_id, phone, created_at.
-    Both sides meet by number and bucket of time, of which a reply looks into two.
     """
-    width = minutes * 60 * 1_000_000
-    slot = lambda c: F.floor(F.unix_micros(c) / width)
-    asked = replies.where("phone is not null").select("id", "phone", F.col("created_at").alias("_at"), F.explode(F.array(slot("created_at") - 1, slot("created_at"))).alias("_slot"))
-    sent = dispatches.select("event_id", "job_id", "phone", F.col("created_at").alias("_sent"), slot("created_at").alias("_slot"))
-    near = asked.join(sent, ["phone", "_slot"]).where((F.col("_sent") <= F.col("_at")) & (F.unix_micros("_sent") >= F.unix_micros("_at") - width))
-    jobs = near.groupBy("id", "job_id").agg(F.max_by("event_id", F.struct("_sent", "event_id")).alias("event_id"))
-    per = jobs.groupBy("id").agg(F.count(F.lit(1)).alias("candidates"), F.min("event_id").alias("event_id"), F.min("job_id").alias("job_id"))
+    near = recent(replies, dispatches.select("event_id", "job_id", "phone", F.col("created_at").alias("_sent")), "phone", "created_at", "_sent", minutes, ["event_id", "job_id"], of="job_id")
+    per = near.select("id", "candidates", F.col("recent_event_id").alias("event_id"), F.col("recent_job_id").alias("job_id"))
     one = F.col("candidates") == 1
     return replies.select("id").join(per, "id", "left").select(
         "id", F.when(one, "target").when(F.col("candidates") > 1, "ambiguous").otherwise("none").alias("outcome"),

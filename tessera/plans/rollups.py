@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.values import minutes_between, parse_money
+from tessera.operators.joins import next_within
 
 WEEK = 7 * 24 * 3600
 
@@ -55,26 +56,21 @@ def per_tech(events: DataFrame, start: Column, end: Column, dispatch_sources: tu
     """A row a technician: dispatches of the day, how many ended, mean minutes to the first reply and to the end.
 
     Replies are the next event of another source in the chat within a week, whatever its job; ends are the next
-    completed, closed or canceled event of the job.  Both are windows over the events, not joins.
+    completed, closed or canceled event of the job.  Both are walks over buckets of time, so a busy chat is cut.
     """
     text = lambda k: F.nullif(F.get_json_object("payload", f"$.{k}"), F.lit(""))
     sent = F.col("source").isin(list(dispatch_sources))
     rows = events.select("job_id", "created_at", "to_status", "source", text("technician_id").alias("technician_id"), text("chat_jid").alias("chat_jid"))
     rows = rows.where(F.col("created_at") >= start)  # all that can answer a dispatch of the day comes later
-    micros = F.unix_micros("created_at")
     ends = F.col("to_status").isin("completed", "closed", "canceled")
-    by_job = W.partitionBy("job_id").orderBy(micros).rangeBetween(1, W.unboundedFollowing)
-    by_chat = W.partitionBy("chat_jid").orderBy(micros).rangeBetween(1, WEEK * 1_000_000 - 1)
     is_dispatch = sent & F.col("technician_id").isNotNull() & _between("created_at", start, end)
-    # rows that are neither a dispatch nor an end needn't reach the first window
-    finished = rows.where(is_dispatch | ends).withColumn("_end", F.min(F.when(ends, F.col("created_at"))).over(by_job)).where(is_dispatch)
-    finished = finished.select("technician_id", "chat_jid", "created_at", "source", "_end", F.lit(True).alias("_mine"))
-    replies = rows.where(~F.coalesce(sent, F.lit(False)) & F.col("chat_jid").isNotNull()).select(
-        F.lit(None).cast("string").alias("technician_id"), "chat_jid", "created_at", "source", F.lit(None).cast("timestamp").alias("_end"), F.lit(False).alias("_mine")
+    # rows that are neither a dispatch nor an end needn't reach the first walk
+    finished = next_within(rows.where(is_dispatch | ends), ["job_id"], "created_at", ends, None, "_end").where(is_dispatch)
+    finished = finished.select("technician_id", "chat_jid", "created_at", "_end", F.lit(True).alias("_mine"))
+    replies = rows.where(~F.coalesce(sent, F.lit(False)) & F.col("chat_jid").isNotNull() & (F.col("created_at") < end + F.make_dt_interval(secs=F.lit(WEEK)))).select(
+        F.lit(None).cast("string").alias("technician_id"), "chat_jid", "created_at", F.lit(None).cast("timestamp").alias("_end"), F.lit(False).alias("_mine")
     )
-    answered = finished.where("chat_jid is not null").unionByName(replies)
-    answered = answered.withColumn("_reply", F.min(F.when(~F.col("_mine"), F.col("created_at"))).over(by_chat)).where("_mine")
-    whole = answered.unionByName(finished.where("chat_jid is null").withColumn("_reply", F.lit(None).cast("timestamp")))
+    whole = next_within(finished.unionByName(replies), ["chat_jid"], "created_at", ~F.col("_mine"), WEEK, "_reply").where("_mine")
     return whole.groupBy("technician_id").agg(
         F.count(F.lit(1)).alias("jobs_dispatched"), F.count("_end").alias("jobs_completed"),
         F.avg(minutes_between(F.col("_reply"), F.col("created_at"))).alias("avg_response_min"),
