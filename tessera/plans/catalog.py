@@ -5,6 +5,7 @@ All run over whole tables; limits are those that the operators have as a feature
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,8 @@ from tessera.operators import joins, lifecycle, messages, monitors, perkey, upse
 from tessera.plans import adapters as A
 from tessera.plans import backfill, reports, rollups
 from tessera.plans.registry import QUERIES, SQL, query
+from tessera.plans.store import shared_folder
+from tessera.streaming.store import RunStore
 
 DAY = "cast(timezone('America/Chicago', timezone('UTC', {})) - interval 5 hour as date)"
 START = "timezone('UTC', timezone('America/Chicago', timestamp '{} 05:00:00'))"
@@ -222,6 +225,15 @@ def upsert_latest_wins(spark, d):
     return _merged(spark, d)[1].select("user_id", "event_type", "event_id", F.col("_outcome").alias("outcome"))
 
 
+@query("""select user_id, event_type, event_id, value from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id % 3 desc, event_id) r from events) where r = 1""")
+def stored_rows(spark, d):
+    e = A.table(spark, d, "events").select("user_id", "event_type", "event_id", "value", "ts")
+    store = RunStore(spark, f"{shared_folder(spark)}/rows-{uuid.uuid4().hex}", "user_id long, event_type string, event_id long, value double, ts timestamp", ["user_id", "event_type"], "ts")
+    for number in range(3):
+        store.apply(e.where(f"event_id % 3 = {number}"), number, "event_id")
+    return store.read().drop("ts")
+
+
 def _merged(spark, d):
     e = A.table(spark, d, "events").select("user_id", "event_type", "event_id", "ts")
     target = perkey.latest(e.where("event_id % 3 <> 0"), ["user_id", "event_type"], ["ts", "event_id"])

@@ -100,11 +100,11 @@ def json_found_in_text(spark, d):
     return got.select("p_partkey", F.try_element_at("m", F.lit("name")).alias("name"), F.try_element_at("m", F.lit("v")).alias("v"))
 
 
-@query("""select conv_id, turn, 'Company: ' || case when turn % 2 = 0 then 'c' || conv_id else '(unknown)' end || chr(10) || 'Direction: ' || role || chr(10) || chr(10) || 'Message:' || chr(10) || repeat(chr(34), 3) || chr(10) || substring(text, 1, 80) || chr(10) || repeat(chr(34), 3) || chr(10) prompt from conversations""")
+@query("""select conv_id, turn, 'Company: ' || case when turn % 2 = 0 then 'c' || conv_id else '(unknown)' end || chr(10) || 'Direction: ' || role || chr(10) || chr(10) || 'Message:' || chr(10) || repeat(chr(34), 3) || chr(10) || substring(text, 1, 2500) || chr(10) || repeat(chr(34), 3) || chr(10) prompt from conversations""")
 def prompts(spark, d):
     c = A.table(spark, d, "conversations")
     company = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("c"), F.col("conv_id").cast("string")))
-    return c.select("conv_id", "turn", extraction.prompt(company, F.upper("role"), F.col("text"), 80).alias("prompt"))
+    return c.select("conv_id", "turn", extraction.prompt(company, F.upper("role"), F.col("text")).alias("prompt"))
 
 
 @query("""select event_id, case when m < 1 then 'just now' when m < 60 then m || 'm ago' when m < 1440 then (m // 60) || 'h ago' else (m // 1440) || 'd ago' end ago from (select event_id, date_diff('microsecond', ts, timestamp '2024-02-01') // 60000000 m from events where ts < timestamp '2024-02-01')""")

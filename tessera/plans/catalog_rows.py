@@ -67,18 +67,18 @@ def durations_and_rates(spark, d):
     return rows.durations(e).select("event_id", "duration_ms", F.round(rows.success_rate(F.col("event_id") % 4, F.col("event_id") % 3), 6).alias("rate"))
 
 
-@query("""select o_orderkey id, case when o_orderkey % 6 = 0 then null else 'l' || o_orderkey end label, case when o_orderkey % 6 = 0 and o_orderkey % 4 = 0 then 'company or label needed' when o_orderkey % 4 > 0 and o_custkey % 50 >= 40 then 'unknown company' end refusal from orders""")
+@query("""select o_orderkey id, case when o_orderkey % 6 = 0 then null else 'l' || o_orderkey end label, case when o_orderkey % 6 = 0 and o_orderkey % 4 = 0 then 'company or label needed' when o_orderkey % 4 > 0 and o_custkey % 50 * 40 not in (select c_custkey from customer) then 'unknown company' end refusal from orders""")
 def thread_labels_checked(spark, d):
     o = A.table(spark, d, "orders")
-    labels = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 4 > 0, F.col("o_custkey") % 50).alias("company_id"), F.when(F.col("o_orderkey") % 6 == 0, "  ").otherwise(F.concat(F.lit(" l"), F.col("o_orderkey").cast("string"))).alias("label"))
+    labels = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 4 > 0, F.col("o_custkey") % 50 * 40).alias("company_id"), F.when(F.col("o_orderkey") % 6 == 0, "  ").otherwise(F.concat(F.lit(" l"), F.col("o_orderkey").cast("string"))).alias("label"))
     return rows.checked_labels(labels, A.phoned_companies(spark, d)).select("id", "label", "refusal")
 
 
-@query("""with t as (select o_orderkey id, o_custkey % 50 company, o_custkey % 10000 k, o_orderkey % 10 = 0 bad from orders), f as (select k, min(id) first from t where not bad group by k)
- select t.id, case when bad then 'no phone of ten digits' when company >= 40 then 'unknown company' when t.k in (select c_custkey from customer where c_custkey % 7 = 0) or t.id <> f.first then 'bound already' end refusal from t left join f on f.k = t.k""")
+@query("""with t as (select o_orderkey id, o_custkey % 50 * 40 company, o_custkey % 10000 k, o_orderkey % 10 = 0 bad from orders), f as (select k, min(id) first from t where not bad group by k)
+ select t.id, case when bad then 'no phone of ten digits' when company not in (select c_custkey from customer) then 'unknown company' when t.k in (select c_custkey from customer where c_custkey % 7 = 0) or t.id <> f.first then 'bound already' end refusal from t left join f on f.k = t.k""")
 def phone_bindings_checked(spark, d):
     o = A.table(spark, d, "orders")
-    asked = o.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 50).alias("company_id"), F.when(F.col("o_orderkey") % 10 == 0, "12").otherwise(A.phone_of("o_custkey")).alias("phone"))
+    asked = o.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 50 * 40).alias("company_id"), F.when(F.col("o_orderkey") % 10 == 0, "12").otherwise(A.phone_of("o_custkey")).alias("phone"))
     bound = A.table(spark, d, "customer").where("c_custkey % 7 = 0").select(A.phone_of("c_custkey").alias("phone_e164"))
     return rows.checked_bindings(asked, A.phoned_companies(spark, d), bound).select("id", "refusal")
 
@@ -230,12 +230,13 @@ def set_operations(spark, d):
     return out
 
 
-@query("""select conv_id, 'MESSAGES:' || chr(10) || string_agg('--- Message ' || r || ' ---' || chr(10) || 'Company: ' || case when turn % 2 = 0 then 'c' else '(unknown)' end || chr(10) || 'Direction: ' || role || chr(10) || repeat(chr(34), 3) || chr(10) || substring(text, 1, 50) || chr(10) || repeat(chr(34), 3) || chr(10), chr(10) order by turn)
- || chr(10) || 'Return a JSON ARRAY of N objects in the same order, one per message. No markdown. No explanations.' prompt from (select *, row_number() over (partition by conv_id order by turn) r from conversations) group by conv_id""")
+@query("""select conv_id, b, 'MESSAGES:' || chr(10) || string_agg('--- Message ' || r || ' ---' || chr(10) || 'Company: ' || case when turn % 2 = 0 then 'c' else '(unknown)' end || chr(10) || 'Direction: ' || role || chr(10) || repeat(chr(34), 3) || chr(10) || substring(text, 1, 2500) || chr(10) || repeat(chr(34), 3) || chr(10), chr(10) order by turn)
+ || chr(10) || 'Return a JSON ARRAY of N objects in the same order, one per message. No markdown. No explanations.' prompt from (select *, turn // 8 b, row_number() over (partition by conv_id, turn // 8 order by turn) r from conversations) group by conv_id, b""")
 def batch_prompts(spark, d):
     c = A.table(spark, d, "conversations")
     item = F.struct("turn", F.when(F.col("turn") % 2 == 0, "c").alias("company"), F.upper("role").alias("direction"), F.col("text").alias("body"))
-    return c.groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("items")).select("conv_id", X.batch_prompt(F.col("items"), 50).alias("prompt"))
+    eight = c.groupBy("conv_id", F.floor(F.col("turn") / 8).alias("b")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return eight.select("conv_id", "b", X.batch_prompt(F.col("items")).alias("prompt"))
 
 
 @query("select o_orderkey, case when m < 60 then cast(m as integer) || 'm' when m % 60 = 0 then (m // 60) || 'h' else round(m / 60.0, 1) || 'h' end words, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') stamp from (select *, (o_orderkey % 50) * 6 + 6 m from orders)")
@@ -278,7 +279,7 @@ def chats_created(spark, d):
     return rows.reactivated(table, new.union(new), "chat")
 
 
-@query("""select 'company' page, cast(k as varchar) k from (select c_custkey k, row_number() over (order by lower(case when c_custkey % 2 = 0 then upper(c_name) else c_name end), c_custkey) r from customer where c_custkey < 40) where r between 6 and 15
+@query("""select 'company' page, cast(k as varchar) k from (select c_custkey k, row_number() over (order by lower(case when c_custkey % 2 = 0 then upper(c_name) else c_name end), c_custkey) r from customer) where r between 6 and 15
  union all select 'event', cast(event_id as varchar) from (select event_id, row_number() over (order by ts desc, event_id desc) r from events where user_id = 5) where r between 3 and 7
  union all select 'alert', cast(event_id as varchar) from (select event_id, row_number() over (order by ts desc, event_id) r from events where event_id % 3 <> 0 and event_type = 'click') where r <= 10
  union all select 'unseen', cast(event_id as varchar) from (select event_id, row_number() over (order by ts desc, event_id) r from events where event_id % 3 <> 0 and event_id % 5 <> 0) where r <= 10
