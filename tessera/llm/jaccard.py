@@ -1,10 +1,11 @@
 """Exact Jaccard join on word n-grams by signature trees, with components of the linked documents.
 
 1. Every text becomes its set of n-gram hashes; texts with equal sets are one class from there on.
-2. A sketch of fixed size counts n-grams.  In the order (count, hash) two sets that link share one of the first
+2. A sketch of fixed size counts n-grams, which decides about order only.  In the order (count, hash) two sets that link share one of the first
    |A| - ceil(t |A|) + 1 n-grams of each, so those are dealt out; classes under one n-gram are a block.  Common
    passages come last in that order and make no large blocks.  Blocks with equal members, or within another, are
-   dropped.  N-grams that stay frequent join into clusters, which are cut by size and hash into chunks.
+   dropped.  N-grams of more than CHUNK classes (counted exactly) join into clusters, which are cut by size and hash
+   into chunks, so no walk holds more than a chunk and as many visitors.
 3. Each block gets a signature tree: its leaves hold bitmaps of the sets (a fraction of a byte an n-gram), its nodes
    the OR of the bitmaps below and the range of sizes.  Walking pairs of nodes from the root down, a pair is left if
    its sizes don't fit or if the common bits leave too small an overlap.  Only the bitmaps are dealt to the blocks;
@@ -352,18 +353,26 @@ def deal(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> DataF
             gram, own, heavy = gram[new], own[new], heavy[new]
             first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
             size = np.diff(np.append(first, len(gram)))
+            heavy = heavy | np.repeat(size > CHUNK, size)  # by the exact number of its sets
             name = mixed(np.add.reduceat(mixed(own.view(np.uint64)), first) + size.astype(np.uint64)).view(np.int64)
             keep = heavy | np.repeat(size > 1, size)
             block = np.where(heavy, gram, np.repeat(name, size))
             columns = (heavy, block, own, np.repeat(size, size))
             return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], ["heavy", "block", "set_id", "size"])
 
-        rest = None  # the last n-gram of a batch may go on in the next
+        rest, crowded = None, None  # the last n-gram of a batch may go on in the next; one that is known to be too large
         for b in batches:
             now = [b.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
             if rest is not None:
                 now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
-            cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
+            if not len(now[0]):
+                continue
+            if crowded is not None:
+                now[2] = now[2] | (now[0] == crowded)
+            cut = int(np.searchsorted(now[0], now[0][-1]))
+            if len(np.unique(now[1][cut:])) > CHUNK:  # no task holds more of one n-gram
+                crowded, now[2] = now[0][-1], now[2] | (now[0] == now[0][-1])
+                cut = len(now[0])
             rest = [x[cut:] for x in now]
             if cut:
                 yield found(*(x[:cut] for x in now))
@@ -420,16 +429,25 @@ def representatives(cut: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def odd_blocks(cut: DataFrame, known: DataFrame) -> DataFrame:
-    """(block, set_id): chunks with the members outside the cluster's largest component from all chunks of fitting size."""
+    """(block, set_id): chunks with the members outside the cluster's largest component from all chunks of fitting size.
+
+    A chunk that more than CHUNK such members visit stands once for every CHUNK of them, so no block is larger than a
+    chunk and CHUNK visitors.
+    """
     rows = labelled(cut, known)
     n = rows.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
     main = n.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("components")).where("components > 1")
     rows = rows.join(main, "cluster")
-    own = rows.select("block", "set_id")
-    kinds = cut.select("cluster", F.col("kind").alias("near"), "chunks").distinct().withColumnRenamed("chunks", "near_chunks")
     odd = rows.where("component <> main").select("set_id", "cluster", F.explode(F.array(F.col("kind") - 1, F.col("kind"), F.col("kind") + 1)).alias("near"))
-    odd = odd.join(kinds, ["cluster", "near"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("near_chunks") - 1)))
-    return own.union(odd.select(chunk_name("near", F.col("chunk").cast("int")).alias("block"), "set_id")).distinct()
+    turns = odd.groupBy("cluster", "near").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("turns"))
+    kinds = cut.select("cluster", F.col("kind").alias("near"), F.col("chunks").alias("near_chunks")).distinct().join(turns, ["cluster", "near"])
+    name = lambda chunk, turn: F.xxhash64(F.lit("turn"), "cluster", "near", chunk, turn).alias("block")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = rows.withColumnRenamed("kind", "near").join(kinds, ["cluster", "near"]).withColumn("turn", each("turns"))
+    own = own.select(name(F.pmod(F.xxhash64("set_id"), F.col("chunks")).cast("int"), F.col("turn")), "set_id")
+    odd = odd.join(kinds, ["cluster", "near"]).withColumn("chunk", each("near_chunks"))
+    odd = odd.select(name(F.col("chunk"), F.pmod(F.xxhash64(F.lit("turn"), "set_id"), F.col("turns")).cast("int")), "set_id")
+    return own.union(odd).distinct()
 
 
 def bloom(ids: DataFrame, bits: int) -> np.ndarray:

@@ -3,7 +3,9 @@
 A bounded sample of labelled rows gives the lexicon: whole words, and stems that many words share, which stand in
 toxic texts far more often than in clean ones.  The lexicon's trie is intersected with the automaton of one edit
 (insertion, deletion, substitution or swap of neighbours) and made deterministic, so one table walk a character finds
-exact and misspelled terms of any number of words at once.  Texts with hits are read again with the words around each
+exact and misspelled terms of any number of words at once, whole words and stems alike, the first letter included.  A
+likeness that clean texts of the sample use at least as often as toxic ones is no hit, and a term with several such
+likenesses, more than it has others, is looked for as it is: evidence decides, not length.  Texts with hits are read again with the words around each
 hit: hits inside quotation marks, or near words of reporting, count apart from plain abuse.  A logistic model over
 these counts, fitted on the same sample with prior weights, gives the score.
 
@@ -17,7 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import batched, chain
@@ -39,15 +41,21 @@ WINDOW = 8
 EXACT, FUZZY = 1, 2
 APART = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII that no word holds
 PREFIXES = range(4, 8)
+MANY_FORMS = 3
 #: Prior weights of exact, misspelled, quoted exact and quoted misspelled hits, each as log(1 + n).
 PRIOR = np.array([6.0, 2.0, 2.0, 0.7])
 
 
 @dataclass
 class Lexicon:
-    """Terms (a trailing $ marks whole words) and the deterministic automaton that finds them."""
+    """Terms (a trailing $ marks whole words, others are stems) and the deterministic automaton that finds them.
+
+    Terms in `exact_only` are found as they are, all others with one edit anywhere too, the first letter included.
+    Whether a term is found in a word does not depend on the other terms.
+    """
 
     terms: list[str]
+    exact_only: frozenset[str] = frozenset()
     symbols: dict[str, int] = field(default_factory=dict)
     moves: np.ndarray = field(default_factory=lambda: np.zeros((1, 1), np.int32))
     found: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int32))  # 4 * term + kind at a word's end
@@ -56,27 +64,37 @@ class Lexicon:
         trie: list[dict[str, int]] = [{}]
         whole: dict[int, int] = {}
         stem: dict[int, int] = {}
-        fuzzy = {0}  # nodes below which one edit is allowed
+        fuzzy = set()  # nodes on the way to a term that may be misspelled
         for k, term in enumerate(self.terms):
-            node, word = 0, term.removesuffix("$")
-            for c in word:
+            node, path = 0, [0]
+            for c in term.removesuffix("$"):
                 node = trie[node].setdefault(c, len(trie))
                 if node == len(trie):
                     trie.append({})
-                if term.endswith("$") and len(word) >= 5:
-                    fuzzy.add(node)
+                path.append(node)
             (whole if term.endswith("$") else stem)[node] = k
+            if term not in self.exact_only:
+                fuzzy.update(path)
         self.symbols = {c: i + 1 for i, c in enumerate(sorted({c for t in self.terms for c in t} - {"$"}))}
         wild = [*self.symbols, ""]
+        misspelled = [t not in self.exact_only for t in self.terms]
 
-        # A state is a set of (node, edits, awaited): awaited is the letter that completes a swap.
+        # A state is a set of (node, edits, awaited): awaited is the letter that completes a swap.  Node -1 stands for
+        # a stem that was read, with 4 * term + kind in place of edits: whatever follows, it stays found.
         def closed(states: set) -> frozenset:
             out = set()
             for node, edits, awaited in states:
                 out.add((node, edits, awaited))
-                if edits == 0 and not awaited:  # a letter of the term is missing
+                if node >= 0 and edits == 0 and not awaited:  # a letter of the term is missing
                     out.update((n, 1, "") for n in trie[node].values() if n in fuzzy)
-            return frozenset(s for s in out if s[1] == 0 or s[2] or (s[0], 0, "") not in out)
+            for node, edits, awaited in list(out):
+                if node in stem and not awaited and (edits == 0 or misspelled[stem[node]]):
+                    out.add((-1, 4 * stem[node] + (FUZZY if edits else EXACT), ""))
+            stems = [e for n, e, _ in out if n == -1]
+            if exact := [e for e in stems if e & 3 == EXACT]:
+                return frozenset({(-1, min(exact), "")})
+            out = {s for s in out if s[0] >= 0 and (s[1] == 0 or s[2] or (s[0], 0, "") not in out)}
+            return frozenset(out | ({(-1, min(stems), "")} if stems else set()))
 
         def after(states: frozenset, c: str) -> frozenset:
             out = set()
@@ -86,33 +104,28 @@ class Lexicon:
                 elif awaited:
                     if c == awaited:
                         out.add((node, edits, ""))
-                    continue
-                if node >= 0 and c in trie[node]:
-                    out.add((trie[node][c], edits, ""))
-                if node >= 0 and edits == 0:
-                    if node in fuzzy and node:
+                else:
+                    if c in trie[node]:
+                        out.add((trie[node][c], edits, ""))
+                    if edits == 0 and node in fuzzy:
                         out.add((node, 1, ""))  # a letter too many
-                    for x, n in trie[node].items():
-                        if n in fuzzy and node:
-                            if x != c:
+                        for x, n in trie[node].items():
+                            if n in fuzzy and x != c:
                                 out.add((n, 1, ""))  # another letter
-                            if c in trie[n] and trie[n][c] in fuzzy and x != c:
-                                out.add((trie[n][c], 1, x))  # swapped
-            for node, edits, _ in list(out):
-                if edits == 0 and node in stem:
-                    out.add((-1, stem[node], ""))  # a stem was read: whatever follows, it stays found
+                                if c in trie[n] and trie[n][c] in fuzzy:
+                                    out.add((trie[n][c], 1, x))  # swapped
             return closed(out)
 
         def hit(states: frozenset) -> int:
-            best = [4 * whole[n] + (FUZZY if e else EXACT) for n, e, a in states if n >= 0 and not a and n in whole]
-            best = [b for b in best if b & 3 == EXACT] or [4 * e + EXACT for n, e, _ in states if n == -1] or best
+            ends = [(n, e) for n, e, awaited in states if n in whole and not awaited]
+            best = [4 * whole[n] + EXACT for n, e in ends if not e] or [e for n, e, _ in states if n == -1 and e & 3 == EXACT]
+            best = best or [4 * whole[n] + FUZZY for n, e in ends if misspelled[whole[n]]] or [e for n, e, _ in states if n == -1]
             return min(best, default=0)
 
-        # the first letter is right in almost any misspelling, so edits start after it
-        start = frozenset({(0, 0, "")})
-        number, todo, rows = {frozenset(): 0, start: 1}, [start], [[0] * (len(wild))]
+        start = closed({(0, 0, "")})
+        number, todo, rows = {frozenset(): 0, start: 1}, deque([start]), [[0] * (len(wild))]
         while todo:
-            s = todo.pop(0)
+            s = todo.popleft()
             row = []
             for c in wild:
                 t = after(s, c)
@@ -259,17 +272,22 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, most_toxic: int =
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            toxic, likeness = [], []
+            toxic, likeness, term = [], [], []
             for text, y in zip(map(pa.StringScalar.as_py, b.column(0)), b.column(1).to_pylist(), strict=True):
                 words = list(set(WORD.findall((text or "").lower())))
-                fuzzy = [w for w, h in zip(words, lexicon.look_up(words).tolist(), strict=True) if h & 3 == FUZZY]
-                likeness += fuzzy
+                fuzzy = [(w, h >> 2) for w, h in zip(words, lexicon.look_up(words).tolist(), strict=True) if h & 3 == FUZZY]
+                likeness += [w for w, _ in fuzzy]
+                term += [k for _, k in fuzzy]
                 toxic += [y] * len(fuzzy)
-            yield pa.RecordBatch.from_arrays([pa.array(likeness, pa.string()), pa.array(toxic, pa.int64())], ["word", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(likeness, pa.string()), pa.array(term, pa.int64()), pa.array(toxic, pa.int64())], ["word", "term", "toxic"])
 
-    seen = texts.mapInArrow(hits, "word string, toxic long")
-    ignored = seen.groupBy("word").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n")).where("n - bad >= 1 and bad <= n - bad").collect()
-    model = Model(lexicon, frozenset(r["word"] for r in ignored), PRIOR, 0.0)
+    seen = texts.mapInArrow(hits, "word string, term long, toxic long")
+    words = seen.groupBy("word").agg(F.first("term").alias("term"), F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n")).collect()
+    ignored = {r["word"] for r in words if r["n"] - r["bad"] >= 1 and r["bad"] <= r["n"] - r["bad"]}
+    # a term that has more different likenesses in clean texts than in toxic ones is looked for as it is
+    clean_forms, toxic_forms = (Counter(r["term"] for r in words if (r["word"] in ignored) == c) for c in (True, False))
+    common = {lexicon.terms[k] for k, n in clean_forms.items() if n >= MANY_FORMS and n > toxic_forms[k]}
+    model = Model(Lexicon(lexicon.terms, frozenset(common)), frozenset(ignored), PRIOR, 0.0)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -290,7 +308,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, most_toxic: int =
 def specific(strong: dict[str, int]) -> list[str]:
     """Of terms that extend one another the longest that still has almost all texts of the shorter one.
 
-    Whole words stay beside a shorter stem, since edits are looked for below whole words only.
+    Whole words stay beside a shorter stem, since a misspelled end is theirs and not the stem's.
     """
     ordered = sorted(strong, key=lambda t: (len(t), t))
     kept: list[str] = []

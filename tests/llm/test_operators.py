@@ -135,6 +135,29 @@ def test_jaccard_equals_brute_force(spark, n, percent, monkeypatch):
     assert got == brute_components(texts, n, percent)
 
 
+def test_one_phrase_in_all_texts_makes_no_large_block(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK", 20)
+    rng = np.random.default_rng(3)
+    texts = {}
+    for i in range(0, 150, 3):
+        own = [f"u{i}x{k}" for k in range(int(rng.integers(2, 6)))]
+        texts[i] = " ".join(["the same four words", *own])
+        texts[i + 1] = " ".join(["the same four words", *own, "z"])  # links where own is long enough
+        texts[i + 2] = " ".join([*own, *own, "the same four words"])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    described, sketch = jaccard.describe(df, 4)
+    members = jaccard.deal(df, sketch * 0 + 1, 4, 60)  # a sketch that knows of no frequent n-gram
+    assert members.where("not heavy").agg(F.max("size")).first()[0] <= 20
+    assert members.where("heavy").groupBy("block").count().agg(F.max("count")).first()[0] >= 150
+    sizes = described.where("set_id is not null").select("set_id", "n_shingles").distinct()
+    cut = jaccard.chunked(jaccard.clusters(members.where("heavy").select("block", "set_id"), "block"), sizes, 60)
+    known = sizes.select("set_id", F.col("set_id").alias("component"), F.lit(0).cast("long").alias("home"))
+    blocks = jaccard.odd_blocks(cut, known).groupBy("block").count()
+    assert blocks.agg(F.max("count")).first()[0] <= 3 * 20  # a chunk and as many visitors, give or take what hashes do
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_documents(df, 4, 60).collect()}
+    assert got == brute_components(texts, 4, 60)
+
+
 def test_jaccard_hostile(spark):
     docs = hostile(spark)
     texts = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] is not None}
@@ -550,10 +573,10 @@ def test_language_is_the_nearest_centroid(spark, sf):
 
 
 def _edits(word, term):
-    """Whether a word is a term with one letter changed, missing, too many, or two neighbours swapped, the first one apart."""
+    """Whether a word is a term with one letter changed, missing, too many, or two neighbours swapped."""
     out = set()
     letters = set(word) | set(term)
-    for i in range(1, len(term) + 1):
+    for i in range(len(term) + 1):
         out |= {term[:i] + c + term[i:] for c in letters}
         if i < len(term):
             out |= {term[:i] + term[i + 1 :]} | {term[:i] + c + term[i + 1 :] for c in letters if c != term[i]}
@@ -562,23 +585,38 @@ def _edits(word, term):
     return word in out
 
 
-def test_automaton_equals_edit_distance():
-    rng = np.random.default_rng(6)
-    terms = ["scumbag", "idiots", "morons", "vermin"]
-    lexicon = toxicity.Lexicon([f"{t}$" for t in terms])
+def _mangled(rng, terms, times):
     words = set(terms)
     for t in terms:
-        for _ in range(400):
+        for _ in range(times):
             w = list(t)
             for _ in range(int(rng.integers(1, 3))):
-                i, kind, c = int(rng.integers(1, len(w))), int(rng.integers(4)), chr(97 + int(rng.integers(26)))
-                w = {0: w[:i] + [c] + w[i:], 1: w[:i] + w[i + 1 :] or w, 2: w[:i] + [c] + w[i + 1 :], 3: w[: i - 1] + w[i : i + 1] + w[i - 1 : i] + w[i + 1 :]}[kind]
+                i, kind, c = int(rng.integers(len(w))), int(rng.integers(4)), chr(97 + int(rng.integers(26)))
+                w = {0: w[:i] + [c] + w[i:], 1: w[:i] + w[i + 1 :] or w, 2: w[:i] + [c] + w[i + 1 :], 3: w[:i] + w[i + 1 : i + 2] + w[i : i + 1] + w[i + 2 :]}[kind]
                 w = w if len(w) > 2 else list(t)
-            words.add("".join(w))
-    words = sorted(words)
+            words.add("".join(w) + ("er" if rng.random() < 0.2 else ""))
+    return sorted(words)
+
+
+def test_automaton_equals_edit_distance():
+    terms, stems, rigid = ["scumbag", "idiots", "scum", "vermin"], ["filth", "moro"], ["scumb$", "idio"]
+    words = _mangled(np.random.default_rng(6), terms + stems, 400)
+    lexicon = toxicity.Lexicon([*(f"{t}$" for t in terms), *stems, *rigid], frozenset(rigid))
     for w, h in zip(words, lexicon.look_up(words).tolist(), strict=True):
-        want = toxicity.EXACT if w in terms else toxicity.FUZZY if any(_edits(w, t) for t in terms) else 0
-        assert h & 3 == want, w
+        exact = w in terms or w == "scumb" or w.startswith(("filth", "moro", "idio"))
+        like = any(_edits(w, t) for t in terms) or any(_edits(w[:n], t) for t in stems for n in range(len(t) - 1, len(t) + 2))
+        assert h & 3 == (toxicity.EXACT if exact else toxicity.FUZZY if like else 0), w
+
+
+def test_hits_do_not_depend_on_other_terms():
+    terms = ["scumbag$", "scum$", "scu", "idiot$", "idiotic", "filth", "filthy$", "ilth$"]
+    words = _mangled(np.random.default_rng(7), [t.removesuffix("$") for t in terms], 150)
+    rigid = frozenset({"scum$", "idiotic"})
+    alone = [toxicity.Lexicon([t], rigid & {t}).look_up(words) & 3 for t in terms]
+    want = [min((int(a[i]) for a in alone if a[i]), default=0) for i in range(len(words))]
+    assert [int(h) & 3 for h in toxicity.Lexicon(terms, rigid).look_up(words)] == want
+    found = toxicity.Lexicon(["scumbag$", "scum$", "idiot$", "filth"]).look_up(["xcumbag", "cumbag", "1diot", "filhty", "scun", "scmu"])
+    assert [int(h) & 3 for h in found] == [toxicity.FUZZY] * 6
 
 
 def test_long_texts_score_as_their_words_do():
