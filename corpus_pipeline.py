@@ -19,6 +19,7 @@ from tessera.llm.catalog import TOKENIZER
 from tessera.llm.shared import documents, durable, shared_dir
 
 FEW = 300_000  # keys that are broadcast: about 25 MB
+KEY = F.xxhash64
 
 
 def _filtered(docs: DataFrame, judged: Callable[..., DataFrame], condition: str) -> DataFrame:
@@ -44,22 +45,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that with the smallest id, of each group linked by five-word shingles at 0.8.
 
-    Rows are told apart by a 64-bit hash of their id and text, so rows without an id, and different texts of one id,
-    are judged by their own text.  Of equal rows one stays.
+    Rows are grouped by a 64-bit hash of their id and text, so rows without an id, and different texts of one id, are
+    judged by their own text; of equal rows one stays.  A second hash tells rows apart that share the first: such rows
+    all stay, so a clash loses nothing.
     """
     own = [f"_c{i}" for i in range(len(docs.columns))]
     named = docs.toDF(*own)
     doc, text = own[docs.columns.index("doc_id")], own[docs.columns.index("text")]
-    keyed = named.withColumn("_key", F.xxhash64(doc, text))
+    keyed = named.withColumns({"_key": KEY(doc, text), "_check": F.xxhash64(F.lit(1), text, doc)})
     found = jaccard.join_documents(keyed.select(F.col("_key").alias("doc_id"), F.col(text).alias("text")), words=5, percent=80)
     found = durable(found.select(F.col("doc_id").alias("_key"), "component_id"), "components")
-    ids = keyed.select("_key", F.col(doc).alias("_doc"))
+    ids = durable(keyed.groupBy("_key").agg(F.min(doc).alias("_doc"), F.min("_check").alias("low"), F.max("_check").alias("high"), F.count(F.lit(1)).alias("n")), "ids")
     first = F.min(F.struct(F.col("_doc").isNull().alias("none"), F.col("_doc").alias("doc"), F.col("_key").alias("key")))
-    kept = durable(found.join(ids, "_key").groupBy("component_id").agg(first.alias("first")).select(F.col("first.key").alias("_key")), "kept")
+    kept = found.join(ids.where("low = high").select("_key", "_doc"), "_key").groupBy("component_id").agg(first.alias("first")).select(F.col("first.key").alias("_key"))
+    kept = durable(kept.union(ids.where("low <> high").select("_key")), "kept")
     few = kept.count() <= FEW
     left = keyed.join(F.broadcast(kept) if few else kept, "_key", "left_semi")
-    n = found.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("_key").alias("keys")).first()
-    left = left if n["rows"] == n["keys"] else left.dropDuplicates(["_key"])
+    left = left if ids.where("n > 1").isEmpty() else left.dropDuplicates(["_key", "_check"])
     return left.select(*own).toDF(*docs.columns)
 
 
