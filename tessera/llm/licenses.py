@@ -1,6 +1,6 @@
 """Licence scans by a trained paragraph classifier: native DataFrame expressions, no Python on the rows.
 
-A paragraph is a line of the text.  Its words (lower-cased letters, digits and inner dots) and pairs of words are the
+A paragraph is a line of the text, or several that were one before it was wrapped (`WRAPPED`).  Its words (lower-cased letters, digits and inner dots) and pairs of words are the
 features of a sparse multinomial logistic regression over the licence families and `unknown`.  It is fitted on the
 driver on NOTICES (whole, in windows, and with words left out) and on sentences with NAMES against a bounded, hash-chosen sample of the corpus's
 own lines, which stand for `unknown`.  Only features that the sample's lines hardly ever hold take part (pairs need a
@@ -13,8 +13,8 @@ shuffle; the weights are a literal of fixed size.  Lines without a word or pair
 by one regular expression before they are cut into words.
 
 Null and empty texts have no paragraphs.  Repeated rows are scored as rows of their own.  Families that tie go to the
-alphabetically first.  Very long texts are scanned whole, line by line; an empty table gives no rows; other columns
-don't matter, and kept ones may have any names but those of the outputs.
+alphabetically first.  Very long texts are scanned whole, paragraph by paragraph; an empty table gives no rows; other columns
+don't matter, and a kept one with the name of an output gives way to it.
 """
 
 from __future__ import annotations
@@ -135,8 +135,19 @@ ALIKE = [
 SEPARATORS = r"[^\p{L}\p{N}.]+|\.+(?![\p{L}\p{N}])"
 
 
+#: Widths that text is wrapped at, in letters: a line that the next one's first word would have made longer than the smaller goes on in it.
+WIDTHS = (60, 120)
+LIST_MARK = r"[-•][ \t]|[0-9]+[.)][ \t]"
+#: A line and its end, where the text goes on in the next: by the length of that one's first word, which may be up to 20 letters.
+WRAPPED = (
+    rf"(?md)^(?=[^\n]{{{WIDTHS[0] - 20},{WIDTHS[1]}}}\n\S)(?=" + "|".join(rf"[^\n]{{{WIDTHS[0] - n},{WIDTHS[1]}}}\n\S{{{n}}}" for n in range(1, 21)) + rf")([^\n]*)\n(?!{LIST_MARK})"
+)
+
+
 def lines_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "\n"), lambda x: x.rlike(r"[\p{L}\p{N}]"))
+    """Paragraphs with a letter or digit, in lower case: lines, with wrapped ones joined up to a blank line, a list mark or a line that ends early."""
+    joined = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), F.lit(WRAPPED), F.lit("$1 "))
+    return F.filter(F.split(joined, "\n"), lambda x: x.rlike(r"[\p{L}\p{N}]"))
 
 
 def words_of(line: Column) -> Column:
@@ -212,9 +223,11 @@ def _platt(margin: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float,
 
 def train(
     docs: DataFrame, text_column: str = "text", lines: int = 2000, notices: dict[str, list[str]] | None = None, common: float = 0.002,
-    names: dict[str, list[str]] | None = None,
+    names: dict[str, list[str]] | None = None, sample_words: int = 300,
 ) -> Model:
-    """A model from NOTICES, NAMES in FRAMES, and about `lines` lines of the corpus, chosen by a hash of the line; only these meet the driver.
+    """A model from NOTICES, NAMES in FRAMES, and at most `lines` paragraphs of the corpus, chosen by their hash; only these meet the driver.
+
+    Of each paragraph of the sample the first `sample_words` words are learned from (scans read all words).
 
     Lines that equal or nearly hold a notice are left out of the sample.  Features that more than `common` of the
     sample's lines hold have no weight.
@@ -247,8 +260,8 @@ def train(
         docs.select(F.explode(lines_of(F.col(text_column))).alias("line"))
         .where(F.pmod(F.xxhash64(F.lit(11), "line"), F.lit(1 << 24)) < share * (1 << 24)).select("line").distinct()
     )
-    # a sample line's first 300 words are enough to learn what isn't a licence
-    sample = sorted(list(r["words"]) for r in picked.select(F.slice(words_of(F.col("line")), 1, 300).alias("words")).limit(4 * lines).collect())
+    picked = picked.orderBy(F.xxhash64("line"), "line").limit(lines)  # exactly bounded, and the same whatever the partitions
+    sample = sorted(list(r["words"]) for r in picked.select(F.slice(words_of(F.col("line")), 1, sample_words).alias("words")).collect())
     grams = {g for ws in templates.values() for w in ws for g in _grams(w)} | {g for _, w in named for g in _grams(w)}
     held = [{f"{a} {b}" for a, b in zip(w[:-1], w[1:], strict=True)} for ws in templates.values() for w in ws]
     pairs = [h for h in held if len(h) >= 2]
@@ -311,13 +324,22 @@ def _literal(values: list) -> str:
     return "array(" + ", ".join(f"'{v}'" if isinstance(v, str) else f"{v!r}D" for v in values) + ")"
 
 
+OUTPUTS = ("n_paragraphs", "matches", "n_unconfirmed")
+
+
 def scan(docs: DataFrame, model: Model, *keep: str, text_column: str = "text", least: float = 0.5, agree: float = 0.6) -> DataFrame:
     """The columns of `keep`, n_paragraphs and matches: line number, family, probability and agreement of every licence line.
 
     `matches` holds lines whose calibrated probability of being a licence is `least` or more and that a notice of
     the family confirms; n_unconfirmed counts the predicted lines that none confirms.
     """
-    lines = docs.select(*keep, lines_of(F.col(text_column)).alias("_lines"))
+    keep = tuple(c for c in keep if c not in OUTPUTS)  # a kept column of an output's name gives way to it
+    own = [f"_c{i}" for i in range(len(keep))]  # kept columns may have the names of columns in between
+    lines = docs.select(*[F.col(c).alias(o) for c, o in zip(keep, own, strict=True)], lines_of(F.col(text_column)).alias("_lines"))
+    return _scanned(lines, model, own, least, agree).withColumnsRenamed(dict(zip(own, keep, strict=True)))
+
+
+def _scanned(lines: DataFrame, model: Model, keep: list[str], least: float, agree: float) -> DataFrame:
     if not model.weights:
         none = F.array().cast("array<struct<line:int,family:string,probability:double,agreement:double>>")
         return lines.select(*keep, F.size("_lines").cast("long").alias("n_paragraphs"), none.alias("matches"), F.lit(0).cast("long").alias("n_unconfirmed"))
@@ -372,7 +394,8 @@ def scan(docs: DataFrame, model: Model, *keep: str, text_column: str = "text", l
 
 
 def digest(scanned: DataFrame, *keep: str) -> DataFrame:
-    """A flat row a document: its families (sorted, comma-separated), the licence lines and the best probability."""
+    """A flat row a document: its families (sorted, comma-separated), the licence paragraphs and the best probability."""
+    keep = tuple(c for c in keep if c not in (*OUTPUTS, "n_license_lines", "families", "probability"))
     families = F.array_sort(F.array_distinct(F.transform("matches", lambda x: x["family"])))
     best = F.coalesce(F.round(F.array_max(F.transform("matches", lambda x: x["probability"])), 6), F.lit(0.0))
     return scanned.select(

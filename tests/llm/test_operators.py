@@ -349,6 +349,48 @@ def test_lexicon_is_whole():
     assert len(toxicity.specific({f"word{i:04}$": 5 for i in range(700)})) == 700
 
 
+def plain_paragraphs(text):
+    out = [""]
+    lines = text.split("\n")
+    for line, after in zip(lines, [*lines[1:], ""], strict=True):
+        out[-1] += line
+        word = re.match(r"\S*", after).group()
+        fits = not word or len(line) + min(len(word), 20) < 60 or not 40 <= len(line) <= 120
+        if fits or re.match(r"[-•][ \t]|[0-9]+[.)][ \t]", after):
+            out.append("")
+        else:
+            out[-1] += " "
+    return out
+
+
+def test_wrapped_notices_are_one_paragraph(spark):
+    import textwrap
+
+    texts = ["x" * 39 + "\nabc def", "y" * 50 + " end\nshort word\nnext", "a b " * 14 + "\n- item one " + "c d " * 14 + "\n1. item", ("w " * 25 + "\n") * 3 + "\nnew", "long " * 60 + "\nwords here", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r["i"]: list(r["l"]) for r in df.select("i", licenses.lines_of(F.col("text")).alias("l")).collect()}
+    assert got == {i: [x for x in plain_paragraphs(t) if re.search(r"[^\W_]", x)] for i, t in enumerate(texts)}
+    headers = {
+        "apache": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+        "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+    }
+    rows = [(f"{k} {w}", textwrap.fill(t, w) if w else t) for k, t in headers.items() for w in (0, 60, 72, 80)]
+    model = licenses.train(hostile(spark))
+    got = {r["name"]: (r["families"], r["probability"], r["n_license_lines"]) for r in licenses.digest(licenses.scan(spark.createDataFrame(rows, "name string, text string"), model, "name"), "name").collect()}
+    for k in headers:
+        assert got[f"{k} 0"][0] == k and {got[f"{k} {w}"] for w in (60, 72, 80)} == {got[f"{k} 0"]}
+    clash = spark.createDataFrame([(1, "mine", "Released under the MIT License.")], "doc_id long, matches string, text string")
+    assert licenses.digest(licenses.scan(clash, model, "doc_id", "matches"), "doc_id").columns == ["doc_id", "n_paragraphs", "n_license_lines", "families", "probability", "n_unconfirmed"]
+
+
+def test_clashing_keys_of_the_pipeline_lose_nothing(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, PROSE * 3), (2, PROSE * 3), (3, "quite another text " * 9), (3, "quite another text " * 9)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [1, 3]
+    monkeypatch.setattr(corpus_pipeline, "KEY", lambda *_: F.lit(5).cast("long"))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [1, 2, 3]
+
+
 def test_licenses(spark, sf, texts):
     lines = {
         "apache": "Licensed under the Apache License, Version 2.0.", "mit": "Released under the MIT License.", "cc-by-nc": "Licensed under CC BY-NC 4.0.",
@@ -358,7 +400,7 @@ def test_licenses(spark, sf, texts):
     for r in rows:
         own = (texts[r["doc_id"]]["text"] or "").split("\n")
         assert r["families"] == ",".join(sorted(k for k, line in lines.items() if line in own))
-        assert r["n_paragraphs"] == sum(bool(re.search(r"[^\W_]", x)) for x in own)
+        assert r["n_paragraphs"] == sum(bool(re.search(r"[^\W_]", x)) for x in plain_paragraphs("\n".join(own)))
     docs = hostile(spark)
     model = licenses.train(docs)
     got = {r["doc_id"]: r for r in licenses.digest(licenses.scan(docs, model, "doc_id"), "doc_id").collect()}
