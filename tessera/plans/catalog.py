@@ -17,6 +17,7 @@ from tessera.plans import adapters as A
 from tessera.plans import backfill, reports, rollups
 from tessera.plans.registry import QUERIES, SQL, query
 from tessera.plans.store import shared_folder
+from tessera.streaming.report import ReportStore
 from tessera.streaming.store import RunStore
 
 DAY = "cast(timezone('America/Chicago', timezone('UTC', {})) - interval 5 hour as date)"
@@ -53,6 +54,18 @@ def company_status_with_appointments(spark, d):
     return reports.status_report(A.jobs(spark, d), A.companies(spark, d), *values.business_range(FIRST, LAST), appointments=True)
 
 
+@query(_report(f"({ARRIVED}) or ({APPOINTED})").replace("select company_id,", "select cast(company_id as varchar) company_id,"))
+def report_of_changes(spark, d):
+    """Half of the jobs come as they are; the others come as pending ones without an appointment and change later."""
+    jobs = A.jobs(spark, d).withColumn("changed_at", F.col("first_message_at"))
+    first = jobs.where("id % 2 = 1").withColumns({"lifecycle_status": F.lit("pending"), "appt_at": F.lit(None).cast("timestamp")})
+    later = jobs.where("id % 2 = 1").withColumn("changed_at", F.col("first_message_at") + F.expr("interval 1 day"))
+    store = ReportStore(spark, f"{shared_folder(spark)}/report-{uuid.uuid4().hex}")
+    for number, changes in enumerate((jobs.where("id % 2 = 0"), first, later)):
+        store.apply(changes, number)
+    return store.report(A.companies(spark, d), FIRST, LAST, appointments=True)
+
+
 @query(f"select {COUNTS} from {BUCKETED} b where {ARRIVED}")
 def company_status_total(spark, d):
     return reports.grand_total(company_status_breakdown(spark, d))

@@ -37,9 +37,14 @@ def status_report(jobs: DataFrame, companies: DataFrame, start: Column, end: Col
     """
     rows = jobs.where(F.col("company_id").isNotNull() & in_range(start, end, appointments)).select("company_id", bucket().alias("bucket"))
     counted = rows.groupBy("company_id").agg(*[F.count_if(F.col("bucket") == b).alias(b) for b in BUCKETS], F.count(F.lit(1)).alias("total"))
+    return named(counted, companies)
+
+
+def named(counted: DataFrame, companies: DataFrame) -> DataFrame:
+    """Counts of companies with their names, the busiest first."""
     names = companies.select(F.col("id").alias("company_id"), F.coalesce("display_name", "name").alias("company_name"))
-    named = counted.join(names, "company_id", "left").withColumn("company_name", F.coalesce("company_name", F.lit("Unknown")))
-    return named.select("company_id", "company_name", *BUCKETS, "total").orderBy(F.desc("total"), "company_id")
+    known = counted.join(names, "company_id", "left").withColumn("company_name", F.coalesce("company_name", F.lit("Unknown")))
+    return known.select("company_id", "company_name", *BUCKETS, "total").orderBy(F.desc("total"), "company_id")
 
 
 def grand_total(report: DataFrame) -> DataFrame:

@@ -59,6 +59,10 @@ class RunStore:
         at = self._of(f"{self.path}/{folder}")
         return [f.getPath().getName() for f in self._fs.listStatus(at)] if self._fs.exists(at) else []
 
+    def columns(self, df: DataFrame, *more: Column) -> DataFrame:
+        """The store's columns of df, of their types."""
+        return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.spark.createDataFrame([], self.schema).schema], *more)
+
     def versions(self) -> list[int]:
         return sorted(int(n.removesuffix(".json")) for n in self._names("manifest") if n.endswith(".json"))
 
@@ -124,9 +128,8 @@ class RunStore:
             return
         placed = batch if position else batch.withColumn("_position", F.monotonically_increasing_id())
         one = in_batch(placed, self.keys, self.ts, position or "_position")
-        names = [f.name for f in self.spark.createDataFrame([], self.schema).schema]
         timed = F.when(F.col(self.ts).isNull(), F.raise_error(F.lit(f"a row without {self.ts}"))).otherwise(F.lit(number))
-        run = self._written(one.select(*names, timed.cast("long").alias("_batch")))
+        run = self._written(self.columns(one, timed.cast("long").alias("_batch")))
         runs = (*now.runs, run) if run.rows else now.runs
         self._commit(Manifest(now.version + 1, number, runs))
         self._compact()

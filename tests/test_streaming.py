@@ -10,9 +10,11 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import classify, perkey
+from tessera.functions.values import business_range
+from tessera.operators import classify, monitors, perkey
+from tessera.plans import reports
 from tessera.sources.rest import PagedRest
-from tessera.streaming import ingest, lifecycle, resolution, store
+from tessera.streaming import alerts, ingest, lifecycle, report, resolution, store
 
 SCHEMA = "chat_jid string, wa_message_id string, timestamp timestamp, body string"
 T0 = datetime(2026, 7, 15, 12)
@@ -120,6 +122,68 @@ def test_states_equal_batch(spark, tmp_path):
     assert got == {r["job_id"]: (r["lifecycle_status"], r["n_events"]) for r in want}
 
 
+def test_timers_raise_what_scans_find(spark, tmp_path):
+    rng = random.Random(12)
+    status = ["pending", "dispatched", "accepted", "in_progress", "appt_set", "needs_follow_up", "completed", "canceled"]
+    rows = []
+    for i in range(120):
+        at, to = T0 + timedelta(minutes=i * 20 + rng.randrange(15)), rng.choice(status)
+        when = (at + timedelta(minutes=rng.randrange(600))).strftime("%Y-%m-%dT%H:%M:%SZ")
+        rows.append((f"{i:03}", f"j{rng.randrange(25)}", to, "operator", json.dumps({"appt_iso": when, "follow_up_at": when, "note": "n"}), at))
+    schema = "id string, job_id string, to_status string, source string, payload string, created_at timestamp"
+    source, out = str(tmp_path / "events"), str(tmp_path / "out")
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        alerts.timed_alerts(stream, late="0 seconds").writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema(alerts.OUT).parquet(out)
+
+    for a, b in ((0, 40), (40, 41), (41, 120)):  # each a run of its own: a restart in between
+        spark.createDataFrame(rows[a:b], schema).coalesce(1).write.mode("append").parquet(source)
+        told = run()
+        seen = spark.createDataFrame(rows[:b], schema)
+        now = F.lit(max(r[5] for r in rows[:b]))
+        jobs = perkey.latest(seen, ["job_id"], ["created_at", "id"]).select(F.col("job_id").alias("id"), F.col("to_status").alias("lifecycle_status"), F.col("created_at").alias("lifecycle_status_changed_at"), F.col("created_at").alias("first_message_at"))
+        scans = [
+            monitors.undispatched(jobs, now), monitors.stuck(jobs, "dispatched", 240, now), monitors.stuck(jobs, "in_progress", 480, now), monitors.closing_unfiled(jobs, now),
+            monitors.appt_time_passed(seen, now), monitors.follow_up_due(seen, now),
+        ]
+        want = {(r["job_id"], r["kind"]) for df in scans for r in df.collect()}
+        got = {(r["job_id"], r["kind"]) for r in alerts.open_now(told).collect()}
+        assert got == want and want
+    keys = [(r["job_id"], r["kind"], r["action"], r["since"]) for r in told.collect()]
+    assert len(keys) == len(set(keys)) > len(want)
+
+
+def test_report_of_changes_equals_the_report(spark, tmp_path, monkeypatch):
+    rng = random.Random(21)
+    status = ["pending", "rejected", "closed", "completed", "canceled", "appt_set", "appt_set"]
+    rows = []
+    for i in range(90):
+        came = T0 + timedelta(hours=7 * (i % 20))
+        appt = came + timedelta(hours=rng.randrange(60)) if rng.random() < 0.6 else None
+        rows.append((f"j{i % 20}", rng.choice(["c1", "c2", None]), came, appt, rng.choice(status), T0 + timedelta(minutes=rng.randrange(500))))
+    companies = spark.createDataFrame([("c1", "One", None), ("c2", "Two", "2nd")], "id string, name string, display_name string")
+    store_ = report.ReportStore(spark, str(tmp_path / "r"))
+    seen: dict = {}
+    for n, (a, b) in enumerate(((0, 40), (40, 41), (41, 41), (41, 90))):
+        batch = spark.createDataFrame(rows[a:b], report.JOBS).coalesce(1)
+        if n == 3:  # dies between the two commits
+            with monkeypatch.context() as m, pytest.raises(OSError):
+                m.setattr(store_.jobs, "apply", lambda *_: (_ for _ in ()).throw(OSError("killed")))
+                store_.apply(batch, n)
+        store_.apply(batch, n)
+        newest: dict = {}
+        for r in rows[a:b]:
+            newest[r[0]] = r if r[0] not in newest or r[5] > newest[r[0]][5] else newest[r[0]]
+        seen |= {k: r for k, r in newest.items() if k not in seen or r[5] >= seen[k][5]}
+    jobs = spark.createDataFrame(list(seen.values()), report.JOBS)
+    for first, last in (("2026-07-14", "2026-07-16"), ("2026-07-17", "2026-07-30")):
+        for appointments in (False, True):
+            want = reports.status_report(jobs, companies, *business_range(first, last), appointments)
+            assert [tuple(r) for r in store_.report(companies, first, last, appointments).collect()] == [tuple(r) for r in want.collect()]
+
+
 def test_routes(spark):
     chats = spark.createDataFrame([("t", True, "tech_dispatch"), ("g", True, None), ("off", False, None)], "chat_jid string, is_active boolean, chat_role string")
     rows = [("t", True, "5 Oak St"), ("t", False, "ok"), ("g", True, "pass"), ("g", False, "pass"), ("g", True, "Paid $600"), ("off", True, "x"), ("new", True, "x")]
