@@ -19,7 +19,6 @@ again.  Ties in rank end in the phrase.  An empty table gives no rows; other col
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -28,6 +27,7 @@ from operator import itemgetter
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -38,7 +38,6 @@ from tessera.llm.shared import ODD, Scratch, cut, mixed, text_bytes
 
 #: ASCII bytes that end a piece become line ends, tabs become spaces.
 BREAKS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n ")
-TOKEN = re.compile("[^ \n]+|\n")
 SLOT_BITS = 23
 PART_BYTES = 32 << 20
 SALTS = 64
@@ -73,11 +72,12 @@ class Tokens:
     """The words and phrases of one language's texts as numbers."""
 
     def __init__(self, texts: list[bytes], lang: str):
-        number: defaultdict[str, int] = defaultdict(count(1).__next__)
-        number["\n"] = 0
-        self.found = TOKEN.findall(b"\n".join(texts).decode("utf-8", "replace"))
-        self.ids = np.fromiter(map(number.__getitem__, self.found), np.int64, len(self.found))
-        self.words = list(number)  # in the order of their numbers
+        text = pa.array([b"\n".join([b"", *texts]).decode("utf-8", "replace").replace("\n", " \n ")], pa.large_string())
+        found = pc.split_pattern(text, " ").flatten()
+        found = found.filter(pc.not_equal(found, "")).dictionary_encode()
+        self.ids = found.indices.to_numpy().astype(np.int64)
+        self.words = found.dictionary.to_pylist()  # in order of their first place, so 0 is the line end
+        del text, found
         seed = xxhash.xxh3_64_intdigest(lang)
         hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.words), np.uint64, len(self.words))
         a = self.ids
@@ -151,17 +151,41 @@ def answers(told: DataFrame, least: int) -> DataFrame:
     return told.groupBy("part").applyInArrow(run, "shard long, part int, slots binary")
 
 
-def scanned(text: str, less: list[str], patterns: list[str], block: int) -> Iterator[tuple[str, int]]:
-    """Each pattern with its matches in text, overlapping ones included, less those in the strings of `less`."""
-    for k in range(0, len(patterns), block):
+def present(keys: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Where slots are among keys (sorted, at least one): a bitmap of their low bits first, then the keys themselves."""
+    low = np.zeros(1 << 22, bool)
+    low[keys & (len(low) - 1)] = True
+    at = np.flatnonzero(low[(slots & np.uint64(len(low) - 1)).astype(np.int64)])
+    found = slots[at].astype(np.int64)
+    return at[keys[np.minimum(np.searchsorted(keys, found), len(keys) - 1)] == found]
+
+
+def scanned(ids: np.ndarray, less: list[np.ndarray], words: list[str], phrases: np.ndarray, block: int) -> Iterator[tuple[str, int, int]]:
+    """Each phrase (rows of word numbers, 0 behind the last), its length and its matches in ids, overlapping ones included.
+
+    Matches in `less` are taken off.  Patterns begin and end with the delimiter, a space; in the text, line ends and
+    words of no phrase of the block are line ends between two delimiters, so no match reaches across.
+    """
+    for k in range(0, len(phrases), block):
+        own = phrases[k : k + block]
+        used = np.zeros(len(words), bool)
+        used[own] = True
+        used[0] = False
         automaton = ahocorasick.Automaton()
-        for i, p in enumerate(patterns[k : k + block]):
-            automaton.add_word(f" {p} ", i)
+        names = [(f"{words[x]} {words[y]} {words[z]}", 3) if z else (f"{words[x]} {words[y]}", 2) for x, y, z in own.tolist()]
+        for i, (name, _) in enumerate(names):
+            automaton.add_word(f" {name} ", i)
         automaton.make_automaton()
-        n = Counter(map(itemgetter(1), automaton.iter(text)))
+
+        def matches(x: np.ndarray) -> Iterator[int]:
+            x = np.where(used[x], x, 0)
+            x = x[np.concatenate([[True], (x[1:] > 0) | (x[:-1] > 0)])]  # one line end for many
+            return map(itemgetter(1), automaton.iter(f" {' '.join(map(words.__getitem__, x.tolist()))} "))
+
+        found = Counter(matches(ids))
         for x in less:
-            n.subtract(map(itemgetter(1), automaton.iter(x)))
-        yield from ((patterns[k + i], c) for i, c in n.items() if c > 0)
+            found.subtract(matches(x))
+        yield from ((*names[i], c) for i, c in found.items() if c > 0)
 
 
 def counted(stored: DataFrame, hot: DataFrame, part_bits: int, block: int) -> DataFrame:
@@ -170,36 +194,27 @@ def counted(stored: DataFrame, hot: DataFrame, part_bits: int, block: int) -> Da
     def run(texts: pa.Table, hot: pa.Table) -> pa.Table:
         lang = texts["lang"][0].as_py() if len(texts) else ""
         rows = texts["text"].to_pylist()
-        less = [t[:n].decode("utf-8", "replace") for t, n in zip(rows, texts["skip"].to_pylist(), strict=True) if n]
+        less = [t[:n].decode("utf-8", "replace").split(" ") for t, n in zip(rows, texts["skip"].to_pylist(), strict=True) if n]
         tokens = Tokens(rows, lang)
+        del rows, texts
+        number = dict(zip(tokens.words, range(len(tokens.words)))) if less else {}
+        less = [np.array([number[w] for w in x]) for x in less]
         keys = [p * (1 << SLOT_BITS) + unpacked(s) for p, s in zip(hot["part"].to_pylist(), hot["slots"].to_pylist(), strict=True)]
-        keys = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-        keys = np.append(keys, -1) if not len(keys) else keys
-
-        def candidates(at: np.ndarray, slots: np.ndarray) -> np.ndarray:
-            slots = slots.astype(np.int64)
-            return at[keys[np.minimum(np.searchsorted(keys, slots), len(keys) - 1)] == slots]
-
-        one, two, three = map(candidates, tokens.first, tokens.slots(SLOT_BITS + part_bits))
-        n = np.bincount(tokens.ids, minlength=len(tokens.words))
-        total = int(n[1:].sum()) - sum(len(x.split(" ")) for x in less)
-        n = Counter({tokens.words[i]: int(n[i]) for i in np.unique(tokens.ids[one]).tolist()})
-        for w in (w for x in less for w in x.split(" ") if w in n):
-            n[w] -= 1
-        size, a, w = len(tokens.words), tokens.ids, tokens.words
-        _, some = np.unique(a[two] * size + a[two + 1], return_index=True)
-        two = two[some]
-        pair = np.unique(a[three] * size + a[three + 1], return_inverse=True)[1]
-        _, some = np.unique(pair * size + a[three + 2], return_index=True)
-        three = three[some]
-        patterns = [f"{w[x]} {w[y]}" for x, y in zip(a[two].tolist(), a[two + 1].tolist(), strict=True)]
-        pairs = len(patterns)
-        patterns += [f"{w[x]} {w[y]} {w[z]}" for x, y, z in zip(a[three].tolist(), a[three + 1].tolist(), a[three + 2].tolist(), strict=True)]
-        found = [("", 0, total), *((x, 1, c) for x, c in n.items() if c > 0)]
-        text, less = f" {' '.join(tokens.found)} ", [f" {x} " for x in less]
-        del tokens
-        for words, own in ((2, patterns[:pairs]), (3, patterns[pairs:])):
-            found += [(x, words, c) for x, c in scanned(text, less, own, block)]
+        keys = np.unique(np.concatenate([*keys, np.array([-1])]))
+        one, two, three = (at[present(keys, slots)] for at, slots in zip(tokens.first, tokens.slots(SLOT_BITS + part_bits), strict=True))
+        a, w = tokens.ids, tokens.words
+        n = np.bincount(a, minlength=len(w)) - sum((np.bincount(x, minlength=len(w)) for x in less), np.zeros(len(w), np.int64))
+        phrases, hot_pair = [], np.zeros(len(a) + 1, bool)
+        hot_pair[two] = hot_pair[two + 1] = True
+        scanned_ids = np.where(hot_pair[:-1], a, 0)  # both pairs of a triple that is no false candidate are candidates
+        for at, words in ((two, 2), (three, 3)):
+            key = a[at]
+            for k in range(1, words):
+                key = np.unique(key, return_inverse=True)[1] * len(w) + a[at + k]
+            at = at[np.unique(key, return_index=True)[1]]
+            phrases.append(np.stack([a[at], a[at + 1], a[at + 2] if words == 3 else np.zeros(len(at), np.int64)], 1))
+        found = [("", 0, int(n[1:].sum())), *((w[i], 1, int(n[i])) for i in np.unique(a[one]).tolist() if n[i] > 0)]
+        found += scanned(scanned_ids, less, w, np.concatenate(phrases), block)
         phrase, words, c = zip(*found, strict=True)
         return pa.table({"lang": pa.array([lang] * len(found), pa.string()), "phrase": pa.array(phrase, pa.string()), "words": pa.array(words, pa.int32()), "n": pa.array(c, pa.int64())})
 
