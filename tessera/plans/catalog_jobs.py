@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from tessera.operators import classify, lifecycle, messages, monitors, outcomes
+from tessera.operators import classify, lifecycle, messages, monitors, outcomes, upsert
 from tessera.plans import adapters as A
 from tessera.plans import backfill
 from tessera.plans.registry import query
+from tessera.plans.store import shared_folder
+from tessera.sources import files
 
 NAME = "case o_orderpriority when '1-URGENT' then 'oak street' when '2-HIGH' then 'north main street' when '3-MEDIUM' then 'pine road' else 'elm avenue' end"
 PHONE = "'312555' || lpad(cast({} % 10000 as varchar), 4, '0')"
@@ -388,3 +392,67 @@ def dedup_candidates(spark, d):
     j = A.placed_jobs(spark, d).drop("customer_phone_e164").withColumn("customer_phone_e164", F.lit(None).cast("string"))
     m = j.where("id % 2 = 0 and address_street_name <> 'elm avenue'").select("id", "company_id", F.col("address_street_number").alias("street_number"), F.col("address_street_name").alias("street_name"), F.col("customer_phone_e164").alias("phone"), F.col("first_message_at").alias("at"))
     return classify.dedup_candidates(m, j.where("id % 2 = 1")).select("id", "job_id")
+
+
+#: Nations as companies: a text that begins with their key as house number, three times their key as their phone.
+GATE = "o_orderkey % 5 <> 0 and o_orderkey % 7 = 0"
+PREVIEWS = f"""(select o_orderkey id, {GATE} gate, byphone.n_nationkey k1, bytext.n_nationkey k2, bound.n_nationkey k3, bytext.n_name name2, bound.n_name name3 from orders
+ left join nation byphone on o_orderkey % 2 = 0 and o_custkey % 10000 = byphone.n_nationkey * 3 left join nation bytext on bytext.n_nationkey = o_custkey % 60 + 1
+ left join supplier on o_orderkey % 2 = 0 and s_suppkey = o_custkey % 10000 left join nation bound on bound.n_nationkey = s_suppkey % 25)"""
+
+
+@query(f"""select id, gate gate_passed, gate and coalesce(k1, k2, k3) is not null is_job_likely, case when gate then cast(coalesce(k1, k2, k3) as varchar) end matched_company_id,
+ case when not gate then 'not_a_job' when k1 is not null then 'phone' when k2 is not null then 'regex' when k3 is not null then 'phone_binding' else 'none' end match_method,
+ case when gate and k1 is null and name2 <> name3 then 'regex=' || name2 || ' binding=' || name3 end binding_conflict from {PREVIEWS} p""")
+def previewed_messages(spark, d):
+    sent = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, A.phone_of("o_custkey")).alias("from_number"))
+    m = A.contact_messages(spark, d).join(sent, "id").select("id", F.when(F.col("id") % 2 == 0, "openphone").otherwise("whatsapp").alias("source"), "from_number", F.col("body").alias("content"))
+    n = A.table(spark, d, "nation").withColumn("_three", F.col("n_nationkey") * 3)
+    pattern = F.concat(F.lit("^"), F.col("n_nationkey").cast("string"), F.lit(" "))
+    companies = n.select(
+        F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"), F.col("n_nationkey").cast("int").alias("priority"), F.lit(True).alias("is_active"),
+        F.array(A.phone_of("_three")).alias("phone_numbers"), F.array(F.struct(F.array(pattern).alias("patterns"))).alias("identification_patterns"),
+    )
+    bindings = A.table(spark, d, "supplier").select(A.phone_of("s_suppkey").alias("phone_e164"), (F.col("s_suppkey") % 25).cast("string").alias("company_id"))
+    return classify.preview(m, companies, bindings).drop("matched_company")
+
+
+@query(f"""select m.id, arg_min(j.id, (j.first_message_at, j.id)) job_id from {MESSAGES} m {OLDEST.format(jobs=JOBS, same="j.company_id = m.company_id and ")} where j.id is not null group by m.id""")
+def closings_rematched(spark, d):
+    c = A.contact_messages(spark, d).withColumn("_c", outcomes.contact_of(F.col("body"))).select("id", "company_id", F.col("timestamp").alias("at"), "_c.street_number", "_c.street_name", "_c.phone")
+    return classify.rematch_closings(c, A.placed_jobs(spark, d))
+
+
+@query("""with sent as (select conv_id, arg_min(turn, (turn % 3, turn)) turn from conversations where turn % 4 > 0 group by conv_id)
+ select o_orderkey id, o_orderdate as old, o_orderdate + to_days(cast(turn as integer)) as new from orders join sent on conv_id = o_orderkey where turn <> 0""")
+def first_message_corrections(spark, d):
+    """Conversations as the chat messages behind jobs of the same key: a turn is so many days late, the earliest dispatch decides."""
+    c = A.table(spark, d, "conversations").join(A.table(spark, d, "orders").select(F.col("o_orderkey").alias("conv_id"), "o_orderdate"), "conv_id")
+    name = F.concat_ws("-", "conv_id", "turn")
+    stamp = F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(days=F.col("turn").cast("int"))
+    chat = c.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("chat_jid"), name.alias("wa_message_id"), stamp.alias("timestamp"))
+    raw = F.to_json(F.struct(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("chat_jid"), name.alias("wa_message_id")))
+    m = c.select(F.concat(F.lit("m"), name).alias("id"), raw.alias("raw_payload"))
+    dispatch = c.where("turn % 4 > 0").select(F.col("turn").alias("id"), F.concat(F.lit("m"), name).alias("incoming_message_id"), (F.col("turn") % 3).alias("created_at"), F.col("conv_id").alias("job_id"))
+    jobs = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("first_message_at"))
+    got = backfill.first_message_corrections(jobs, dispatch, m, chat)
+    return got.select("id", F.col("old").cast("timestamp_ntz").alias("old"), F.col("new").cast("timestamp_ntz").alias("new"))
+
+
+@query("""with sent as (select conv_id, arg_min(turn, (turn % 3, turn)) turn from conversations where turn % 4 > 0 group by conv_id)
+ select o_orderkey id, o_orderdate + to_days(cast(coalesce(turn, 0) as integer)) as first_message_at from orders left join sent on conv_id = o_orderkey""")
+def jobs_corrected(spark, d):
+    new = first_message_corrections(spark, d).select("id", F.col("new").alias("first_message_at"))
+    jobs = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp_ntz").alias("first_message_at"))
+    return upsert.corrected(jobs, new, "id", ["first_message_at"])
+
+
+@query("select cast(conv_id as varchar) conversation_id, turn message_id, text body, case when role = 'user' then 'incoming' else 'outgoing' end direction from conversations")
+def raw_messages_exploded(spark, d):
+    """Conversations written as raw files, sixteen turns a file's row, and read again."""
+    c = A.table(spark, d, "conversations")
+    message = F.struct(F.col("turn").cast("string").alias("id"), F.col("text"), F.when(F.col("role") == "user", "incoming").otherwise("outgoing").alias("direction"), F.lit("2026-01-02T03:04:05Z").alias("createdAt"))
+    rows = c.groupBy(F.col("conv_id").cast("string").alias("conversation_id"), F.floor(F.col("turn") / 16)).agg(F.collect_list(message).alias("messages"))
+    path = f"{shared_folder(spark)}/raw-{uuid.uuid4().hex}"
+    rows.select("conversation_id", "messages").write.json(path)
+    return files.exploded_messages(spark, path, lines=True).select("conversation_id", F.col("message_id").cast("long").alias("message_id"), "body", "direction")

@@ -51,8 +51,8 @@ def pattern_counts(companies: DataFrame) -> DataFrame:
     return companies.select("name", F.coalesce(n, F.lit(0)).alias("n_patterns"))
 
 
-def exploded_messages(spark: SparkSession, path: str) -> DataFrame:
-    """(conversation_id, message_id, body) of raw conversation files: JSON objects with an array `messages`."""
+def exploded_messages(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(conversation_id, message_id, body, direction, sent_at) of raw conversations: JSON objects with an array `messages`, one a file or (lines) a line."""
     schema = "conversation_id string, messages array<struct<id:string,text:string,direction:string,createdAt:string>>"
-    got = spark.read.schema(schema).json(path, multiLine=True)
+    got = spark.read.schema(schema).json(path, multiLine=not lines)
     return got.select("conversation_id", F.explode("messages").alias("m")).select("conversation_id", F.col("m.id").alias("message_id"), F.col("m.text").alias("body"), F.col("m.direction").alias("direction"), F.col("m.createdAt").alias("sent_at"))
