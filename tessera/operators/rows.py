@@ -97,3 +97,10 @@ def reactivated(table: DataFrame, rows: DataFrame, key: str, flag: str = "is_act
     kinds = dict(table.dtypes)
     new = rows.join(table.select(key), key, "left_anti").dropDuplicates([key]).withColumn(flag, F.lit(True))
     return kept.unionByName(new.select(*[(F.col(c) if c in new.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in table.columns]))
+
+
+def exists_by_json(asked: DataFrame, key: str, df: DataFrame, column: str, path: str) -> DataFrame:
+    """asked with `found`: whether some row of df holds its key under a path of a JSON column; a null key is never found."""
+    known = df.select(F.get_json_object(column, path).alias("_key")).where("_key is not null").distinct()
+    got = asked.withColumn("_key", F.col(key).cast("string")).join(known.withColumn("_found", F.lit(True)), "_key", "left")
+    return got.select(*asked.columns, F.coalesce("_found", F.lit(False)).alias("found"))

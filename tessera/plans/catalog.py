@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import contact, extraction, signals, text, values
-from tessera.operators import joins, lifecycle, messages, monitors, perkey, upsert
+from tessera.operators import joins, lifecycle, messages, monitors, perkey, rows, upsert
 from tessera.plans import adapters as A
 from tessera.plans import backfill, reports, rollups
 from tessera.plans.registry import QUERIES, SQL, query
@@ -334,7 +334,12 @@ def status_histogram(spark, d):
 def key_sets(spark, d):
     c, s, n = (A.table(spark, d, t).select(F.col(k).alias("k")) for t, k in (("customer", "c_nationkey"), ("supplier", "s_nationkey"), ("nation", "n_nationkey")))
     named = lambda op, df: df.select(F.lit(op).alias("op"), "k")
-    return named("union", c.union(s).distinct()).union(named("intersect", c.intersect(s))).union(named("except", n.exceptAll(s).distinct().join(s, "k", "left_anti")))
+    return named("union", perkey.united(c, s)).union(named("intersect", perkey.common(c, s))).union(named("except", perkey.without(n, s)))
+
+
+@query("select c_custkey, c_custkey in (select cast(json_extract_string(props, '$.k') as bigint) from events) as found from customer")
+def exists_by_json_field(spark, d):
+    return rows.exists_by_json(A.table(spark, d, "customer").select("c_custkey"), "c_custkey", A.table(spark, d, "events"), "props", "$.k")
 
 
 @query("select event_id, cast(json_extract_string(props, '$.k') as bigint) k from events where cast(json_extract_string(props, '$.k') as bigint) >= 50")
