@@ -202,13 +202,13 @@ def first_company_by_pattern(messages: DataFrame, companies: DataFrame, message_
     out = messages.select(message_id, F.coalesce(F.col(text), F.lit("")).alias("_t"), F.lit(None).cast("struct<company_id:string,company_name:string>").alias("_hit"))
     skip = 0
     while rows := ranked.offset(skip).limit(at_once).collect():
-        hit = F.lit(None).cast("struct<company_id:string,company_name:string>")
-        for r in reversed(rows):
+        hit = F.when(F.lit(False), F.lit(None).cast("struct<company_id:string,company_name:string>"))  # one flat CASE, in order of priority
+        for r in rows:
             groups = [list(g["patterns"] or []) for g in r["identification_patterns"]]
             tests = [reduce(lambda a, b: a & b, [F.col("_t").rlike(f"(?imUd){p}") for p in g]) for g in groups if g]
             if tests:
                 found = F.struct(F.lit(r["id"]).alias("company_id"), F.lit(r["name"]).alias("company_name"))
-                hit = F.when(reduce(lambda a, b: a | b, tests), found).otherwise(hit)
+                hit = hit.when(reduce(lambda a, b: a | b, tests), found)
         out = out.withColumn("_hit", F.when(F.col("_hit").isNotNull(), F.col("_hit")).otherwise(hit))
         skip += at_once
     return out.where("_hit is not null").select(message_id, "_hit.*")
