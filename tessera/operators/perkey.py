@@ -66,6 +66,31 @@ def ranked_versions(df: DataFrame, key: str, order: Sequence[str], id_column: st
     )
 
 
+def beyond(order: Sequence[tuple[str, bool]], cursor: Sequence) -> Column:
+    """Whether a row comes after the cursor (the order's columns of some row); order: (column, descending), none of them null."""
+    out = F.lit(False)
+    for (name, down), value in reversed(list(zip(order, cursor, strict=True))):
+        c, v = F.col(name), F.lit(value)
+        out = ((c < v) if down else (c > v)) | ((c == v) & out)
+    return out
+
+
+def seek(df: DataFrame, order: Sequence[tuple[str, bool]], cursor: Sequence | None = None, limit: int = 100) -> DataFrame:
+    """The page after a cursor, or the first one: what a deep page skips is never read, as the condition reaches the files.
+
+    End the order with a unique column; the cursor of the next page is the last row's.  Over a table that `clustered`
+    has written, files and row groups before the cursor are left out by their smallest and largest values.
+    """
+    rows = df if cursor is None else df.where(beyond(order, cursor))
+    return rows.orderBy(*[F.desc(c) if down else F.asc(c) for c, down in order]).limit(limit)
+
+
+def clustered(df: DataFrame, path: str, order: Sequence[str], files: int | None = None) -> None:
+    """Write df in ranges of the order's columns, sorted within each, for `seek`."""
+    dealt = df.repartitionByRange(files, *order) if files else df.repartitionByRange(*order)
+    dealt.sortWithinPartitions(*order).write.parquet(path)
+
+
 def placed(df: DataFrame, order: Sequence[Column], name: str = "place") -> DataFrame:
     """Numbers the rows of a page (a bounded number of rows) in order, from 1."""
     return df.withColumn(name, F.row_number().over(W.orderBy(*order)))

@@ -337,6 +337,15 @@ def key_sets(spark, d):
     return named("union", perkey.united(c, s)).union(named("intersect", perkey.common(c, s))).union(named("except", perkey.without(n, s)))
 
 
+@query("select * from (select event_id, ts, user_id from events where ts < timestamp '2024-01-20' or (ts = timestamp '2024-01-20' and event_id < 900) order by ts desc, event_id desc limit 250)")
+def page_after_cursor(spark, d):
+    """The page after a cursor over events that were clustered by time."""
+    path = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    perkey.clustered(A.table(spark, d, "events").select("event_id", "ts", "user_id"), path, ["ts", "event_id"])
+    cursor = (F.lit("2024-01-20").cast("timestamp_ntz"), 900)
+    return perkey.seek(spark.read.parquet(path), [("ts", True), ("event_id", True)], cursor, 250)
+
+
 @query("select c_custkey, c_custkey in (select cast(json_extract_string(props, '$.k') as bigint) from events) as found from customer")
 def exists_by_json_field(spark, d):
     return rows.exists_by_json(A.table(spark, d, "customer").select("c_custkey"), "c_custkey", A.table(spark, d, "events"), "props", "$.k")

@@ -304,3 +304,21 @@ def test_companies_file(spark, tmp_path):
     got = files.read_companies(spark, str(p))
     assert [(r["name"], r["priority"]) for r in got.orderBy("priority").collect()] == [("B", 0), ("A", 1)]
     assert {r["name"]: r["n_patterns"] for r in files.pattern_counts(got).collect()} == {"B": 2, "A": 0}
+
+
+def test_pages_by_cursor_are_the_whole_order(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(i, T0 + timedelta(minutes=rng.randrange(30)), rng.choice("ab")) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, at timestamp, kind string")
+    perkey.clustered(df, str(tmp_path / "t"), ["at", "id"], 6)
+    stored, order = spark.read.parquet(str(tmp_path / "t")), [("kind", False), ("at", True), ("id", False)]
+    got, cursor = [], None
+    while page := perkey.seek(stored, order, cursor, 23).collect():
+        got += [r["id"] for r in page]
+        cursor = (page[-1]["kind"], page[-1]["at"], page[-1]["id"])
+    assert got == [r[0] for r in sorted(rows, key=lambda r: (r[2], -r[1].timestamp(), r[0]))]
+    deep = perkey.seek(stored, [("at", True), ("id", True)], (T0 + timedelta(minutes=3), 5), 10)
+    plan = deep._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "PushedFilters: [Or(LessThan(at" in plan
+    spans = stored.groupBy(F.input_file_name().alias("f")).agg(F.min("at").alias("low")).where(F.col("low") <= T0 + timedelta(minutes=3)).count()
+    assert spans < 6  # most files hold nothing after the cursor
