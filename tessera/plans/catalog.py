@@ -7,12 +7,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import contact, extraction, signals, text, values
 from tessera.operators import joins, lifecycle, messages, monitors, perkey, rows, upsert
+from tessera.operators.search import TextIndex
 from tessera.plans import adapters as A
 from tessera.plans import backfill, reports, rollups
 from tessera.plans.registry import QUERIES, SQL, query
@@ -337,6 +339,16 @@ def key_sets(spark, d):
     return named("union", perkey.united(c, s)).union(named("intersect", perkey.common(c, s))).union(named("except", perkey.without(n, s)))
 
 
+@query(" union all ".join(f"select '{x}' literal, doc_id from documents where contains(lower(text), lower('{x}'))" for x in ("Apache License", "you are a", "qz", "THE the", "no such text at all")))
+def indexed_search(spark, d):
+    """Documents indexed in two batches, and searched for five literals."""
+    docs, index = A.table(spark, d, "documents"), TextIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    for half in (0, 1):
+        index.add(docs.where(f"doc_id % 2 = {half}"), "doc_id", "text")
+    found = [index.search(docs, "doc_id", "text", x).select(F.lit(x).alias("literal"), "doc_id") for x in ("Apache License", "you are a", "qz", "THE the", "no such text at all")]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("select * from (select event_id, ts, user_id from events where ts < timestamp '2024-01-20' or (ts = timestamp '2024-01-20' and event_id < 900) order by ts desc, event_id desc limit 250)")
 def page_after_cursor(spark, d):
     """The page after a cursor over events that were clustered by time."""

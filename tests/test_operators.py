@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import classify, joins, lifecycle, messages, monitors, perkey, upsert
+from tessera.operators import classify, joins, lifecycle, messages, monitors, perkey, search, upsert
 from tessera.plans import backfill, reports, rollups
 from tessera.schemas import TABLES, conform, require
 from tessera.sources import files
@@ -322,3 +322,19 @@ def test_pages_by_cursor_are_the_whole_order(spark, tmp_path):
     assert "PushedFilters: [Or(LessThan(at" in plan
     spans = stored.groupBy(F.input_file_name().alias("f")).agg(F.min("at").alias("low")).where(F.col("low") <= T0 + timedelta(minutes=3)).count()
     assert spans < 6  # most files hold nothing after the cursor
+
+
+def test_indexed_search_equals_contains(spark, tmp_path):
+    texts = [(1, "Wir äßen Öl in 5% der Fälle_n"), (2, "the quick brown fox"), (3, None), (4, ""), (5, "ab"), (6, "THE QUICK BROWN FIX, quickly"), (7, "quick brow"), (8, "aaa\naaaa"), (9, "äöü ÄÖÜ")]
+    df = spark.createDataFrame(texts, "id long, body string").withColumnRenamed("id", "key")
+    index = search.TextIndex(spark, str(tmp_path / "i"), rarest=2)
+    index.add(df.where("key < 6"), "key", "body")
+    index.add(df.where("key >= 6"), "key", "body")
+    index.add(df.where("key > 99"), "key", "body")  # an empty batch
+    for literal in ("quick brown", "QUICK", "quickl", "ab", "", "äÖ", "aaaa", "5% der", "öl in", "nowhere at all", "fälle_n", "a\na", "ÄÖÜ"):
+        want = sorted(k for k, t in texts if t is not None and literal.lower() in t.lower())
+        assert sorted(r["key"] for r in index.search(df, "key", "body", literal).collect()) == want, literal
+    first, *_ = index.plan("the quick brown")
+    assert first[1] == min(n for _, n, _ in index.plan("the quick brown")) and index.plan("xyzzy")[0][1] == 0 and index.plan("ab") == []
+    batches = {b for _, _, own in index.plan("quickly") for b in own}
+    assert len(batches) == 1  # only the batch that has all of it is read
