@@ -10,8 +10,8 @@ from tessera.functions.text import strip
 #: Street suffixes and directions with their long forms.
 SUFFIXES = {
     "st": "street", "street": "street", "ave": "avenue", "avenue": "avenue", "blvd": "boulevard", "boulevard": "boulevard", "dr": "drive",
-    "drive": "drive", "ln": "lane", "lane": "lane", "rd": "road", "road": "road", "ct": "court", "court": "court", "pl": "place",
-    "place": "place", "way": "way", "pkwy": "parkway", "parkway": "parkway", "ter": "terrace", "terrace": "terrace", "cir": "circle",
+    "drive": "drive", "ln": "lane", "lane": "lane", "rd": "road", "road": "road", "way": "way", "ct": "court", "court": "court", "pl": "place",
+    "place": "place", "pkwy": "parkway", "parkway": "parkway", "ter": "terrace", "terrace": "terrace", "cir": "circle",
     "circle": "circle", "hwy": "highway", "highway": "highway",
 }
 DIRECTIONS = {

@@ -139,12 +139,18 @@ def json_objects(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
+#: Wording of what an extractor is asked.
+COMPANY, NO_COMPANY, DIRECTION, NO_DIRECTION, MESSAGE = "Company: ", "(unknown)", "\nDirection: ", "unknown", "\n\nMessage:\n"
+MESSAGES, ONE_OF, END_ONE = "MESSAGES:\n", "--- Message ", " ---\n"
+ANSWER = "\nReturn a JSON ARRAY of N objects in the same order, one per message. No markdown. No explanations."
+
+
 def prompt(company: Column, direction: Column, body: Column, most: int = 2500) -> Column:
     """What an extractor is asked about one message."""
     quote = '"""'
     return F.concat(
-        F.lit("Company: "), F.coalesce(F.nullif(company, F.lit("")), F.lit("(unknown)")), F.lit("\nDirection: "),
-        F.lower(F.coalesce(F.nullif(direction, F.lit("")), F.lit("unknown"))), F.lit(f"\n\nMessage:\n{quote}\n"),
+        F.lit(COMPANY), F.coalesce(F.nullif(company, F.lit("")), F.lit(NO_COMPANY)), F.lit(DIRECTION),
+        F.lower(F.coalesce(F.nullif(direction, F.lit("")), F.lit(NO_DIRECTION))), F.lit(f"{MESSAGE}{quote}\n"),
         F.substring(F.coalesce(body, F.lit("")), 1, most), F.lit(f"\n{quote}\n"),
     )
 
@@ -153,8 +159,7 @@ def batch_prompt(items: Column, most: int = 2500) -> Column:
     """What an extractor is asked about several messages; items: array of (company, direction, body)."""
     quote = '"""'
     one = lambda x, i: F.concat(
-        F.lit("--- Message "), (i + 1).cast("string"), F.lit(" ---\nCompany: "), F.coalesce(F.nullif(x["company"], F.lit("")), F.lit("(unknown)")), F.lit("\nDirection: "),
-        F.lower(F.coalesce(F.nullif(x["direction"], F.lit("")), F.lit("unknown"))), F.lit(f"\n{quote}\n"), F.substring(F.coalesce(x["body"], F.lit("")), 1, most), F.lit(f"\n{quote}\n"),
+        F.lit(ONE_OF), (i + 1).cast("string"), F.lit(END_ONE + COMPANY), F.coalesce(F.nullif(x["company"], F.lit("")), F.lit(NO_COMPANY)), F.lit(DIRECTION),
+        F.lower(F.coalesce(F.nullif(x["direction"], F.lit("")), F.lit(NO_DIRECTION))), F.lit(f"\n{quote}\n"), F.substring(F.coalesce(x["body"], F.lit("")), 1, most), F.lit(f"\n{quote}\n"),
     )
-    end = "\nReturn a JSON ARRAY of N objects in the same order, one per message. No markdown. No explanations."
-    return F.concat(F.lit("MESSAGES:\n"), F.array_join(F.transform(items, one), "\n"), F.lit(end))
+    return F.concat(F.lit(MESSAGES), F.array_join(F.transform(items, one), "\n"), F.lit(ANSWER))

@@ -123,24 +123,31 @@ def reason_phrase(reason: Column) -> Column:
     return F.coalesce(F.try_element_at(table, reason), reason, F.lit(""))
 
 
+#: Wording of updates to companies; times, reasons and notes follow their words.
+UPDATE = {
+    "in_progress": "Update: technician is on the way.", "appt_set": "Update: appointment set", "appt_time": " for ", "needs_follow_up": "Update: needs follow-up",
+    "follow_up_time": " Will follow up around ", "canceled": "Update: job canceled", "other": "Update: ", "note": " Note: ",
+}
+
+
 def update_line(kind: Column, appt: Column, follow_up: Column, reason: Column, notes: Column) -> Column:
     given = lambda c: F.nullif(c, F.lit(""))
     why = reason_phrase(given(reason))
     some = lambda *parts: F.coalesce(F.concat(*parts), F.lit(""))  # noqa: E731  "" if any part is null
     line = (
-        F.when(kind == "in_progress", "Update: technician is on the way.")
-        .when(kind == "appt_set", F.concat(F.lit("Update: appointment set"), some(F.lit(" for "), given(appt)), F.lit(".")))
+        F.when(kind == "in_progress", UPDATE["in_progress"])
+        .when(kind == "appt_set", F.concat(F.lit(UPDATE["appt_set"]), some(F.lit(UPDATE["appt_time"]), given(appt)), F.lit(".")))
         .when(
             kind == "needs_follow_up",
             F.concat(
-                F.lit("Update: needs follow-up"), F.when(given(reason).isNotNull(), F.concat(F.lit(" ("), why, F.lit(")"))).otherwise(""), F.lit("."),
-                some(F.lit(" Will follow up around "), given(follow_up), F.lit(".")),
+                F.lit(UPDATE["needs_follow_up"]), F.when(given(reason).isNotNull(), F.concat(F.lit(" ("), why, F.lit(")"))).otherwise(""), F.lit("."),
+                some(F.lit(UPDATE["follow_up_time"]), given(follow_up), F.lit(".")),
             ),
         )
-        .when(kind == "canceled", F.concat(F.lit("Update: job canceled"), F.when(given(reason).isNotNull(), F.concat(F.lit(" — "), why)).otherwise(""), F.lit(".")))
-        .otherwise(F.concat(F.lit("Update: "), kind, F.lit(".")))
+        .when(kind == "canceled", F.concat(F.lit(UPDATE["canceled"]), F.when(given(reason).isNotNull(), F.concat(F.lit(" — "), why)).otherwise(""), F.lit(".")))
+        .otherwise(F.concat(F.lit(UPDATE["other"]), kind, F.lit(".")))
     )
-    return F.concat(line, some(F.lit(" Note: "), given(notes)))
+    return F.concat(line, some(F.lit(UPDATE["note"]), given(notes)))
 
 
 def relay_text(body: Column, line: Column) -> Column:
