@@ -5,9 +5,9 @@ toxic texts far more often than in clean ones.  The lexicon's trie is intersecte
 (insertion, deletion, substitution or swap of neighbours) and made deterministic, so one table walk a character finds
 exact and misspelled terms of any number of words at once, whole words and stems alike, the first letter included.  A
 likeness that clean texts of the sample use at least as often as toxic ones is no hit, and a term with several such
-likenesses, more than it has others, is looked for as it is: evidence decides, not length.  Texts with hits are read again with the words around each
-hit: hits inside quotation marks, or near words of reporting, count apart from plain abuse.  A logistic model over
-these counts, fitted on the same sample with prior weights, gives the score.
+likenesses, more than it has others, is looked for as it is: evidence decides, not length.  Texts with hits are read
+again with the words around each hit: hits inside quotation marks, or near words of reporting, count apart from plain
+abuse.  A logistic model over these counts, fitted on the same sample with prior weights, gives the score.
 
 Null and empty texts get the score of a text without hits.  Repeated labels of a document count once (toxic wins);
 repeated rows are scored as rows of their own.  Very long texts are read whole, a window of words at a time.  A word
