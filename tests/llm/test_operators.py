@@ -432,7 +432,7 @@ def test_licence_lines_are_scored_by_any_weight(spark, sf):
         "This program is free software: you can redistribute it and/or modify", "Unless required by applicable law or agreed to in writing, software",
         "copies or substantial portions of the Software.",
     ]
-    df = spark.createDataFrame([(0, "\n".join(wrapped))], "doc_id long, text string")
+    df = spark.createDataFrame([(0, "\n\n".join(wrapped))], "doc_id long, text string")  # paragraphs of their own
     got = licenses.scan(df, m, "doc_id", least=0.0, agree=0.0).first()["matches"]
     assert [x["line"] for x in got] == [0, 1, 2] and [x["family"] for x in got[1:]] == ["apache", "mit"] and [x["agreement"] for x in got[1:]] == [1.0, 1.0]
     # each word or pair that has a weight, alone and with other separators, is enough for a score
