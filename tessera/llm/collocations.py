@@ -9,8 +9,11 @@ automaton, overlapping matches count, and counts are summed over shards before t
 save work, and every number is exact.
 
 The number of slots follows the size of the corpus (2**23 for every 32 MB of text), and no task holds more than a
-shard, an automaton of `patterns` phrases, or the messages of one part of the slots; nothing is broadcast.  There is a
-message for every shard and part, so beyond some hundred TB of text shards should be larger.
+shard, an automaton of `patterns` phrases, or the messages of one part of the slots or phrases; nothing is broadcast.
+There is a message for every shard and part, so beyond some hundred TB of text shards should be larger.
+
+Counts go through the shuffle as one compressed message for every shard and part, its phrases in order, so that
+neighbours share their beginnings.
 
 Null texts are empty, a null language is `und`; rows that repeat count as often as they stand there.  A text longer
 than a segment is cut between words, and the next segment repeats its last two words, whose own counts are taken off
@@ -19,7 +22,7 @@ again.  Ties in rank end in the phrase.  An empty table gives no rows; other col
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
 from operator import itemgetter
@@ -68,6 +71,14 @@ def segments(docs: DataFrame, text: str, lang: str, shard_bytes: int, segment_by
     return sent.mapInArrow(run, "shard long, lang string, skip long, text binary")
 
 
+def squeezed(x: bytes, level: int = 3) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(x)
+
+
+def whole(x: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(x)
+
+
 class Tokens:
     """The words and phrases of one language's texts as numbers."""
 
@@ -96,13 +107,22 @@ class Tokens:
         return [x >> np.uint64(64 - bits) for x in self.hashes]
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Numbers under 2**32, compressed: all lowest bytes first, so that the zeros stand together."""
+    return squeezed(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def numbers(x: bytes) -> np.ndarray:
+    return np.frombuffer(whole(x), np.uint8).reshape(4, -1).T.copy().view("<u4")[:, 0].astype(np.int64)
+
+
 def packed(x: np.ndarray) -> bytes:
     """Rising numbers under 2**32 as compressed differences."""
-    return zstandard.ZstdCompressor(level=1).compress(np.diff(x, prepend=0).astype(np.uint32).tobytes())
+    return planes(np.diff(x, prepend=0))
 
 
 def unpacked(x: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint32), dtype=np.int64)
+    return np.cumsum(numbers(x))
 
 
 def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, list[bytes]]]:
@@ -129,7 +149,7 @@ def sketch(stored: DataFrame, part_bits: int, least: int) -> DataFrame:
             columns = [
                 pa.array([shard] * len(parts), pa.int64()), pa.array(parts.astype(np.int32)),
                 pa.array([packed(low[a:b]) for a, b in zip(at.tolist(), ends, strict=True)], pa.binary()),
-                pa.array([zstandard.ZstdCompressor(level=1).compress(n[a:b].tobytes()) for a, b in zip(at.tolist(), ends, strict=True)], pa.binary()),
+                pa.array([squeezed(n[a:b].tobytes(), 1) for a, b in zip(at.tolist(), ends, strict=True)], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["shard", "part", "slots", "counts"])
 
@@ -143,7 +163,7 @@ def answers(told: DataFrame, least: int) -> DataFrame:
         sums = np.zeros(1 << SLOT_BITS, np.uint8)  # up to `least`, which is all that matters
         read = [(unpacked(s), n) for s, n in zip(table["slots"].to_pylist(), table["counts"].to_pylist(), strict=True)]
         for slots, n in read:
-            n = np.frombuffer(zstandard.ZstdDecompressor().decompress(n), np.uint8)
+            n = np.frombuffer(whole(n), np.uint8)
             sums[slots] = np.minimum(sums[slots].astype(np.int64) + n, least)
         kept = [packed(slots[sums[slots] >= least]) for slots, _ in read]
         return pa.table({"shard": table["shard"], "part": table["part"], "slots": pa.array(kept, pa.binary())})
@@ -160,8 +180,8 @@ def present(keys: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return at[keys[np.minimum(np.searchsorted(keys, found), len(keys) - 1)] == found]
 
 
-def scanned(ids: np.ndarray, less: list[np.ndarray], words: list[str], phrases: np.ndarray, block: int) -> Iterator[tuple[str, int, int]]:
-    """Each phrase (rows of word numbers, 0 behind the last), its length and its matches in ids, overlapping ones included.
+def scanned(ids: np.ndarray, less: list[np.ndarray], words: list[str], phrases: np.ndarray, block: int) -> Iterator[np.ndarray]:
+    """The matches of each phrase (rows of word numbers, 0 behind the last) in ids, overlapping ones included.
 
     Matches in `less` are taken off.  Patterns begin and end with the delimiter, a space; in the text, line ends and
     words of no phrase of the block are line ends between two delimiters, so no match reaches across.
@@ -172,24 +192,22 @@ def scanned(ids: np.ndarray, less: list[np.ndarray], words: list[str], phrases:
         used[own] = True
         used[0] = False
         automaton = ahocorasick.Automaton()
-        names = [(f"{words[x]} {words[y]} {words[z]}", 3) if z else (f"{words[x]} {words[y]}", 2) for x, y, z in own.tolist()]
-        for i, (name, _) in enumerate(names):
-            automaton.add_word(f" {name} ", i)
+        for i, (x, y, z) in enumerate(own.tolist()):
+            automaton.add_word(f" {words[x]} {words[y]} {words[z]} " if z else f" {words[x]} {words[y]} ", i)
         automaton.make_automaton()
 
-        def matches(x: np.ndarray) -> Iterator[int]:
+        def matches(x: np.ndarray) -> np.ndarray:
             x = np.where(used[x], x, 0)
             x = x[np.concatenate([[True], (x[1:] > 0) | (x[:-1] > 0)])]  # one line end for many
-            return map(itemgetter(1), automaton.iter(f" {' '.join(map(words.__getitem__, x.tolist()))} "))
+            found = automaton.iter(f" {' '.join(map(words.__getitem__, x.tolist()))} ")
+            return np.bincount(np.fromiter(map(itemgetter(1), found), np.int64), minlength=len(own))
 
-        found = Counter(matches(ids))
-        for x in less:
-            found.subtract(matches(x))
-        yield from ((*names[i], c) for i, c in found.items() if c > 0)
+        yield matches(ids) - sum(map(matches, less), np.zeros(len(own), np.int64))
 
 
 def counted(stored: DataFrame, hot: DataFrame, part_bits: int, block: int) -> DataFrame:
-    """lang, phrase, words, n of every shard: its candidates, their possible parts, and under 0 words the sum of all words."""
+    """lang, part, phrases, n of every shard: its candidates and their possible parts, "" for all words, by part."""
+    bits = part_bits + 1
 
     def run(texts: pa.Table, hot: pa.Table) -> pa.Table:
         lang = texts["lang"][0].as_py() if len(texts) else ""
@@ -201,25 +219,68 @@ def counted(stored: DataFrame, hot: DataFrame, part_bits: int, block: int) -> Da
         less = [np.array([number[w] for w in x]) for x in less]
         keys = [p * (1 << SLOT_BITS) + unpacked(s) for p, s in zip(hot["part"].to_pylist(), hot["slots"].to_pylist(), strict=True)]
         keys = np.unique(np.concatenate([*keys, np.array([-1])]))
-        one, two, three = (at[present(keys, slots)] for at, slots in zip(tokens.first, tokens.slots(SLOT_BITS + part_bits), strict=True))
+        own = [present(keys, slots) for slots in tokens.slots(SLOT_BITS + part_bits)]
+        one, two, three = (at[x] for at, x in zip(tokens.first, own, strict=True))
+        parts = [(h[x] >> np.uint64(64 - bits)).astype(np.int64) for h, x in zip(tokens.hashes, own, strict=True)]
+        tokens.hashes = own = []
         a, w = tokens.ids, tokens.words
         n = np.bincount(a, minlength=len(w)) - sum((np.bincount(x, minlength=len(w)) for x in less), np.zeros(len(w), np.int64))
-        phrases, hot_pair = [], np.zeros(len(a) + 1, bool)
+        hot_pair = np.zeros(len(a) + 1, bool)
         hot_pair[two] = hot_pair[two + 1] = True
         scanned_ids = np.where(hot_pair[:-1], a, 0)  # both pairs of a triple that is no false candidate are candidates
-        for at, words in ((two, 2), (three, 3)):
+        phrases, part = [np.zeros((1, 3), np.int64)], [np.zeros(1, np.int64)]  # word numbers, 0 behind the last
+        for words, (at, p) in enumerate(zip((one, two, three), parts, strict=True), 1):
             key = a[at]
             for k in range(1, words):
                 key = np.unique(key, return_inverse=True)[1] * len(w) + a[at + k]
-            at = at[np.unique(key, return_index=True)[1]]
-            phrases.append(np.stack([a[at], a[at + 1], a[at + 2] if words == 3 else np.zeros(len(at), np.int64)], 1))
-        found = [("", 0, int(n[1:].sum())), *((w[i], 1, int(n[i])) for i in np.unique(a[one]).tolist() if n[i] > 0)]
-        found += scanned(scanned_ids, less, w, np.concatenate(phrases), block)
-        phrase, words, c = zip(*found, strict=True)
-        return pa.table({"lang": pa.array([lang] * len(found), pa.string()), "phrase": pa.array(phrase, pa.string()), "words": pa.array(words, pa.int32()), "n": pa.array(c, pa.int64())})
+            first = np.unique(key, return_index=True)[1]
+            at = at[first]
+            phrases.append(np.stack([a[at + k] if k < words else np.zeros(len(at), np.int64) for k in range(3)], 1))
+            part.append(p[first])
+        found = [np.array([n[1:].sum()]), n[phrases[1][:, 0]], *scanned(scanned_ids, less, w, np.concatenate(phrases[2:]), block)]
+        phrases, part, found = map(np.concatenate, (phrases, part, found))
+        order = np.lexsort((phrases[:, 1] * len(w) + phrases[:, 2], part * len(w) + phrases[:, 0]))
+        order = order[(found[order] > 0) | (order == 0)]
+        phrases, part, found = phrases[order], part[order], found[order]
+        parts, at = np.unique(part, return_index=True)
+        ends = [*at.tolist(), len(part)]
+        first, later = pa.array(["", *w[1:]], pa.large_string()), pa.array(["", *(f" {x}" for x in w[1:])], pa.large_string())
+        names = pc.binary_join_element_wise(*(x.take(pa.array(y)) for x, y in zip((first, later, later), phrases.T, strict=True)), pa.scalar("", pa.large_string()))
+        lines = (b"\n".join(names.slice(x, y - x).cast(pa.large_binary()).to_pylist()) for x, y in zip(ends, ends[1:]))
+        return pa.table({
+            "lang": pa.array([lang] * len(parts), pa.string()), "part": pa.array(parts.astype(np.int32)),
+            "phrases": pa.array(map(squeezed, lines), pa.binary()), "n": pa.array([planes(found[x:y]) for x, y in zip(ends, ends[1:])], pa.binary()),
+        })
 
     # texts and answers meet by shard, and every shard has both or neither
-    return stored.groupBy("shard").cogroup(hot.groupBy("shard")).applyInArrow(run, "lang string, phrase string, words int, n long")
+    return stored.groupBy("shard").cogroup(hot.groupBy("shard")).applyInArrow(run, "lang string, part int, phrases binary, n binary")
+
+
+def summed(told: DataFrame, least: int, most: int = 1 << 20) -> DataFrame:
+    """lang, phrase, words, n: the phrases that reach the threshold over all shards, and under 0 words the sum of all words.
+
+    A task holds the sums of its part and about as many new counts, `most` at least.
+    """
+
+    def merged(tables: list[pa.Table]) -> pa.Table:
+        sums = pa.concat_tables(tables).group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")])
+        return sums.select(["lang", "phrase", "n_sum"]).rename_columns(["lang", "phrase", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for b in batches:
+            for lang, phrases, n in zip(*(b.column(c).to_pylist() for c in ("lang", "phrases", "n")), strict=True):
+                phrase = pc.split_pattern(pa.array([whole(phrases).decode("utf-8")], pa.large_string()), "\n").flatten()
+                held.append(pa.table({"lang": pa.repeat(lang, len(phrase)), "phrase": phrase, "n": numbers(n)}))
+                rows += len(phrase)
+                if rows >= max(most, len(held[0])):
+                    held, rows = [merged(held)], 0
+        sums = merged(held)
+        words = pc.if_else(pc.equal(sums["phrase"], ""), 0, pc.add(pc.count_substring(sums["phrase"], " "), 1)).cast(pa.int32())
+        sums = pa.table({"lang": sums["lang"], "phrase": sums["phrase"].cast(pa.string()), "words": words, "n": sums["n"]})
+        yield from sums.filter(pc.or_(pc.equal(words, 0), pc.greater_equal(sums["n"], least))).to_batches()
+
+    return told.groupBy("part").applyInArrow(run, "lang string, phrase string, words int, n long")
 
 
 def score(a: Column, left: Column, right: Column) -> Column:
@@ -239,10 +300,9 @@ def collocations(
     keep = Scratch()
     size = docs.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
     part_bits = max(0, (size // PART_BYTES).bit_length())
-    stored = keep.store(segments(docs, text_column, lang_column, shard_bytes), "segments")
+    stored = keep.store(segments(docs, text_column, lang_column, shard_bytes), "segments", "zstd")
     hot = answers(sketch(stored, part_bits, least), least)
-    found = counted(stored, hot, part_bits, patterns).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
-    sums = Scratch().store(found.where(f"words = 0 or n >= {int(least)}"), "phrases")
+    sums = Scratch().store(summed(counted(stored, hot, part_bits, patterns), least), "phrases")
     keep.clear()
 
     word = F.split("phrase", " ")

@@ -43,8 +43,8 @@ class Scratch:
     def __init__(self) -> None:
         self.tables: list[DataFrame] = []
 
-    def store(self, df: DataFrame, name: str) -> DataFrame:
-        self.tables.append(durable(df, name))
+    def store(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+        self.tables.append(durable(df, name, compression))
         return self.tables[-1]
 
     def clear(self) -> None:

@@ -234,6 +234,53 @@ def test_collocations_of_hostile_tables(spark):
     assert collocations.collocations(empty(spark)).collect() == []
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_counts_of_many_shards_are_small_in_shuffles(spark):
+    rng = np.random.default_rng(5)
+    words = np.array(["".join(map(chr, rng.integers(97, 123, rng.integers(3, 9)))) for _ in range(40)])
+    texts = [("en", " ".join(words[rng.integers(0, 40, 400)])) for _ in range(1000)]
+    df = spark.createDataFrame(texts, "lang string, text string").repartition(6).localCheckpoint()
+    # as many tasks as shards, so that no task sums the counts of several
+    wide = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in wide}
+    before = shuffled(spark)
+    try:
+        for k, v in wide.items():
+            spark.conf.set(k, v)
+        assert collocations.collocations(df, shard_bytes=1 << 17).count() == 2000
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    written = sum(n for stage, n in shuffled(spark).items() if stage not in before)
+    assert 10 * written < 16 * sum(len(t) for _, t in texts)
+
+
+def test_sums_of_messages_equal_a_counter(spark):
+    rng = np.random.default_rng(3)
+    told, all_words = [], Counter()
+    for _ in range(40):
+        lang, part = str(rng.choice(["en", "fr"])), int(rng.integers(0, 2))
+        own = {f"{part} {w}": int(rng.integers(1, 70_000)) for w in rng.choice(["a", "a b", "ça va", "d", "e"], 3, replace=False)} | ({} if part else {"": 5})
+        all_words.update({(lang, w): n for w, n in own.items()})
+        told.append((lang, part, collocations.squeezed("\n".join(own).encode()), collocations.planes(np.array(list(own.values())))))
+    df = spark.createDataFrame(told, "lang string, part int, phrases binary, n binary")
+    least = sorted(all_words.values())[len(all_words) // 2]
+    expected = sorted((lang, w, len(w.split()), n) for (lang, w), n in all_words.items() if n >= least or not w)
+    for most in (1, 7, 1000):
+        assert sorted(tuple(r) for r in collocations.summed(df, least, most).collect()) == expected
+
+
+def test_numbers_and_slots_survive_packing():
+    for x in ([], [0], [7, 8, 255, 256, 65536, 2**32 - 1]):
+        assert collocations.numbers(collocations.planes(np.array(x, np.int64))).tolist() == x
+        assert collocations.unpacked(collocations.packed(np.array(x, np.int64))).tolist() == x
+
+
 @pytest.mark.parametrize(("name", "text"), [("op12_variants", sql.VARIANTS_SQL), ("op13_collocations", sql.COLLOCATIONS_SQL)])
 def test_queries_equal_their_sql(spark, sf, name, text):
     con = duckdb.connect()
