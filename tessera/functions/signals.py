@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tessera.functions.text import ANY_CASE, blank, normalized, strip, tokens
+from tessera.functions.text import ANY_CASE, blank, normalized, once, strip, tokens
 
 #: Words and amounts of settlements, at most ten spaces or colons apart.
 PAY_WORD = r"(?:paid|pay|parts?|tip|cash|cc|zelle|venmo|card|charged|collected|total|closed?)"
@@ -58,7 +58,7 @@ def _plain(phrases: list[str]) -> list[str]:
 def payment_tokens(x: Column) -> Column:
     """All settlements in a message, lower case; null if there is none."""
     found = F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(SETTLEMENT), 0)
-    return F.when(F.size(found) > 0, F.transform(found, lambda m: F.lower(strip(m))))
+    return once(found, lambda f: F.when(F.size(f) > 0, F.transform(f, lambda m: F.lower(strip(m)))))
 
 
 def address_line(x: Column) -> Column:

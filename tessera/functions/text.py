@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +14,11 @@ ANY_CASE = "(?iUd)"
 ANY_CASE_LINES = "(?imUd)"
 
 
+def once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x) with x computed once a row, however often `use` names it; a plain Column is copied to each place that names it."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def strip(x: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")

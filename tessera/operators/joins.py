@@ -123,23 +123,40 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: s
 
 def oldest_since(
     left: DataFrame, right: DataFrame, left_id: str, keys: Sequence[Sequence[tuple[str, str]]], low: Column, high: Column, right_t: Column, columns: Sequence[str], order: Sequence[str],
+    width: int = 14 * BUCKET * 1_000_000,
 ) -> DataFrame:
     """left_id and, as `match`, the right row of smallest number (then `order`) in [low, high] that equals the left one in all columns of some key.
 
-    low, high and right_t are whole numbers.  Each key is a walk to the nearest row above `low` (no pairs of rows),
-    whose answer counts if it isn't above `high`; the best of the keys' answers is taken.
+    low, high and right_t are whole numbers.  All keys share one walk: a row stands once for each key that it has (rows
+    with a null in a key have no such key), left ones also once for each bucket of `width` that [low, high] touches, and
+    in a bucket the first right row above `low` counts.  No pairs of rows are built, and a hot key is cut into buckets;
+    `width` is best near high - low.  The best of a row's answers is taken.
     """
-    numbered = right.withColumn("_n", right_t)
-    kept = list(dict.fromkeys([*columns, *order, "_n"]))
+    slots = [(g, i, pair) for g, key in enumerate(keys) for i, pair in enumerate(key)]
+    names = [f"_k{g}_{i}" for g, i, _ in slots]
 
-    def group(key: Sequence[tuple[str, str]]) -> DataFrame:
-        slim = left.select(left_id, *dict.fromkeys(a for a, _ in key), low.alias("_low"), high.alias("_high"))
-        got = nearest(slim, numbered, key, F.col("_low"), F.col("_n"), kept, order, after=True, equal=True, prefix="m_")
-        got = got.where(F.col("m__n") <= F.col("_high"))
-        return got.select(left_id, F.struct(*[F.col(f"m_{c}").alias(c) for c in columns]).alias("match"), F.struct("m__n", *[F.col(f"m_{c}") for c in order]).alias("_order"))
+    def keyed(df: DataFrame, side: int) -> Column:
+        """A struct for each key of a row: its number, its columns, and nulls for those of the other keys."""
+        each = []
+        for g, key in enumerate(keys):
+            own = [F.when(F.lit(h == g), F.col(pair[side])).alias(n) for (h, _, pair), n in zip(slots, names, strict=True)]
+            each.append(F.when(reduce(lambda a, b: a & b, [F.col(pair[side]).isNotNull() for pair in key]), F.struct(F.lit(g).alias("_g"), *own)))
+        return F.explode(F.array_compact(F.array(*each))).alias("_key")
 
-    found = reduce(DataFrame.unionByName, [group(k) for k in keys])
-    return found.groupBy(left_id).agg(F.min_by("match", "_order").alias("match"))
+    number = lambda t: F.floor(t / width)
+    tie = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order or columns)])
+    b = right.select(keyed(right, 1), right_t.alias("_t"), tie.alias("_o"), F.struct(*[F.col(c).alias(c) for c in columns]).alias("_r")).where("_t is not null")
+    a = left.select(keyed(left, 0), F.col(left_id).alias("_id"), low.alias("_t"), high.alias("_high")).where("_t <= _high")
+    a = a.select("*", F.explode(F.sequence(number(F.col("_t")), number(F.col("_high")))).alias("_b"))
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    found = F.struct("_r", "_t", "_o")
+    sequence = a.select("_key.*", "_b", "_t", F.lit(0).alias("_right"), none(b, "_o"), none(b, "_r"), "_id", "_high").unionByName(
+        b.select("_key.*", number(F.col("_t")).alias("_b"), "_t", F.lit(1).alias("_right"), "_o", "_r", none(a, "_id"), none(a, "_high"))
+    )
+    # from the last number to the first: the last right row passed is the nearest one from here on
+    w = W.partitionBy("_g", *names, "_b").orderBy(F.desc("_t"), F.desc("_right"), F.desc("_o")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    got = sequence.withColumn("_m", F.last(F.when(F.col("_right") == 1, found), ignorenulls=True).over(w)).where("_right = 0 and _m._t <= _high")
+    return got.groupBy(F.col("_id").alias(left_id)).agg(F.min_by("_m._r", F.struct("_m._t", "_m._o")).alias("match"))
 
 
 def count_between(probes: DataFrame, events: DataFrame, key: str, after: str, until: str, ts: str, out: str, bucket: int = BUCKET) -> DataFrame:

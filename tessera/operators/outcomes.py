@@ -12,9 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.contact import PHONE, normalize_address, normalize_phone, phone_match_key
+from tessera.functions.contact import PHONE, given, normalize_phone, normalize_street, phone_match_key
 from tessera.functions.signals import address_line, is_reject_signal, is_tech_accept, is_tech_reject, payment_tokens
-from tessera.functions.text import blank
+from tessera.functions.text import blank, once
 from tessera.operators.joins import count_between, nearest, oldest_since, recent
 
 DAY = 24 * 3600 * 1_000_000
@@ -28,11 +28,9 @@ def contact_of(body: Column, whole: bool = True) -> Column:
 
     Unless `whole`, the address is read from the line behind 'Addr:' where there is one.
     """
-    text = F.coalesce(body, F.lit(""))
-    a = normalize_address(text if whole else F.coalesce(address_line(text), text))
-    given = lambda c: F.nullif(c, F.lit(""))
-    phone = normalize_phone(given(F.regexp_extract(text, PHONE, 0)))
-    return F.struct(given(a["street_number"]).alias("street_number"), given(a["street_name"]).alias("street_name"), given(a["zip"]).alias("zip"), phone.alias("phone"))
+    found = lambda text, a: F.struct(*[given(a[c]).alias(c) for c in ("street_number", "street_name", "zip")], normalize_phone(F.regexp_extract(text, PHONE, 0)).alias("phone"))
+    read = lambda text: normalize_street(text if whole else F.coalesce(address_line(text), text))
+    return once(F.coalesce(body, F.lit("")), lambda text: once(read(text), lambda a: found(text, a)))
 
 
 def _masks(columns: Sequence[Column]) -> Column:
@@ -202,8 +200,7 @@ def classified(messages: DataFrame, previews: DataFrame, extracted: DataFrame, j
     status is NOT_A_JOB, NO_COMPANY, FAILED, LINKED to the oldest job with the address or the phone, DUPLICATE if that
     is another company's, or NEW.
     """
-    fields = extracted.withColumn("_a", normalize_address(F.coalesce("address", F.lit(""))))
-    given = lambda c: F.nullif(c, F.lit(""))
+    fields = extracted.withColumn("_a", normalize_street(F.coalesce("address", F.lit(""))))
     fields = fields.select("id", given(F.col("_a.street_number")).alias("street_number"), given(F.col("_a.street_name")).alias("street_name"), normalize_phone(F.col("customer_phone")).alias("phone"), F.lit(True).alias("_ok"))
     got = previews.select("id", "gate_passed", F.col("matched_company_id").alias("company_id")).join(messages.select("id", F.col("created_at").alias("at")), "id").join(fields, "id", "left")
     asked = without_own_numbers(got, companies)

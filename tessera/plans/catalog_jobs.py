@@ -312,8 +312,8 @@ def classified_messages(spark, d):
     m = A.contact_messages(spark, d).withColumnRenamed("timestamp", "created_at")
     company = F.when((F.col("id") % 8 > 0) & (F.col("id") % 9 > 0), F.col("company_id"))
     previews = m.select("id", (F.col("id") % 9 > 0).alias("gate_passed"), company.alias("matched_company_id"))
-    c = outcomes.contact_of(F.col("body"))
-    extracted = m.where("id % 13 > 0").select("id", F.when(c["street_number"].isNotNull(), F.substring_index("body", "\n", 1)).alias("address"), c["phone"].alias("customer_phone"))
+    read = m.where("id % 13 > 0").withColumn("_c", outcomes.contact_of(F.col("body")))
+    extracted = read.select("id", F.when(F.col("_c.street_number").isNotNull(), F.substring_index("body", "\n", 1)).alias("address"), F.col("_c.phone").alias("customer_phone"))
     return outcomes.classified(m, previews, extracted, A.placed_jobs(spark, d), A.phoned_companies(spark, d)).select("id", "status")
 
 

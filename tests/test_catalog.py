@@ -35,6 +35,17 @@ def test_query_equals_sql(spark, sf, duck, name):
     assert rows(catalog.queries()[name](spark, sf).toPandas()) == rows(duck.sql(catalog.oracle_sql()[name]).df())
 
 
+#: Queries that look for the oldest job with a message's address or phone.
+OLDEST = ["classified_messages"]
+
+
+@pytest.mark.parametrize("name", OLDEST)
+def test_a_text_is_read_once_and_all_keys_share_a_walk(spark, sf, name):
+    """Figures of plans: how often words of a street are looked for (one more for a second text of a message), and walks."""
+    plan = catalog.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("([A-Za-z]+)") <= 2 and plan.count("Window [") == 1
+
+
 def test_every_query_is_registered():
     assert set(catalog.queries()) == set(catalog.oracle_sql()) <= set(__spark_entry__.queries())
 
