@@ -36,7 +36,7 @@ def test_query_equals_sql(spark, sf, duck, name):
 
 
 #: Queries that look for the oldest job with a message's address or phone.
-OLDEST = ["classified_messages", "closing_outcomes", "closings_rematched", "jobs_marked_closed"]
+OLDEST = ["classified_messages", "closing_outcomes", "closings_rematched", "jobs_marked_closed", "payment_signals"]
 
 
 @pytest.mark.parametrize("name", OLDEST)
