@@ -79,7 +79,7 @@ def thread_labels_checked(spark, d):
 def phone_bindings_checked(spark, d):
     o = A.table(spark, d, "orders")
     asked = o.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 50 * 40).alias("company_id"), F.when(F.col("o_orderkey") % 10 == 0, "12").otherwise(A.phone_of("o_custkey")).alias("phone"))
-    bound = A.table(spark, d, "customer").where("c_custkey % 7 = 0").select(A.phone_of("c_custkey").alias("phone_e164"))
+    bound = A.table(spark, d, "customer").where("c_custkey % 7 = 0").select(A.own_phone_of("c_custkey").alias("phone_e164"))
     return rows.checked_bindings(asked, A.phoned_companies(spark, d), bound).select("id", "refusal")
 
 

@@ -46,6 +46,26 @@ def test_a_text_is_read_once_and_all_keys_share_a_walk(spark, sf, name):
     assert 1 <= plan.count("([A-Za-z]+)") <= 2 and plan.count("Window [") == 1
 
 
+def shifted(sf, folder, con, **keys):
+    """Links to the tables, and rows of some whose key is 10,000 greater beside their own: more customers or suppliers than numbers."""
+    views = duckdb.connect()
+    for f in glob.glob(f"{sf}/*.parquet"):
+        name = os.path.basename(f).removesuffix(".parquet")
+        if name in keys:
+            more = f"select * replace ({keys[name]} + n * 10000 as {keys[name]}) from '{f}', range(2) r(n)"
+            con.sql(f"copy ({more}) to '{folder}/{name}.parquet' (format parquet)")
+        else:
+            os.symlink(f, f"{folder}/{name}.parquet")
+        views.sql(f"create view {name} as select * from '{folder}/{name}.parquet'")
+    return views
+
+
+def test_customers_beyond_ten_thousand_have_numbers_of_their_own(spark, sf, tmp_path):
+    views = shifted(sf, tmp_path, duckdb.connect(), customer="c_custkey")
+    got = rows(catalog.queries()["phone_bindings_checked"](spark, str(tmp_path)).toPandas())
+    assert got == rows(views.sql(catalog.oracle_sql()["phone_bindings_checked"]).df())
+
+
 def test_every_query_is_registered():
     assert set(catalog.queries()) == set(catalog.oracle_sql()) <= set(__spark_entry__.queries())
 
