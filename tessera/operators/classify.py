@@ -24,7 +24,10 @@ DAY = 24 * 3600 * 1_000_000
 
 
 def preview(messages: DataFrame, companies: DataFrame, bindings: DataFrame) -> DataFrame:
-    """id, gate_passed, is_job_likely, matched_company_id, matched_company, match_method and binding_conflict."""
+    """id, gate_passed, is_job_likely, matched_company_id, matched_company, match_method and binding_conflict, a row a message.
+
+    Of several bindings of one phone that of the smallest company_id counts.
+    """
     own = messages.select("id", "source", "from_number", blank(F.col("content")).alias("empty"), without_chat_marks(F.col("content")).alias("t"))
     own = own.withColumn("gate_passed", ~F.col("empty") & is_job_message(F.col("t")))
     # the gate comes first, so only jobs meet the patterns
@@ -32,7 +35,7 @@ def preview(messages: DataFrame, companies: DataFrame, bindings: DataFrame) -> D
     by_phone = companies_by_phone(gated, companies, "id", "from_number").select("id", F.struct("company_id", "company_name").alias("_phone"))
     by_text = first_company_by_pattern(gated, companies, "id", "t").select("id", F.struct("company_id", "company_name").alias("_text"))
     bound = bindings.join(companies.select(F.col("id").alias("company_id"), F.col("name").alias("company_name")), "company_id")
-    bound = bound.select(normalize_phone(F.col("phone_e164")).alias("_key"), F.struct("company_id", "company_name").alias("_bound"))
+    bound = bound.select(normalize_phone(F.col("phone_e164")).alias("_key"), F.struct("company_id", "company_name").alias("_bound")).groupBy("_key").agg(F.min("_bound").alias("_bound"))
     key = F.when(F.col("source") == "openphone", normalize_phone(F.col("from_number")))
     got = own.withColumn("_key", key).join(by_phone, "id", "left").join(by_text, "id", "left").join(bound, "_key", "left")
     hit = F.coalesce("_phone", "_text", "_bound")

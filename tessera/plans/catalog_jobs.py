@@ -413,7 +413,7 @@ def previewed_messages(spark, d):
         F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"), F.col("n_nationkey").cast("int").alias("priority"), F.lit(True).alias("is_active"),
         F.array(A.phone_of("_three")).alias("phone_numbers"), F.array(F.struct(F.array(pattern).alias("patterns"))).alias("identification_patterns"),
     )
-    bindings = A.table(spark, d, "supplier").select(A.phone_of("s_suppkey").alias("phone_e164"), (F.col("s_suppkey") % 25).cast("string").alias("company_id"))
+    bindings = A.table(spark, d, "supplier").select(A.own_phone_of("s_suppkey").alias("phone_e164"), (F.col("s_suppkey") % 25).cast("string").alias("company_id"))
     return classify.preview(m, companies, bindings).drop("matched_company")
 
 

@@ -66,6 +66,12 @@ def test_customers_beyond_ten_thousand_have_numbers_of_their_own(spark, sf, tmp_
     assert got == rows(views.sql(catalog.oracle_sql()["phone_bindings_checked"]).df())
 
 
+def test_suppliers_beyond_ten_thousand_have_numbers_of_their_own(spark, sf, tmp_path):
+    views = shifted(sf, tmp_path, duckdb.connect(), supplier="s_suppkey")
+    got = rows(catalog.queries()["previewed_messages"](spark, str(tmp_path)).toPandas())
+    assert got == rows(views.sql(catalog.oracle_sql()["previewed_messages"]).df())
+
+
 def test_every_query_is_registered():
     assert set(catalog.queries()) == set(catalog.oracle_sql()) <= set(__spark_entry__.queries())
 

@@ -189,6 +189,12 @@ def test_preview(spark):
     assert conflict == "regex=ACME binding=BEST"
 
 
+def test_a_phone_bound_twice_gives_one_row(spark):
+    df = frame(spark, "incoming_messages", {"id": "m", "source": "openphone", "content": "call 773-555-0123 at 123 Main St, Chicago, IL 60601", "from_number": "(312) 555-0111"})
+    bindings = frame(spark, "company_phone_bindings", {"id": "a", "phone_e164": "3125550111", "company_id": "2"}, {"id": "b", "phone_e164": "+1 312 555 0111", "company_id": "1"})
+    assert [(r["id"], r["matched_company"]) for r in classify.preview(df, frame(spark, "companies", *COMPANIES), bindings).collect()] == [("m", "ACME")]
+
+
 def test_resolution(spark):
     schema = "id string, at timestamp, company_id string, street string, phone string"
     rows = [("a", ago(100), "c1", "s1", "p1"), ("b", ago(90), "c1", "s1", None), ("c", ago(80), "c2", None, "p1"), ("d", ago(70), "c1", "s2", "p2"), ("e", ago(60), "c1", "s2", "p1"), ("f", T0 + timedelta(days=20), "c1", "s1", None)]
