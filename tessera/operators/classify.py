@@ -8,14 +8,19 @@ or phone, be it an earlier job or one that an earlier message of the same batch
 from __future__ import annotations
 
 import uuid
+from collections import deque
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.contact import is_job_message, normalize_phone, without_chat_marks
 from tessera.functions.text import blank
+from tessera.operators.components import components
 from tessera.operators.joins import first_company_by_pattern, oldest_since
 from tessera.operators.messages import companies_by_phone
 from tessera.plans.store import shared_folder
@@ -63,44 +68,103 @@ def dedup_candidates(messages: DataFrame, jobs: DataFrame, days: int = 14, same_
 RESOLVED = "id string, at timestamp, company_id string, street string, phone string, job_id string, outcome string"
 
 
-def resolve(messages: DataFrame, jobs: DataFrame | None = None, days: int = 14) -> DataFrame:
+def _one_by_one(batches: Iterator[pa.RecordBatch], days: int) -> Iterator[pa.RecordBatch]:
+    """Messages in order of time, each met with the jobs opened before it; jobs known before stand among them as `opened`.
+
+    Of each street and each phone only the jobs of the last `days` and the last message are kept.
+    """
+    jobs: tuple[dict, dict] = ({}, {})  # by street and by phone: (micros, place in the order, id, company, round) of each job
+    last: tuple[dict, dict] = ({}, {})  # (micros, round) of the last message
+    place, kept = 0, 1 << 16
+    for batch in batches:
+        made = []
+        for t, id_, company, street, phone, opened in zip(*[batch.column(c).to_pylist() for c in ("_t", "id", "company_id", "street", "phone", "opened")], strict=True):
+            place, low = place + 1, t - days * DAY
+            keys = [(i, k) for i, k in enumerate((street, phone)) if k is not None]
+            if not opened:
+                first, depth = None, -1
+                for i, k in keys:
+                    queue = jobs[i].get(k)
+                    while queue and queue[0][0] < low:
+                        queue.popleft()
+                    if queue and (first is None or queue[0] < first):
+                        first = queue[0]
+                    if k in last[i] and last[i][k][0] >= low:
+                        depth = max(depth, last[i][k][1])
+                crossed = first is not None and None not in (first[3], company) and first[3] != company
+                outcome = "new" if first is None else "duplicate" if crossed else "linked"
+                number = depth + 1 if first is None else first[4] + 1
+                made.append((first[2] if outcome == "linked" else id_, outcome, number))
+                for i, k in keys:
+                    last[i][k] = (t, number)
+            if opened or outcome != "linked":
+                for i, k in keys:
+                    jobs[i].setdefault(k, deque()).append((t, place, id_, company, -1 if opened else number))
+        if sum(map(len, (*jobs, *last))) > kept:  # what is over goes, whether its street or phone comes again or not
+            for i in (0, 1):
+                for k in [k for k, queue in jobs[i].items() if not queue or queue[-1][0] < low]:
+                    del jobs[i][k]
+                for k in [k for k, (at, _) in last[i].items() if at < low]:
+                    del last[i][k]
+            kept = max(1 << 16, 2 * sum(map(len, (*jobs, *last))))
+        if made:
+            asked = batch.filter(pc.invert(batch.column("opened")))
+            ids, outcomes, numbers = zip(*made, strict=True)
+            more = [pa.array(ids, pa.string()), pa.array(outcomes, pa.string()), pa.array(numbers, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*[asked.column(c) for c in NAMES], *more], names=[*NAMES, "job_id", "outcome", "round"])
+
+
+NAMES = ["id", "at", "company_id", "street", "phone"]
+
+
+def resolve(messages: DataFrame, jobs: DataFrame | None = None, days: int = 14, at_once: int = 5_000_000) -> DataFrame:
     """RESOLVED and round: each message is new, linked or duplicate, as if the messages had come one by one.
 
     messages and jobs (those known before) have id, at, company_id, street (number and name in one, or null) and phone.
     A message joins the oldest job of the last `days` that equals it in street or phone; if that is another company's,
-    it opens a job of its own as a duplicate.  Only messages that open a job matter to later ones, so a message is
-    settled once the oldest message that may have opened one is a job, or there is none; messages that were linked leave.
-    A round settles all such messages at once, whatever their keys: a busy phone takes two rounds for `days` of
-    messages, and phones and streets that have nothing to do with one another take theirs together.  Rounds find the
-    oldest candidate by a walk over buckets of time (`oldest_since`), without pairs and without a task for a key; each is
-    a folder of the result, so a round is computed once.
+    it opens a job of its own as a duplicate.  round is the length of the chain of messages of its slice on which an
+    answer rests: 0 without any before it, else one more than that of its job, or for a new job than the last messages of its keys.
+
+    What one message does may decide the next, so time is walked; messages that no chain of streets and phones joins
+    have nothing to do with one another.  So messages are cut into slices of time of about `at_once` rows, each slice
+    falls into components, components go to tasks, and a task walks its messages in order and holds no more than `days`
+    of their jobs.  A slice meets the jobs of those before it.  However long a chain is, the number of Spark jobs follows
+    from the number of slices; a busy phone or a large component takes a task for no longer than a slice.
     """
     spark = messages.sparkSession
     base = f"{shared_folder(spark)}/resolved-{uuid.uuid4().hex}"
-    names = ["id", "at", "company_id", "street", "phone"]
     kind = lambda c: F.col(c).cast("timestamp" if c == "at" else "string")
-    cast = lambda df: df.select(*[F.nullif(kind(c), F.lit("")).alias(c) if c in ("street", "phone") else kind(c).alias(c) for c in names])
-    known = None if jobs is None else cast(jobs).withColumn("opened", F.lit(True))
-    pending, at, number = cast(messages), F.unix_micros("at"), 0
-    while True:
-        candidates = pending.withColumn("opened", F.lit(False))
-        if known is not None:
-            candidates = candidates.unionByName(known)
-        if number:
-            candidates = candidates.unionByName(done.where("outcome in ('new', 'duplicate')").select(*names, F.lit(True).alias("opened")))
-        keys = [[("street", "street")], [("phone", "phone")]]
-        found = oldest_since(pending, candidates, "id", keys, at - days * DAY, at, at, ["id", "company_id", "opened"], ["id"])
-        got = pending.join(found, "id", "left")
-        first = F.col("match").isNull() | ((F.col("match.id") == F.col("id")) & ~F.col("match.opened"))
-        crossed = F.coalesce(F.col("match.company_id") != F.col("company_id"), F.lit(False))
-        outcome = F.when(first, "new").when(F.col("match.opened"), F.when(crossed, "duplicate").otherwise("linked"))
-        job = F.when(outcome == "linked", F.col("match.id")).when(outcome.isNotNull(), F.col("id"))
-        got.select(*names, job.alias("job_id"), outcome.alias("outcome")).write.parquet(f"{base}/round={number}")
-        done = spark.read.schema(f"{RESOLVED}, round int").parquet(base)
-        pending = done.where(f"round = {number} and outcome is null").select(*names)
-        if pending.isEmpty():
-            return done.where("outcome is not null")
-        number += 1
+    cast = lambda df: df.select(*[F.nullif(kind(c), F.lit("")).alias(c) if c in ("street", "phone") else kind(c).alias(c) for c in NAMES])
+    number = F.unix_micros("at")
+    cast(messages).withColumn("_t", number).write.parquet(f"{base}/messages")
+    rows = spark.read.parquet(f"{base}/messages")
+    pieces = -(-rows.count() // at_once)
+    cuts = sorted(set(rows.approxQuantile("_t", [i / pieces for i in range(1, pieces)], 0.1 / pieces))) if pieces > 1 else []
+    if cuts:
+        rows.withColumn("slice", sum((F.when(F.col("_t") > int(c), 1).otherwise(0) for c in cuts), F.lit(0))).write.partitionBy("slice").parquet(f"{base}/slices")
+        rows = spark.read.parquet(f"{base}/slices")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    nodes = {c: F.concat(F.lit(f"{c}\x1f"), F.col(c)) for c in ("street", "phone")}
+    keyed = F.col("_t").isNotNull() & (F.col("street").isNotNull() | F.col("phone").isNotNull())
+    known = None if jobs is None else cast(jobs).withColumn("_t", number).where(keyed)
+    done = None
+    for i in range(len(cuts) + 1):
+        own = rows.where(F.col("slice") == i).drop("slice") if cuts else rows
+        placed = own.where(keyed)
+        label = components(placed.where("street is not null and phone is not null").select(nodes["street"].alias("a"), nodes["phone"].alias("b")), f"{base}/edges-{i}")
+        labelled = lambda df, label=label: df.join(label, "node", "left").withColumn("node", F.coalesce("component", "node")).drop("component")
+        placed = labelled(placed.withColumn("node", F.coalesce(nodes["street"], nodes["phone"]))).withColumn("opened", F.lit(False))
+        for before in [known, None if done is None else done.where("outcome <> 'linked'").select(*NAMES, number.alias("_t")).where(keyed)]:
+            if before is not None:
+                near = F.lit(True) if not cuts[:i] else F.col("_t") >= int(cuts[i - 1]) - days * DAY
+                # a job joins nothing together: it stands with the messages of its street and with those of its phone
+                each = before.where(near).select("*", F.explode(F.array_compact(F.array(nodes["street"], nodes["phone"]))).alias("node"))
+                placed = placed.unionByName(labelled(each).distinct().withColumn("opened", F.lit(True)))
+        walked = placed.repartition(parts, "node").drop("node").sortWithinPartitions("_t", "id").mapInArrow(partial(_one_by_one, days=days), f"{RESOLVED}, round int")
+        alone = own.where(~keyed).select(*NAMES, F.col("id").alias("job_id"), F.lit("new").alias("outcome"), F.lit(0).alias("round"))
+        walked.unionByName(alone).write.mode("append").parquet(f"{base}/resolved")
+        done = spark.read.schema(f"{RESOLVED}, round int").parquet(f"{base}/resolved")
+    return done
 
 
 def rematch_closings(closings: DataFrame, jobs: DataFrame, days: int = 14) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators of the domain on small frames: scenarios, properties against brute force."""
 
 import random
+import uuid
 from datetime import datetime, timedelta
 
 import pytest
@@ -344,3 +345,25 @@ def test_indexed_search_equals_contains(spark, tmp_path):
     assert first[1] == min(n for _, n, _ in index.plan("the quick brown")) and index.plan("xyzzy")[0][1] == 0 and index.plan("ab") == []
     batches = {b for _, _, own in index.plan("quickly") for b in own}
     assert len(batches) == 1  # only the batch that has all of it is read
+
+
+def test_long_chains_take_no_more_jobs_and_slices_change_nothing(spark):
+    schema = "id string, at timestamp, company_id string, street string, phone string"
+
+    def took(n):
+        """Spark jobs and answers for messages of one street, nine days apart: each second one opens a job."""
+        rows = [(f"{i:03}", T0 + timedelta(days=9 * i), "c1", "s", "p") for i in range(n)]
+        spark.sparkContext.setJobGroup(group := f"chain-{n}-{uuid.uuid4().hex}", "")
+        got = {r["id"]: r["outcome"] for r in classify.resolve(spark.createDataFrame(rows, schema)).collect()}
+        assert got == {f"{i:03}": "linked" if i % 2 else "new" for i in range(n)}
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert took(30) <= took(6) + 2
+    rng = random.Random(8)
+    pick = lambda *of: rng.choice([*of, None])
+    rows = [(f"m{i:03}", ago(60 * rng.randrange(24 * 60)), pick("c1", "c2"), pick("s1", "s2", "s3", "s4", ""), pick("p1", "p2", "p3", "p4", "p5")) for i in range(120)]
+    rows += [("x", None, "c1", "s1", "p1"), rows[0]]
+    jobs = spark.createDataFrame([(f"j{i}", ago(60 * rng.randrange(24 * 70)), pick("c1", "c2"), pick("s1", "s2", "s5"), pick("p1", "p2", "p3")) for i in range(12)], schema)
+    df = spark.createDataFrame(rows, schema)
+    answers = lambda **k: sorted((r["id"], r["job_id"], r["outcome"]) for r in classify.resolve(df, jobs, **k).collect())
+    assert len(whole := answers()) == 122 and answers(at_once=30) == whole
